@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from chronovox.llm import mixing
+from chronovox.llm import binary_output, mixing
 
 QUERIES: dict = {
+    "op5_binary_output": binary_output.op5_binary_output,
     "op8_mix": mixing.op8_mix,
 }
 ORACLES: dict = {
