@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from chronovox.llm import binary_output, mixing, sentencepiece_bpe
+from chronovox.llm import binary_output, mixing, secrets, sentencepiece_bpe
 
 QUERIES: dict = {
+    "op2_secrets": secrets.op2_secrets,
     "op5_binary_output": binary_output.op5_binary_output,
     "op7_sentencepiece": sentencepiece_bpe.op7_sentencepiece,
     "op8_mix": mixing.op8_mix,
