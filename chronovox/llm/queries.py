@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from chronovox.llm import binary_output, mixing, secrets, sentencepiece_bpe
+from chronovox.llm import binary_output, langid, mixing, secrets, sentencepiece_bpe
 
 QUERIES: dict = {
     "op2_secrets": secrets.op2_secrets,
+    "op3_langid": langid.op3_langid,
     "op5_binary_output": binary_output.op5_binary_output,
     "op7_sentencepiece": sentencepiece_bpe.op7_sentencepiece,
     "op8_mix": mixing.op8_mix,
