@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronovox.llm import binary_output, langid, mixing, secrets, sentencepiece_bpe
+from chronovox.llm import binary_output, langid, mixing, secrets, sentencepiece_bpe, toxicity
 
 QUERIES: dict = {
     "op2_secrets": secrets.op2_secrets,
@@ -10,6 +10,7 @@ QUERIES: dict = {
     "op5_binary_output": binary_output.op5_binary_output,
     "op7_sentencepiece": sentencepiece_bpe.op7_sentencepiece,
     "op8_mix": mixing.op8_mix,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLES: dict = {
     "op8_mix": mixing.OP8_SQL,
