@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronovox.llm import binary_output, langid, mixing, secrets, sentencepiece_bpe, toxicity
+from chronovox.llm import binary_output, html_text, langid, mixing, secrets, sentencepiece_bpe, toxicity
 
 QUERIES: dict = {
     "op2_secrets": secrets.op2_secrets,
@@ -11,6 +11,7 @@ QUERIES: dict = {
     "op7_sentencepiece": sentencepiece_bpe.op7_sentencepiece,
     "op8_mix": mixing.op8_mix,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_html_text": html_text.op10_html_text,
 }
 ORACLES: dict = {
     "op8_mix": mixing.OP8_SQL,
