@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from chronovox.llm import binary_output, html_text, langid, mixing, secrets, sentencepiece_bpe, toxicity
+from chronovox.llm import binary_output, html_text, jaccard, langid, mixing, secrets, sentencepiece_bpe, toxicity
 
 QUERIES: dict = {
     "op2_secrets": secrets.op2_secrets,
     "op3_langid": langid.op3_langid,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op5_binary_output": binary_output.op5_binary_output,
     "op7_sentencepiece": sentencepiece_bpe.op7_sentencepiece,
     "op8_mix": mixing.op8_mix,
