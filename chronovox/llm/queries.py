@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from chronovox.llm import binary_output, html_text, jaccard, langid, mixing, secrets, sentencepiece_bpe, toxicity
+from chronovox.llm import binary_output, bitsliced, html_text, jaccard, langid, mixing, secrets, sentencepiece_bpe, toxicity
 
 QUERIES: dict = {
+    "op1_topk": bitsliced.op1_topk,
     "op2_secrets": secrets.op2_secrets,
     "op3_langid": langid.op3_langid,
     "op4_jaccard": jaccard.op4_jaccard,
@@ -15,5 +16,6 @@ QUERIES: dict = {
     "op10_html_text": html_text.op10_html_text,
 }
 ORACLES: dict = {
+    "op1_topk": bitsliced.OP1_SQL,
     "op8_mix": mixing.OP8_SQL,
 }
