@@ -186,6 +186,24 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return rows.mapInArrow(run, _SCHEMA)
 
 
+def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows of docs, in its columns, whose language is not rejected; see identify."""
+    model = model or train(docs)
+
+    def run(batches):
+        for batch in batches:
+            col = batch.column(batch.schema.get_field_index("text"))
+            keep = []
+            for first, end, data, off in text_views(batch):
+                known = _has_letter(data, off, col.slice(first, end - first))
+                sure = model.probabilities(data, off).max(axis=1) >= model.reject if model.langs else np.zeros(end - first, bool)
+                keep.append(known & sure)
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _has_letter(data: np.ndarray, off: np.ndarray, texts: pa.Array) -> np.ndarray:
     """Whether each text has a letter of any script."""
     ascii_letter = np.concatenate([[0], np.cumsum(_LETTER[data] & (data < 128))])
