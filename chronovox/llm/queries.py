@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronovox.llm import binary_output, bitsliced, html_text, jaccard, langid, mixing, secrets, sentencepiece_bpe, toxicity
+from chronovox.llm import binary_output, bitsliced, html_text, images, jaccard, langid, mixing, secrets, sentencepiece_bpe, toxicity
 
 QUERIES: dict = {
     "op1_topk": bitsliced.op1_topk,
@@ -10,6 +10,7 @@ QUERIES: dict = {
     "op3_langid": langid.op3_langid,
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_binary_output": binary_output.op5_binary_output,
+    "op6_image_copies": images.op6_image_copies,
     "op7_sentencepiece": sentencepiece_bpe.op7_sentencepiece,
     "op8_mix": mixing.op8_mix,
     "op9_toxicity": toxicity.op9_toxicity,
