@@ -142,35 +142,35 @@ def resolve_overlaps(df: DataFrame) -> DataFrame:
     return rows.select(*KEYS, F.inline("a"))
 
 
-def absorb_islands(df: DataFrame, least: float = 1.0, rounds: int = 8) -> DataFrame:
+def absorb_islands(df: DataFrame, least: float = 1.0) -> DataFrame:
     """A short segment between two of one speaker takes that speaker, left to right, OVERLAP excepted;
-    then neighbours within a second join; both again until nothing changes.  All recordings advance
-    together; a round is a fold over each recording."""
-    kind = "array<struct<start_s:double,seq:bigint,end_s:double,speaker:string>>"
-    rows = df.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("start_s", F.col("seq").cast("bigint").alias("seq"), "end_s", "speaker"))).cast(kind).alias("a"))
-
-    def relabel(a: Column) -> Column:
-        def step(done, i):
-            x, before, after = F.element_at(a, i), F.element_at(done, -1), F.try_element_at(a, i + 1)
-            taken = (i > 1) & (i < F.size(a)) & ~is_overlap(x["speaker"]) & (x["end_s"] - x["start_s"] < least) & before["speaker"].eqNullSafe(after["speaker"]) & ~x["speaker"].eqNullSafe(before["speaker"])
-            name = F.when(F.coalesce(taken, F.lit(False)), before["speaker"]).otherwise(x["speaker"])
-            return F.concat(done, F.array(F.struct(x["start_s"].alias("start_s"), x["seq"].alias("seq"), x["end_s"].alias("end_s"), name.alias("speaker"))))
-
-        return F.aggregate(F.sequence(F.lit(1), F.size(a)), F.slice(a, 1, 0), lambda d, i: F.when(i == 1, F.slice(a, 1, 1)).otherwise(step(d, i)))
-
-    def collapse(a: Column) -> Column:
-        def step(done, x):
-            last = F.element_at(done, -1)
-            joins = last["speaker"].eqNullSafe(x["speaker"]) & (x["start_s"] - last["end_s"] <= 1.0)
-            one = F.struct(last["start_s"].alias("start_s"), last["seq"].alias("seq"), F.greatest(last["end_s"], x["end_s"]).alias("end_s"), last["speaker"].alias("speaker"))
-            return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(one))).otherwise(F.concat(done, F.array(x)))
-
-        return F.aggregate(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, 1, 1), step)
-
-    for _ in range(rounds):
-        rows = rows.withColumn("_b", relabel(F.col("a"))).withColumn("a", F.when(F.col("_b") == F.col("a"), F.col("a")).otherwise(collapse(F.col("_b")))).drop("_b")
-        # the fixpoint is per recording: where nothing changed, a round returns what it was given
-    return rows.select(*KEYS, F.inline("a"))
+    then neighbours within a second join; both again until nothing changes.  The number of rounds is the
+    data's own, which no expression can say: one recording at a time in pandas."""
+
+    def settle(frame):
+        rows = [list(r) for r in frame.sort_values(["start_s", "seq"])[["seq", "start_s", "end_s", "speaker"]].itertuples(index=False)]
+        changed = True
+        while changed:
+            changed = False
+            for i in range(1, len(rows) - 1):
+                name, side = rows[i][3], rows[i - 1][3]
+                if name != "OVERLAP" and rows[i][2] - rows[i][1] < least and side == rows[i + 1][3] and name != side:
+                    rows[i][3], changed = side, True
+            if changed:
+                kept = rows[:1]
+                for r in rows[1:]:
+                    if r[3] == kept[-1][3] and r[1] - kept[-1][2] <= 1.0:
+                        kept[-1][2] = max(kept[-1][2], r[2])
+                    else:
+                        kept.append(r)
+                rows = kept
+        out = frame.iloc[: len(rows)][["recording_id"]].copy()
+        for k, c in enumerate(("seq", "start_s", "end_s", "speaker")):
+            out[c] = [r[k] for r in rows]
+        return out
+
+    rows = df.select("recording_id", F.col("seq").cast("long").alias("seq"), F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"), "speaker")
+    return rows.groupBy(*KEYS).applyInPandas(settle, rows.schema)
 
 
 # -- dominance of speakers --------------------------------------------------------------------------
