@@ -34,6 +34,9 @@ SLICE = 4 << 20
 FLUSH_SHINGLES, FLUSH_DOCS = 3_000_000, 60_000
 _TOKEN_BITS = np.uint64(40)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a set's mark: bit i tells whether an odd number of its shingles fall to i.  Two sets differ
+#: in as many shingles at least as their marks differ in bits.
+_MARKS = 256
 #: Ratio of neighbouring size groups.
 _SIZE_STEP = 1.08
 
@@ -119,9 +122,10 @@ def _unpack(data: bytes, with_freq: bool = False):
 
 
 def shared_shingles(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """class, n, k, prefix, tokens of every class that has enough shared shingles for a link.
+    """class, n, m, k, prefix, tokens, marks of every class that has enough shared shingles for a link.
 
-    tokens holds all shingles of the set that occur in other sets, prefix those of them in the prefix.
+    tokens holds all shingles of the set that occur in other sets, prefix those of them in the prefix,
+    marks the bitmap of the whole set.
     """
     spark = docs.sparkSession
     buckets = 2 * partitions(spark)
@@ -135,6 +139,8 @@ def shared_shingles(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         def flush():
             place = np.repeat(np.arange(len(sets), dtype=np.uint64), [len(s) for s in sets])
             h = np.concatenate(sets)
+            odd = np.bincount((place * np.uint64(_MARKS) + h % np.uint64(_MARKS)).astype(np.int64), minlength=len(sets) * _MARKS) & 1
+            marks = np.packbits(odd.reshape(len(sets), _MARKS).astype(np.uint8), axis=1)
             bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             token = _mix(h * _ODD) & np.uint64((1 << 40) - 1)
             key = (bucket << _TOKEN_BITS) | token
@@ -142,7 +148,7 @@ def shared_shingles(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             bucket, token, place = bucket[order], token[order], place[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=bucket[0] + np.uint64(1), append=bucket[-1] + np.uint64(1)))
             name = int.from_bytes(hashlib.blake2b(f"{part}:{number}:{keys[0]}".encode(), digest_size=8).digest(), "little") >> 1
-            head = np.array(keys, "<i8").tobytes() + np.array([len(s) for s in sets], "<u4").tobytes()
+            head = np.array(keys, "<i8").tobytes() + np.array([len(s) for s in sets], "<u4").tobytes() + marks.tobytes()
             rows = [(int(name % buckets), name, 0, head)]
             rows += [(int(bucket[a]), name, 1, _pack(token[a:b], place[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             return pa.RecordBatch.from_pydict(
@@ -191,9 +197,10 @@ def shared_shingles(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     def choose(frame):
         """For one flush: its sets' shared shingles, prefixes and k."""
         head = frame[frame.kind == 0]["data"].iloc[0]
-        n_docs = len(head) // 12
+        n_docs = len(head) // (12 + _MARKS // 8)
         keys = np.frombuffer(head, "<i8", n_docs)
         sizes = np.frombuffer(head, "<u4", n_docs, 8 * n_docs).astype(np.int64)
+        marks = np.frombuffer(head, "<i8", n_docs * _MARKS // 64, 12 * n_docs).reshape(n_docs, -1)
         token, place, freq = [], [], []
         for b, d in zip(frame["bucket"][frame.kind == 1], frame["data"][frame.kind == 1], strict=True):
             t, p, q = _unpack(d, True)
@@ -217,12 +224,12 @@ def shared_shingles(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
                 sums = np.cumsum(q)
                 best = min((c, k) for k in range(1, min(MAX_MATCHES, len(t) - spare) + 1) for c in [float(sums[spare + k - 1]) * (1 + COMPARE_COST / k)])
                 k = best[1]
-                out.append((int(keys[i]), n, len(t), k, t[: spare + k].astype(np.int64), np.sort(t).tobytes()))
-        return pd.DataFrame(out, columns=["class", "n", "m", "k", "prefix", "tokens"])
+                out.append((int(keys[i]), n, len(t), k, t[: spare + k].astype(np.int64), np.sort(t).tobytes(), marks[i]))
+        return pd.DataFrame(out, columns=["class", "n", "m", "k", "prefix", "tokens", "marks"])
 
     sent = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(send, "bucket int, flush long, kind int, data binary")
     counted = sent.groupBy("bucket").applyInPandas(count, "flush long, kind int, bucket int, data binary")
-    return counted.groupBy("flush").applyInPandas(choose, "class long, n int, m int, k int, prefix array<long>, tokens binary")
+    return counted.groupBy("flush").applyInPandas(choose, "class long, n int, m int, k int, prefix array<long>, tokens binary, marks array<long>")
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -253,15 +260,20 @@ def class_links(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     size = lambda n: F.floor(F.log(n) / float(np.log(_SIZE_STEP))).cast("int")
     # a partner of size x needs an overlap of percent / (100 + percent) * (n + x), of m at most
     most = F.floor(F.col("m") * (100.0 + share) / share + 1e-9) - F.col("n")
-    posted = nodes.select("class", "n", "m", "k", F.explode("prefix").alias("token"), most.cast("long").alias("most"))
+    marks = [F.col("marks")[i] for i in range(_MARKS // 64)]
+    posted = nodes.select("class", "n", "m", "k", *[x.alias(f"x{i}") for i, x in enumerate(marks)], F.explode("prefix").alias("token"), most.cast("long").alias("most"))
     probe = posted.withColumn("low", F.ceil(F.col("n") * share / 100.0 - 1e-9)).withColumn("high", F.least("n", "most")).where("low <= high")
     probe = probe.withColumn("size", F.explode(F.sequence(size(F.col("low")), size(F.col("high")))))
-    probe = probe.select("token", "size", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("k").alias("k_a"), F.col("most").alias("most_a"), "low")
-    index = posted.select("token", size(F.col("n")).alias("size"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("k").alias("k_b"), F.col("most").alias("most_b"), (F.col("m") / F.col("n")).alias("typical"))
+    probe = probe.select("token", "size", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("k").alias("k_a"), F.col("most").alias("most_a"), "low", *[F.col(f"x{i}").alias(f"xa{i}") for i in range(len(marks))])
+    index = posted.select("token", size(F.col("n")).alias("size"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("k").alias("k_b"), F.col("most").alias("most_b"), (F.col("m") / F.col("n")).alias("typical"), *[F.col(f"x{i}").alias(f"xb{i}") for i in range(len(marks))])
     fits = (F.col("n_b") >= F.col("low")) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
+    # sets of n_a and n_b that differ in d shingles share (n_a + n_b - d) / 2
+    differ_by = sum((F.bit_count(F.col(f"xa{i}").bitwiseXOR(F.col(f"xb{i}"))) for i in range(len(marks))), F.lit(0))
+    both = F.col("n_a") + F.col("n_b")
+    fits = fits & ((both - differ_by) * (100 + percent) >= 2 * percent * both)
     once = (F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a")))
     # each group's most typical member against all others
-    hub = index.groupBy("token", "size").agg(F.max_by(F.struct("b", "n_b", "most_b"), F.struct("typical", "b")).alias("h")).select("token", "size", "h.*")
+    hub = index.groupBy("token", "size").agg(F.max_by(F.struct("b", "n_b", "most_b", *[f"xb{i}" for i in range(len(marks))]), F.struct("typical", "b")).alias("h")).select("token", "size", "h.*")
     stars = probe.join(hub, ["token", "size"]).where(fits & (F.col("a") != F.col("b")))
     stars = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     found = saved(_links(stars, nodes, percent), "stars")
