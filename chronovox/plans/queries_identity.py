@@ -1,2 +1,293 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries over voice vectors: distances, clusters, names."""
+
+from __future__ import annotations
+
+
+from pyspark.sql import functions as F
+
+from chronovox.functions import vectors as V
+from chronovox.operators import clustering as C
+from chronovox.operators import identity as N
+
+from chronovox.plans.register import registry
+from chronovox.streaming import live as W
+
+QUERIES, ORACLES, query = registry()
+
+_DOT = "list_sum([{a}[i]::DOUBLE * {b}[i]::DOUBLE FOR i IN range(1, len({a}) + 1)])"
+
+
+def dot(a: str, b: str) -> str:
+    return _DOT.format(a=a, b=b)
+
+
+def cos(a: str, b: str) -> str:
+    return f"(1.0 - {dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)})))"
+
+
+#: Mean vector per label: averaged by position.
+_CENTROID = """
+x AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS p, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT label, p, avg(v) AS m FROM x GROUP BY ALL), c AS (SELECT label, list(m ORDER BY p) AS v FROM m GROUP BY 1)"""
+
+
+def _profiles(e):
+    """A profile for each label: its centroid, with pitch, speech and a pending flag."""
+    c = V.centroid(e, ["label"])
+    k = F.col("label")
+    return c.select(F.lit(0).alias("t"), k.alias("label"), F.concat(F.lit("P"), k.cast("string")).alias("name"), F.col("centroid").alias("embedding"), (100.0 + k * 10).alias("pitch_hz"), (F.lit(10.0) * (k + 1)).alias("total_speech_sec"), (k == 9).alias("pending"))
+
+
+_PROFILES = f"{_CENTROID}, prof AS (SELECT label, concat('P', label) AS name, v, 100.0e0 + label * 10 AS pitch, 10.0e0 * (label + 1) AS sec, label = 9 AS pending FROM c)"
+
+
+@query("embeddings", sql=f"SELECT vec_id, round({cos('embedding', 'list_reverse(embedding)')}, 6) AS d, round({dot('embedding', 'embedding')}, 6) AS n2 FROM embeddings")
+def b9_b10_distance_and_norm(e):
+    u = V.l2_normalize(F.col("embedding"))
+    return e.select("vec_id", F.round(V.cosine_distance(F.col("embedding"), F.reverse("embedding")), 6).alias("d"), F.round(V.dot(u, u) * V.dot(F.col("embedding"), F.col("embedding")), 6).alias("n2"))
+
+
+@query("profiles", sql="""
+WITH d AS (SELECT c_custkey, round_even(greatest(0.9 * ((c_custkey % 100) / 128.0e0) + 0.1 * CASE WHEN pitch_hz > 100 THEN least(abs(pitch_hz - 130) / 50, 1.0) ELSE 0 END - CASE WHEN c_custkey % 2 = 0 THEN 0.05 ELSE 0 END, 0), 4) AS d FROM profiles)
+SELECT c_custkey, round(d, 3) AS distance FROM d WHERE c_custkey % 100 % 8 = 0""")
+def b11_match_distance(p):
+    pitch = F.when(F.col("pitch_hz") > 100, F.col("pitch_hz")).otherwise(0.0)
+    d = V.match_distance((F.col("c_custkey") % 100) / 128.0, pitch, F.lit(130.0), F.col("c_custkey") % 2 == 0)
+    return p.select("c_custkey", F.round(d, 3).alias("distance")).where(F.col("c_custkey") % 100 % 8 == 0)
+
+
+@query("embeddings", sql=f"WITH {_CENTROID} SELECT label, p::INT - 1 AS pos, round(m, 6) AS mean FROM m")
+def d3_centroid(e):
+    return V.centroid(e, ["label"]).select("label", F.posexplode("centroid").alias("pos", "mean")).select("label", "pos", F.round("mean", 6).alias("mean"))
+
+
+@query("snippets", sql="""
+WITH w AS (SELECT *, least(duration_sec, 4 * median(duration_sec) OVER (PARTITION BY tenant_id, speaker_name)) AS w FROM snippets), x AS (SELECT tenant_id, speaker_name, w, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS v FROM w)
+SELECT tenant_id, speaker_name, pos::INT AS pos, round(sum(v * w) / sum(w), 6) AS mean FROM x GROUP BY ALL""")
+def d4_weighted_centroid(s):
+    c = V.weighted_centroid(s, ["tenant_id", "speaker_name"])
+    return c.select("tenant_id", "speaker_name", F.posexplode("centroid").alias("pos", "mean")).withColumn("mean", F.round("mean", 6))
+
+
+@query("windows", sql=f"""
+SELECT a.recording_id, round(avg({cos('a.embedding', 'b.embedding')}), 6) AS mean_distance, round(max({cos('a.embedding', 'b.embedding')}), 6) AS max_distance FROM windows a JOIN windows b ON a.recording_id = b.recording_id AND a.win_id < b.win_id GROUP BY 1""")
+def d5_pairwise_stats(w):
+    return V.pairwise_mean(w, ["recording_id"]).join(V.farthest_pair(w, ["recording_id"], "win_id"), "recording_id").select("recording_id", F.round("mean_distance", 6).alias("mean_distance"), F.round("max_distance", 6).alias("max_distance"))
+
+
+@query("windows", sql="""
+WITH c AS (SELECT recording_id, cluster, count(*) AS size FROM windows WHERE recording_id % 2 = 0 OR cluster < 2 OR win_id % 97 = 0 GROUP BY ALL), s AS (SELECT *, size / sum(size) OVER (PARTITION BY recording_id) AS share, count(*) OVER (PARTITION BY recording_id) AS clusters FROM c), t AS (SELECT *, max(share) OVER (PARTITION BY recording_id) AS top FROM s)
+SELECT recording_id, cluster, size, clusters, round(share, 6) AS share, CASE WHEN clusters >= 2 AND top > 0.75 THEN concat('cluster_collapse_', round(top * 100)::INT, '%') END AS naming_block FROM t""")
+def d9_cluster_balance(w):
+    rows = w.where((F.col("recording_id") % 2 == 0) | (F.col("cluster") < 2) | (F.col("win_id") % 97 == 0))
+    return C.cluster_balance(rows).select("recording_id", "cluster", "size", "clusters", F.round("share", 6).alias("share"), "naming_block")
+
+
+@query("embeddings", sql=f"""
+WITH {_PROFILES} SELECT vec_id, name, round({cos('e.embedding', 'prof.v')}, 6) AS distance FROM embeddings e, prof""")
+def c9_distance_matrix(e):
+    p = _profiles(e).select("t", "name", F.col("embedding").alias("ref_embedding"))
+    return C.distance_matrix(e.withColumn("t", F.lit(0)), p, ["t"]).select("vec_id", "name", F.round("distance", 6).alias("distance"))
+
+
+def _queries(e):
+    return e.select(F.lit(0).alias("t"), F.col("vec_id").alias("query_id"), "embedding", (F.lit(120.0) + F.col("vec_id") % 9).alias("pitch_hz"))
+
+
+_SCORED = f"""{_PROFILES}, sc AS (SELECT vec_id, name, sec, {cos('e.embedding', 'prof.v')} AS emb, abs(120.0e0 + vec_id % 9 - pitch) AS dp, pending FROM embeddings e, prof),
+d AS (SELECT *, round_even(greatest(0.9 * emb + 0.1 * least(dp / 50.0, 1.0), 0), 4) AS dist FROM sc)"""
+
+
+@query("embeddings", sql=f"""
+WITH {_SCORED} SELECT vec_id AS query_id, name, row_number() OVER (PARTITION BY vec_id ORDER BY dist, name)::INT AS rank FROM d WHERE NOT pending QUALIFY rank <= 3""")
+def c10_identify(e):
+    return N.identify(_queries(e), _profiles(e), ["t"], 3).select("query_id", "name", "rank")
+
+
+def _many(e):
+    """Each vector as a profile of one of 3 tenants."""
+    return e.select((F.col("vec_id") % 3).alias("tenant_id"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), "embedding")
+
+
+@query("embeddings", sql=f"""
+WITH p AS (SELECT vec_id % 3 AS tenant_id, concat('v', vec_id) AS name, embedding FROM embeddings), d AS (SELECT a.tenant_id, a.name AS a, b.name AS b, {cos('a.embedding', 'b.embedding')} AS x FROM p a JOIN p b ON a.tenant_id = b.tenant_id AND a.name < b.name)
+SELECT tenant_id, a, b, round(x, 6) AS distance FROM d WHERE x <= 0.45""")
+def c11_near_duplicates(e):
+    return N.near_duplicate_profiles(_many(e), ["tenant_id"], 0.45).withColumn("distance", F.round("distance", 6))
+
+
+@query("windows", "embeddings")
+def c15_speaker_refs(w, e):
+    turns = w.select("recording_id", "seq", "start_s", "end_s", F.concat(F.lit("P"), F.col("cluster").cast("string")).alias("speaker"))
+    refs = N.speaker_refs(turns, _profiles(e).where("label < 5"), w)
+    return refs.select("recording_id", "speaker", "stored", F.round(F.element_at("ref", 1), 6).alias("first"), F.size("ref").alias("width"))
+
+
+# -- clustering -------------------------------------------------------------------------------------
+
+
+def _small(w, n: int = 40):
+    """Every recording's windows, dealt to parts of about n."""
+    return w.withColumn("recording_id", F.col("recording_id") * 1_000_000 + F.floor(F.col("win_id") / (8 * n)))
+
+
+@query("windows")
+def g1_agglomerate(w):
+    return C.agglomerate(_small(w), 0.75)
+
+
+@query("windows")
+def g2_agglomerate_k(w):
+    return C.agglomerate_k(_small(w), 4, "complete")
+
+
+@query("windows")
+def g3_cap_clusters(w):
+    rows = _small(w)
+    return C.cap_clusters(rows, C.agglomerate(rows, 0.3), 15)
+
+
+@query("windows")
+def g4_greedy_merge(w):
+    rows = w.drop("cluster")
+    labels = w.select("recording_id", "win_id", F.col("cluster").cast("long").alias("cluster"))
+    return C.greedy_merge(rows, labels, 0.5)
+
+
+_WC = """x AS (SELECT recording_id, cluster, unnest(range(1, len(embedding) + 1)) AS p, unnest(embedding)::DOUBLE AS v FROM windows), m AS (SELECT recording_id, cluster, p, avg(v) AS m FROM x GROUP BY ALL), c AS (SELECT recording_id, cluster, list(m ORDER BY p) AS v FROM m GROUP BY ALL)"""
+
+
+@query("windows", sql=f"""
+WITH {_WC}, d AS (SELECT w.recording_id, w.win_id, c.cluster, {cos('w.embedding', 'c.v')} AS d FROM windows w JOIN c USING (recording_id)), r AS (SELECT *, row_number() OVER (PARTITION BY recording_id, win_id ORDER BY d, cluster) AS r FROM d),
+t AS (SELECT recording_id, win_id, max(cluster) FILTER (r = 1) AS first, max(cluster) FILTER (r = 2) AS second, max(d) FILTER (r = 1) AS d1, max(d) FILTER (r = 2) AS d2 FROM r GROUP BY ALL)
+SELECT recording_id, win_id, first, second, d2 - d1 < 0.08 * d1 + 0.015 OR d1 > 0.4 AS is_overlap, round((d2 - d1) / d1, 6) AS clarity FROM t WHERE second IS NOT NULL""")
+def g5_detect_overlaps(w):
+    c = V.centroid(w, ["recording_id", "cluster"])
+    return C.detect_overlaps(w, c).withColumn("clarity", F.round("clarity", 6))
+
+
+@query("windows", "embeddings", sql=f"""
+WITH {_WC}, g AS (SELECT label, p2, avg(v2) AS m2 FROM (SELECT label, unnest(range(1, len(embedding) + 1)) AS p2, unnest(embedding)::DOUBLE AS v2 FROM embeddings) y GROUP BY ALL), prof AS (SELECT concat('P', label) AS name, list(m2 ORDER BY p2) AS pv FROM g GROUP BY label),
+d AS (SELECT recording_id, cluster, name, {cos('c.v', 'prof.pv')} AS d FROM c, prof), b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY recording_id, cluster ORDER BY d, name) = 1)
+SELECT recording_id, cluster, name, round(d, 6) AS distance, CASE WHEN d < 0.03 THEN 'match' WHEN d < 0.1 THEN 'close' ELSE 'none' END AS grade FROM b""")
+def g6_match_simple(w, e):
+    c = V.centroid(w, ["recording_id", "cluster"]).withColumn("t", F.lit(0))
+    got = N.match_simple(c.withColumn("k", F.struct("recording_id", "cluster")), _profiles(e), ["t"], "k")
+    return got.select("k.recording_id", "k.cluster", "name", F.round("distance", 6).alias("distance"), "grade")
+
+
+@query("embeddings", sql=f"""
+WITH {_SCORED}, w AS (SELECT *, row_number() OVER o AS r, lead(dist) OVER o AS d2, lead(sec) OVER o AS t2 FROM d WINDOW o AS (PARTITION BY vec_id ORDER BY dist, name))
+SELECT vec_id AS query_id, name, d2 IS NULL OR d2 - dist >= 0.02 OR (sec > 2 * t2 AND dist < 0.16) AS clear FROM w WHERE r = 1""")
+def g7_clear_winner(e):
+    return N.clear_winner(N.score_pairs(_queries(e), _profiles(e), ["t"]), ["query_id"]).select("query_id", "name", "clear")
+
+
+@query("windows", "embeddings")
+def g8_g9_match_clusters(w, e):
+    c = V.centroid(w, ["recording_id", "cluster"]).select(F.lit(0).alias("t"), (F.col("recording_id") * 100 + F.col("cluster")).alias("cluster"), F.col("centroid").alias("embedding"), F.lit(120.0).alias("pitch_hz"))
+    got = N.match_clusters(c, _profiles(e), ["t"])
+    return got.select("cluster", "speaker", F.round("distance", 3).alias("distance"), F.size(F.coalesce("alternatives", F.array())).alias("alternatives"))
+
+
+@query("embeddings")
+def g10_merge_by_profile(e):
+    c = e.groupBy((F.col("vec_id") % 20).alias("cluster")).agg(F.min_by("embedding", "vec_id").alias("embedding")).withColumn("t", F.lit(0))
+    m = C.distance_matrix(c, _profiles(e).select("t", "name", F.col("embedding").alias("ref_embedding")), ["t"])
+    return N.merge_by_profile(m.select("t", "cluster", "name", "distance"), ["t"], 3, 0.35)
+
+
+@query("embeddings")
+def g11_merge_similar(e):
+    p = _profiles(e)
+    more = p.unionByName(p.withColumns({"name": F.concat("name", F.lit("b")), "total_speech_sec": F.col("total_speech_sec") / 2}))
+    return N.merge_similar(more.select("t", F.col("name").alias("speaker"), F.col("total_speech_sec").alias("duration_sec"), "embedding"), ["t"], 0.5)
+
+
+@query("windows", "embeddings")
+def g12_claim_names(w, e):
+    spk = V.centroid(w, ["recording_id", "cluster"]).select("recording_id", F.concat(F.lit("S"), F.col("cluster").cast("string")).alias("speaker"), F.col("centroid").alias("embedding"), F.lit(0.0).alias("pitch_hz"))
+    q = spk.withColumn("t", F.lit(0))
+    scored = N.score_pairs(q, _profiles(e), ["t"])
+    win = N.clear_winner(scored, ["recording_id", "speaker"]).select("recording_id", "speaker", "name", "distance", "emb_dist", "confidence", F.lit(True).alias("clear"))
+    a, b = spk.select("recording_id", F.col("speaker").alias("a"), F.col("embedding").alias("va")), spk.select("recording_id", F.col("speaker").alias("b"), F.col("embedding").alias("vb"))
+    close = a.join(b, "recording_id").where("a < b").where(V.cosine_distance(F.col("va"), F.col("vb")) < 0.25)
+    return N.claim_names(win, ["recording_id"], close).select("recording_id", "speaker", "name")
+
+
+@query("windows")
+def g13_merge_unknowns(w):
+    spk = V.centroid(w, ["recording_id", "cluster"]).select("recording_id", F.concat(F.lit("S"), F.col("cluster").cast("string")).alias("speaker"), (F.col("n") * 1.0).alias("duration_sec"), F.col("centroid").alias("embedding"))
+    return N.merge_unknowns(spk, ["recording_id"], 0.6)
+
+
+@query("windows")
+def g14_split_by_cohesion(w):
+    spans = _small(w, 80).select("recording_id", "cluster", F.col("win_id").alias("span_id"), "embedding")
+    return C.split_by_cohesion(spans).select("recording_id", "cluster", "voice", "spans", F.round("mean_distance", 6).alias("mean_distance"), "status")
+
+
+@query("embeddings", sql=f"""
+WITH {_PROFILES}, pn AS (SELECT *, label % 2 AS src, concat('L', label) AS lab FROM prof), k AS (SELECT vec_id, name, {cos('e.embedding', 'pn.v')} AS d, src = vec_id % 2 AND lab <> concat('L', e.label) AS clash FROM embeddings e, pn)
+SELECT vec_id AS voice_id, arg_min(name, struct_pack(d := d, n := name)) FILTER (d <= 0.6 AND NOT clash) AS extends FROM k GROUP BY 1""")
+def g15_find_pending(e):
+    p = _profiles(e).select("t", "name", "embedding", F.lit(True).alias("pending"), (F.col("label") % 2).alias("source"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("label"))
+    c = e.select(F.lit(0).alias("t"), F.col("vec_id").alias("voice_id"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("label"), (F.col("vec_id") % 2).alias("source"), "embedding")
+    return N.find_pending(c, p, ["t"], 0.6).select("voice_id", "extends")
+
+
+@query("embeddings")
+def g16_pending_candidates(e):
+    p = _profiles(e)
+    pend = p.where("pending").unionByName(p.where("label = 3").withColumns({"pending": F.lit(True), "name": F.lit("pending_x")}))
+    return N.pending_candidates(pend, p.where("NOT pending"), ["t"]).select("pending_name", "rank", "name", F.round("distance", 3).alias("distance"), F.round("margin", 3).alias("margin"), "likely")
+
+
+@query("windows", sql="""
+WITH s AS (SELECT *, end_s - start_s + win_id % 3 AS d FROM windows), x AS (SELECT concat('P', cluster) AS name, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS v FROM s WHERE d >= 3.5)
+SELECT name, pos::INT AS pos, round(avg(v), 6) AS mean FROM x GROUP BY ALL""")
+def g17_register(w):
+    rows = w.withColumn("name", F.concat(F.lit("P"), F.col("cluster").cast("string"))).where(F.col("end_s") - F.col("start_s") + F.col("win_id") % 3 >= 3.5)
+    c = V.centroid(rows, ["name"])
+    return c.select("name", F.posexplode("centroid").alias("pos", "mean")).withColumn("mean", F.round("mean", 6))
+
+
+@query("windows", "embeddings")
+def g18_diarize(w, e):
+    """The whole path: clusters, overlaps, numbering, segments, islands, names, minority, timeline."""
+    from chronovox.plans.diarize import diarize
+
+    rows = _small(w).drop("cluster", "speaker")
+    return diarize(rows, _profiles(e), 0.75).select("recording_id", "seq", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), "speaker")
+
+
+@query("embeddings")
+def w4_attribute_live(e):
+    k = F.col("vec_id")
+    t = e.select(F.lit(0).alias("t"), k.alias("turn_id"), (k % 4).cast("int").alias("channel"), ((k % 40) * 1.0).alias("duration_sec"), "embedding", F.lit(0.0).alias("pitch_hz"))
+    return W.attribute_live(t, _profiles(e), ["t"]).select("turn_id", "channel", "speaker", "reason")
+
+
+@query("windows", sql="""
+WITH t AS (SELECT recording_id, cluster, sum(end_s - start_s) AS d, count(*) AS n FROM windows GROUP BY ALL)
+SELECT recording_id, concat('Speaker ', cluster) AS speaker, round(d, 6) AS speech_sec, n AS segments FROM t WHERE cluster < 8""")
+def d10_speaker_summary(w):
+    """A speaker is in the summary if it has a profile and owns a segment."""
+    own = w.withColumn("speaker", F.concat(F.lit("Speaker "), F.col("cluster").cast("string")))
+    prof = own.select("speaker", "cluster").distinct().where("cluster < 8").select("speaker")
+    return own.join(prof, "speaker", "left_semi").groupBy("recording_id", "speaker").agg(F.round(F.sum(F.col("end_s") - F.col("start_s")), 6).alias("speech_sec"), F.count("*").alias("segments"))
+
+
+@query("profiles", sql="""
+SELECT tenant_id, c_mktsegment AS name, round(sum(pitch_hz * total_speech_sec) / sum(total_speech_sec), 6) AS pitch_hz, round(sum(total_speech_sec), 4) AS total_speech_sec FROM profiles GROUP BY ALL""")
+def d8_merge_profile_stats(p):
+    w = F.col("total_speech_sec")
+    return p.groupBy("tenant_id", F.col("c_mktsegment").alias("name")).agg(F.round(F.sum(F.col("pitch_hz") * w) / F.sum(w), 6).alias("pitch_hz"), F.round(F.sum(w), 4).alias("total_speech_sec"))
+
+
+@query("embeddings", sql="SELECT count(*) AS names FROM (SELECT DISTINCT label FROM embeddings WHERE vec_id % 2 = 0 INTERSECT SELECT label FROM embeddings WHERE vec_id % 3 = 0) x")
+def i3_common_profiles(e):
+    a, b = e.where("vec_id % 2 = 0").select("label").distinct(), e.where("vec_id % 3 = 0").select("label").distinct()
+    return a.join(b, "label").agg(F.count("*").alias("names"))
+
+
+

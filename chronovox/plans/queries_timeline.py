@@ -260,12 +260,12 @@ def e26_plan_chunks(f):
 
 
 @query("items", sql="""
-SELECT DISTINCT recording_id, seq // 9 AS chunk, CASE WHEN (recording_id + seq // 9) % 6 = 0 THEN (seq // 9) * 30.0e0 ELSE round_even(start_s + (seq // 9) * 30.0e0, 3) END AS start_s,
-  CASE WHEN (recording_id + seq // 9) % 6 = 0 THEN (seq // 9) * 30.0e0 ELSE round_even(end_s + (seq // 9) * 30.0e0, 3) END AS end_s, CASE WHEN (recording_id + seq // 9) % 6 > 0 THEN text END AS text,
+SELECT DISTINCT recording_id, seq // 9 AS chunk, CASE WHEN (recording_id + seq // 9) % 6 = 0 THEN (seq // 9) * 30.0e0 ELSE floor(start_s * 8) / 8 + (seq // 9) * 30.0e0 END AS start_s,
+  CASE WHEN (recording_id + seq // 9) % 6 = 0 THEN (seq // 9) * 30.0e0 ELSE floor(end_s * 8) / 8 + (seq // 9) * 30.0e0 END AS end_s, CASE WHEN (recording_id + seq // 9) % 6 > 0 THEN text END AS text,
   CASE WHEN (recording_id + seq // 9) % 6 = 0 THEN 'failed' END AS error FROM items""")
 def e27_stitch_items(i):
     c = F.floor(F.col("seq") / 9)
-    items = i.select("recording_id", c.alias("chunk"), "start_s", "end_s", "text")
+    items = i.select("recording_id", c.alias("chunk"), (F.floor(F.col("start_s") * 8) / 8).alias("start_s"), (F.floor(F.col("end_s") * 8) / 8).alias("end_s"), "text")
     chunks = items.select("recording_id", "chunk").distinct().withColumns({"offset_s": F.col("chunk") * 30.0, "error": F.when((F.col("recording_id") + F.col("chunk")) % 6 == 0, "failed")})
     return I.stitch_items(items, chunks)
 
