@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chronovox.functions.text import normalise_name, source_identity
 from chronovox.functions.vectors import cosine_distance, weighted_centroid
+from chronovox.operators.clustering import settled
 from chronovox.operators.identity import near_duplicate_profiles
 from chronovox.thresholds import DEFAULTS, Thresholds
 
@@ -284,7 +285,7 @@ def score_outliers(snippets: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
         d = d.join(mad, SPEAKER).withColumn("cut", F.greatest(F.col("_med") + th.outlier_k * 1.4826 * F.col("_mad"), F.lit(th.outlier_floor)))
         most = F.least(F.greatest(F.floor(F.col("_n") * th.outlier_share), F.lit(1)), F.greatest(F.col("_n") - th.outlier_keep, F.lit(0)))
         flag = (F.col("distance") > F.col("cut")) & (F.row_number().over(worst) <= most) & (F.col("_n") >= 3) & F.lit(th.outlier_rounds > 0)
-        rows = d.withColumn("outlier", flag).drop("_med", "_mad", "_n")
+        rows = settled(d.withColumn("outlier", flag).drop("_med", "_mad", "_n"))
     return rows
 
 
