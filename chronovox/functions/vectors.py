@@ -19,15 +19,22 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def _once(value: Column, then) -> Column:
+    """then(value) with value computed once: a function's argument is, a repeated expression isn't."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine; 1 where a side has (nearly) no length or no finite one."""
-    n = norm(a) * norm(b)
-    fine = (norm(a) > 1e-8) & (norm(b) > 1e-8) & (n < float("inf"))
-    return F.when(fine, 1.0 - dot(a, b) / n).otherwise(1.0)
+    both = F.struct(norm(a).alias("x"), norm(b).alias("y"))
+    fine = lambda n: (n["x"] > 1e-8) & (n["y"] > 1e-8) & (n["x"] * n["y"] < float("inf"))
+    return _once(both, lambda n: F.when(fine(n), 1.0 - dot(a, b) / (n["x"] * n["y"])).otherwise(1.0))
 
 
 def l2_normalize(a: Column) -> Column:
-    return F.when(norm(a) > 0, F.transform(a, lambda x: x.cast("double") / norm(a))).otherwise(F.transform(a, lambda x: x.cast("double")))
+    """The vector at length 1, as doubles; one of no length as it is, null for null."""
+    unit = _once(F.nullif(norm(a), F.lit(0.0)), lambda n: F.transform(a, lambda x: x.cast("double") / F.coalesce(n, F.lit(1.0))))
+    return F.when(a.isNotNull(), unit)
 
 
 def match_distance(emb: Column, pitch_a: Column, pitch_b: Column, named: Column, th: Thresholds = DEFAULTS) -> Column:

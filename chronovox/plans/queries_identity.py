@@ -110,9 +110,9 @@ def _many(e):
 
 @query("embeddings", sql=f"""
 WITH p AS (SELECT vec_id % 3 AS tenant_id, concat('v', vec_id) AS name, embedding FROM embeddings), d AS (SELECT a.tenant_id, a.name AS a, b.name AS b, {cos('a.embedding', 'b.embedding')} AS x FROM p a JOIN p b ON a.tenant_id = b.tenant_id AND a.name < b.name)
-SELECT tenant_id, a, b, round(x, 6) AS distance FROM d WHERE x <= 0.45""")
+SELECT tenant_id, a, b, round(x, 6) AS distance FROM d WHERE x <= 0.7""")
 def c11_near_duplicates(e):
-    return N.near_duplicate_profiles(_many(e), ["tenant_id"], 0.45).withColumn("distance", F.round("distance", 6))
+    return N.near_duplicate_profiles(_many(e), ["tenant_id"], 0.7).withColumn("distance", F.round("distance", 6))
 
 
 @query("windows", "embeddings")
