@@ -15,17 +15,20 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronovox.llm.common import partitions, saved, scratch
+from chronovox.llm.common import batched, partitions, ragged, saved, scratch
 from chronovox.llm.rans import Coder, frequency_table
 from chronovox.llm.words import WordTable, ascii_words, text_slices
 
 END_ID = 2
 #: A block is closed when it has so many ids; a longer document is a block of its own.
-BLOCK_IDS = 1 << 17
-SLICE = 4 << 20
+BLOCK_IDS = 1 << 18
+SLICE = 6 << 20
+#: Pieces of words that a worker remembers at most.
+PIECES = 500_000
 VOCABULARY = "word_bpe_49k.json"
 
 _BLOCK = "part int, block long, n_ids long, doc_ids binary, known binary, n_tokens binary, ids binary"
@@ -43,11 +46,11 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Marks that may end a plain word; a run of them is one piece of its own.
 _MARKS = ",.;:!?"
 
-_TABLES: dict[str, WordTable] = {}
+_TABLES: dict = {}
 
 
-def word_table(path: str) -> WordTable:
-    """The tokenizer's ids word by word, remembered by the worker.
+def word_encoder(path: str):
+    """A function from distinct words to their ids, made once by a worker.
 
     The vocabulary's steps (normalisation per character, a split that never spans white space, merges
     within a split) never cross ASCII white space, so a text's ids are those of its words in order.
@@ -75,43 +78,58 @@ def word_table(path: str) -> WordTable:
                 flat += ids
         return lengths, np.asarray(flat, np.int64)
 
-    pieces = WordTable(lambda items: run(merges, items))
+    pieces = WordTable(lambda items: run(merges, items), PIECES)
 
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each word, all ids) of distinct words."""
         if not plain:
-            return run(whole, words)
-        parts, per_word, odd = [], [], []
-        for i, w in enumerate(words):
-            stem = w.rstrip(_MARKS)
-            if stem.isalpha() and "\u0130" not in stem and "\u03a3" not in stem and (stem.isascii() or unicodedata.is_normalized("NFC", stem)):
-                parts.append(stem.lower())
-                if len(stem) < len(w):
-                    parts.append(w[len(stem) :])
-                    per_word.append(2)
-                else:
-                    per_word.append(1)
-            else:
-                per_word.append(0)
-                odd.append(i)
-        per_word = np.asarray(per_word, np.int64)
-        part_len, flat = pieces.expand(pa.array(parts, pa.large_string()))
-        upto = np.concatenate([[0], np.cumsum(part_len)])
-        ends = upto[np.cumsum(per_word)]
-        lengths = np.diff(np.concatenate([[0], ends]))
-        if odd:
-            odd_len, odd_flat = run(whole, [words[i] for i in odd])
-            flat = np.insert(flat, np.repeat(ends[odd], odd_len), odd_flat)
-            lengths[odd] = odd_len
-        return lengths, flat
-
-    _TABLES[path] = WordTable(encode)
-    return _TABLES[path]
+            return run(whole, words.to_pylist())
+        stems = pc.utf8_rtrim(words, characters=_MARKS)
+        marks = np.asarray(pc.binary_length(words)) - np.asarray(pc.binary_length(stems))
+        good = np.asarray(pc.ascii_is_alpha(stems)).copy()
+        wide_at = np.flatnonzero(~np.asarray(pc.string_is_ascii(stems)))
+        lowered = pc.ascii_lower(stems)
+        if len(wide_at):
+            wide = stems.take(pa.array(wide_at)).to_pylist()
+            ok = [x.isalpha() and "\u0130" not in x and "\u03a3" not in x and unicodedata.is_normalized("NFC", x) for x in wide]
+            good[wide_at] = ok
+            mask = np.zeros(len(words), bool)
+            mask[wide_at] = True
+            lowered = pc.replace_with_mask(lowered, pa.array(mask), pa.array([x.lower() for x in wide], lowered.type))
+        stem_len, stem_ids = pieces.expand(lowered.filter(pa.array(good)))
+        tail = np.flatnonzero(good & (marks > 0))
+        ends_of = [w[-m:] for w, m in zip(words.take(pa.array(tail)).to_pylist(), marks[tail].tolist(), strict=True)]
+        tail_len, tail_ids = pieces.expand(pa.array(ends_of, pa.large_string()))
+        odd = np.flatnonzero(~good)
+        odd_len, odd_ids = run(whole, words.take(pa.array(odd)).to_pylist())
+        lengths = np.zeros(len(words), np.int64)
+        first = np.zeros(len(words), np.int64)
+        first[good] = stem_len
+        first[odd] = odd_len
+        lengths += first
+        lengths[tail] += tail_len
+        starts = np.cumsum(lengths) - lengths
+        out = np.empty(int(lengths.sum()), np.int64)
+        out[ragged(starts[good], stem_len)] = stem_ids
+        out[ragged(starts[odd], odd_len)] = odd_ids
+        out[ragged(starts[tail] + first[tail], tail_len)] = tail_ids
+        return lengths, out
+
+    _TABLES[path] = encode
+    return encode
 
 
 def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of each text, end id included; all ids)."""
+    encode = word_encoder(path)
+    if not pc.any(pc.match_substring(texts, "<|")).as_py():
+        texts = pc.ascii_lower(texts)  # no special token in sight, whose case would count
     counts, words = ascii_words(texts)
-    per_word, flat = word_table(path).expand(words)
+    coded = words.dictionary_encode()
+    word_len, word_ids = encode(coded.dictionary)
+    codes = np.asarray(coded.indices)
+    per_word = word_len[codes]
+    flat = word_ids[ragged((np.cumsum(word_len) - word_len)[codes], per_word)]
     upto = np.concatenate([[0], np.cumsum(per_word)])
     ends = upto[np.cumsum(counts)] if len(counts) else np.zeros(0, np.int64)
     lengths = np.diff(np.concatenate([[0], ends]))
@@ -159,7 +177,7 @@ def tokenized_blocks(docs: DataFrame, path: str) -> DataFrame:
         if ids_of:
             yield flush()
 
-    return ordered.mapInArrow(run, _BLOCK)
+    return batched(ordered).mapInArrow(run, _BLOCK)
 
 
 def narrow(ids: np.ndarray) -> bytes:
@@ -211,7 +229,7 @@ def write_ids(docs: DataFrame, folder: str | None = None, path: str | None = Non
                     {"part": pa.array([r["part"]], pa.int32()), "block": pa.array([r["block"]], pa.int64()), "n_ids": pa.array([r["n_ids"]], pa.int64()), "doc_ids": [r["doc_ids"]], "known": [r["known"]], "n_tokens": [r["n_tokens"]], "payload": [coder.encode(wide(r["ids"]))]}
                 )
 
-    packed = blocks.mapInArrow(pack, _FILE)
+    packed = batched(blocks).mapInArrow(pack, _FILE)
     packed.write.parquet(f"{folder}/blocks")
     return folder
 
@@ -261,7 +279,7 @@ def read_ids(spark: SparkSession, folder: str, ids: bool = False) -> DataFrame:
     parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     bases = sizes.join(parts, "part").select("part", "block", (F.col("base") + F.col("before")).alias("base"))
-    docs = blocks.mapInArrow(unpack, schema)
+    docs = batched(blocks).mapInArrow(unpack, schema)
     out = docs.join(bases, ["part", "block"])
     return out.select("doc_id", (F.col("base") + F.col("at")).cast("long").alias("start"), "n_tokens", "ids_crc32", *(["ids"] if ids else []))
 

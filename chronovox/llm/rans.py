@@ -17,11 +17,11 @@ import zlib
 import numpy as np
 
 MAGIC, VERSION = b"CVR1", 1
-LANES = 256
+LANES = 1024
 #: Frequencies sum to 2 ** SCALE_BITS.
 SCALE_BITS = 20
 #: Steps between two checkpoints.
-CHECKPOINT = 512
+CHECKPOINT = 128
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sIIQQII")
 
