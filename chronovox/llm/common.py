@@ -12,7 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step handles at a time inside a task.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
+
+
+#: Rows of an Arrow batch: documents are long, and a batch is in memory whole.
+BATCH_ROWS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches cut down to BATCH_ROWS rows where they are longer."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_ROWS)) > BATCH_ROWS:
+        conf.set(_ROWS, str(BATCH_ROWS))
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronovox.llm.common import table
+from chronovox.llm.common import batched, table
 
 #: Share of the largest fused ratio that a content path reaches.
 THRESHOLD = 0.2
@@ -245,7 +245,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"page_id": batch.column(names.index("page_id")), "url": batch.column(names.index("url")), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return batched(rows).mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op10_html_text(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronovox.llm.common import partitions, saved, table
+from chronovox.llm.common import batched, partitions, saved, table
 from chronovox.llm.components import components
 from chronovox.llm.words import ascii_words, text_slices
 
@@ -88,7 +88,7 @@ def document_classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(first, len(sets)), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "class": pa.array([digest(s) if len(s) else None for s in sets], pa.int64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, class long")
+    return batched(rows).mapInArrow(run, "doc_id long, n_shingles long, class long")
 
 
 # -- coding of (shingle, document) lists ----------------------------------------------------------
@@ -227,7 +227,7 @@ def shared_shingles(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
                 out.append((int(keys[i]), n, len(t), k, t[: spare + k].astype(np.int64), np.sort(t).tobytes(), marks[i]))
         return pd.DataFrame(out, columns=["class", "n", "m", "k", "prefix", "tokens", "marks"])
 
-    sent = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(send, "bucket int, flush long, kind int, data binary")
+    sent = batched(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(send, "bucket int, flush long, kind int, data binary")
     counted = sent.groupBy("bucket").applyInPandas(count, "flush long, kind int, bucket int, data binary")
     return counted.groupBy("flush").applyInPandas(choose, "class long, n int, m int, k int, prefix array<long>, tokens binary, marks array<long>")
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronovox.llm.common import held_out, table, text_views, train_row
+from chronovox.llm.common import batched, held_out, table, text_views, train_row
 
 BUCKET_BITS = 15
 DIM = 16
@@ -40,26 +40,27 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     # a border before the first text and after each one keeps texts apart
     size = len(data) + n_docs + 1
     at = np.arange(len(data)) + 1 + np.repeat(np.arange(n_docs), np.diff(offsets))
-    chars = np.zeros(size, np.uint64)
+    chars = np.zeros(size, np.uint32)
     chars[at] = np.where(_LETTER[data], _FOLD[data], 0)
     border = chars == 0
     doc = np.zeros(size, np.int32)
     doc[at] = np.repeat(np.arange(n_docs, dtype=np.int32), np.diff(offsets))
-    inside = np.concatenate([[0], np.cumsum(border)])
+    inside = np.concatenate([[0], np.cumsum(border, dtype=np.int32)]).astype(np.int32)
     out, docs = [], []
     for n in NGRAMS:
         if size < n:
             continue
-        key = np.zeros(size - n + 1, np.uint64)
+        # below 2 ** 32 for up to four bytes
+        key = np.zeros(size - n + 1, np.uint32)
         for k in range(n):
-            key = key * np.uint64(257) + chars[k : size - n + 1 + k] + np.uint64(1)
+            key = (key << np.uint32(8)) + chars[k : size - n + 1 + k]
+        key += np.uint32(n * 0x9E3779B1 % (1 << 32))
         # no border strictly inside, and a letter at least
-        first, last = np.arange(size - n + 1), np.arange(size - n + 1) + n
-        ok = inside[last - 1] == inside[first + 1] if n > 2 else ~(border[: size - n + 1] & border[n - 1 :])
-        key = key[ok]
-        bucket = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)
+        count = size - n + 1
+        ok = inside[n - 1 : n - 1 + count] == inside[1 : 1 + count] if n > 2 else ~(border[:count] & border[1:])
+        mid = np.flatnonzero(ok)
+        bucket = (key[mid] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKET_BITS)
         out.append(bucket.astype(np.int32))
-        mid = first[ok]
         docs.append(np.where(border[mid], doc[np.minimum(mid + 1, size - 1)], doc[mid]))
     if not out:
         return np.zeros(0, np.int32), np.zeros(0, np.int32)
@@ -183,7 +184,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 reject = ~known | (score < model.reject) if model.langs else np.ones(n, bool)
                 yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(first, n), "held_out": held.slice(first, n), "lang_pred": lang, "score": pa.array(score), "rejected": pa.array(reject)})
 
-    return rows.mapInArrow(run, _SCHEMA)
+    return batched(rows).mapInArrow(run, _SCHEMA)
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -201,7 +202,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return batched(docs).mapInArrow(run, docs.schema)
 
 
 def _has_letter(data: np.ndarray, off: np.ndarray, texts: pa.Array) -> np.ndarray:

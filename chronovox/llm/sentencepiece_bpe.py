@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronovox.llm.common import ragged
+from chronovox.llm.common import batched, ragged
 from chronovox.llm.words import WordTable, text_slices
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Chunks of more symbols than this use the scalar agenda.
 MATRIX_SYMBOLS = 64
 _NONE = np.int32(2**31 - 1)
@@ -286,7 +286,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, check: bool = True,
     schema = _SCHEMA + (", ids array<int>, decoded string" if keep else "")
 
     def run(batches):
-        voc, _ = load(path)
+        voc, known = load(path)
         for batch in batches:
             doc_ids = batch.column(batch.schema.get_field_index("doc_id"))
             for first, col in text_slices(batch, SLICE):
@@ -307,9 +307,10 @@ def encode_decode(docs: DataFrame, path: str | None = None, check: bool = True,
                 if keep:
                     out |= {"ids": pa.array([a.astype(np.int32) for a in ids], pa.list_(pa.int32())), "decoded": decoded}
                 yield pa.RecordBatch.from_pydict(out)
+        known.clear()  # the worker may go on with another operator
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return batched(rows).mapInArrow(run, schema)
 
 
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:

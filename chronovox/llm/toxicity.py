@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronovox.llm.common import held_out, table, train_row
+from chronovox.llm.common import batched, held_out, table, train_row
 from chronovox.llm.words import WordTable, ascii_words, text_slices
 
 #: Labelled rows that lexicon and weights are fitted on, of each class at most, about (chosen by hash).
@@ -305,7 +305,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(first, len(s)), "held_out": held.slice(first, len(s)), "score": pa.array(s), "predicted": pa.array((s >= threshold).astype(np.int32))})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return batched(rows).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:

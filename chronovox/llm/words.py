@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from chronovox.llm.common import ragged
 
 #: Words that a task remembers at most; the memory is emptied when full, which changes no result.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 class WordTable:
