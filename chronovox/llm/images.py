@@ -11,19 +11,21 @@ entry's smallest and largest class, and then only pairs that are still in differ
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronovox.llm.common import saved, table
+from chronovox.llm.common import batched, saved, table
 from chronovox.llm.components import components
 
 #: Edge of the cells that give one corner each, pixels; number of scales, each half the one before.
-CELL, SCALES = 16, 2
+CELL, SCALES = 24, 2
 RADIUS, BITS, BANDS, ANGLES = 8, 128, 2, 24
 #: Votes for one placement that make a pair a copy, the width of its bins and the most unlike bits.
-MIN_VOTES, SHIFT_BIN, MAX_DISTANCE = 4, 8, 12
+MIN_VOTES, SHIFT_BIN, MAX_DISTANCE = 5, 8, 16
 _MIN_CORNER = 40.0
 
 
@@ -203,5 +205,34 @@ def vector_images(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "image_id long, width int, height int, pixels binary")
 
 
+# -- images from pages ------------------------------------------------------------------------------
+
+#: Edge of a word's tile, pixels, and tiles in a row.
+PAGE_TILE, TILES_WIDE = 6, 12
+
+
+def page_images(pages: DataFrame) -> DataFrame:
+    """An image of every page: its words in rows of tiles, each as dark as its word's hash says.
+    Pages whose id is divisible by COPY_EVERY give a second image, id -1 - page_id: the inner part of
+    the first, brighter and with less contrast."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = (page or "").split()
+                rows = max(4, -(-len(words) // TILES_WIDE))
+                tone = np.full(rows * TILES_WIDE, 128, np.uint8)
+                tone[: len(words)] = [zlib.crc32(w.encode("utf-8", "replace")) & 255 for w in words]
+                image = np.kron(tone.reshape(rows, TILES_WIDE), np.ones((PAGE_TILE, PAGE_TILE), np.uint8))
+                out.append((key, image))
+                if key is not None and key % COPY_EVERY == 0:
+                    part = image[PAGE_TILE : -PAGE_TILE if rows > 5 else None, PAGE_TILE // 2 : -PAGE_TILE // 2]
+                    out.append((-1 - key, (part * 0.8 + 30).astype(np.uint8)))
+            yield pa.RecordBatch.from_pydict({"image_id": pa.array([k for k, _ in out], pa.int64()), "width": pa.array([i.shape[1] for _, i in out], pa.int32()), "height": pa.array([i.shape[0] for _, i in out], pa.int32()), "pixels": [np.ascontiguousarray(i).tobytes() for _, i in out]})
+
+    return batched(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))).mapInArrow(run, "image_id long, width int, height int, pixels binary")
+
+
 def op6_image_copies(spark, sf_dir: str) -> DataFrame:
-    return copies(vector_images(table(spark, sf_dir, "embeddings"))).select("image_id", "component_id")
+    return copies(page_images(table(spark, sf_dir, "pages"))).select("image_id", "component_id")

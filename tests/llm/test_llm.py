@@ -258,6 +258,17 @@ def test_image_copies(spark):
     assert len(set(own)) >= 115
 
 
+def test_image_copies_of_all_pages(spark):
+    """The query covers every page, and finds the copy made of every tenth page that has text."""
+    assert (images.MIN_VOTES, images.MAX_DISTANCE) == (5, 16)
+    pages = table(spark, SF, "pages").cache()
+    got = {r.image_id: r.component_id for r in images.op6_image_copies(spark, SF).collect()}
+    ids = {r.page_id for r in pages.collect()}
+    assert {i for i in got if i >= 0} == ids and {-1 - i for i in got if i < 0} == {i for i in ids if i % 10 == 0}
+    made = [i for i in got if i < 0]
+    assert sum(got[i] == got[-1 - i] for i in made) >= 0.9 * len(made)
+
+
 def test_mixing(spark, odd, docs):
     plan = mixing.mix_plan(docs).cache()
     n = docs.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()
