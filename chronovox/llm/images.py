@@ -114,7 +114,11 @@ def corners(images: DataFrame) -> DataFrame:
 
 
 def _votes(matches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of matches that agree on scale, turn and shift often enough."""
+    """Pairs (a, b), a < b, of matches that agree on scale, turn and shift often enough.
+
+    A match may come either way round; all of a pair's are turned the same way before they vote."""
+    sides = {c: F.when(F.col("a") > F.col("b"), F.col(o)).otherwise(F.col(c)) for p, q in ("ab", "ba") for c, o in ((p + k, q + k) for k in ("", "x", "y", "s", "a", "0"))}
+    matches = matches.where("a != b").select(*[v.alias(c) for c, v in sides.items()])
     near = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) <= MAX_DISTANCE
     factor = F.pow(F.lit(2.0), F.col("bs") - F.col("as"))
     turn = F.pmod(F.col("ba") - F.col("aa"), F.lit(ANGLES))

@@ -269,6 +269,24 @@ def test_image_copies_of_all_pages(spark):
     assert sum(got[i] == got[-1 - i] for i in made) >= 0.9 * len(made)
 
 
+def test_image_votes_in_hot_entries(spark):
+    """A pair's six matches are three each way round, as in entries shared with a smaller or larger class."""
+    # class 1 is in the first three entries and class 9 in the others, both with corners that agree with nothing
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(6):
+        d0, d1 = (int(x) for x in rng.integers(-(2**62), 2**62, 2))
+        x, y = 20 + 30 * i, 15 + 17 * i
+        rows += [(5, x, y, 0, 3, d0, d1), (7, x + 11, y + 4, 0, 3, d0, d1), (1 if i < 3 else 9, *(int(v) for v in rng.integers(0, 10**6, 2)), 0, int(rng.integers(24)), d0, d1)]
+    points = spark.createDataFrame(rows, "class long, x int, y int, scale byte, angle byte, d0 long, d1 long")
+    assert {tuple(sorted(r)) for r in images.class_links(points).collect()} == {(5, 7)}
+    way = lambda p, q: (p[0], q[0], *p[1:5], p[5], *q[1:5], q[5])
+    mine, theirs = [r for r in rows if r[0] == 5], [r for r in rows if r[0] == 7]
+    matches = [way(p, q) if i < 3 else way(q, p) for i, (p, q) in enumerate(zip(mine, theirs, strict=True))]
+    cols = ", ".join(["a long, b long", *[f"{p}x int, {p}y int, {p}s byte, {p}a byte, {p}0 long" for p in "ab"]])
+    assert [tuple(r) for r in images._votes(spark.createDataFrame(matches, cols)).collect()] == [(5, 7)]
+
+
 def test_mixing(spark, odd, docs):
     plan = mixing.mix_plan(docs).cache()
     n = docs.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()
