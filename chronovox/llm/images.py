@@ -1,8 +1,9 @@
 """Copies of images by local descriptors.
 
 Corners are found at several scales, one at most for each cell of an image, turned by the direction of
-their patch's centre of gravity and described by 128 comparisons of smoothed pixels.  Bands of the
-descriptor are keys of Hamming tables; matches of two images vote for scale, turn and shift, and a pair
+their patch's centre of gravity and described by 128 comparisons of smoothed pixels.  Every two of the
+descriptor's BANDS bands are the key of a Hamming table: descriptors meet for certain when they differ
+in up to BANDS - 2 bits, and with more, up to MAX_DISTANCE, as long as two bands are equal.  Matches of two images vote for scale, turn and shift, and a pair
 with enough votes for one of them is a copy, cropped or edited as it may be.
 
 Images with equal pixels are one class.  In each table entry the classes are first held against the
@@ -23,7 +24,7 @@ from chronovox.llm.components import components
 
 #: Edge of the cells that give one corner each, pixels; number of scales, each half the one before.
 CELL, SCALES = 24, 2
-RADIUS, BITS, BANDS, ANGLES = 8, 128, 2, 24
+RADIUS, BITS, BANDS, ANGLES = 8, 128, 8, 24
 #: Votes for one placement that make a pair a copy, the width of its bins and the most unlike bits.
 MIN_VOTES, SHIFT_BIN, MAX_DISTANCE = 5, 8, 16
 _MIN_CORNER = 40.0
@@ -117,15 +118,17 @@ def _votes(matches: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of matches that agree on scale, turn and shift often enough.
 
     A match may come either way round; all of a pair's are turned the same way before they vote."""
-    sides = {c: F.when(F.col("a") > F.col("b"), F.col(o)).otherwise(F.col(c)) for p, q in ("ab", "ba") for c, o in ((p + k, q + k) for k in ("", "x", "y", "s", "a", "0"))}
+    sides = {c: F.when(F.col("a") > F.col("b"), F.col(o)).otherwise(F.col(c)) for p, q in ("ab", "ba") for c, o in ((p + k, q + k) for k in ("", "x", "y", "s", "a", "0", "1"))}
     matches = matches.where("a != b").select(*[v.alias(c) for c, v in sides.items()])
-    near = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) <= MAX_DISTANCE
+    near = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) <= MAX_DISTANCE
     factor = F.pow(F.lit(2.0), F.col("bs") - F.col("as"))
     turn = F.pmod(F.col("ba") - F.col("aa"), F.lit(ANGLES))
-    rad = turn * (2 * np.pi / ANGLES)
+    # a turn near a bin's edge votes in the next bins, too, with the shift that their turn gives
+    matches = matches.where(near).distinct().withColumn("turn", F.explode(F.array(*[F.pmod(turn + k, F.lit(ANGLES)) for k in (-1, 0, 1)])))
+    rad = F.col("turn") * (2 * np.pi / ANGLES)
     sx = F.col("bx") - factor * (F.cos(rad) * F.col("ax") - F.sin(rad) * F.col("ay"))
     sy = F.col("by") - factor * (F.sin(rad) * F.col("ax") + F.cos(rad) * F.col("ay"))
-    votes = matches.where(near).select("a", "b", "ax", "ay", (F.col("bs") - F.col("as")).alias("ds"), turn.alias("turn"), F.floor(sx / SHIFT_BIN).alias("u"), F.floor(sy / SHIFT_BIN).alias("v")).distinct()
+    votes = matches.select("a", "b", "ax", "ay", (F.col("bs") - F.col("as")).alias("ds"), "turn", F.floor(sx / SHIFT_BIN).alias("u"), F.floor(sy / SHIFT_BIN).alias("v")).distinct()
     # a shift near a bin's edge counts in the next bins, too
     votes = votes.withColumn("du", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("dv", F.explode(F.array(F.lit(0), F.lit(1))))
     votes = votes.groupBy("a", "b", "ds", "turn", (F.col("u") + F.col("du")).alias("u"), (F.col("v") + F.col("dv")).alias("v")).agg(F.count("*").alias("n"))
@@ -134,10 +137,13 @@ def _votes(matches: DataFrame) -> DataFrame:
 
 def class_links(points: DataFrame) -> DataFrame:
     """Links (a, b) between classes that make the same components as all links do."""
-    # a table's key is one half of the descriptor, the other half goes along
-    bands = F.array(*[F.struct(F.lit(i).cast("byte").alias("band"), F.col(f"d{i}").alias("key"), F.col(f"d{1 - i}").alias("rest")) for i in range(BANDS)])
-    rows = points.withColumn("t", F.explode(bands)).select("t.*", "class", "x", "y", "scale", "angle")
-    side = lambda df, p, *more: df.select("band", "key", *more, *[F.col(c).alias(n) for c, n in (("class", p), ("x", f"{p}x"), ("y", f"{p}y"), ("scale", f"{p}s"), ("angle", f"{p}a"), ("rest", f"{p}0"))])
+    # a table's key is two bands of the descriptor
+    wide, half = BITS // BANDS, BANDS // 2
+    band = [F.shiftrightunsigned(F.col(f"d{i // half}"), wide * (i % half)).bitwiseAND(F.lit((1 << wide) - 1)) for i in range(BANDS)]
+    keys = [F.shiftleft(band[i], wide).bitwiseOR(band[j]) for i in range(BANDS) for j in range(i + 1, BANDS)]
+    bands = F.array(*[F.struct(F.lit(i).cast("byte").alias("band"), k.alias("key")) for i, k in enumerate(keys)])
+    rows = points.withColumn("t", F.explode(bands)).select("t.*", "class", "x", "y", "scale", "angle", "d0", "d1")
+    side = lambda df, p, *more: df.select("band", "key", *more, *[F.col(c).alias(n) for c, n in (("class", p), ("x", f"{p}x"), ("y", f"{p}y"), ("scale", f"{p}s"), ("angle", f"{p}a"), ("d0", f"{p}0"), ("d1", f"{p}1"))])
     # most keys belong to one class only: they end here
     per = rows.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
     rows = saved(rows.join(per, ["band", "key"]), "shared-bands")

@@ -1,6 +1,7 @@
 """The ten operators and the pipeline against brute force, libraries, round trips and held-out rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -280,13 +281,64 @@ def test_image_votes_in_hot_entries(spark):
         rows += [(5, x, y, 0, 3, d0, d1), (7, x + 11, y + 4, 0, 3, d0, d1), (1 if i < 3 else 9, *(int(v) for v in rng.integers(0, 10**6, 2)), 0, int(rng.integers(24)), d0, d1)]
     points = spark.createDataFrame(rows, "class long, x int, y int, scale byte, angle byte, d0 long, d1 long")
     assert {tuple(sorted(r)) for r in images.class_links(points).collect()} == {(5, 7)}
-    way = lambda p, q: (p[0], q[0], *p[1:5], p[5], *q[1:5], q[5])
+    way = lambda p, q: (p[0], q[0], *p[1:7], *q[1:7])
     mine, theirs = [r for r in rows if r[0] == 5], [r for r in rows if r[0] == 7]
     matches = [way(p, q) if i < 3 else way(q, p) for i, (p, q) in enumerate(zip(mine, theirs, strict=True))]
-    cols = ", ".join(["a long, b long", *[f"{p}x int, {p}y int, {p}s byte, {p}a byte, {p}0 long" for p in "ab"]])
+    cols = ", ".join(["a long, b long", *[f"{p}x int, {p}y int, {p}s byte, {p}a byte, {p}0 long, {p}1 long" for p in "ab"]])
     assert [tuple(r) for r in images._votes(spark.createDataFrame(matches, cols)).collect()] == [(5, 7)]
 
 
+def brute_image_links(points):
+    """Links by all pairs of corners, whatever bits they differ in."""
+    pairs, by = set(), {}
+    for r in points:
+        by.setdefault(r[0], []).append(r[1:])
+    for a, b in itertools.combinations(sorted(by), 2):
+        p, q = np.array(by[a], np.int64), np.array(by[b], np.int64)
+        differ = np.bitwise_count((p[:, None, 4:] ^ q[None, :, 4:]).view(np.uint64)).sum(axis=2)
+        votes = {}
+        for i, j in np.argwhere(differ <= images.MAX_DISTANCE).tolist():
+            for k in (-1, 0, 1):
+                turn = int(q[j, 3] - p[i, 3] + k) % images.ANGLES
+                c, s = np.cos(turn * 2 * np.pi / images.ANGLES), np.sin(turn * 2 * np.pi / images.ANGLES)
+                f = 2.0 ** int(q[j, 2] - p[i, 2])
+                u = int((q[j, 0] - f * (c * p[i, 0] - s * p[i, 1])) // images.SHIFT_BIN)
+                v = int((q[j, 1] - f * (s * p[i, 0] + c * p[i, 1])) // images.SHIFT_BIN)
+                for du, dv in itertools.product((0, 1), (0, 1)):
+                    votes.setdefault((int(q[j, 2] - p[i, 2]), turn, u + du, v + dv), set()).add((int(p[i, 0]), int(p[i, 1]), u, v))
+        if any(len(x) >= images.MIN_VOTES for x in votes.values()):
+            pairs.add((a, b))
+    return pairs
+
+
+def test_image_copies_with_noise_turns_and_scale(spark):
+    """Altered copies against brute force over all pairs of corners."""
+    rng = np.random.default_rng(11)
+    rows, made = [], []
+    for i in range(12):
+        tone = rng.integers(0, 256, (24, 24)).astype(np.uint8)
+        big = np.kron(tone, np.ones((6, 6)))
+        yy, xx = np.mgrid[: big.shape[0], : big.shape[1]] - 71.5
+        c, s = np.cos(np.radians(8)), np.sin(np.radians(8))
+        at = np.rint(np.clip(np.stack([s * xx + c * yy, c * xx - s * yy]) + 71.5, 0, 143)).astype(int)
+        kinds = {"own": big, "noise": big + rng.normal(0, 6, big.shape), "turned": big[at[0], at[1]], "square": np.rot90(big), "half": big.reshape(72, 2, 72, 2).mean(axis=(1, 3))}
+        for k, (kind, image) in enumerate(kinds.items()):
+            px = np.clip(np.rint(image), 0, 255).astype(np.uint8)
+            rows.append((10 * i + k, px.shape[1], px.shape[0], bytearray(np.ascontiguousarray(px).tobytes())))
+            made += [(kind, 10 * i + k)] if k else []
+    pics = spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")
+    points = images.corners(pics).dropDuplicates(["class", "x", "y", "scale"]).cache()
+    got = {tuple(sorted(r)) for r in images.class_links(points).collect()}
+    want = brute_image_links([tuple(r) for r in points.collect()])
+    name = {r["class"]: r.image_id for r in images.image_classes(pics).collect()}
+    own = {kind: sum(any({name[a], name[b]} == {i, i - i % 10} for a, b in want) for k, i in made if k == kind) for kind in dict(made)}
+    out = {r.image_id: r.component_id for r in images.copies(pics).collect()}
+    found = {kind: sum(out[i] == i - i % 10 for k, i in made if k == kind) for kind in dict(made)}
+    print("links of brute force, of the tables:", len(want), len(got & want), "copies by brute force", own, "found", found)
+    assert got <= want and found["noise"] >= 11 and found["square"] >= 11
+    assert all(found[k] >= 0.9 * n for k, n in own.items())
+
+
 def test_mixing(spark, odd, docs):
     plan = mixing.mix_plan(docs).cache()
     n = docs.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()
