@@ -77,18 +77,19 @@ def digest(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 1
 
 
-def document_classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, class (null for an empty set) of every row."""
+def document_classes(docs: DataFrame, words: int = WORDS, *more: str) -> DataFrame:
+    """doc_id, n_shingles, class (null for an empty set) of every row, and more long columns as they are."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for first, texts in text_slices(batch, SLICE):
                 sets = list(shingle_sets(texts, words))
-                yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(first, len(sets)), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "class": pa.array([digest(s) if len(s) else None for s in sets], pa.int64())})
+                cols = {"doc_id": ids.slice(first, len(sets)), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "class": pa.array([digest(s) if len(s) else None for s in sets], pa.int64())}
+                yield pa.RecordBatch.from_pydict(cols | {c: batch.column(batch.schema.get_field_index(c)).slice(first, len(sets)) for c in more})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return batched(rows).mapInArrow(run, "doc_id long, n_shingles long, class long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return batched(rows).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "n_shingles", "class", *more)))
 
 
 # -- coding of (shingle, document) lists ----------------------------------------------------------
@@ -293,6 +294,12 @@ def class_links(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     return found.unionByName(_links(pairs, nodes, percent))
 
 
+def class_roots(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, root) for every class that is linked with another."""
+    nodes = saved(shared_shingles(docs, words, percent).dropDuplicates(["class"]), "nodes")
+    return components(class_links(nodes, percent))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs.
 
@@ -302,8 +309,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """
     docs = docs.select("doc_id", "text")
     classes = saved(document_classes(docs, words), "classes")
-    nodes = saved(shared_shingles(docs, words, percent).dropDuplicates(["class"]), "nodes")
-    roots = components(class_links(nodes, percent))
+    roots = class_roots(docs, words, percent)
     # the smallest doc_id of each class, then of each component
     first = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
     first = first.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -314,16 +320,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs, in its columns, with one document of each component: the one with the smallest doc_id.
+    """docs, in its columns, with one row of each component of texts: the one with the smallest doc_id,
+    one without doc_id where no row has any.  Rows without shingles all stay.
 
-    Rows without doc_id stay where nothing links them to a row that has one; of rows with the same
-    doc_id one stays.
+    Only texts decide what belongs together: rows that repeat a doc_id, or have none, stay as long as
+    their texts are not linked.
     """
-    groups = near_duplicates(docs, words, percent)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    # a row's own digest, by which it is found again; rows that share one are equal in all columns
+    digest_of = F.xxhash64(*[x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))])
+    marked = docs.withColumn("_row", digest_of)
+    classes = saved(document_classes(marked, words, "_row"), "classes")
+    roots = class_roots(docs.select("text"), words, percent)
+    rows = classes.where("class IS NOT NULL").groupBy("class", "doc_id", "_row").agg(F.count("*").alias("n"))
+    rows = rows.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class", "_row", "n")).alias("m"))
+    kept = first.select("m._row", (F.col("m.n") > 1).alias("_many"))
+    kept = saved(kept.unionByName(classes.where("class IS NULL").select("_row", F.lit(False).alias("_many")).distinct()), "kept")
+    out = marked.join(kept.where("NOT _many"), "_row", "left_semi")
+    if not kept.where("_many").isEmpty():
+        out = out.unionByName(marked.join(kept.where("_many"), "_row", "left_semi").dropDuplicates(["_row"]))
+    return out.select(docs.columns)
 
 
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:

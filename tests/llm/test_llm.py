@@ -184,6 +184,24 @@ def test_jaccard_odd_rows(odd):
     assert kept.columns == odd.columns and kept.where("doc_id = 4").count() == 1
 
 
+def test_representatives_go_by_text(spark):
+    """Null and repeated ids: one row of each group of texts, and every row without words."""
+    t = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    near = [x + " more" for x in t]
+    rows = [
+        (None, t[0]), (None, t[1]), (None, t[1]), (None, near[1]),  # two texts without id
+        (7, t[2]), (7, t[3]), (8, near[3]), (7, None), (7, ""), (None, ""), (None, " "),  # unlike texts under one id
+        (None, t[4]), (9, near[4]), (10, t[4]), (11, t[5]), (11, t[5]), (11, t[5]),
+    ]
+    for given, want in ((rows, {0: None, 1: None, 2: 7, 3: 7, 4: 9, 5: 11}), (rows[:4], {0: None, 1: None})):
+        df = spark.createDataFrame([(*r, "s", None) for r in given], "doc_id long, text string, source string, lang string")
+        out = jaccard.representatives(df, 5, 80)
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        assert out.columns == df.columns
+        assert sorted((t.index((x or "").removesuffix(" more")), k) for k, x in got if (x or "").strip()) == sorted(want.items())
+        assert sorted((str(k), str(x)) for k, x in got if not (x or "").strip()) == sorted((str(k), str(x)) for k, x in given if not (x or "").strip())
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(7, 7), (None, 3)]
