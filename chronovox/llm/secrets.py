@@ -3,7 +3,8 @@
 Labelled credentials (the values of the fixed patterns, by kind) form one prefix tree per kind over
 character classes.  States whose outgoing frequencies are statistically compatible (Hoeffding bounds,
 recursively) are merged, the red-blue way.  Every run of credential characters in every text is then
-scored by its likelihood per symbol under each automaton against a background of ordinary words.
+scored by its likelihood per symbol under each automaton against a background: class bigrams of all
+other runs of whole texts, without the labelled credentials and the run itself.
 """
 
 from __future__ import annotations
@@ -29,8 +30,13 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 MIN_HEX = 24
 _HINT = r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]"
 MIN_ASSIGN, MIN_ACCESS = 6, 20
-#: Shortest run of credential characters that the automata judge.
-MIN_CANDIDATE = 16
+#: Shortest runs of credential characters that the kinds' automata judge.
+SHORTEST = {"assign": MIN_ASSIGN, "access": MIN_ACCESS, "hex": MIN_HEX}
+MIN_CANDIDATE = min(SHORTEST.values())
+#: Longest credential that automata are learned from; runs of any length are judged.
+MAX_LEARNED = 4096
+#: Judged class sequences that a worker remembers; the memory is emptied when full.
+CACHE_RUNS = 200_000
 #: Labelled credentials per kind that an automaton is learned from (the smallest md5 values).
 SAMPLE_PER_KIND = 400
 #: Significance of the Hoeffding test of two states.
@@ -184,21 +190,16 @@ class Automaton:
 
 
 class Grammar:
-    """The automata, the background of ordinary words, and each kind's threshold."""
-
-    def __init__(self, credentials: dict[str, list[bytes]], words: list[bytes]):
-        # a bigram model over classes of ordinary words; runs of words stand for non-credentials
-        back = np.full((SYMBOLS + 1, SYMBOLS), 0.5)
-        for w in words:
-            prev = SYMBOLS
-            for s in _CLASS[np.frombuffer(w, np.uint8)].tolist():
-                if s >= 0:
-                    back[prev, s] += 1
-                prev = s if s >= 0 else SYMBOLS
-        self.back = np.log2(back / back.sum(axis=1, keepdims=True)) - _SPREAD
-        self.automata, self.least = [], []
+    """The automata, the background of other runs, and each kind's threshold."""
+
+    def __init__(self, credentials: dict[str, list[bytes]], bigrams: np.ndarray):
+        # bigrams: how often each class follows each other, or (last row) begins a run
+        self.bigrams = bigrams
+        self.back = self._background(bigrams)
+        self.automata, self.least, self.shortest = [], [], []
+        self.judged: dict[bytes, bool] = {}
         for kind in KINDS:
-            found = [w for w in credentials.get(kind, []) if len(w) >= MIN_CANDIDATE]
+            found = credentials.get(kind, [])
             if len(found) < 8:
                 continue
             # learn on two of three, set the threshold on the rest
@@ -206,52 +207,81 @@ class Grammar:
             self.automata.append(auto)
             kept = [self._one(auto, _CLASS[np.frombuffer(w, np.uint8)]) for i, w in enumerate(found) if not i % 3]
             self.least.append(max(0.25, float(np.quantile(kept, QUANTILE))))
+            self.shortest.append(SHORTEST[kind])
 
-    def _one(self, auto: Automaton, classes: np.ndarray) -> float:
-        prev = np.concatenate([[SYMBOLS], classes[:-1]])
-        return auto.score(classes) - float(self.back[prev, classes].mean())
+    @staticmethod
+    def _background(bigrams: np.ndarray) -> np.ndarray:
+        back = bigrams + 0.5
+        return np.log2(back / back.sum(axis=1, keepdims=True)) - _SPREAD
 
-    def accepts(self, value: np.ndarray) -> bool:
-        """Whether a run of credential characters is as likely as the labelled ones are."""
-        classes = _CLASS[value]
-        kinds = np.bincount(classes, minlength=SYMBOLS)
-        if not kinds[4] or not kinds[:4].sum():
-            return False  # digits and letters both, as in generated credentials
-        return any(self._one(a, classes) >= t for a, t in zip(self.automata, self.least, strict=True))
+    def _one(self, auto: Automaton, classes: np.ndarray, back: np.ndarray | None = None) -> float:
+        prev = np.concatenate([[SYMBOLS], classes[:-1]])
+        return auto.score(classes) - float((self.back if back is None else back)[prev, classes].mean())
+
+    def _without(self, classes: np.ndarray) -> np.ndarray:
+        """The background without a run that is in it, as the labelled credentials are not: a rare
+        class's bigrams would else be the run's own."""
+        own = np.zeros_like(self.bigrams)
+        np.add.at(own, (np.concatenate([[SYMBOLS], classes[:-1]]), classes), 1)
+        return self._background(np.maximum(self.bigrams - own, 0))
+
+    def accepts(self, run: bytes) -> bool:
+        """Whether a run's classes are as likely as those of the labelled credentials."""
+        known = self.judged.get(run)
+        if known is None:
+            classes = np.frombuffer(run, np.int8)
+            back = self._without(classes)
+            known = any(len(run) >= n and self._one(a, classes, back) >= t for a, t, n in zip(self.automata, self.least, self.shortest, strict=True))
+            if len(self.judged) >= CACHE_RUNS:
+                self.judged.clear()
+            self.judged[run] = known
+        return known
 
 
 def labelled_values(docs: DataFrame) -> DataFrame:
-    """kind, value of every credential that the fixed patterns find, and a bounded share of ordinary
-    words (kind 'word': the longest of a text's first 2,000 bytes, for the background only)."""
+    """kind, value, n: every credential that the fixed patterns find (n is 1), and for each task how
+    often classes follow each other in all other runs of its texts (kind 'back', value 'before:after')."""
 
     def run(batches):
+        pairs = np.zeros((SYMBOLS + 1) * SYMBOLS, np.int64)
         for batch in batches:
             kinds, values = [], []
             for _, texts in text_slices(batch, SLICE):
                 for text, spans, _ in _scan(texts, None):
+                    if not text:
+                        continue
+                    classes = _CLASS[np.frombuffer(text, np.uint8)].astype(np.int64)
                     for _, kind, _, a, b in spans:
                         kinds.append(KINDS[kind])
                         values.append(text[a:b].decode("ascii"))
-                    word = max(text[:2000].split(), key=len, default=b"")
-                    if word.isalpha():
-                        kinds.append("word")
-                        values.append(word.decode("ascii", "ignore"))
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.string()), "value": pa.array(values, pa.string())})
+                        classes[a:b] = -1
+                    before = np.concatenate([[-1], classes[:-1]])
+                    before[before < 0] = SYMBOLS
+                    inside = classes >= 0
+                    pairs += np.bincount(before[inside] * SYMBOLS + classes[inside], minlength=len(pairs))
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.string()), "value": pa.array(values, pa.string()), "n": pa.array([1] * len(kinds), pa.int64())})
+        at = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_pydict({"kind": pa.array(["back"] * len(at), pa.string()), "value": pa.array([f"{i // SYMBOLS}:{i % SYMBOLS}" for i in at.tolist()], pa.string()), "n": pa.array(pairs[at], pa.int64())})
 
-    return batched(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(run, "kind string, value string")
+    return batched(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(run, "kind string, value string, n long")
 
 
 def learn(docs: DataFrame, per_kind: int = SAMPLE_PER_KIND) -> Grammar:
     """Automata from per_kind distinct credentials of each kind at most, those of smallest md5."""
-    found = labelled_values(docs).where(F.length("value") <= 256)
+    found = labelled_values(docs).where(F.length("value") <= MAX_LEARNED)
     found = found.withColumn("key", F.md5(F.col("value").cast("binary")))
     held: dict[str, list[bytes]] = defaultdict(list)
-    limits = {k: per_kind for k in KINDS} | {"word": 2 * per_kind}
+    bigrams = np.zeros((SYMBOLS + 1, SYMBOLS))
     # one value for each of the 4,096 beginnings of a key: a bounded sample, and no group is gathered
-    small = found.select("kind", "key", "value").groupBy("kind", F.substring("key", 1, 3).alias("salt")).agg(F.min_by("value", "key").alias("value"), F.min("key").alias("key"))
+    salt = F.when(F.col("kind") == "back", F.col("value")).otherwise(F.substring("key", 1, 3)).alias("salt")
+    small = found.groupBy("kind", salt).agg(F.min_by("value", "key").alias("value"), F.min("key").alias("key"), F.sum("n").alias("n"))
     for r in small.collect():
-        held[r.kind].append((r.key[3:], r.value.encode()))
-    return Grammar({k: [v for _, v in sorted(held[k])[: limits[k]]] for k in KINDS}, [v for _, v in sorted(held["word"])[: limits["word"]]])
+        if r.kind == "back":
+            before, after = map(int, r.value.split(":"))
+            bigrams[before, after] = r.n
+        else:
+            held[r.kind].append((r.key[3:], r.value.encode()))
+    return Grammar({k: [v for _, v in sorted(held[k])[:per_kind]] for k in KINDS}, bigrams)
 
 
 def _scan(texts: pa.Array, grammar: Grammar | None):
@@ -269,7 +299,7 @@ def _scan(texts: pa.Array, grammar: Grammar | None):
     c_start, c_end = _cut(*runs(classes >= 0, MIN_CANDIDATE), ends_at, MIN_CANDIDATE) if grammar else (np.zeros(0, int),) * 2
     h_at = np.searchsorted(h_start, off)
     c_at = np.searchsorted(c_start, off)
-    view = data.tobytes()
+    view, kinds = data.tobytes(), classes.tobytes()
     for i in range(len(texts)):
         a, b = int(off[i]), int(off[i + 1])
         text = view[a:b]
@@ -280,7 +310,7 @@ def _scan(texts: pa.Array, grammar: Grammar | None):
         more = []
         if grammar:
             for s, e in zip(c_start[c_at[i] : c_at[i + 1]].tolist(), c_end[c_at[i] : c_at[i + 1]].tolist(), strict=True):
-                if not any(x[0] < e - a and s - a < x[2] for x in spans) and grammar.accepts(data[s:e]):
+                if grammar.accepts(kinds[s:e]) and not any(x[0] < e - a and s - a < x[2] for x in spans):
                     more.append((s - a, 3, e - a))
         yield text, spans, more
 

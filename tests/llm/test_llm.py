@@ -78,6 +78,31 @@ def test_automata_find_bare_credentials(spark):
     assert red[900] == "left alone [SECRET] here" and red[901] == rows[-1][1] and "token = [SECRET] and" in red[5]
 
 
+@pytest.mark.parametrize("letters", ["0123456789", "BCDFGHJKLMNPQRSTVWXZ"])
+def test_automata_find_credentials_of_one_sort(spark, letters):
+    """Only digits or only letters, and shorter than 16, as the labelled ones are."""
+    rng = random.Random(8)
+    key = lambda: "".join(rng.choice(letters) for _ in range(12))
+    rows = [(i, f"ordinary sentences surround whatever follows: token = {key()} and others") for i in range(200)] + [(900, f"left alone {key()} here"), (901, "ordinary sentences without anything")]
+    got = {r.doc_id: r.n_learned for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[900] == 1 and got[901] == 0
+
+
+def test_background_counts_whole_texts(spark):
+    rows = [(1, "word " * 1000 + "2024-01-31 x9 a/b"), (2, "password=abc123DEF456 é left"), (3, None), (4, "")]
+    found = secrets.labelled_values(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'back'")
+    got = {r.value: r.n for r in found.groupBy("value").agg(F.sum("n").alias("n")).collect()}
+    want = {}
+    for text in (rows[0][1], "password= é left"):  # the labelled value itself stays out
+        before = -1
+        for c in secrets._CLASS[np.frombuffer(text.encode(), np.uint8)].tolist():
+            if c >= 0:
+                k = f"{before if before >= 0 else secrets.SYMBOLS}:{c}"
+                want[k] = want.get(k, 0) + 1
+            before = c
+    assert got == want
+
+
 # -- 3, 9 -------------------------------------------------------------------------------------------
 
 
