@@ -17,6 +17,10 @@ from chronovox.operators.intervals import KEYS
 from chronovox.thresholds import DEFAULTS, Thresholds
 
 
+#: Blocks of a group's clusters in the search for nearest ones.
+BLOCKS = 16
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Cut lineage between rounds: the step is written to the shared checkpoint folder."""
     spark = df.sparkSession
@@ -37,11 +41,12 @@ def _add(a, b):
 
 def _nearest_pairs(state: DataFrame, limit: float, group: list[str]) -> DataFrame:
     """(group, a, b): mutually nearest clusters below the limit; ties by the smaller number."""
-    a = state.select(*group, F.col("c").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"))
-    b = state.select(*group, F.col("c").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"))
-    pairs = a.join(b, group).where("a < b").select(*group, "a", "b", (1.0 - dot(F.col("sa"), F.col("sb")) / (F.col("na") * F.col("nb"))).alias("d"))
-    pairs = pairs.where(F.col("d") < limit)
-    both = pairs.select(*group, F.col("a").alias("x"), F.col("b").alias("y"), "d").unionByName(pairs.select(*group, F.col("b").alias("x"), F.col("a").alias("y"), "d"))
+    # every cluster meets each block of its group's clusters, in tasks of their own: a large group is
+    # spread, and its pairs come down to a nearest one for each cluster and block before any exchange
+    a = state.select(*group, F.col("c").alias("x"), F.col("s").alias("sa"), F.col("n").alias("na")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    b = state.select(*group, F.col("c").alias("y"), F.col("s").alias("sb"), F.col("n").alias("nb"), F.pmod(F.xxhash64("c"), F.lit(BLOCKS)).cast("int").alias("_block"))
+    both = a.join(b, [*group, "_block"]).where("x != y").select(*group, "x", "y", (1.0 - dot(F.col("sa"), F.col("sb")) / (F.col("na") * F.col("nb"))).alias("d"))
+    both = both.where(F.col("d") < limit)
     near = both.groupBy(*group, "x").agg(F.min_by("y", F.struct(F.round("d", 12).alias("d"), F.least("x", "y").alias("l"), F.greatest("x", "y").alias("g"))).alias("y"), F.min("d").alias("d"))
     other = near.select(*group, F.col("x").alias("y"), F.col("y").alias("x"))
     return near.join(other, [*group, "x", "y"]).where("x < y").select(*group, F.col("x").alias("a"), F.col("y").alias("b"))

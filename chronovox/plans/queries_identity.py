@@ -125,24 +125,19 @@ def c15_speaker_refs(w, e):
 # -- clustering -------------------------------------------------------------------------------------
 
 
-def _small(w, n: int = 40):
-    """Every recording's windows, dealt to parts of about n."""
-    return w.withColumn("recording_id", F.col("recording_id") * 1_000_000 + F.floor(F.col("win_id") / (8 * n)))
-
-
 @query("windows")
 def g1_agglomerate(w):
-    return C.agglomerate(_small(w), 0.75)
+    return C.agglomerate(w, 0.75)
 
 
 @query("windows")
 def g2_agglomerate_k(w):
-    return C.agglomerate_k(_small(w), 4, "complete")
+    return C.agglomerate_k(w, 4, "complete")
 
 
 @query("windows")
 def g3_cap_clusters(w):
-    rows = _small(w)
+    rows = w
     return C.cap_clusters(rows, C.agglomerate(rows, 0.3), 15)
 
 
@@ -222,7 +217,7 @@ def g13_merge_unknowns(w):
 
 @query("windows")
 def g14_split_by_cohesion(w):
-    spans = _small(w, 80).select("recording_id", "cluster", F.col("win_id").alias("span_id"), "embedding")
+    spans = w.select("recording_id", "cluster", F.col("win_id").alias("span_id"), "embedding")
     return C.split_by_cohesion(spans).select("recording_id", "cluster", "voice", "spans", F.round("mean_distance", 6).alias("mean_distance"), "status")
 
 
@@ -256,7 +251,7 @@ def g18_diarize(w, e):
     """The whole path: clusters, overlaps, numbering, segments, islands, names, minority, timeline."""
     from chronovox.plans.diarize import diarize
 
-    rows = _small(w).drop("cluster", "speaker")
+    rows = w.drop("cluster", "speaker")
     return diarize(rows, _profiles(e), 0.75).select("recording_id", "seq", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), "speaker")
 
 

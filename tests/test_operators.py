@@ -177,3 +177,29 @@ def test_text_and_names(spark):
     assert one(X.normalise_name(F.lit("Ａlice  SMITH"))) == "alice smith"
     assert one(X.parse_time(F.lit("1:02:03.5"))) == 3723.5
     assert one(V.cosine_distance(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 1.0
+
+
+def test_g1_clusters_whole_recordings(spark):
+    """Against plain average linkage, one merge at a time, over all windows of each recording."""
+    import numpy as np
+
+    from chronovox.plans import registry
+    from chronovox.plans.derived import frame
+
+    sf, limit = "/root/testdata/sf0.001", 0.75
+    by = {}
+    for r in frame(spark, sf, "windows").select("recording_id", "win_id", "embedding").collect():
+        by.setdefault(r.recording_id, {})[r.win_id] = np.array(r.embedding) / np.linalg.norm(r.embedding)
+    want = set()
+    for k, v in by.items():
+        c = {i: (x, 1, [i]) for i, x in v.items()}
+        while True:
+            ids = sorted(c)
+            d, a, b = min(((round(1 - c[a][0] @ c[b][0] / (c[a][1] * c[b][1]), 12), a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]), default=(9, 0, 0))
+            if d >= limit:
+                break
+            (x, n, m), (y, o, l) = c[a], c.pop(b)
+            c[a] = (x + y, n + o, m + l)
+        want |= {(k, i, j) for j, (_, _, m) in c.items() for i in m}
+    got = {(r.recording_id, r.win_id, r.cluster) for r in registry.QUERIES["g1_agglomerate"](spark, sf).collect()}
+    assert got == want
