@@ -55,6 +55,14 @@ def b11_match_distance(p):
     return p.select("c_custkey", F.round(d, 3).alias("distance")).where(F.col("c_custkey") % 100 % 8 == 0)
 
 
+@query("profiles")
+def b11_match_distance_all(p):
+    """Every profile's distance; without SQL, as engines may round a tie either way."""
+    pitch = F.when(F.col("pitch_hz") > 100, F.col("pitch_hz")).otherwise(0.0)
+    d = V.match_distance((F.col("c_custkey") % 100) / 128.0, pitch, F.lit(130.0), F.col("c_custkey") % 2 == 0)
+    return p.select("c_custkey", d.alias("distance"))
+
+
 @query("embeddings", sql=f"WITH {_CENTROID} SELECT label, p::INT - 1 AS pos, round(m, 6) AS mean FROM m")
 def d3_centroid(e):
     return V.centroid(e, ["label"]).select("label", F.posexplode("centroid").alias("pos", "mean")).select("label", "pos", F.round("mean", 6).alias("mean"))
@@ -82,6 +90,16 @@ def d9_cluster_balance(w):
     return C.cluster_balance(rows).select("recording_id", "cluster", "size", "clusters", F.round("share", 6).alias("share"), "naming_block")
 
 
+@query("windows", sql="""
+WITH r AS (SELECT recording_id, CASE WHEN recording_id % 2 = 0 OR cluster < 2 OR win_id % 97 = 0 THEN cluster ELSE 0 END AS cluster FROM windows), c AS (SELECT recording_id, cluster, count(*) AS size FROM r GROUP BY ALL), s AS (SELECT *, size / sum(size) OVER (PARTITION BY recording_id) AS share, count(*) OVER (PARTITION BY recording_id) AS clusters FROM c), t AS (SELECT *, max(share) OVER (PARTITION BY recording_id) AS top FROM s)
+SELECT recording_id, cluster, size, clusters, round(share, 6) AS share, CASE WHEN clusters >= 2 AND top > 0.75 THEN concat('cluster_collapse_', round(top * 100)::INT, '%') END AS naming_block FROM t""")
+def d9_cluster_balance_all(w):
+    """All windows; in every other recording most of them are of one cluster."""
+    own = (F.col("recording_id") % 2 == 0) | (F.col("cluster") < 2) | (F.col("win_id") % 97 == 0)
+    rows = w.withColumn("cluster", F.when(own, F.col("cluster")).otherwise(0))
+    return C.cluster_balance(rows).select("recording_id", "cluster", "size", "clusters", F.round("share", 6).alias("share"), "naming_block")
+
+
 @query("embeddings", sql=f"""
 WITH {_PROFILES} SELECT vec_id, name, round({cos('e.embedding', 'prof.v')}, 6) AS distance FROM embeddings e, prof""")
 def c9_distance_matrix(e):
@@ -118,7 +136,9 @@ def c11_near_duplicates(e):
 @query("windows", "embeddings")
 def c15_speaker_refs(w, e):
     turns = w.select("recording_id", "seq", "start_s", "end_s", F.concat(F.lit("P"), F.col("cluster").cast("string")).alias("speaker"))
-    refs = N.speaker_refs(turns, _profiles(e).where("label < 5"), w)
+    # the profiles of the upper labels carry other names, which no speaker has
+    name = F.when(F.col("label") < 5, F.col("name")).otherwise(F.concat(F.lit("other "), F.col("name")))
+    refs = N.speaker_refs(turns, _profiles(e).withColumn("name", name), w)
     return refs.select("recording_id", "speaker", "stored", F.round(F.element_at("ref", 1), 6).alias("first"), F.size("ref").alias("width"))
 
 

@@ -203,3 +203,33 @@ def test_g1_clusters_whole_recordings(spark):
         want |= {(k, i, j) for j, (_, _, m) in c.items() for i in m}
     got = {(r.recording_id, r.win_id, r.cluster) for r in registry.QUERIES["g1_agglomerate"](spark, sf).collect()}
     assert got == want
+
+
+def test_whole_tables_of_b11_and_d9(spark):
+    from chronovox.plans import registry
+    from chronovox.plans.derived import frame
+
+    sf = "/root/testdata/sf0.001"
+    want = {}
+    for r in frame(spark, sf, "profiles").collect():
+        k = r.c_custkey
+        want[k] = max(0.9 * (k % 100) / 128 + 0.1 * (min(abs(r.pitch_hz - 130) / 50, 1) if r.pitch_hz > 100 else 0) - (0.05 if k % 2 == 0 else 0), 0)
+    got = {r.c_custkey: r.distance for r in registry.QUERIES["b11_match_distance_all"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - d) <= 0.5e-4 + 1e-12 for k, d in want.items())
+    rows = registry.QUERIES["d9_cluster_balance_all"](spark, sf).collect()
+    assert sum(r.size for r in rows) == frame(spark, sf, "windows").count() and {r.naming_block is None for r in rows} == {True, False}
+
+
+def test_speaker_refs_meets_all_profiles(spark):
+    """c15 hands over every profile; the upper labels' are under names that no speaker has."""
+    from chronovox.plans import queries_identity as Q
+    from chronovox.plans import registry
+
+    seen, real = [], N.speaker_refs
+    N.speaker_refs = lambda turns, profiles, windows: seen.append(profiles) or real(turns, profiles, windows)
+    try:
+        out = registry.QUERIES["c15_speaker_refs"](spark, "/root/testdata/sf0.001").collect()
+    finally:
+        N.speaker_refs = real
+    assert Q.N is N and seen[0].count() == seen[0].select("label").distinct().count() > 5
+    assert all(r.stored == (int(r.speaker[1:]) < 5) for r in out)
