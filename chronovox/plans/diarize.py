@@ -1,4 +1,4 @@
-"""From windows with vectors to named turns: the operators in order, as one plan per recording set."""
+"""From windows with vectors to named turns: a part of the whole path, as one plan per recording set."""
 
 from __future__ import annotations
 
@@ -19,6 +19,10 @@ def diarize(windows: DataFrame, profiles: DataFrame, threshold: float | None = N
     pitch_hz, total_speech_sec, pending.  Steps: clusters, capped and merged; overlapping windows;
     numbering; segments; names for clusters that have a clear winner, where no cluster holds nearly
     all; minority speakers withheld; overlaps of the timeline resolved.
+
+    Left out of the path in SURVEY's G18, though most are operators here: sections and windows from
+    frames (E1, E22, E23), islands (E8), boundary cuts (F), pitch (D7, E12: pitch_hz is 0, so it never
+    counts), G10, ghosts (E10), the second pass (G12), unknowns (G13) and the summary (D10).
     """
     k = ["recording_id"]
     labels = C.agglomerate(windows, threshold if threshold is not None else th.cluster)

@@ -220,6 +220,7 @@ def g11_merge_similar(e):
 
 @query("windows", "embeddings")
 def g12_claim_names(w, e):
+    """The claim fold alone: no vectors of 3 s or more by speaker, nor their blend with the stored ones."""
     spk = V.centroid(w, ["recording_id", "cluster"]).select("recording_id", F.concat(F.lit("S"), F.col("cluster").cast("string")).alias("speaker"), F.col("centroid").alias("embedding"), F.lit(0.0).alias("pitch_hz"))
     q = spk.withColumn("t", F.lit(0))
     scored = N.score_pairs(q, _profiles(e), ["t"])
@@ -268,7 +269,8 @@ def g17_register(w):
 
 @query("windows", "embeddings")
 def g18_diarize(w, e):
-    """The whole path: clusters, overlaps, numbering, segments, islands, names, minority, timeline."""
+    """From windows to turns: clusters, overlaps, numbering, segments, names, minority, timeline; diarize
+    lists what is left out."""
     from chronovox.plans.diarize import diarize
 
     rows = w.drop("cluster", "speaker")
