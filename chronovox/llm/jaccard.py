@@ -30,9 +30,18 @@ WORDS, PERCENT = 4, 85
 #: Largest k of a prefix, and what a comparison costs in posting rows.
 MAX_MATCHES, COMPARE_COST = 8, 5.0
 SLICE = 4 << 20
-#: A task sends its shingles on when it holds so many.
-FLUSH_SHINGLES, FLUSH_DOCS = 3_000_000, 60_000
+#: A task sends its shingles on when it holds so many; places of sets in a flush take two bytes.
+FLUSH_SHINGLES, FLUSH_DOCS = 600_000, 16_000
+#: A shingle in so many sets of a flush is sent on once, with its count.
+OFTEN = 16
+#: Text that one bucket of shingles stands for: its numbers are in one task's memory.
+BUCKET_BYTES = 24 << 20
 _TOKEN_BITS = np.uint64(40)
+_TOKEN = np.uint64((1 << 40) - 1)
+#: Kinds of rows between the exchanges: a flush's sets, places of its frequent shingles, (shingle, place)
+#: lists and counts of frequent shingles.
+HEAD, PLACES, LIST, COUNTS = range(4)
+FREQ_BYTES = 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of a set's mark: bit i tells whether an odd number of its shingles fall to i.  Two sets differ
 #: in as many shingles at least as their marks differ in bits.
@@ -106,20 +115,30 @@ def _unplanes(data: memoryview, n: int, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _pack(token: np.ndarray, doc: np.ndarray, freq: np.ndarray | None = None) -> bytes:
-    """Shingles in order with their documents' places (and frequencies)."""
-    parts = [np.uint32(len(token)).tobytes(), _planes(np.diff(token, prepend=np.uint64(0)), 5), _planes(doc, 2)]
-    if freq is not None:
-        parts.append(_planes(freq, 4))
-    return b"".join(parts)
+def _pack(token: np.ndarray, *more: tuple[np.ndarray, int]) -> bytes:
+    """Shingles in order, and numbers of so many bytes that go with them."""
+    return b"".join([np.uint32(len(token)).tobytes(), _planes(np.diff(token, prepend=np.uint64(0)), 5), *[_planes(x, width) for x, width in more]])
 
 
-def _unpack(data: bytes, with_freq: bool = False):
+def _unpack(data: bytes, *widths: int) -> list[np.ndarray]:
     n = int(np.frombuffer(data, np.uint32, 1)[0])
     view = memoryview(data)[4:]
-    token = np.cumsum(_unplanes(view, n, 5), dtype=np.uint64)
-    doc = _unplanes(view[5 * n :], n, 2)
-    return (token, doc, _unplanes(view[7 * n :], n, 4)) if with_freq else (token, doc)
+    out, at = [np.cumsum(_unplanes(view, n, 5), dtype=np.uint64)], 5 * n
+    for width in widths:
+        out.append(_unplanes(view[at:], n, width))
+        at += width * n
+    return out
+
+
+def _marks(sets: list[np.ndarray]) -> bytes:
+    """The marks of some sets, one after another; a few sets at a time."""
+    out, step = [], 1024
+    for a in range(0, len(sets), step):
+        part = sets[a : a + step]
+        place = np.repeat(np.arange(len(part)) * _MARKS, [len(s) for s in part])
+        odd = np.bincount(place + (np.concatenate(part) % np.uint64(_MARKS)).astype(np.int64), minlength=len(part) * _MARKS) & 1
+        out.append(np.packbits(odd.astype(np.uint8).reshape(len(part), _MARKS), axis=1).tobytes())
+    return b"".join(out)
 
 
 def shared_shingles(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -129,7 +148,9 @@ def shared_shingles(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     marks the bitmap of the whole set.
     """
     spark = docs.sparkSession
-    buckets = 2 * partitions(spark)
+    text = docs.select(F.col("text").cast("string").alias("text"))
+    size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * partitions(spark), size // BUCKET_BYTES)
 
     def send(batches):
         from pyspark import TaskContext
@@ -138,20 +159,27 @@ def shared_shingles(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         sets, keys, held = [], [], 0
 
         def flush():
-            place = np.repeat(np.arange(len(sets), dtype=np.uint64), [len(s) for s in sets])
             h = np.concatenate(sets)
-            odd = np.bincount((place * np.uint64(_MARKS) + h % np.uint64(_MARKS)).astype(np.int64), minlength=len(sets) * _MARKS) & 1
-            marks = np.packbits(odd.reshape(len(sets), _MARKS).astype(np.uint8), axis=1)
-            bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            token = _mix(h * _ODD) & np.uint64((1 << 40) - 1)
-            key = (bucket << _TOKEN_BITS) | token
+            place = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+            key = (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)) << _TOKEN_BITS
+            key |= _mix(h * _ODD) & _TOKEN
             order = np.argsort(key, kind="stable")
-            bucket, token, place = bucket[order], token[order], place[order]
-            cuts = np.flatnonzero(np.diff(bucket, prepend=bucket[0] + np.uint64(1), append=bucket[-1] + np.uint64(1)))
+            key, place = key[order], place[order]
+            del h, order
             name = int.from_bytes(hashlib.blake2b(f"{part}:{number}:{keys[0]}".encode(), digest_size=8).digest(), "little") >> 1
-            head = np.array(keys, "<i8").tobytes() + np.array([len(s) for s in sets], "<u4").tobytes() + marks.tobytes()
-            rows = [(int(name % buckets), name, 0, head)]
-            rows += [(int(bucket[a]), name, 1, _pack(token[a:b], place[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            home = int(name % buckets)
+            starts = np.flatnonzero(np.diff(key, prepend=key[0] + np.uint64(1)))
+            counts = np.diff(starts, append=len(key))
+            often = counts >= OFTEN
+            seldom = ~np.repeat(often, counts)
+            # frequent shingles' places wait for their frequencies where the flush is put together again
+            rows = [(home, name, HEAD, np.array(keys, "<i8").tobytes() + np.array([len(s) for s in sets], "<u4").tobytes() + _marks(sets))]
+            if often.any():
+                rows.append((home, name, PLACES, np.uint32(often.sum()).tobytes() + counts[often].astype("<u4").tobytes() + place[~seldom].astype("<u2").tobytes()))
+            for kind, k, more, width in ((LIST, key[seldom], place[seldom], 2), (COUNTS, key[starts[often]], counts[often], FREQ_BYTES)):
+                bucket = k >> _TOKEN_BITS
+                cuts = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + np.uint64(1), append=bucket[-1:] + np.uint64(1)))
+                rows += [(int(bucket[a]), name, kind, _pack(k[a:b] & _TOKEN, (more[a:b], width))) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             return pa.RecordBatch.from_pydict(
                 {"bucket": pa.array([r[0] for r in rows], pa.int32()), "flush": pa.array([r[1] for r in rows], pa.int64()), "kind": pa.array([r[2] for r in rows], pa.int32()), "data": [r[3] for r in rows]}
             )
@@ -178,36 +206,45 @@ def shared_shingles(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     def count(key, frame):
         """In one bucket: the frequency of each shingle, back to the senders where it is over 1."""
-        heads = frame[frame.kind == 0]
-        lists = frame[frame.kind == 1]
-        out = [(int(f), 0, int(key[0]), d) for f, d in zip(heads["flush"], heads["data"], strict=True)]
-        if len(lists):
-            got = [_unpack(d) for d in lists["data"]]
-            token = np.concatenate([t for t, _ in got])
-            distinct, back, freq = np.unique(token, return_inverse=True, return_counts=True)
-            freq = freq[back]
+        kind = frame["kind"]
+        out = [tuple(r) for r in frame[kind <= PLACES][["flush", "kind", "bucket", "data"]].itertuples(index=False)]
+        frame = frame[kind > PLACES]
+        if len(frame):
+            got = [_unpack(d, 2 if k == LIST else FREQ_BYTES) for k, d in zip(frame["kind"], frame["data"], strict=True)]
+            distinct, back = np.unique(np.concatenate([t for t, _ in got]), return_inverse=True)
+            times = np.concatenate([np.ones(len(t), np.uint64) if k == LIST else c for k, (t, c) in zip(frame["kind"], got, strict=True)])
+            freq = np.zeros(len(distinct), np.uint64)
+            np.add.at(freq, back, times)
             at = 0
-            for f, (t, d) in zip(lists["flush"], got, strict=True):
-                mine = freq[at : at + len(t)]
+            for f, k, (t, x) in zip(frame["flush"], frame["kind"], got, strict=True):
+                mine = freq[back[at : at + len(t)]]
                 at += len(t)
                 ok = mine > 1
                 if ok.any():
-                    out.append((int(f), 1, int(key[0]), _pack(t[ok], d[ok], mine[ok].astype(np.uint64))))
+                    out.append((int(f), int(k), int(key[0]), _pack(t[ok], (mine[ok], FREQ_BYTES), *[(x[ok], 2)] * (k == LIST))))
         return pd.DataFrame(out, columns=["flush", "kind", "bucket", "data"])
 
     def choose(frame):
         """For one flush: its sets' shared shingles, prefixes and k."""
-        head = frame[frame.kind == 0]["data"].iloc[0]
+        of = lambda kind: frame[frame["kind"] == kind].sort_values("bucket")
+        head = of(HEAD)["data"].iloc[0]
         n_docs = len(head) // (12 + _MARKS // 8)
         keys = np.frombuffer(head, "<i8", n_docs)
         sizes = np.frombuffer(head, "<u4", n_docs, 8 * n_docs).astype(np.int64)
         marks = np.frombuffer(head, "<i8", n_docs * _MARKS // 64, 12 * n_docs).reshape(n_docs, -1)
         token, place, freq = [], [], []
-        for b, d in zip(frame["bucket"][frame.kind == 1], frame["data"][frame.kind == 1], strict=True):
-            t, p, q = _unpack(d, True)
+        for b, d in zip(of(LIST)["bucket"], of(LIST)["data"], strict=True):
+            t, q, p = _unpack(d, FREQ_BYTES, 2)
             token.append(t | (np.uint64(b) << _TOKEN_BITS))
             place.append(p)
             freq.append(q)
+        for d in of(PLACES)["data"]:
+            n = int(np.frombuffer(d, "<u4", 1)[0])
+            counts = np.frombuffer(d, "<u4", n, 4)
+            known = [(t | (np.uint64(b) << _TOKEN_BITS), q) for b, c in zip(of(COUNTS)["bucket"], of(COUNTS)["data"], strict=True) for t, q in [_unpack(c, FREQ_BYTES)]]
+            token.append(np.repeat(np.concatenate([t for t, _ in known]), counts))
+            place.append(np.frombuffer(d, "<u2", int(counts.sum()), 4 + 4 * n).astype(np.uint64))
+            freq.append(np.repeat(np.concatenate([q for _, q in known]), counts))
         out = []
         if token:
             token, place, freq = (np.concatenate(x) for x in (token, place, freq))
@@ -228,7 +265,7 @@ def shared_shingles(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
                 out.append((int(keys[i]), n, len(t), k, t[: spare + k].astype(np.int64), np.sort(t).tobytes(), marks[i]))
         return pd.DataFrame(out, columns=["class", "n", "m", "k", "prefix", "tokens", "marks"])
 
-    sent = batched(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(send, "bucket int, flush long, kind int, data binary")
+    sent = batched(text).mapInArrow(send, "bucket int, flush long, kind int, data binary")
     counted = sent.groupBy("bucket").applyInPandas(count, "flush long, kind int, bucket int, data binary")
     return counted.groupBy("flush").applyInPandas(choose, "class long, n int, m int, k int, prefix array<long>, tokens binary, marks array<long>")
 
