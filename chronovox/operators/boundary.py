@@ -19,13 +19,13 @@ def section_owners(sections: DataFrame, left: str = "left_ref", right: str = "ri
 def best_split(sections: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, k, cost, n): the cut before section k (0 .. n) with the least weight on the wrong side,
     the earliest on ties: running sums from either side, and one row per group for k = n."""
-    w = Window.partitionBy(*keys).orderBy("pos")
+    w, back = Window.partitionBy(*keys).orderBy("pos"), Window.partitionBy(*keys).orderBy(F.desc("pos"))
     wrong_left, wrong_right = F.when(F.col("owner") == 1, F.col("weight")).otherwise(0.0), F.when(F.col("owner") == 0, F.col("weight")).otherwise(0.0)
     rows = sections.withColumns(
         {
             "k": F.row_number().over(w) - 1,
             "_l": F.coalesce(F.sum(wrong_left).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
-            "_r": F.sum(wrong_right).over(w.rowsBetween(0, Window.unboundedFollowing)),
+            "_r": F.sum(wrong_right).over(back.rowsBetween(Window.unboundedPreceding, 0)),
         }
     ).select(*keys, "k", (F.col("_l") + F.col("_r")).alias("cost"))
     last = sections.groupBy(*keys).agg(F.count("*").cast("int").alias("k"), F.sum(wrong_left).alias("cost"))
@@ -121,9 +121,10 @@ def boundary_error(cuts: DataFrame, sections: DataFrame) -> DataFrame:
     fill from either side over cuts and edges in one order."""
     edge = sections.select(*KEYS, F.explode(F.array("start_s", "end_s")).alias("t"), F.lit(0).alias("tag"))
     both = edge.unionByName(cuts.select(*KEYS, F.col("cut").alias("t"), F.lit(1).alias("tag")))
-    w = Window.partitionBy(*KEYS).orderBy("t", "tag")
+    w, back = Window.partitionBy(*KEYS).orderBy("t", "tag"), Window.partitionBy(*KEYS).orderBy(F.desc("t"), F.desc("tag"))
     e = F.when(F.col("tag") == 0, F.col("t"))
-    d = F.least(F.col("t") - F.last(e, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(e, True).over(w.rowsBetween(0, Window.unboundedFollowing)) - F.col("t"))
+    seen = lambda v: F.last(e, True).over(v.rowsBetween(Window.unboundedPreceding, 0))
+    d = F.least(F.col("t") - seen(w), seen(back) - F.col("t"))
     rows = both.withColumn("d", d).where("tag = 1 AND d IS NOT NULL")
     return rows.groupBy(*KEYS).agg(F.count("*").alias("cuts"), F.percentile("d", 0.5).alias("p50"), F.percentile("d", 0.9).alias("p90"), F.max("d").alias("largest"))
 

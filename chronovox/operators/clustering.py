@@ -1,38 +1,101 @@
-"""Clustering of voice vectors, all recordings at once, in rounds of joins and aggregates.
+"""Clustering of voice vectors, all recordings at once.
 
-Average linkage on unit vectors needs no pair matrix: a cluster is the sum of its vectors and their
-number, and its distance from another is 1 - S_A . S_B / (n_A n_B).  Every round merges all pairs that
-are each other's nearest, which gives the same tree as one merge at a time.
+A group of up to SMALL windows is clustered in one task, on its own distance matrix, which that number
+bounds.  Larger groups go in rounds of joins and aggregates, spread over tasks: every round merges all
+pairs that are each other's nearest, which gives the same tree as one merge at a time.  Average linkage
+on unit vectors needs no pair table there: a cluster is the sum of its vectors and their number, and its
+distance from another is 1 - S_A . S_B / (n_A n_B).
 """
 
 from __future__ import annotations
 
-import uuid
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronovox.functions.vectors import centroid, cosine_distance, dot, l2_normalize
 from chronovox.operators.intervals import KEYS
+from chronovox.scratch import forget, saved
 from chronovox.thresholds import DEFAULTS, Thresholds
 
-
 #: Blocks of a group's clusters in the search for nearest ones.
 BLOCKS = 16
+#: Windows of a group that one task clusters on its own: its distances take 32 MB.
+SMALL = 2000
+#: Vectors below this length have no direction.
+NO_LENGTH = 1e-8
 
 
 def settled(df: DataFrame) -> DataFrame:
     """Cut lineage between rounds: the step is written to the shared checkpoint folder."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        import tempfile
-
-        where = tempfile.mkdtemp(prefix="chronovox-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return saved(df, "round")
+
+
+def merge_tree(d: np.ndarray, how: str, limit: float = np.inf, leave: int = 1) -> list[tuple[int, int]]:
+    """Merges (kept, gone) of the closest pair, again and again, while its distance is below the limit and
+    more than `leave` clusters stand; ties by the smaller places.  d, whole and symmetric, is used up."""
+    n = len(d)
+    d = np.round(d, 12)
+    np.fill_diagonal(d, np.inf)
+    size = np.ones(n)
+    near = d.argmin(axis=1)
+    best = d[np.arange(n), near]
+    out = []
+    for _ in range(n - max(1, leave)):
+        low = best.min()
+        if not low < limit:
+            break
+        i = int(np.flatnonzero(best == low)[0])
+        a, b = sorted((i, int(near[i])))
+        if how == "average":
+            row = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+            row = np.round(row, 12)
+        else:
+            row = np.maximum(d[a], d[b]) if how == "complete" else np.minimum(d[a], d[b])
+        row[[a, b]] = np.inf
+        size[a] += size[b]
+        d[a], d[:, a] = row, row
+        d[b], d[:, b] = np.inf, np.inf
+        out.append((a, b))
+        for j in {a, *np.flatnonzero((near == a) | (near == b)).tolist()} - {b}:
+            near[j] = d[j].argmin()
+            best[j] = d[j, near[j]]
+        best[b] = np.inf
+        # what came nearer than a row's nearest so far, or as near at a smaller place
+        closer = (row < best) | ((row == best) & (a < near) & np.isfinite(row))
+        near[closer], best[closer] = a, row[closer]
+    return out
+
+
+def _in_tasks(rows: DataFrame, group: list[str], how: str, limit: float, leave: int) -> DataFrame:
+    """(group, c, cluster) for groups of up to SMALL rows (group, c, s): one task clusters a group."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("c", kind="stable")
+        v = np.stack(frame["s"].to_numpy())
+        name = np.arange(len(v))
+        for a, b in merge_tree(1.0 - v @ v.T, how, limit, leave):
+            name[name == b] = a
+        c = frame["c"].to_numpy()
+        return pd.DataFrame({**{g: frame[g].to_numpy() for g in group}, "c": c, "cluster": c[name]})
+
+    kinds = ", ".join(f"{g} {rows.schema[g].dataType.simpleString()}" for g in [*group, "c"])
+    return rows.groupBy(*group).applyInPandas(run, f"{kinds}, cluster {rows.schema['c'].dataType.simpleString()}")
+
+
+def _unit(windows: DataFrame, group: list[str], ident: str, empty: bool = False) -> DataFrame:
+    """(group, c, s) with s of length 1; null vectors stay out, and those of no length if not `empty`."""
+    fine = windows.where(F.col("embedding").isNotNull()).select(*group, F.col(ident).alias("c"), F.transform("embedding", lambda x: x.cast("double")).alias("s"))
+    if not empty:
+        fine = fine.where(dot(F.col("s"), F.col("s")) > NO_LENGTH**2)
+    return fine.select(*group, "c", l2_normalize(F.col("s")).alias("s"))
+
+
+def _by_size(unit: DataFrame, group: list[str], small: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of groups of up to `small` rows, and those of larger ones."""
+    large = unit.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > small).select(*group)
+    return unit.join(large, group, "left_anti"), unit.join(large, group, "left_semi")
 
 
 def _add(a, b):
@@ -52,63 +115,99 @@ def _nearest_pairs(state: DataFrame, limit: float, group: list[str]) -> DataFram
     return near.join(other, [*group, "x", "y"]).where("x < y").select(*group, F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def agglomerate(windows: DataFrame, threshold: float = DEFAULTS.cluster, ident: str = "win_id", group: list[str] | None = None, rounds: int = 60) -> DataFrame:
+def agglomerate(windows: DataFrame, threshold: float = DEFAULTS.cluster, ident: str = "win_id", group: list[str] | None = None, small: int = SMALL) -> DataFrame:
     """(group, ident, cluster): average linkage by cosine distance, merges below the threshold; a
     cluster is named by its smallest member.  Vectors that are null or of no length stay out."""
     group = list(group or KEYS)
-    unit = windows.where(F.col("embedding").isNotNull()).select(*group, F.col(ident).alias("c"), l2_normalize(F.col("embedding")).alias("s"))
-    unit = unit.where(dot(F.col("s"), F.col("s")) > 0.5)
+    unit = settled(_unit(windows, group, ident))
+    few, many = _by_size(unit, group, small)
+    names = [*group, F.col("c").alias(ident), "cluster"]
+    out = _in_tasks(few, group, "average", threshold, 1).select(*names)
+    if many.isEmpty():
+        return out
+    return out.unionByName(_average_rounds(many, threshold, group).select(*names))
+
+
+def _average_rounds(unit: DataFrame, threshold: float, group: list[str]) -> DataFrame:
+    """(group, c, cluster) by rounds, as many as the data need: each merges one pair of a group at least."""
     member = settled(unit.select(*group, F.col("c").alias("m"), "c"))
     state = settled(unit.withColumn("n", F.lit(1).cast("long")))
-    for _ in range(rounds):
+    while True:
         merges = settled(_nearest_pairs(state, threshold, group))
         if merges.isEmpty():
-            return member.select(*group, F.col("m").alias(ident), F.col("c").alias("cluster"))
+            forget(merges, state)
+            return member.select(*group, F.col("m").alias("c"), F.col("c").alias("cluster"))
         m = merges.select(*group, F.col("b").alias("c"), F.col("a").alias("to"))
         moved = state.join(m, [*group, "c"], "left").withColumn("c", F.coalesce("to", "c")).drop("to")
         # two rows at most meet in one cluster
-        state = settled(moved.groupBy(*group, "c").agg(F.collect_list("s").alias("v"), F.sum("n").alias("n")).select(*group, "c", F.aggregate(F.slice("v", 2, F.size("v")), F.element_at("v", 1), _add).alias("s"), "n"))
-        member = settled(member.join(m, [*group, "c"], "left").withColumn("c", F.coalesce("to", "c")).drop("to"))
-    raise RuntimeError(f"clusters did not settle in {rounds} rounds")
+        after = settled(moved.groupBy(*group, "c").agg(F.collect_list("s").alias("v"), F.sum("n").alias("n")).select(*group, "c", F.aggregate(F.slice("v", 2, F.size("v")), F.element_at("v", 1), _add).alias("s"), "n"))
+        labels = settled(member.join(m, [*group, "c"], "left").withColumn("c", F.coalesce("to", "c")).drop("to"))
+        forget(state, member, merges)
+        state, member = after, labels
 
 
-def agglomerate_k(windows: DataFrame, k: int, linkage: str = "complete", ident: str = "win_id", rounds: int = 60) -> DataFrame:
+def agglomerate_k(windows: DataFrame, k: int, linkage: str = "complete", ident: str = "win_id", small: int = SMALL) -> DataFrame:
     """(recording_id, ident, cluster): exactly k clusters (fewer windows: one each) by complete, average
-    or single linkage; an unknown linkage is complete.  Rounds over a pair table re-aggregated with max,
-    weighted mean or min; the tree's n - k lowest merges are kept.  For recordings of a few thousand
-    windows, as the pair table is quadratic in a recording's windows."""
+    or single linkage; an unknown linkage is complete.  Null vectors stay out; one of no length is 1 from all.
+
+    Recordings of more than `small` windows go in rounds over a pair table, which is quadratic in a
+    recording's windows, spread over tasks: re-aggregated with max or weighted mean for pairs that are each
+    other's nearest; with min every cluster joins its nearest, as in a least spanning tree.
+    """
     how = linkage if linkage in ("complete", "average", "single") else "complete"
     g = list(KEYS)
-    v = windows.where(F.col("embedding").isNotNull()).select(*g, F.col(ident).alias("c"), "embedding")
+    unit = settled(_unit(windows, g, ident, empty=True))
+    few, many = _by_size(unit, g, small)
+    names = [*g, F.col("c").alias(ident), "cluster"]
+    out = _in_tasks(few, g, how, float("inf"), k).select(*names)
+    if many.isEmpty():
+        return out
+    return out.unionByName(_tree_rounds(many, k, how, g).select(*names))
+
+
+def _tree_rounds(v: DataFrame, k: int, how: str, g: list[str]) -> DataFrame:
     a, b = v.toDF(*g, "a", "va"), v.toDF(*g, "b", "vb")
-    pairs = settled(a.join(b, g).where("a != b").select(*g, "a", "b", F.round(cosine_distance(F.col("va"), F.col("vb")), 12).alias("d"), F.lit(1.0).alias("w")))
-    member = settled(v.select(*g, F.col("c").alias("m"), "c"))
+    pairs = settled(a.join(b, g).where("a != b").select(*g, "a", "b", F.round(1.0 - dot(F.col("va"), F.col("vb")), 12).alias("d"), F.lit(1.0).alias("w")))
     tree = None
-    for _ in range(rounds):
-        near = pairs.groupBy(*g, "a").agg(F.min_by("b", F.struct("d", F.least("a", "b"), F.greatest("a", "b"))).alias("b"), F.min("d").alias("d"))
-        back = near.select(*g, F.col("a").alias("b"), F.col("b").alias("a"))
-        merges = settled(near.join(back, [*g, "a", "b"]).where("a < b").select(*g, "a", "b", "d"))
+    while True:
+        near = pairs.groupBy(*g, "a").agg(F.min(F.struct("d", F.least("a", "b").alias("l"), F.greatest("a", "b").alias("h"))).alias("e")).select(*g, "a", "e.*")
+        merges = near.groupBy(*g, "l", "h", "d").agg(F.count("*").alias("ways"))
+        merges = settled((merges if how == "single" else merges.where("ways = 2")).select(*g, F.col("l").alias("a"), F.col("h").alias("b"), "d"))
         if merges.isEmpty():
             break
         tree = merges if tree is None else tree.unionByName(merges)
-        m = merges.select(*g, F.col("b").alias("x"), F.col("a").alias("to"))
+        m = _roots(merges, g) if how == "single" else merges.select(*g, F.col("b").alias("x"), F.col("a").alias("to"))
         p = pairs.join(m.withColumnRenamed("x", "a").withColumnRenamed("to", "ta"), [*g, "a"], "left").join(m.withColumnRenamed("x", "b").withColumnRenamed("to", "tb"), [*g, "b"], "left")
         p = p.select(*g, F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"), "d", "w").where("a != b")
-        d = {"complete": F.max("d"), "single": F.min("d"), "average": F.sum(F.col("d") * F.col("w")) / F.sum("w")}[how]
-        pairs = settled(p.groupBy(*g, "a", "b").agg(d.alias("d"), F.sum("w").alias("w")))
+        d = {"complete": F.max("d"), "single": F.min("d"), "average": F.round(F.sum(F.col("d") * F.col("w")) / F.sum("w"), 12)}[how]
+        after = settled(p.groupBy(*g, "a", "b").agg(d.alias("d"), F.sum("w").alias("w")))
+        forget(pairs)
+        pairs = after
+    member = v.select(*g, "c")
     if tree is None:
-        return member.select(*g, F.col("m").alias(ident), F.col("c").alias("cluster"))
+        return member.withColumn("cluster", F.col("c"))
     n = member.groupBy(*g).agg(F.count("*").alias("n"))
     kept = tree.join(n, g).withColumn("r", F.row_number().over(Window.partitionBy(*g).orderBy("d", "a", "b"))).where(F.col("r") <= F.col("n") - k).select(*g, "a", "b")
-    # merges point to smaller numbers: follow them until nothing moves
-    label = member
-    for _ in range(rounds):
-        step = label.join(kept.select(*g, F.col("b").alias("c"), F.col("a").alias("to")), [*g, "c"], "left")
-        step = settled(step.groupBy(*g, "m").agg(F.min(F.coalesce("to", "c")).alias("c"), F.max(F.col("to").isNotNull()).alias("moved")))
-        label = step.select(*g, "m", "c")
-        if step.where("moved").isEmpty():
-            break
-    return label.select(*g, F.col("m").alias(ident), F.col("c").alias("cluster"))
+    root = _roots(settled(kept), g).withColumnRenamed("x", "c")
+    return member.join(root, [*g, "c"], "left").select(*g, "c", F.coalesce("to", "c").alias("cluster"))
+
+
+def _roots(edges: DataFrame, g: list[str]) -> DataFrame:
+    """(group, x, to): the smallest node that each node of the edges (a, b) leads to, in rounds that
+    halve the ways: a node takes the smallest label about it, then that label's own."""
+    both = settled(edges.select(*g, "a", "b").unionByName(edges.select(*g, F.col("b").alias("a"), F.col("a").alias("b"))))
+    label = settled(both.groupBy(*g, "a").agg(F.least(F.col("a"), F.min("b")).alias("to")).withColumnRenamed("a", "x"))
+    while True:
+        seen = both.join(label.select(*g, F.col("x").alias("b"), F.col("to").alias("t")), [*g, "b"]).groupBy(*g, F.col("a").alias("x")).agg(F.min("t").alias("t"))
+        step = label.join(seen, [*g, "x"]).select(*g, "x", F.col("to").alias("old"), F.least("to", "t").alias("to"))
+        jump = step.select(*g, F.col("x").alias("to"), F.col("to").alias("next"))
+        after = settled(step.join(jump, [*g, "to"], "left").select(*g, "x", "old", F.least("to", F.coalesce("next", "to")).alias("to")))
+        done = after.where("old != to").isEmpty()
+        forget(label)
+        label = after
+        if done:
+            forget(both)
+            return after.select(*g, "x", "to")
 
 
 def cap_clusters(windows: DataFrame, labels: DataFrame, most: int = DEFAULTS.max_clusters, ident: str = "win_id") -> DataFrame:
@@ -119,20 +218,21 @@ def cap_clusters(windows: DataFrame, labels: DataFrame, most: int = DEFAULTS.max
     return labels.join(many, g, "left_anti").select(*g, ident, "cluster").unionByName(again)
 
 
-def greedy_merge(windows: DataFrame, labels: DataFrame, limit: float = DEFAULTS.merge, ident: str = "win_id", rounds: int = 14) -> DataFrame:
+def greedy_merge(windows: DataFrame, labels: DataFrame, limit: float = DEFAULTS.merge, ident: str = "win_id") -> DataFrame:
     """The first pair of clusters (by number) whose mean vectors are close becomes one, means are taken
-    anew, and again: one merge for every recording a round."""
+    anew, and again until none is: one merge for every recording a round."""
     g = list(KEYS)
-    rows = windows.join(labels, [*g, ident]).select(*g, ident, "cluster", "embedding")
-    for _ in range(rounds):
+    rows = settled(windows.join(labels, [*g, ident]).select(*g, ident, "cluster", "embedding"))
+    while True:
         c = centroid(rows, [*g, "cluster"]).select(*g, "cluster", "centroid")
         a, b = c.toDF(*g, "a", "va"), c.toDF(*g, "b", "vb")
         close = a.join(b, g).where("a < b").where(cosine_distance(F.col("va"), F.col("vb")) < limit)
         pick = settled(close.groupBy(*g).agg(F.min(F.struct("a", "b")).alias("p")).select(*g, "p.a", F.col("p.b").alias("cluster")))
         if pick.isEmpty():
-            break
-        rows = settled(rows.join(pick, [*g, "cluster"], "left").withColumn("cluster", F.coalesce("a", "cluster")).drop("a"))
-    return rows.select(*g, ident, "cluster")
+            return rows.select(*g, ident, "cluster")
+        after = settled(rows.join(pick, [*g, "cluster"], "left").withColumn("cluster", F.coalesce("a", "cluster")).drop("a"))
+        forget(rows, pick)
+        rows = after
 
 
 def distance_matrix(vectors: DataFrame, refs: DataFrame, keys: list[str]) -> DataFrame:
@@ -185,6 +285,6 @@ def split_by_cohesion(spans: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
 
 
 def _voices(spans: DataFrame, th: Thresholds, per: list[str]) -> DataFrame:
-    keyed = spans.withColumn("_g", F.struct(*per))
-    got = agglomerate(keyed.select("_g", "span_id", "embedding"), th.cohesion, "span_id", ["_g"])
-    return got.select("_g.*", "span_id", F.col("cluster").alias("voice"))
+    keyed = spans.select(*[F.col(c).alias(f"_{c}") for c in per], "span_id", "embedding")
+    got = agglomerate(keyed, th.cohesion, "span_id", [f"_{c}" for c in per])
+    return got.select(*[F.col(f"_{c}").alias(c) for c in per], "span_id", F.col("cluster").alias("voice"))

@@ -212,9 +212,10 @@ def nearest_label(df: DataFrame, known: Column) -> DataFrame:
     """_nearest: the label of the nearest known row by midpoint, of the earlier one on a tie: a fill
     from either side, no pair made."""
     mid = (F.col("start_s") + F.col("end_s")) / 2
-    at = Window.partitionBy(*KEYS).orderBy("_mid", "seq")
+    at, back_to = Window.partitionBy(*KEYS).orderBy("_mid", "seq"), Window.partitionBy(*KEYS).orderBy(F.desc("_mid"), F.desc("seq"))
     rows = df.withColumn("_mid", mid).withColumn("_k", known).withColumn("_v", F.when(F.col("_k"), F.struct("_mid", "speaker")))
-    rows = rows.withColumns({"_b": F.last("_v", True).over(at.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.first("_v", True).over(at.rowsBetween(0, Window.unboundedFollowing))})
+    # the row after is the last one seen in the opposite order: a frame that runs to the end would be read anew for each row
+    rows = rows.withColumns({"_b": F.last("_v", True).over(at.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.last("_v", True).over(back_to.rowsBetween(Window.unboundedPreceding, 0))})
     back, ahead = F.col("_mid") - F.col("_b._mid"), F.col("_a._mid") - F.col("_mid")
     near = F.when(F.col("_a").isNull() | (back <= ahead), F.col("_b.speaker")).otherwise(F.col("_a.speaker"))
     return rows.withColumn("_nearest", near).drop("_mid", "_k", "_v", "_b", "_a")
@@ -263,7 +264,8 @@ def asof_turn(items: DataFrame, turns: DataFrame) -> DataFrame:
     i = items.select(*KEYS, ((F.col("start_s") + F.col("end_s")) / 2).alias("_t"), F.lit(1).alias("_tag"), F.col("seq").alias("_s"), F.lit(None).cast(t.schema["turn"].dataType).alias("turn"), F.struct(*items.columns).alias("item"))
     w = Window.partitionBy(*KEYS).orderBy("_t", "_tag", "_s")
     both = t.unionByName(i)
-    both = both.withColumn("turn", F.coalesce(F.last("turn", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("turn", True).over(w.rowsBetween(0, Window.unboundedFollowing))))
+    # before all turns the first one of the recording owns an item
+    both = both.withColumn("turn", F.coalesce(F.last("turn", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("turn", True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     return both.where("_tag = 1").select("item.*", "turn")
 
 
