@@ -1,17 +1,17 @@
 """Live recordings: turn detection, coalescing, timeline checks and attribution.
 
-The recurrences exist once, as plain functions over one event and a small state.  On a stream they run
-in transformWithStateInPandas, keyed by session (and channel), with event-time timers; on a finished
+The recurrences exist once, as plain functions over one event and a small state.  On a stream all three
+run in transformWithStateInPandas, keyed by session (and channel), with event-time timers; on a finished
 table each key's events pass through the same functions in order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import astuple, dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -40,19 +40,28 @@ class Endpointing:
     voiced_ms: float = 120.0
     max_sec: float = 30.0
 
+    def frames_of(self, ms: float, least: int = 0) -> int:
+        return max(least, round(ms / self.frame_ms))
+
 
 @dataclass
 class TurnState:
     floor: float = 0.0005
     active: bool = False
-    first: int = 0
+    #: Frames since the last turn (or the beginning), how many of them were loud in a row up to now, and the last ones' levels.
+    idle: int = 0
     loud: int = 0
+    recent: list = field(default_factory=list)
+    #: The open turn: its first frame, frames held with those before its onset, measured ones and voiced ones.
+    first: int = 0
+    held: int = 0
+    frames: int = 0
     voiced: int = 0
     quiet: int = 0
     peak: float = 0.0
     total: float = 0.0
-    frames: int = 0
-    last_end: int = 0
+    #: The last frame that was seen.
+    frame: int = -1
 
 
 TURN_COLUMNS = ["first_frame", "end_frame", "reason", "peak_rms", "mean_rms"]
@@ -61,44 +70,49 @@ TURN_COLUMNS = ["first_frame", "end_frame", "reason", "peak_rms", "mean_rms"]
 def detect_step(s: TurnState, frame: int, rms: float, p: Endpointing = Endpointing()) -> list[tuple]:
     """One frame; the turns that end with it.
 
-    The noise floor follows quiet frames fast downward and slowly upward.  A turn starts after some loud
-    frames in a row and ends after a hangover of quiet ones, or at its longest; it takes a little of what
-    was before and after, and counts only with enough voiced time.
+    The noise floor follows every frame, in speech too, fast downward and slowly upward, and the frame is
+    held against the limits that the new floor gives.  A turn starts after some loud frames in a row, at
+    the first of the pre-roll frames, which count those; it ends after a hangover of quiet ones, or at its
+    longest.
     """
+    s.frame = frame
+    keep = 0.7 if rms < s.floor else 0.995
+    s.floor = min(max(keep * s.floor + (1 - keep) * rms, p.floor_min), p.floor_max)
     start_at = max(s.floor * p.start_ratio, p.start_min)
     end_at = max(s.floor * p.end_ratio, p.end_min, 0.6 * start_at)
-    out: list[tuple] = []
     if not s.active:
-        keep = 0.7 if rms < s.floor else 0.995
-        if rms < start_at:
-            s.floor = min(max(keep * s.floor + (1 - keep) * rms, p.floor_min), p.floor_max)
+        s.idle += 1
+        s.recent = [*s.recent, rms][-p.confirm :]
         s.loud = s.loud + 1 if rms >= start_at else 0
         if s.loud >= p.confirm:
-            pre = int(p.pre_ms // p.frame_ms)
-            s.active, s.first, s.voiced, s.quiet = True, max(s.last_end, frame - p.confirm + 1 - pre), s.loud, 0
-            s.peak, s.total, s.frames = rms, rms, 1
-        return out
-    s.peak, s.total, s.frames = max(s.peak, rms), s.total + rms, s.frames + 1
-    if rms < end_at:
-        s.quiet += 1
+            s.held = min(s.idle, max(1, int(p.pre_ms / p.frame_ms)))
+            s.active, s.first, s.quiet = True, frame - max(s.held, p.confirm) + 1, 0
+            onset = s.recent[-s.held :]
+            s.frames, s.peak, s.total, s.voiced = len(onset), max(onset), sum(onset), sum(r >= end_at for r in onset)
+        return []
+    s.held, s.frames, s.peak, s.total = s.held + 1, s.frames + 1, max(s.peak, rms), s.total + rms
+    if rms >= end_at:
+        s.voiced, s.quiet = s.voiced + 1, 0
     else:
-        s.quiet, s.voiced = 0, s.voiced + 1
-    over = (frame + 1 - s.first) * p.frame_ms >= p.max_sec * 1000
-    if s.quiet * p.frame_ms >= p.hangover_ms or over:
-        out = close_turn(s, frame, "max_duration" if over else "hangover", p)
-    return out
+        s.quiet += 1
+    if s.held >= int(p.max_sec * 1000 / p.frame_ms):
+        return close_turn(s, "max_turn", p)
+    return close_turn(s, "hangover", p) if s.quiet >= p.frames_of(p.hangover_ms, 1) else []
 
 
-def close_turn(s: TurnState, frame: int, reason: str, p: Endpointing = Endpointing()) -> list[tuple]:
-    """End the open turn at this frame, if it was voiced enough."""
+def close_turn(s: TurnState, reason: str, p: Endpointing = Endpointing()) -> list[tuple]:
+    """End the open turn, if it was voiced enough: hangover less post-roll is taken off its end."""
     if not s.active:
         return []
-    post = int(p.post_ms // p.frame_ms)
-    end = frame + 1 - max(0, s.quiet - post)
-    s.active, s.loud, s.last_end = False, 0, end
+    length = max(1, s.held - p.frames_of(p.hangover_ms, 1) + p.frames_of(p.post_ms))
+    s.active, s.loud, s.idle, s.recent = False, 0, 0, []
     if s.voiced * p.frame_ms < p.voiced_ms:
         return []
-    return [(int(s.first), int(end), reason, float(s.peak), float(s.total / max(1, s.frames)))]
+    return [(int(s.first), int(s.first + min(length, s.held)), reason, float(s.peak), float(s.total / max(1, s.frames)))]
+
+
+#: Limits of joining turns: the pause between two, and the length of both together, seconds.
+MERGE_GAP, MERGE_MOST = 1.0, 15.0
 
 
 @dataclass
@@ -106,49 +120,54 @@ class HeldTurn:
     start: float = -1.0
     end: float = -1.0
     parts: int = 0
+    #: When the held turn is released, whatever comes; no deadline below 0.
+    due: float = -1.0
 
 
-def coalesce_step(s: HeldTurn, start: float, end: float, gap: float = 1.0, most: float = 15.0) -> list[tuple]:
-    """One closed turn; what is released: the held one, unless the new one follows closely and both
-    stay short enough together."""
+def coalesce_step(s: HeldTurn, start: float, end: float, now: float | None = None, gap: float = MERGE_GAP, most: float = MERGE_MOST) -> list[tuple]:
+    """One closed turn, received at `now`; what is released: the held one, if its time is over or the new
+    one doesn't follow closely or makes both too long.  A turn that is taken in extends the time."""
+    out = release(s) if s.parts and now is not None and now >= s.due >= 0 else []
+    due = -1.0 if now is None else now + gap
     if s.parts and 0 <= start - s.end <= gap and end - s.start <= most:
-        s.end, s.parts = end, s.parts + 1
-        return []
-    out = release(s)
-    s.start, s.end, s.parts = start, end, 1
+        s.end, s.parts, s.due = end, s.parts + 1, due
+        return out
+    out += release(s)
+    s.start, s.end, s.parts, s.due = start, end, 1, due
     return out
 
 
 def release(s: HeldTurn) -> list[tuple]:
     out = [(s.start, s.end, s.parts)] if s.parts else []
-    s.parts = 0
+    s.parts, s.due = 0, -1.0
     return out
 
 
+#: What a turn's declared start may be blamed for.
+REGRESSION, AHEAD = "start_sample_regression", "start_sample_ahead_of_stream"
+#: Faults of a session that are told in detail.
+FAULT_DETAILS = 10
+
+
 @dataclass
 class Timeline:
     high: float = 0.0
-    ends: dict | None = None
-    regressions: int = 0
-    leads: int = 0
-
-
-def guard_step(s: Timeline, channel: int, start: float, end: float, elapsed: float, slack: float = 0.05, lead: float = 10.0, lead_ratio: float = 0.05) -> tuple:
-    """(start, end, flag) of one turn: a start before the channel's last end, beyond the slack, is moved
-    there; one far beyond what the session has reached is flagged."""
-    ends = s.ends = s.ends or {}
-    last, flag = ends.get(channel, 0.0), None
-    if start < last - slack:
-        start, flag = last, "regression"
-        s.regressions += 1
-        end = max(end, start)
-    reach = max(s.high, elapsed)
-    if start > reach + max(lead, lead_ratio * reach):
-        flag = "lead"
-        s.leads += 1
-    ends[channel] = max(last, end)
-    s.high = max(s.high, end) if flag != "lead" else s.high
-    return start, end, flag
+    ends: dict = field(default_factory=dict)
+
+
+def guard_step(s: Timeline, channel: int, start: float, end: float, elapsed: float | None, slack: float = 0.05, lead: float = 10.0, lead_ratio: float = 0.05) -> tuple:
+    """(start, end, flag, faults) of one turn: a start before the channel's last end, beyond the slack, is
+    moved there; one far beyond what the session has reached is flagged.  A turn may be both: then the
+    first is its flag, and faults holds both."""
+    last, faults = s.ends.get(channel), []
+    if last is not None and start < last - slack:
+        faults.append(REGRESSION)
+        start = last
+    reach = s.high if elapsed is None else max(s.high, elapsed)
+    if start > reach + max(lead, lead_ratio * (elapsed or 0.0)):
+        faults.append(AHEAD)
+    s.ends[channel], s.high = max(end, start), max(s.high, end)
+    return start, end, faults[0] if faults else None, faults
 
 
 # -- finished tables --------------------------------------------------------------------------------
@@ -162,127 +181,196 @@ def _each(df: DataFrame, keys: list[str], order: list[str], schema: str, run) ->
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, key, out = None, None, []
         for f in frames:
-            for row in f.itertuples(index=False):
-                k = tuple(row[:n])
-                if k != key:
+            for row in zip(*(f[c].astype(object).tolist() for c in f.columns), strict=True):
+                if row[:n] != key:
                     if key is not None:
-                        out += [key + r for r in run(state, None)]
-                    state, key = run.begin(), k
-                out += [key + r for r in run(state, row[n:])]
+                        out += [key + r for r in run.end(state)]
+                    state, key = run.begin(), row[:n]
+                out += [key + r for r in run(state, *row[n:])]
             yield pd.DataFrame(out, columns=names)
             out = []
         if key is not None:
-            yield pd.DataFrame([key + r for r in run(state, None)], columns=names)
+            yield pd.DataFrame([key + r for r in run.end(state)], columns=names)
 
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
     return df.select(*keys, *[c for c in df.columns if c not in keys]).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(walk, schema)
 
 
 class _Detect:
-    def __init__(self, p: Endpointing):
+    """The steps over one key's rows: begin, one row, end; and the state as a row, for streams."""
+
+    state = "floor double, active boolean, idle long, loud long, recent array<double>, first long, held long, frames long, voiced long, quiet long, peak double, total double, frame long"
+
+    def __init__(self, p: Endpointing = Endpointing()):
         self.p = p
 
-    def begin(self):
-        return [TurnState(floor=self.p.floor_min), 0]
+    def begin(self) -> TurnState:
+        return TurnState(floor=self.p.floor_min)
+
+    def __call__(self, s, frame, rms):
+        return detect_step(s, int(frame), float(rms), self.p) if frame > s.frame else []  # a frame that came before counts once
+
+    def end(self, s):
+        return close_turn(s, "flush", self.p)
 
-    def __call__(self, state, row):
-        if row is None:
-            return close_turn(state[0], state[1], "flush", self.p)
-        state[1] = int(row[0])
-        return detect_step(state[0], int(row[0]), float(row[1]), self.p)
+    def due(self, s, seen: float, idle: float) -> float | None:
+        return seen + idle if s.active else None
+
+    def pack(self, s) -> tuple:
+        return astuple(s)
+
+    def unpack(self, v) -> TurnState:
+        return TurnState(*v[:4], list(v[4]), *v[5:])
 
 
 class _Coalesce:
-    def begin(self):
+    state = "start double, end double, parts long, due double"
+
+    def begin(self) -> HeldTurn:
         return HeldTurn()
 
-    def __call__(self, state, row):
-        return release(state) if row is None else coalesce_step(state, float(row[0]), float(row[1]))
+    def __call__(self, s, start, end, now=None):
+        return coalesce_step(s, float(start), float(end), None if now is None or now != now else float(now))
+
+    def end(self, s):
+        return release(s)
+
+    def due(self, s, seen: float, idle: float) -> float | None:
+        return s.due if s.parts else None
+
+    def pack(self, s) -> tuple:
+        return astuple(s)
+
+    def unpack(self, v) -> HeldTurn:
+        return HeldTurn(*v)
 
 
 class _Guard:
-    def begin(self):
+    state = "high double, channels array<int>, ends array<double>"
+
+    def begin(self) -> Timeline:
         return Timeline()
 
-    def __call__(self, state, row):
-        if row is None:
-            return []
-        seq, channel, start, end, elapsed = row
-        return [(int(seq), int(channel), *guard_step(state, int(channel), float(start), float(end), float(elapsed)))]
+    def __call__(self, s, seq, channel, start, end, elapsed=None):
+        elapsed = None if elapsed is None or elapsed != elapsed else float(elapsed)
+        return [(int(seq), int(channel), *guard_step(s, int(channel), float(start), float(end), elapsed))]
+
+    def end(self, s):
+        return []
+
+    def due(self, s, seen: float, idle: float) -> float | None:
+        return None
+
+    def pack(self, s) -> tuple:
+        return s.high, list(s.ends), list(s.ends.values())
+
+    def unpack(self, v) -> Timeline:
+        return Timeline(v[0], dict(zip(v[1], v[2], strict=True)))
+
+
+_TURNS = "session_id long, channel int, first_frame long, end_frame long, reason string, peak_rms double, mean_rms double"
+_JOINED = "session_id long, channel int, start_s double, end_s double, parts int"
+_GUARDED = "session_id long, sequence long, channel int, start_s double, end_s double, flag string, faults array<string>"
 
 
 def detect_turns(frames: DataFrame, p: Endpointing = Endpointing()) -> DataFrame:
     """Turns of every (session_id, channel) from frames (frame_idx, rms)."""
-    return _each(frames.select("session_id", "channel", "frame_idx", "rms"), ["session_id", "channel"], ["frame_idx"], "session_id long, channel int, first_frame long, end_frame long, reason string, peak_rms double, mean_rms double", _Detect(p))
+    return _each(frames.select("session_id", "channel", "frame_idx", "rms"), ["session_id", "channel"], ["frame_idx"], _TURNS, _Detect(p))
 
 
 def coalesce_turns(turns: DataFrame) -> DataFrame:
-    """Turns (start_s, end_s) of every (session_id, channel), short pauses closed."""
-    return _each(turns.select("session_id", "channel", "start_s", "end_s"), ["session_id", "channel"], ["start_s", "end_s"], "session_id long, channel int, start_s double, end_s double, parts int", _Coalesce())
+    """Turns (start_s, end_s) of every (session_id, channel), short pauses closed; with a column recv_s,
+    the second in which a turn came, a held turn is released after its time, as on a stream."""
+    more = ["recv_s"] if "recv_s" in turns.columns else []
+    return _each(turns.select("session_id", "channel", "start_s", "end_s", *more), ["session_id", "channel"], [*more, "start_s", "end_s"], _JOINED, _Coalesce())
 
 
 def guard_timeline(turns: DataFrame) -> DataFrame:
     """Turns of every session in arrival order (sequence), clamped and flagged."""
-    return _each(turns.select("session_id", "sequence", "channel", "start_s", "end_s", "elapsed_s"), ["session_id"], ["sequence"], "session_id long, sequence long, channel int, start_s double, end_s double, flag string", _Guard())
+    return _each(turns.select("session_id", "sequence", "channel", "start_s", "end_s", "elapsed_s"), ["session_id"], ["sequence"], _GUARDED, _Guard())
+
+
+def timeline_faults(guarded: DataFrame, details: int = FAULT_DETAILS) -> DataFrame:
+    """Per session: how many faults of each kind, the channels they are of, and the first few turns with
+    one; the counts are of all."""
+    rows = guarded.where(F.size("faults") > 0)
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("session_id").orderBy("sequence"))).where(F.col("_n") <= details)
+    shown = first.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "channel", "start_s", "flag"))).alias("details"))
+    kind = lambda k: F.count_if(F.array_contains("faults", k))
+    per = rows.groupBy("session_id").agg(kind(REGRESSION).alias("regressions"), kind(AHEAD).alias("ahead"), F.array_sort(F.collect_set("channel")).alias("channels"))
+    return per.join(shown, "session_id")
 
 
 # -- streams ----------------------------------------------------------------------------------------
 
 
-class TurnProcessor(StatefulProcessor):
-    """detect_turns on a stream: state is one TurnState; an event-time timer closes a turn whose session
-    falls silent."""
+class Steps(StatefulProcessor):
+    """One of the recurrences on a stream: a key's state between micro-batches, its new rows in order of
+    `order`, and an event-time timer for what ends without a further row."""
 
-    def __init__(self, p: Endpointing = Endpointing(), idle_ms: int = 5000):
-        self.p, self.idle_ms = p, idle_ms
+    def __init__(self, run, columns: list[str], order: list[str], names: list[str], idle_s: float = 5.0):
+        self.run, self.columns, self.order, self.names, self.idle_s = run, columns, order, names, idle_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        kind = "floor double, active boolean, first long, loud int, voiced int, quiet int, peak double, total double, frames int, last_end long, frame long"
-        self.state = handle.getValueState("turn", kind)
+        self.state = handle.getValueState("state", self.run.state)
 
-    def _load(self) -> tuple[TurnState, int]:
-        if not self.state.exists():
-            return TurnState(floor=self.p.floor_min), 0
-        v = self.state.get()
-        return TurnState(*v[:10]), v[10]
+    def _load(self):
+        return self.run.unpack(self.state.get()) if self.state.exists() else self.run.begin()
 
     def _rows(self, key, found: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(int(key[0]), int(key[1]), *x) for x in found], columns=["session_id", "channel", *TURN_COLUMNS])
+        return pd.DataFrame([(*(int(k) for k in key), *x) for x in found], columns=self.names)
 
     def handleInputRows(self, key, rows, timerValues):
-        s, frame = self._load()
-        found: list[tuple] = []
-        for f in rows:
-            for r in f.sort_values("frame_idx").itertuples(index=False):
-                frame = int(r.frame_idx)
-                found += detect_step(s, frame, float(r.rms), self.p)
-        self.state.update((*asdict(s).values(), frame))
+        s, found = self._load(), []
+        # a key's rows of one micro-batch may come in several frames, in no order
+        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        for row in zip(*(batch[c].astype(object).tolist() for c in self.columns), strict=True):
+            found += self.run(s, *row)
+        seen = batch["recv_ts"].max().timestamp()
+        self.state.update(self.run.pack(s))
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
-        self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.idle_ms)
+        due = self.run.due(s, seen, self.idle_s)
+        if due is not None:
+            self.handle.registerTimer(max(int(1000 * due), timerValues.getCurrentWatermarkInMs() + 1))
         yield self._rows(key, found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        s, frame = self._load()
-        found = close_turn(s, frame, "flush", self.p)
-        self.state.update((*asdict(s).values(), frame))
+        s = self._load()
+        found = self.run.end(s)
+        self.state.update(self.run.pack(s))
         yield self._rows(key, found)
 
     def close(self) -> None:
         pass
 
 
+def _stream(df: DataFrame, keys: list[str], steps: Steps, schema: str, lateness: str) -> DataFrame:
+    return df.withWatermark("recv_ts", lateness).groupBy(*keys).transformWithStateInPandas(steps, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def _names(schema: str) -> list[str]:
+    return [c.strip().split(" ")[0] for c in schema.split(",")]
+
+
 def detect_turns_stream(frames: DataFrame, lateness: str = "10 seconds", p: Endpointing = Endpointing()) -> DataFrame:
     """frames: a stream of (session_id, channel, frame_idx, rms, recv_ts); later rows than the watermark
-    are dropped, so that state stays bounded."""
-    return (
-        frames.withWatermark("recv_ts", lateness)
-        .groupBy("session_id", "channel")
-        .transformWithStateInPandas(
-            TurnProcessor(p), outputStructType="session_id long, channel int, first_frame long, end_frame long, reason string, peak_rms double, mean_rms double", outputMode="Append", timeMode="EventTime"
-        )
-    )
+    are dropped, so that state stays bounded, and a frame that steps back counts no more."""
+    return _stream(frames, ["session_id", "channel"], Steps(_Detect(p), ["frame_idx", "rms"], ["frame_idx"], _names(_TURNS)), _TURNS, lateness)
+
+
+def coalesce_turns_stream(turns: DataFrame, lateness: str = "10 seconds") -> DataFrame:
+    """turns: a stream of (session_id, channel, start_s, end_s, recv_ts).  A held turn is released by the
+    next one, or when the watermark passes its deadline."""
+    rows = turns.withColumn("recv_s", F.unix_micros("recv_ts") / 1e6)
+    return _stream(rows, ["session_id", "channel"], Steps(_Coalesce(), ["start_s", "end_s", "recv_s"], ["recv_ts", "start_s", "end_s"], _names(_JOINED)), _JOINED, lateness)
+
+
+def guard_timeline_stream(turns: DataFrame, lateness: str = "10 seconds") -> DataFrame:
+    """turns: a stream of (session_id, sequence, channel, start_s, end_s, elapsed_s, recv_ts), keyed by
+    session, as what a session has reached is that of all its channels."""
+    return _stream(turns, ["session_id"], Steps(_Guard(), ["sequence", "channel", "start_s", "end_s", "elapsed_s"], ["sequence"], _names(_GUARDED)), _GUARDED, lateness)
 
 
 def validate_frames(packets: DataFrame) -> tuple[DataFrame, DataFrame]:
