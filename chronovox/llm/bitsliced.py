@@ -9,8 +9,6 @@ boundary are resolved by id, and the chosen rows' scores are read back from the
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,18 +20,25 @@ SCALE = 1024
 TOP = 10
 #: Rows of an index block (a multiple of 64).
 BLOCK_ROWS = 16384
-#: Queries that one pass over the index answers; so many rows are sent to the tasks at most.
-QUERY_BLOCK = 1024
+#: Rows of a block of queries, and index blocks that a task holds while blocks of queries pass by.
+QUERY_BLOCK, HELD_BLOCKS = 256, 16
+#: Larger numbers count as this one, so that all are longs.
+LARGEST = 1 << 62
 QUERY_EVERY = 100
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, q: floor(scale * x) of each component, without vectors that are null, empty or hold a
-    null or a number that isn't finite."""
+    """vec_id, q: floor(scale * x) of each component, at most LARGEST away from 0, without vectors that are
+    null or hold a null or a number that isn't finite.  A vector without components has score 0 with all."""
     x = F.transform("embedding", lambda v: v.cast("double"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where("vec_id IS NOT NULL AND x IS NOT NULL AND size(x) > 0")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where("vec_id IS NOT NULL AND x IS NOT NULL")
     rows = rows.where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
-    return rows.select("vec_id", F.transform("x", lambda v: F.floor(v * float(scale)).cast("int")).alias("q"))
+    most = float(LARGEST)
+    return rows.select("vec_id", F.transform("x", lambda v: F.floor(F.greatest(F.least(v * float(scale), F.lit(most)), F.lit(-most))).cast("long")).alias("q"))
+
+
+#: A block's row: of the index, or (dims -1) of queries with their lengths and numbers in slices.
+_RIDE = "n int, ids binary, dims int, low long, width int, slices binary"
 
 
 def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -46,9 +51,9 @@ def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
             order = np.argsort(i, kind="stable")
             i, v = i[order], v[order]
             n, dims = v.shape
-            low = int(v.min())
-            u = (v - low).astype(np.uint64)
-            width = max(1, int(u.max()).bit_length())
+            low = int(v.min(initial=0))
+            u = v.astype(np.uint64) - np.uint64(low % 2**64)
+            width = max(1, int(u.max(initial=0)).bit_length())
             padded = -(-n // 64) * 64
             bits = np.zeros((dims, width, padded), np.uint8)
             for b in range(width):
@@ -76,7 +81,16 @@ def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         if held:
             yield block(np.concatenate(ids), np.concatenate(held))
 
-    return rows.mapInArrow(run, "n int, ids binary, dims int, low long, width int, slices binary")
+    return rows.mapInArrow(run, _RIDE)
+
+
+def products(v: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products as longs; what a long can't hold is the long nearest to it."""
+    most = max(1, v.shape[1]) * max((int(abs(x).max(initial=0)) for x in (v, query)), default=0) ** 2
+    if most < 2**62:
+        return v @ query
+    exact = [sum(int(a) * int(b) for a, b in zip(row, query, strict=True)) for row in v]
+    return np.array([min(max(x, -(2**63)), 2**63 - 1) for x in exact], np.int64)
 
 
 class Block:
@@ -85,7 +99,7 @@ class Block:
     def __init__(self, row: dict):
         self.n, self.dims, self.width, self.low = row["n"], row["dims"], row["width"], row["low"]
         self.ids = np.frombuffer(row["ids"], "<i8")
-        slices = np.frombuffer(row["slices"], "<u8").reshape(self.dims * self.width, -1)
+        slices = np.frombuffer(row["slices"], "<u8").reshape(self.dims * self.width, -(-self.n // 64))
         self.bitmaps = np.concatenate([slices, ~slices])
         self.valid = np.zeros(slices.shape[1] * 64, np.uint8)
         self.valid[: self.n] = 1
@@ -95,7 +109,7 @@ class Block:
         """Slices of sum(|q| * u), u the number or (where q is negative) its complement: the order of
         the scores.  Missing components of either count as 0."""
         query = query[: self.dims]
-        size = np.abs(query)
+        size = np.abs(query).astype(np.int64)
         base = np.arange(len(query)) * self.width + np.where(query < 0, self.dims * self.width, 0)
         columns: dict[int, list[np.ndarray]] = {}
         for j in range(int(size.max()).bit_length() if len(size) else 0):
@@ -148,7 +162,7 @@ class Block:
         chosen = self._places(sure)
         # what is still open ties at the boundary; rows stand in order of id
         chosen = np.concatenate([chosen, self._places(open_)[: max(0, k - len(chosen))]])
-        return self.ids[chosen], self.values(chosen)[:, : len(query)] @ query[: self.dims]
+        return self.ids[chosen], products(self.values(chosen)[:, : len(query)], query[: self.dims])
 
     @staticmethod
     def _places(bitmap: np.ndarray) -> np.ndarray:
@@ -158,44 +172,61 @@ class Block:
         """The quantised numbers of some rows, from their bits."""
         half = self.bitmaps[: self.dims * self.width]
         bits = (half[:, rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)
-        weight = np.int64(1) << np.arange(self.width, dtype=np.int64)
-        return (bits.astype(np.int64).reshape(self.dims, self.width, -1) * weight[None, :, None]).sum(axis=1).T + self.low
+        weight = np.uint64(1) << np.arange(self.width, dtype=np.uint64)
+        u = (bits.reshape(self.dims, self.width, len(rows)) * weight[None, :, None]).sum(axis=1, dtype=np.uint64).T
+        return (u + np.uint64(self.low % 2**64)).astype(np.int64)
+
+
+def _query_blocks(queries: DataFrame, block: int) -> DataFrame:
+    """Blocks of about `block` queries in the columns of _RIDE."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, block):
+                ids, q = batch.column(0).slice(a, block), batch.column(1).slice(a, block)
+                yield pa.RecordBatch.from_pydict({"n": pa.array([len(ids)], pa.int32()), "ids": [np.asarray(ids).astype("<i8").tobytes()], "dims": pa.array([-1], pa.int32()), "low": pa.array([0], pa.int64()), "width": pa.array([0], pa.int32()), "slices": [np.concatenate([np.asarray(q.value_lengths()).astype("<i8"), np.asarray(q.flatten()).astype("<i8")]).tobytes()]})
+
+    return queries.select("vec_id", "q").mapInArrow(run, _RIDE)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = TOP, block: int = QUERY_BLOCK) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = TOP, block: int = QUERY_BLOCK, held: int = HELD_BLOCKS) -> DataFrame:
     """query_id, rank, vec_id, score: every query's k best rows of the index (all, if fewer), ties to
-    the smaller vec_id; a row with the query's own vec_id is no candidate.
+    the smaller vec_id; a row with the query's own vec_id is no candidate.  Scores beyond a long are the
+    nearest long, and such rows rank by that.
 
-    queries: vec_id, q; of rows with the same vec_id one is asked.  Queries go out in blocks of about
-    `block` rows, each answered by one pass over the index in which a task keeps k rows per query.
+    queries: vec_id, q; of rows with the same vec_id one is asked, repeated rows of the index all stand.
+    Both sides are tables of blocks: about `held` index blocks make a part, to which every block of
+    queries goes; a task holds its part's index blocks while the queries pass, and sends k rows of each.
     """
-    spark = index.sparkSession
-    asked = saved(queries.dropDuplicates(["vec_id"]), "queries")
-    blocks = max(1, math.ceil(asked.count() / block))
-    parts = []
-    for b in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        sent = spark.sparkContext.broadcast((np.array([r.vec_id for r in rows], np.int64), [np.array(r.q, np.int64) for r in rows]))
-
-        def run(batches, sent=sent):
-            ids, vectors = sent.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
-            for batch in batches:
-                for row in batch.to_pylist():
-                    own = Block(row)
-                    for i, q in enumerate(vectors):
-                        v, s = own.top(int(ids[i]), q, k)
-                        v, s = np.concatenate([best[i][0], v]), np.concatenate([best[i][1], s])
-                        keep = np.lexsort((v, -s))[:k]
-                        best[i] = v[keep], s[keep]
-            counts = [len(v) for v, _ in best]
-            if sum(counts):
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, counts), "vec_id": np.concatenate([v for v, _ in best]), "score": np.concatenate([s for _, s in best])})
-
-        parts.append(index.mapInArrow(run, "query_id long, vec_id long, score long"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    parts = max(1, -(-index.count() // held))
+    own = index.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).withColumn("kind", F.lit(0))
+    asked = _query_blocks(queries.dropDuplicates(["vec_id"]), block)
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("kind", F.lit(1))
+    # a key for each part and row kind, so that a task meets a part's index before its queries
+    dealt = own.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind")
+
+    def run(batches):
+        part, here = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names)}
+                if row["part"] != part:
+                    part, here = row["part"], []
+                if row["kind"] == 0:
+                    here.append(Block(row))
+                    continue
+                ids = np.frombuffer(row["ids"], "<i8")
+                lengths, flat = np.split(np.frombuffer(row["slices"], "<i8"), [len(ids)])
+                found = []
+                for query_id, q in zip(ids.tolist(), np.split(flat, np.cumsum(lengths)[:-1]), strict=True):
+                    got = [b.top(query_id, q, k) for b in here]
+                    v, s = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([g[0] for g in got], [g[1] for g in got]))
+                    keep = np.lexsort((v, -s.astype(object) if len(s) and s.min() == -(2**63) else -s))[:k]
+                    found.append((np.full(len(keep), query_id), v[keep], s[keep]))
+                query_ids, v, s = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_pydict({"query_id": query_ids.astype(np.int64), "vec_id": v, "score": s})
+
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

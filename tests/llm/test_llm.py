@@ -49,6 +49,20 @@ def test_top_k_against_all_products(spark):
     assert bitsliced.search(bitsliced.build_index(q.where("false")), q.where("false")).count() == 0
 
 
+def test_top_k_of_large_numbers_and_uneven_lengths(spark):
+    """Numbers of any size take part; missing components count as 0; scores beyond a long are the nearest long."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=rng.integers(0, 6)) * 10.0 ** rng.integers(0, 9)]) for i in range(150)]
+    rows += [(200, [3.0e6, 1.0]), (201, [-3.0e6, 2.0]), (300, [1e38, 1.0]), (301, [-1e38]), (302, []), (303, None), (304, [float("inf")])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = bitsliced.quantised(df)
+    got = bitsliced.search(bitsliced.build_index(q.repartition(3), 64), q.where("vec_id % 100 = 0"), 10, 2, 1)
+    n = {i: [max(-(2**62), min(2**62, int(np.floor(np.float64(x) * 1024)) if abs(x) < 1e30 else int(np.sign(x)) * 2**62)) for x in v] for i, v in rows if v is not None and np.isfinite(v).all()}
+    for query in (0, 100, 200, 300):
+        s = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(n[query], n[i], strict=False)))), i) for i in n if i != query)[:10]
+        assert [(r.rank, r.vec_id, r.score) for r in got.where(F.col("query_id") == query).orderBy("rank").collect()] == [(k + 1, i, -x) for k, (x, i) in enumerate(s)]
+
+
 # -- 2 ----------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
