@@ -3,8 +3,8 @@
 A page becomes a sequence of text blocks, each with its root-to-leaf path of block tags.  For every
 path the text length and the punctuation per block are summed; both sequences are smoothed along the
 page, fused by multiplication, and the paths that reach a share of the best one are content.  The
-smallest container that holds the content paths gives all its blocks; navigation, adverts, forms,
-notices, comments and the like never count.
+smallest element that holds the content paths gives its blocks, but for other paths that are mostly
+links; navigation, adverts, forms, notices, comments and the like never count.
 """
 
 from __future__ import annotations
@@ -36,12 +36,25 @@ _VOID = frozenset("br hr img input meta link area base col embed source track wb
 #: A start tag of these closes an open element of the listed kinds.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "option": ("option",)}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "thead": ("table",), "tbody": ("table",)}
-#: Words in class, id or role that mark what isn't the article (whole words between separators).
-_MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert(?:s|isement|ising|orial)?|banner|sponsor(?:ed|s)?|promo(?:tion|s)?|comments?|commentlist|disqus|replies|respond|discussion|sidebar|side|menu|menubar|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|topbar|toolbar|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|pagination|pager|widget|search|skip|legal|copyright|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
+#: Words in a container's class that mark what isn't the article (whole words of a name).
+_MARKED = frozenset(
+    "ad ads adv advert adverts advertisement advertising advertorial banner sponsor sponsors sponsored promo promos promotion comment comments commentlist disqus replies respond discussion sidebar side menu menubar nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login share sharing social related recommended pagination pager widget search skip legal copyright".split()
 )
-_PLAIN = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|page|wrapper)(?:$|[\s_-])", re.I)
+#: Those that also count in an id within the article, where an id may be no more than an anchor.
+_MARKED_ID = frozenset("ad ads advert adverts advertisement banner sponsored comment comments commentlist disqus respond sidebar nav navbar navigation breadcrumbs footer cookie cookies consent newsletter".split())
+#: Those that count on paragraphs, items, cells and inline elements.
+_ADVERT = frozenset("ad ads advert adverts advertisement advertising sponsored promo".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
+#: Names of the article itself, and beginnings of names that only tell what is beside it.
+_PLAIN = frozenset("article content main post entry story body page wrapper".split())
+_BESIDE = frozenset("has with no without".split())
+_WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that words mark as a whole.
+_CONTAINERS = frozenset("div section ul ol dl table center fieldset details figure header hgroup article address".split())
+#: Elements that an article may be.
+_HOLDERS = frozenset("html body main article section div td center".split())
+_COMMENT = frozenset("comment comments reply replies".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
@@ -56,47 +69,68 @@ _PUNCT = re.compile(r"[.,;:!?…。，；：！？、]")
 
 
 class Block:
-    __slots__ = ("path", "text", "linked", "nodes")
+    """A block of text: its path of tags and its innermost element, by number."""
 
-    def __init__(self, path: tuple[str, ...], nodes: tuple[int, ...]):
-        self.path, self.nodes, self.text, self.linked = path, nodes, [], 0
+    __slots__ = ("path", "node", "tag", "text", "linked")
 
+    def __init__(self, path: int, node: int, tag: str):
+        self.path, self.node, self.tag, self.text, self.linked = path, node, tag, [], 0
 
-def blocks(page: str) -> list[Block]:
+
+class Page:
+    """A page's blocks in order, and for each element its tag, its parent and the outermost article about it."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.parent, self.article, self.tags = [-1], [-1], ["body"]
+
+
+def parse(page: str) -> Page:
     """The text blocks of a page in order, without those of skipped and marked elements.
 
     Open paragraphs close at the next block, list items and cells at the next of their kind; an end
-    tag closes up to its element, or nothing if none is open.
+    tag closes up to its element, or nothing if none is open.  One pass: what has no end tag is looked
+    for once, and paths are numbers.
     """
-    out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # block tag, its number, whether it is away from the article
-    path: list[str] = []
-    nodes: list[int] = []
-    count, links, away, current = 0, 0, 0, None
+    out = Page()
+    stack: list[tuple[str, int, bool, int]] = []  # block tag, its number, whether it is away from the article, path
+    paths: dict[tuple[int, str], int] = {}
+    opened: dict[str, int] = defaultdict(int)
+    endless: set[str] = set()
+    links, away, hidden, current = 0, 0, ["", 0], None
     pos, end = 0, len(page)
 
     def text(s: str) -> None:
         nonlocal current
-        if away or not s:
+        if away or hidden[1] or not s:
             return
         if current is None:
             if s.isspace():
                 return
-            current = Block(tuple(path), tuple(nodes))
-            out.append(current)
+            tag, node, _, path = stack[-1] if stack else ("", 0, False, -1)
+            current = Block(path, node, tag)
+            out.blocks.append(current)
         current.text.append(s)
         if links:
             current.linked += len(s.strip())
 
     def close(to: int) -> None:
         nonlocal current, away
-        current = None
+        current, hidden[1] = None, 0
         while len(stack) > to:
-            _, _, gone = stack.pop()
-            path.pop()
-            nodes.pop()
+            tag, _, gone, _ = stack.pop()
+            opened[tag] -= 1
             away -= gone
 
+    def after(name: str, what: str) -> re.Match | None:
+        """The next match, or None; after a None the pattern is not looked for again."""
+        if what in endless:
+            return None
+        found = re.compile(what, re.I).search(page, pos)
+        if found is None:
+            endless.add(what)
+        return found
+
     while pos < end:
         m = _TOKEN.search(page, pos)
         if m is None:
@@ -108,25 +142,28 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         name = name.lower()
+        if hidden[1] and name == hidden[0]:
+            hidden[1] += -1 if slash else 1
+            if slash:
+                continue
         if slash:
             if name == "a":
                 links = max(0, links - 1)
-            elif name in _BLOCK:
+            elif opened[name] > 0:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
                         close(k)
                         break
                     if stack[k][0] in ("td", "th", "table") and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "article", "main", "section", "div"):
                         break
-                else:
-                    if name == "p":
-                        current = None
+            elif name == "p":
+                current = None
             continue
         if name in _SKIP:
             if not attrs.rstrip().endswith("/"):
-                stop = re.compile(rf"</{name}\s*>", re.I).search(page, pos)
+                stop = after(name, rf"</{name}\s*>")
                 if name == "head" and stop is None:
-                    stop = re.compile(r"<body\b", re.I).search(page, pos)
+                    stop = after(name, r"<body\b")
                     pos = stop.start() if stop else pos
                 else:
                     pos = stop.end() if stop else (end if name in ("script", "style", "textarea", "title") else pos)
@@ -136,53 +173,83 @@ def blocks(page: str) -> list[Block]:
             continue
         if name == "a":
             links = 1
-            continue
         if name not in _BLOCK:
+            if not hidden[1] and name not in _VOID and "=" in attrs and _is_marked(name, attrs, True):
+                hidden[:] = [name, 1]
             continue
-        current = None
+        current, hidden[1] = None, 0
         if name == "hr":
             continue
         # an open paragraph ends here; so do an open item or cell of the same list or table
-        for k in range(len(stack) - 1, -1, -1):
-            tag = stack[k][0]
-            if tag == "p" or tag in ("h1", "h2", "h3", "h4", "h5", "h6") and name in ("h1", "h2", "h3", "h4", "h5", "h6", "p"):
-                close(k)
-                break
-            if tag in _CLOSES.get(name, ()):
-                close(k)
-                continue
-            if tag in _SCOPE.get(name, ()) or tag not in _CLOSES.get(name, ()) and name not in _SCOPE:
-                break
-        count += 1
-        gone = name in _AROUND or _is_marked(attrs) or name == "header" and "article" not in path and "main" not in path
-        if name in ("html", "body", "main", "article"):
+        if name not in _SCOPE or any(opened[t] for t in ("p", *_HEADINGS, *_CLOSES.get(name, ()))):
+            for k in range(len(stack) - 1, -1, -1):
+                tag = stack[k][0]
+                if tag == "p" or tag in _HEADINGS and (name in _HEADINGS or name == "p"):
+                    close(k)
+                    break
+                if tag in _CLOSES.get(name, ()):
+                    close(k)
+                    continue
+                if tag in _SCOPE.get(name, ()) or tag not in _CLOSES.get(name, ()) and name not in _SCOPE:
+                    break
+        node, up = len(out.parent), stack[-1][1] if stack else 0
+        inside = out.article[up]
+        gone = name in _AROUND or _is_marked(name, attrs, inside >= 0) or name == "header" and inside < 0
+        if name in ("html", "body", "main"):
             gone = False
         label = name
         if attrs and name in ("div", "section", "td", "li", "article"):
             cls = next((a or b or c for k, a, b, c in _ATTR.findall(attrs) if k.lower() == "class"), "")
             label = f"{name}.{cls.split()[0]}" if cls.split() else name
-        stack.append((name, count, gone))
-        path.append(label)
-        nodes.append(count)
+        path = paths.setdefault((stack[-1][3] if stack else -1, label), len(paths))
+        out.parent.append(up)
+        out.tags.append(name)
+        out.article.append(inside if inside >= 0 else node if name in ("article", "main") and not gone else -1)
+        stack.append((name, node, gone, path))
+        opened[name] += 1
         away += gone
-    for b in out:
+    for b in out.blocks:
         b.text = _SPACE.sub(" ", html.unescape("".join(b.text))).strip()
-    return [b for b in out if b.text]
+    out.blocks = [b for b in out.blocks if b.text]
+    return out
+
+
+def _marks(value: str, words: frozenset) -> bool:
+    """Whether one of the names in value has a marked word, and none is the article's own."""
+    names = [[w.lower() for w in _WORDS.findall(n)] for n in value.split()]
+    if any(len(n) == 1 and n[0] in _PLAIN for n in names):
+        return False
+    for n in names:
+        hit = [w for w in n if w in words]
+        if hit and n[0] not in _BESIDE and not (set(hit) <= {"header", "side"} and _PLAIN & set(n)):
+            return True
+    return False
 
 
-def _is_marked(attrs: str) -> bool:
-    if "=" not in attrs:
-        return "hidden" in attrs.split()
+def _is_marked(name: str, attrs: str, inside: bool) -> bool:
+    """Whether an element is hidden or, by its class, id or role, not part of the article."""
+    if not attrs or name in ("html", "body", "main"):
+        return False
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), a or b or c
-        if key in ("class", "id", "role") and _MARKED.search(value) and not _PLAIN.search(value):
-            return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) or key == "aria-hidden" and value == "true":
             return True
-    return False
+        if key == "role" and name not in _HEADINGS and value.lower() in _ROLES:
+            return True
+        if key not in ("class", "id") or name in _HEADINGS:
+            continue
+        if name == "article":
+            words = _COMMENT
+        elif name not in _CONTAINERS:
+            words = _ADVERT
+        else:
+            words = _MARKED_ID if key == "id" and inside else _MARKED
+        if _marks(value, words):
+            return True
+    return "hidden" in _ATTR.sub(" ", attrs).split()
 
 
-def content_paths(found: list[Block], threshold: float = THRESHOLD, radius: int = RADIUS) -> set[tuple[str, ...]]:
+def content_paths(found: list[Block], threshold: float = THRESHOLD, radius: int = RADIUS) -> set[int]:
     """Paths whose fused, smoothed ratio of text and punctuation reaches a share of the best path's."""
     length, punct, count = defaultdict(float), defaultdict(float), defaultdict(int)
     for b in found:
@@ -204,31 +271,43 @@ def content_paths(found: list[Block], threshold: float = THRESHOLD, radius: int
 
 
 def main_text(page: str | None) -> str:
-    """The article of a page: blocks in page order, joined by an empty line; '' if there is none."""
+    """The article of a page: blocks in page order, joined by an empty line; '' if there is none.
+
+    The paths of content choose the element that holds nearly all of it, within the article that the
+    page names, if it does.  In that element a path below the threshold goes if most of its text is
+    links; headings and short paths with words of their own stay.
+    """
     if not page:
         return ""
-    found = blocks(page)
-    if not found:
+    got = parse(page)
+    if not got.blocks:
         return ""
-    named = [b for b in found if any(p.split(".")[0] in ("article", "main") for p in b.path)]
-    pool = named or found
+    pool = [b for b in got.blocks if got.article[b.node] >= 0] or got.blocks
     good = content_paths(pool)
     chosen = [b for b in pool if b.path in good] or pool
-    weight: dict[int, int] = defaultdict(int)
+    weight, held = [0] * len(got.parent), defaultdict(int)
     for b in chosen:
-        for n in b.nodes:
-            weight[n] += len(b.text)
-    total = sum(len(b.text) for b in chosen)
-    # the innermost element that holds nearly all of the content; all its blocks are the article
-    inner = max((n for n, w in weight.items() if w >= 0.9 * total), default=None)
-    if named:
-        holders = [next((n for p, n in zip(b.path, b.nodes, strict=True) if p.split(".")[0] in ("article", "main")), None) for b in chosen]
-        outer = max(set(holders), key=lambda n: (sum(len(b.text) for b, h in zip(chosen, holders, strict=True) if h == n), -n))
-        inner = min(inner, outer) if inner is not None and weight[outer] >= 0.9 * total else inner if inner is not None else outer
-    kept = [b for b in pool if inner is None or inner in b.nodes]
-    if not named:
-        kept = [b for b in kept if b.path in good or b.path[-1][:2] in ("h1", "h2", "h3", "h4") or b.linked < 0.5 * len(b.text)]
-    return "\n\n".join(b.text for b in kept)
+        weight[b.node] += len(b.text)
+        held[got.article[b.node]] += len(b.text)
+    total = sum(held.values())
+    for n in range(len(weight) - 1, 0, -1):  # a parent's number is smaller
+        weight[got.parent[n]] += weight[n]
+    # the innermost element that holds nearly all of the content, and not less than its article
+    root = max(n for n, w in enumerate(weight) if w >= 0.9 * total)
+    while got.tags[root] not in _HOLDERS:  # one paragraph may be most of an article
+        root = got.parent[root]
+    outer = max(held, key=lambda n: (held[n], -n))
+    if outer >= 0 and held[outer] >= 0.9 * total:
+        root = min(root, outer)
+    inside = [n == root for n in range(len(weight))]
+    for n in range(root + 1, len(weight)):
+        inside[n] = inside[got.parent[n]]
+    kept = [b for b in pool if inside[b.node]]
+    linked, size = defaultdict(int), defaultdict(int)
+    for b in kept:
+        linked[b.path] += b.linked
+        size[b.path] += len(b.text)
+    return "\n\n".join(b.text for b in kept if b.path in good or b.tag in _HEADINGS or 2 * linked[b.path] < size[b.path])
 
 
 def extract(pages: DataFrame) -> DataFrame:
