@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import unicodedata
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +46,13 @@ def default_path() -> str:
 #: The split of this vocabulary's tokenizer: contractions, runs of letters, single digits, the rest.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Marks that may end a plain word; a run of them is one piece of its own.
-_MARKS = ",.;:!?"
+_MARKS = string.punctuation
 
 _TABLES: dict = {}
 
 
 def word_encoder(path: str):
-    """A function from distinct words to their ids, made once by a worker.
+    """A table from words to their ids, made once by a worker.
 
     The vocabulary's steps (normalisation per character, a split that never spans white space, merges
     within a split) never cross ASCII white space, so a text's ids are those of its words in order.
@@ -70,20 +72,17 @@ def word_encoder(path: str):
     merges = Tokenizer.from_str(json.dumps(spec))
 
     def run(tok, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lengths, flat = np.empty(len(items), np.int64), []
-        for at in range(0, len(items), 5000):
-            for i, e in enumerate(tok.encode_batch_fast(items[at : at + 5000], add_special_tokens=False), at):
-                ids = e.ids
-                lengths[i] = len(ids)
-                flat += ids
-        return lengths, np.asarray(flat, np.int64)
+        every = [e.ids for at in range(0, len(items), 5000) for e in tok.encode_batch_fast(items[at : at + 5000], add_special_tokens=False)]
+        lengths = np.fromiter(map(len, every), np.int64, len(every))
+        return lengths, np.fromiter(chain.from_iterable(every), np.int64, int(lengths.sum()))
 
     pieces = WordTable(lambda items: run(merges, items), PIECES)
 
-    def encode(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of each word, all ids) of distinct words."""
         if not plain:
-            return run(whole, words.to_pylist())
+            return run(whole, items)
+        words = pa.array(items, pa.large_string())
         stems = pc.utf8_rtrim(words, characters=_MARKS)
         marks = np.asarray(pc.binary_length(words)) - np.asarray(pc.binary_length(stems))
         good = np.asarray(pc.ascii_is_alpha(stems)).copy()
@@ -115,21 +114,16 @@ def word_encoder(path: str):
         out[ragged(starts[tail] + first[tail], tail_len)] = tail_ids
         return lengths, out
 
-    _TABLES[path] = encode
-    return encode
+    _TABLES[path] = WordTable(encode, PIECES)
+    return _TABLES[path]
 
 
 def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of each text, end id included; all ids)."""
-    encode = word_encoder(path)
     if not pc.any(pc.match_substring(texts, "<|")).as_py():
         texts = pc.ascii_lower(texts)  # no special token in sight, whose case would count
     counts, words = ascii_words(texts)
-    coded = words.dictionary_encode()
-    word_len, word_ids = encode(coded.dictionary)
-    codes = np.asarray(coded.indices)
-    per_word = word_len[codes]
-    flat = word_ids[ragged((np.cumsum(word_len) - word_len)[codes], per_word)]
+    per_word, flat = word_encoder(path).expand(words)
     upto = np.concatenate([[0], np.cumsum(per_word)])
     ends = upto[np.cumsum(counts)] if len(counts) else np.zeros(0, np.int64)
     lengths = np.diff(np.concatenate([[0], ends]))
@@ -140,8 +134,10 @@ def tokenized_blocks(docs: DataFrame, path: str) -> DataFrame:
     """Rows of _BLOCK in doc_id order: part is the range partition, block counts within it."""
     spark = docs.sparkSession
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = ordered.repartitionByRange(max(4, partitions(spark)), F.col("doc_id").asc_nulls_last())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text").withColumn("part", F.spark_partition_id())
+    # rows that share a doc_id, or have none, are spread by their texts
+    keys = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
+    ordered = ordered.repartitionByRange(max(4, partitions(spark)), *keys)
+    ordered = ordered.sortWithinPartitions(*keys, "text").withColumn("part", F.spark_partition_id())
 
     def run(batches):
         part, block, ids_of, size = 0, 0, [], 0

@@ -26,33 +26,32 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.where: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int64)
 
-    def lookup(self, words: list[str]) -> np.ndarray:
+    def lookup(self, words: pa.Array) -> np.ndarray:
         """Row numbers of the words in the table; the words are distinct."""
-        if len(self.where) > self.limit:
+        if len(self.known) > self.limit:
             self.clear()
-        get = self.where.get
-        rows = [get(w) for w in words]
-        fresh = [w for w, r in zip(words, rows, strict=True) if r is None]
-        if fresh:
-            lengths, flat = self.encode(fresh)
-            base = len(self.lengths)
+        words = words.cast(pa.large_string())
+        rows = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.known), -1)).astype(np.int64)
+        new = rows < 0
+        if new.any():
+            fresh = words.filter(pa.array(new))
+            lengths, flat = self.encode(fresh.to_pylist())
+            rows[new] = np.arange(len(self.known), len(self.known) + len(fresh))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.flat = np.concatenate([self.flat, flat])
-            self.where.update(zip(fresh, range(base, base + len(fresh)), strict=True))
-            rows = [get(w) for w in words]
-        return np.asarray(rows, np.int64)
+            self.known = pa.concat_arrays([self.known, fresh])
+        return rows
 
     def expand(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each word, all ids in order) for words with repeats."""
         coded = words.dictionary_encode()
-        rows = self.lookup(coded.dictionary.to_pylist())
-        codes = rows[np.asarray(coded.indices)] if len(words) else np.zeros(0, np.int64)
+        codes = self.lookup(coded.dictionary)[np.asarray(coded.indices)] if len(words) else np.zeros(0, np.int64)
         lengths = self.lengths[codes]
         return lengths, self.flat[ragged(self.starts[codes], lengths)]
 
@@ -73,7 +72,10 @@ def ascii_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 def text_slices(batch: pa.RecordBatch, most: int, column: str = "text"):
     """(first row, texts) for runs of rows of about `most` bytes; null texts are empty."""
-    col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string())
+    col = batch.column(batch.schema.get_field_index(column))
+    if col.offset:
+        col = col.take(pa.array(np.arange(len(col))))  # the cast of a slice keeps offsets that others take to begin at 0
+    col = col.cast(pa.large_string())
     col = pc.fill_null(col, "")
     size = np.cumsum(np.asarray(pc.binary_length(col)).astype(np.int64))
     first = 0
