@@ -1,11 +1,18 @@
 """Mixing sources to target weights: tokens per source, a repetition rate each, then floor(rate)
-copies of a document plus one hash-seeded Bernoulli copy for the fraction."""
+copies of a document plus one hash-seeded Bernoulli copy for the fraction.
+
+Under any seed a document has its further copy with the fraction as probability.  Of SEEDS seeds each
+source takes the one whose words come nearest to its target, as one long document more or less would
+else move a small source far off.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronovox.llm.common import saved, table
+
 #: A source takes at most this many times its own size.
 MAX_REPEATS = 3
 #: Weights of the sources in order of their names, repeating; null comes last.
@@ -13,6 +20,8 @@ WEIGHTS = (1, 2, 3)
 #: Source tables up to this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 50_000
 SEED = "mix-1"
+#: Seeds that a source chooses from.
+SEEDS = 32
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -21,9 +30,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def coin(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) fixed by the document's id and the seed: 52 bits of an md5."""
-    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+def coin(doc_id: Column, number: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) fixed by the document's id, the seed and its number: 52 bits of an md5."""
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}:"), number.cast("string")).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
@@ -52,41 +61,62 @@ def source_rates(sized: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEA
     return per.select("source", "source_size", "target", rate.alias("rate"))
 
 
-def mix_plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """Every row of docs (all its columns) with mix_size, mix_source_size, mix_target and mix_copies.
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size of every row, written once: texts are counted in one pass."""
+    return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")), "sized")
+
+
+def _with(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """rows with the columns of per (one row a source), null sources with each other; per is broadcast
+    if it is small, which is counted."""
+    per = per.withColumnRenamed("source", "_source")
+    small = per.select("_source").limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(per) if small else per, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+
+def _extra(number: Column, seed: str) -> Column:
+    return (coin(F.col("doc_id"), number, seed) < F.col("rate") - F.floor("rate")).cast("long")
 
-    Null texts have size 0; a null source is a source of its own; repeated rows each get the same
-    decision, which depends on doc_id and seed only; no rows give no rows.  Columns of docs that bear
-    one of these names are replaced.
-    """
-    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
-    rates = source_rates(docs.select("source", word_count(F.col("text")).alias("size")))
-    rates = rates.toDF("_source", "mix_source_size", "mix_target", "_rate")
-    if docs.select("source").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        rates = F.broadcast(rates)
-    joined = docs.join(rates, F.col("source").eqNullSafe(F.col("_source")))
-    whole = F.floor("_rate")
-    copies = (whole + (coin(F.col("doc_id"), seed) < F.col("_rate") - whole).cast("long")).cast("int")
-    return joined.withColumn("mix_copies", copies).withColumn("mix_size", word_count(F.col("text"))).drop("_source", "_rate")
+
+def source_plan(sizes: DataFrame, seed: str = SEED) -> DataFrame:
+    """source, source_size, target, rate, number: the plan of each source; number is that of its seed."""
+    rates = saved(source_rates(sizes), "rates")
+    tried = _with(sizes, rates.select("source", "rate")).groupBy("source").agg(*[F.sum(F.col("size") * _extra(F.lit(k), seed)).alias(f"w{k}") for k in range(SEEDS)])
+    tried = tried.withColumnRenamed("source", "_s")
+    both = rates.join(tried, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    missing = (F.col("rate") - F.floor("rate")) * F.col("source_size")
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{k}") - missing).alias("off"), F.lit(k).alias("k")) for k in range(SEEDS)]))
+    return saved(both.select("source", "source_size", "target", "rate", best["k"].alias("number")), "mix-plan")
+
+
+def _copies(seed: str) -> Column:
+    return (F.floor("rate") + _extra(F.col("number"), seed)).cast("int")
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mixture itself: each row of docs as often as its plan says, in docs' columns."""
-    planned = mix_plan(docs, seed).where("mix_copies > 0")
-    return planned.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies")))).select(*docs.columns)
+    """The mixture itself: each row of docs as often as its plan says, in docs' columns.
+
+    Null texts have size 0; a null source is a source of its own; rows of one doc_id each get the same
+    decision within a source; other columns ride along, whatever their names; no rows give no rows.
+    """
+    plan = source_plan(sized(docs), seed)
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    at = {c: n for c, n in zip(docs.columns, names, strict=True)}
+    rows = rows.withColumns({"doc_id": F.col(at["doc_id"]).cast("long"), "source": F.col(at["source"]).cast("string")})
+    taken = _with(rows, plan.select("source", "rate", "number")).withColumn("_copies", _copies(seed)).where("_copies > 0")
+    return taken.select(*names, F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")).select(*names).toDF(*docs.columns)
 
 
-def op8_mix(spark, sf_dir: str) -> DataFrame:
-    from chronovox.llm.common import table
+def mix_sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every row of docs; see mix."""
+    sizes = sized(docs)
+    rows = _with(sizes, source_plan(sizes, seed)).withColumn("taken", (F.col("size") * _copies(seed)).cast("long"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
 
-    plan = mix_plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return plan.select(
-        "doc_id",
-        F.col("mix_size").alias("size"),
-        F.col("mix_source_size").alias("source_size"),
-        F.round("mix_target", 3).alias("target"),
-        (F.col("mix_size") * F.col("mix_copies")).cast("long").alias("taken"),
-    )
+
+def op8_mix(spark, sf_dir: str) -> DataFrame:
+    return mix_sizes(table(spark, sf_dir, "documents"))
 
 
 OP8_SQL = r"""
@@ -108,9 +138,16 @@ WITH sized AS (
   SELECT source, source_size, least(cap, weight * chosen.level) AS target,
          CASE WHEN source_size > 0 THEN least(least(cap, weight * chosen.level) / source_size, 3.0) ELSE 0.0 END AS rate
   FROM lv, chosen
+), coins AS (
+  SELECT doc_id, size, rated.*, k,
+         CASE WHEN ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix-1:' || k), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0
+              < rate - floor(rate) THEN 1 ELSE 0 END AS extra
+  FROM sized JOIN rated ON sized.source IS NOT DISTINCT FROM rated.source, range(32) ks(k)
+), tried AS (
+  SELECT source, k, abs(sum(size * extra)::DOUBLE - any_value((rate - floor(rate)) * source_size)) AS off FROM coins GROUP BY source, k
+), best AS (
+  SELECT source, arg_min(k, struct_pack(off := off, k := k)) AS k FROM tried GROUP BY source
 )
-SELECT doc_id, size, source_size, round(target, 3) AS target,
-       (size * (floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5(doc_id || ':mix-1'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0
-                                    < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM sized JOIN rated ON sized.source IS NOT DISTINCT FROM rated.source
+SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + extra))::BIGINT AS taken
+FROM coins JOIN best ON coins.source IS NOT DISTINCT FROM best.source AND coins.k = best.k
 """
