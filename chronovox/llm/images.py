@@ -6,8 +6,8 @@ descriptor's BANDS bands are the key of a Hamming table: descriptors meet for ce
 in up to BANDS - 2 bits, and with more, up to MAX_DISTANCE, as long as two bands are equal.  Matches of two images vote for scale, turn and shift, and a pair
 with enough votes for one of them is a copy, cropped or edited as it may be.
 
-Images with equal pixels are one class.  In each table entry the classes are first held against the
-entry's smallest and largest class, and then only pairs that are still in different components.
+Images with equal pixels are one class.  In each table entry the classes are first held against hubs, in
+rounds, and then only pairs that are still in different components.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronovox.llm.common import batched, saved, table
+from chronovox.llm.common import batched, forget, saved, table
 from chronovox.llm.components import components
 
 #: Edge of the cells that give one corner each, pixels; number of scales, each half the one before.
@@ -28,6 +28,8 @@ RADIUS, BITS, BANDS, ANGLES = 8, 128, 8, 24
 #: Votes for one placement that make a pair a copy, the width of its bins and the most unlike bits.
 MIN_VOTES, SHIFT_BIN, MAX_DISTANCE = 5, 8, 16
 _MIN_CORNER = 40.0
+#: Rounds of hubs at most; pairs that are still apart then are all compared.
+ROUNDS = 4
 
 
 def _tests() -> np.ndarray:
@@ -45,44 +47,88 @@ _GRID = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 _DISC = (_GRID**2).sum(axis=0) <= RADIUS**2
 
 
-def _box(a: np.ndarray, r: int) -> np.ndarray:
-    """Sums over squares of edge 2r+1; the border is repeated."""
-    p = np.pad(np.pad(a, r, mode="edge").cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-    n = 2 * r + 1
-    return p[n:, n:] - p[:-n, n:] - p[n:, :-n] + p[:-n, :-n]
+def _box(a: np.ndarray, r: int = 1) -> np.ndarray:
+    """Sums over squares of edge 3; the border is repeated."""
+    p = np.empty((a.shape[0] + 2, a.shape[1] + 2), a.dtype)
+    p[1:-1, 1:-1] = a
+    p[0, 1:-1], p[-1, 1:-1] = a[0], a[-1]
+    p[:, 0], p[:, -1] = p[:, 1], p[:, -2]
+    rows = p[:-2] + p[1:-1]
+    rows += p[2:]
+    out = rows[:, :-2] + rows[:, 1:-1]
+    out += rows[:, 2:]
+    return out
+
+
+def _slopes(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Differences down and across: central ones, one-sided at the edges."""
+    gy, gx = np.empty_like(a), np.empty_like(a)
+    np.subtract(a[2:], a[:-2], out=gy[1:-1])
+    gy[1:-1] *= 0.5
+    gy[0], gy[-1] = a[1] - a[0], a[-1] - a[-2]
+    np.subtract(a[:, 2:], a[:, :-2], out=gx[:, 1:-1])
+    gx[:, 1:-1] *= 0.5
+    gx[:, 0], gx[:, -1] = a[:, 1] - a[:, 0], a[:, -1] - a[:, -2]
+    return gy, gx
+
+
+def _largest_about(a: np.ndarray, r: int) -> np.ndarray:
+    """The largest value in the square of edge 2r+1 about each place, by doubling; beyond the edge lies nothing."""
+    out = a
+    for axis in (0, 1):
+        shape = list(a.shape)
+        shape[axis] += 2 * r
+        p = np.zeros(shape, a.dtype)
+        put = [slice(None), slice(None)]
+        put[axis] = slice(r, r + a.shape[axis])
+        p[tuple(put)] = out
+        cut = lambda x, i, j, axis=axis: x[i:j] if axis == 0 else x[:, i:j]
+        done = 1
+        while done < 2 * r + 1:
+            step = min(done, 2 * r + 1 - done)
+            n = p.shape[axis]
+            p = np.maximum(cut(p, 0, n - step), cut(p, step, n))
+            done += step
+        out = p
+    return out
 
 
 def describe(image: np.ndarray):
-    """(x, y, scale, angle, descriptor words) of an image's corners; x, y in its own pixels."""
+    """(x, y, scale, angle, descriptor words) of an image's corners; x, y in its own pixels.
+
+    Grey levels, their slopes and sums are exact in single precision at both scales.
+    """
     out = []
-    level = image.astype(np.float64)
+    level = image.astype(np.float32)
     for scale in range(SCALES):
         h, w = level.shape
         if min(h, w) < 2 * RADIUS + 3:
             break
-        gy, gx = np.gradient(level)
-        a, b, c = _box(gx * gx, 1), _box(gy * gy, 1), _box(gx * gy, 1)
-        corner = (a * b - c * c) / (a + b + 1e-9)  # the harmonic mean of both directions' strengths
+        gy, gx = _slopes(level)
+        a, b, c = _box(gx * gx), _box(gy * gy), _box(gx * gy)
+        strength = a + b
+        a *= b
+        c *= c
+        a -= c
+        strength += np.float32(1e-9)
+        corner = np.divide(a, strength, out=a)  # the harmonic mean of both directions' strengths
         corner[:RADIUS] = corner[-RADIUS:] = 0
         corner[:, :RADIUS] = corner[:, -RADIUS:] = 0
         # a corner is the largest of its neighbourhood, wherever the image's edge lies
-        strong = corner
-        for axis in (0, 1):
-            shifted = [np.roll(strong, k, axis) for k in range(-CELL // 4, CELL // 4 + 1)]
-            strong = np.max(shifted, axis=0)
-        y, x = np.nonzero((corner >= strong) & (corner > _MIN_CORNER))
+        y, x = np.nonzero((corner > _MIN_CORNER) & (corner >= _largest_about(corner, CELL // 4)))
         if len(x):
-            smooth = _box(level, 1)
-            patch = level[y[:, None, None] + _GRID[0], x[:, None, None] + _GRID[1]] * _DISC
-            turn = np.arctan2((patch * _GRID[0]).sum((1, 2)), (patch * _GRID[1]).sum((1, 2)))
+            smooth = _box(level).ravel()
+            at = y * w + x
+            patch = level.ravel()[at[:, None] + (_GRID[0] * w + _GRID[1])[_DISC]]
+            turn = np.arctan2(patch @ _GRID[0][_DISC].astype(np.float32), patch @ _GRID[1][_DISC].astype(np.float32))
             angle = np.rint(turn / (2 * np.pi) * ANGLES).astype(int) % ANGLES
-            at = _TESTS[angle]
-            px = np.clip(x[:, None, None] + at[..., 0], 0, w - 1)
-            py = np.clip(y[:, None, None] + at[..., 1], 0, h - 1)
-            v = smooth[py, px]
+            # tests stay within RADIUS of a corner, and corners as far from the edge
+            places = at[:, None, None] + (_TESTS[..., 0] + _TESTS[..., 1] * w)[angle]
+            v = smooth[places]
             words = np.packbits(v[..., 0] < v[..., 1], axis=1).view("<i8")
             out.append((x << scale, y << scale, np.full(len(x), scale), angle, words))
-        level = level[: h // 2 * 2, : w // 2 * 2].reshape(h // 2, 2, w // 2, 2).mean(axis=(1, 3))
+        even = level[: h // 2 * 2, : w // 2 * 2]
+        level = (even[::2, ::2] + even[1::2, ::2] + even[::2, 1::2] + even[1::2, 1::2]) * np.float32(0.25)
     if not out:
         return None
     return tuple(np.concatenate([o[i] for o in out]) for i in range(5))
@@ -135,31 +181,71 @@ def _votes(matches: DataFrame) -> DataFrame:
     return votes.where(F.col("n") >= MIN_VOTES).select("a", "b").distinct()
 
 
-def class_links(points: DataFrame) -> DataFrame:
-    """Links (a, b) between classes that make the same components as all links do."""
-    # a table's key is two bands of the descriptor
+def _keys() -> list[Column]:
+    """Every two bands of the descriptor in d0, d1, as one number each."""
     wide, half = BITS // BANDS, BANDS // 2
     band = [F.shiftrightunsigned(F.col(f"d{i // half}"), wide * (i % half)).bitwiseAND(F.lit((1 << wide) - 1)) for i in range(BANDS)]
-    keys = [F.shiftleft(band[i], wide).bitwiseOR(band[j]) for i in range(BANDS) for j in range(i + 1, BANDS)]
-    bands = F.array(*[F.struct(F.lit(i).cast("byte").alias("band"), k.alias("key")) for i, k in enumerate(keys)])
-    rows = points.withColumn("t", F.explode(bands)).select("t.*", "class", "x", "y", "scale", "angle", "d0", "d1")
-    side = lambda df, p, *more: df.select("band", "key", *more, *[F.col(c).alias(n) for c, n in (("class", p), ("x", f"{p}x"), ("y", f"{p}y"), ("scale", f"{p}s"), ("angle", f"{p}a"), ("d0", f"{p}0"), ("d1", f"{p}1"))])
-    # most keys belong to one class only: they end here
-    per = rows.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
-    rows = saved(rows.join(per, ["band", "key"]), "shared-bands")
-    # an entry's smallest and largest class against all others
-    stars = side(rows.where("class != low"), "b").join(side(rows.where("class = low"), "a"), ["band", "key"])
-    stars = stars.unionByName(side(rows.where("class != high AND class != low"), "b").join(side(rows.where("class = high"), "a"), ["band", "key"]))
-    found = saved(_votes(stars), "image-stars")
-    roots = components(found)
-    rooted = rows.drop("low", "high").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    sizes = rooted.groupBy("band", "key", "root").agg(F.count("*").alias("c"))
-    sizes = sizes.groupBy("band", "key").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    rooted = saved(rooted.join(sizes, ["band", "key"]), "image-cross")
-    a = side(rooted.where("root != major"), "a", F.col("root").alias("ra"))
-    b = side(rooted, "b", F.col("root").alias("rb"), F.col("major"))
-    cross = a.join(b, ["band", "key"]).where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("major")) | (F.col("a") < F.col("b"))))
-    return found.unionByName(_votes(cross))
+    return [F.shiftleft(band[i], wide).bitwiseOR(band[j]) for i in range(BANDS) for j in range(i + 1, BANDS)]
+
+
+def _side(df: DataFrame, p: str, keys: list[str], *more: Column | str) -> DataFrame:
+    """The corners of df as one side, p, of matches that meet in the keys."""
+    names = (("class", p), ("x", f"{p}x"), ("y", f"{p}y"), ("scale", f"{p}s"), ("angle", f"{p}a"), ("d0", f"{p}0"), ("d1", f"{p}1"))
+    return df.select(*keys, *more, *[F.col(c).alias(n) for c, n in names if c not in keys], *[F.col(c).alias(n) for c, n in names if c in keys])
+
+
+def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """rows with root, the component of each row's class so far."""
+    if roots is None:
+        return rows.withColumn("root", F.col("class"))
+    return rows.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+
+def _open(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of entries that hold several components."""
+    per = rows.groupBy(*keys).agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high").select(*keys)
+    return rows.join(per, keys, "left_semi")
+
+
+def _star_links(rows: DataFrame, keys: list[str], turn: int) -> DataFrame:
+    """Links between each entry's hub and its classes of other components.  All entries prefer the same
+    hubs, by a hash that changes from round to round, so that a pair's votes come together."""
+    first = F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "x", "y", "scale", "angle", "d0", "d1", "root")
+    hub = rows.groupBy(*keys).agg(F.min(first).alias("hub")).select(*keys, "hub.root", *[f"hub.{c}" for c in ("class", "x", "y", "scale", "angle", "d0", "d1") if c not in keys])
+    stars = _side(rows, "b", keys, F.col("root").alias("rb")).join(_side(hub, "a", keys, F.col("root").alias("ra")), keys).where("ra != rb")
+    return _votes(stars)
+
+
+def class_links(points: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) between classes that make the same components as all links do, and the written steps
+    that they are read from.
+
+    Whole descriptors first, then pairs of bands, meet entry by entry.  In each round the classes of an
+    entry are held against one of them, its hub; what links is one component, and entries of one component
+    are done.  When a round finds nothing more, all classes of different components that are left in an
+    entry are compared: no link between components is left out.
+    """
+    exact, pairs = ["d0", "d1"], ["band", "key"]
+    bands = F.array(*[F.struct(F.lit(i).cast("byte").alias("band"), k.alias("key")) for i, k in enumerate(_keys())])
+    found, roots, steps = None, None, []
+    for keys in (exact, pairs):
+        source = points if keys == exact else points.withColumn("t", F.explode(bands)).select("t.*", *points.columns)
+        rows = saved(_open(_rooted(source, roots), keys).drop("root"), "image-entries")
+        steps.append(rows)
+        for turn in range(ROUNDS):
+            still = saved(_open(_rooted(rows, roots), keys), "image-open")
+            steps.append(still)
+            links = saved(_star_links(still, keys, turn), "image-stars")
+            if links.isEmpty():
+                break
+            found = links if found is None else found.unionByName(links)
+            roots = saved(components(found), "image-roots")
+            steps += [links, roots]
+    rooted = saved(_open(_rooted(rows, roots), pairs), "image-cross")
+    steps.append(rooted)
+    a, b = _side(rooted, "a", pairs, F.col("root").alias("ra")), _side(rooted, "b", pairs, F.col("root").alias("rb"))
+    rest = _votes(a.join(b, pairs).where("a < b AND ra != rb"))
+    return (rest if found is None else found.unionByName(rest)), steps
 
 
 def copies(images: DataFrame) -> DataFrame:
@@ -170,7 +256,10 @@ def copies(images: DataFrame) -> DataFrame:
     so is one without corners, but for equal ones.  Repeated rows give repeated results.
     """
     classes = saved(image_classes(images), "image-classes")
-    roots = components(class_links(saved(corners(images).dropDuplicates(["class", "x", "y", "scale"]), "corners")))
+    points = saved(corners(images).dropDuplicates(["class", "x", "y", "scale"]), "corners")
+    links, steps = class_links(points)
+    roots = components(links)  # these have been written: the steps before go
+    forget(points, *steps)
     first = classes.where("class IS NOT NULL").groupBy("class").agg(F.min("image_id").alias("first"))
     first = first.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     named = first.join(first.groupBy("root").agg(F.min("first").alias("component")), "root").select("class", "component")

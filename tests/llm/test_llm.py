@@ -337,7 +337,7 @@ def test_image_votes_in_hot_entries(spark):
         x, y = 20 + 30 * i, 15 + 17 * i
         rows += [(5, x, y, 0, 3, d0, d1), (7, x + 11, y + 4, 0, 3, d0, d1), (1 if i < 3 else 9, *(int(v) for v in rng.integers(0, 10**6, 2)), 0, int(rng.integers(24)), d0, d1)]
     points = spark.createDataFrame(rows, "class long, x int, y int, scale byte, angle byte, d0 long, d1 long")
-    assert {tuple(sorted(r)) for r in images.class_links(points).collect()} == {(5, 7)}
+    assert {tuple(sorted(r)) for r in images.class_links(points)[0].collect()} == {(5, 7)}
     way = lambda p, q: (p[0], q[0], *p[1:7], *q[1:7])
     mine, theirs = [r for r in rows if r[0] == 5], [r for r in rows if r[0] == 7]
     matches = [way(p, q) if i < 3 else way(q, p) for i, (p, q) in enumerate(zip(mine, theirs, strict=True))]
@@ -385,7 +385,7 @@ def test_image_copies_with_noise_turns_and_scale(spark):
             made += [(kind, 10 * i + k)] if k else []
     pics = spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")
     points = images.corners(pics).dropDuplicates(["class", "x", "y", "scale"]).cache()
-    got = {tuple(sorted(r)) for r in images.class_links(points).collect()}
+    got = {tuple(sorted(r)) for r in images.class_links(points)[0].collect()}
     want = brute_image_links([tuple(r) for r in points.collect()])
     name = {r["class"]: r.image_id for r in images.image_classes(pics).collect()}
     own = {kind: sum(any({name[a], name[b]} == {i, i - i % 10} for a, b in want) for k, i in made if k == kind) for kind in dict(made)}
