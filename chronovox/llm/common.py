@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronovox.scratch import forget, saved, scratch
+
+__all__ = ["batched", "forget", "held_out", "partitions", "ragged", "saved", "scratch", "table", "text_views", "train_row"]
+
 #: Text bytes that one numpy step handles at a time inside a task.
 SLICE_BYTES = 1 << 20
 
@@ -32,30 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only where that setting is absent (tests on one machine) is a temporary folder chosen.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="chronovox-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, what: str) -> DataFrame:
-    """Write a step to the shared folder and read it back: lineage ends there, so that a lost
-    executor costs its own tasks only, and nothing is computed twice."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

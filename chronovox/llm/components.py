@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronovox.llm.common import saved
+from chronovox.llm.common import forget, saved
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def _large(edges: DataFrame) -> DataFrame:
     return both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b), two long columns; root is the smallest node that
     is reachable.  Each round is written to the shared folder; no row leaves the executors.
 
@@ -31,13 +31,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     edges = saved(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None
-    for _ in range(rounds):
+    while True:  # a round shortens every way to a root, so that the marks meet in the end
         got = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if got.n == 0 or (got.n, got.h) == mark:
             break
         mark = (got.n, got.h)
-        edges = saved(_small(_large(edges)), "links")
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        before, edges = edges, saved(_small(_large(edges)), "links")
+        forget(before)
     roots = edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

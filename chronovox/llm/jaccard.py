@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronovox.llm.common import batched, partitions, saved, table
+from chronovox.llm.common import batched, forget, partitions, saved, table
 from chronovox.llm.components import components
 from chronovox.llm.words import ascii_words, text_slices
 
@@ -291,8 +291,9 @@ def _links(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(run, "a long, b long")
 
 
-def class_links(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between classes that make the same components as all links do."""
+def class_links(nodes: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) between classes that make the same components as all links do, and the written steps
+    that they are read from."""
     spark = nodes.sparkSession
     share = float(percent)
     size = lambda n: F.floor(F.log(n) / float(np.log(_SIZE_STEP))).cast("int")
@@ -328,13 +329,16 @@ def class_links(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     two = probe.where("root_a = major").drop("major").join(index.where("root_b != major"), ["token", "size"]).where(fits & once & differ)
     cols = ["token", "a", "b", F.least("k_a", "k_b").alias("k")]
     pairs = one.select(*cols).unionByName(two.select(*cols)).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("k").alias("k")).where("shared >= k").select("a", "b")
-    return found.unionByName(_links(pairs, nodes, percent))
+    return found.unionByName(_links(pairs, nodes, percent)), [found, roots, index, probe]
 
 
 def class_roots(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) for every class that is linked with another."""
     nodes = saved(shared_shingles(docs, words, percent).dropDuplicates(["class"]), "nodes")
-    return components(class_links(nodes, percent))
+    links, steps = class_links(nodes, percent)
+    roots = components(links)  # these have been written: the steps before go
+    forget(nodes, *steps)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
