@@ -195,11 +195,15 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP, block: int = QUER
     nearest long, and such rows rank by that.
 
     queries: vec_id, q; of rows with the same vec_id one is asked, repeated rows of the index all stand.
-    Both sides are tables of blocks: about `held` index blocks make a part, to which every block of
+    Both sides are tables of blocks: up to `held` index blocks, fewer where there are more cores than that
+    gives parts, make a part, to which every block of
     queries goes; a task holds its part's index blocks while the queries pass, and sends k rows of each.
     """
-    parts = max(1, -(-index.count() // held))
-    own = index.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).withColumn("kind", F.lit(0))
+    index = index.withColumn("name", F.xxhash64("ids"))
+    names = index.select("name").distinct()  # one row a block
+    parts = max(1, min(names.count(), max(index.sparkSession.sparkContext.defaultParallelism, -(-index.count() // held))))
+    names = names.withColumn("part", F.pmod(F.row_number().over(Window.orderBy("name")), F.lit(parts)).cast("int"))
+    own = index.join(names, "name").drop("name").withColumn("kind", F.lit(0))
     asked = _query_blocks(queries.dropDuplicates(["vec_id"]), block)
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("kind", F.lit(1))
     # a key for each part and row kind, so that a task meets a part's index before its queries
