@@ -59,20 +59,19 @@ def attribute_items(items: DataFrame, turns: DataFrame, th: Thresholds = DEFAULT
 
 def merge_results(results: DataFrame, gap: float = DEFAULTS.result_gap, pause: float = 2.0) -> DataFrame:
     """Neighbouring results of one named speaker become one; the texts meet at an empty line where a
-    sentence ends before a long pause, else at a space."""
+    sentence ends before a long pause, else at a space, and at nothing after a line's end or beside an
+    empty text.  tokens and inference_sec, where results have them, are summed."""
     same = has_identity(F.col("speaker")) & (F.lag("speaker").over(order()) == F.col("speaker")) & (F.col("start_s") - F.lag("end_s").over(order()) <= gap)
-    rows = islands(results, ~F.coalesce(same, F.lit(False)))
-    item = F.struct("start_s", "seq", "end_s", "text")
-    rows = rows.groupBy(*KEYS, "island").agg(F.min("seq").alias("seq"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.min_by("speaker", "seq").alias("speaker"), F.count("*").alias("parts"), F.array_sort(F.collect_list(item)).alias("a"))
-
-    def step(s, x):
-        ended = s["text"].rlike(SENTENCE_END) & (x["start_s"] - s["end_s"] >= pause)
-        glue = F.when(s["text"].endswith("\n") | (s["text"] == "") | (x["text"] == ""), "").when(ended, "\n\n").otherwise(" ")
-        return F.struct(F.concat(s["text"], glue, x["text"]).alias("text"), x["end_s"].alias("end_s"))
-
-    first = F.struct(F.coalesce(F.element_at("a", 1)["text"], F.lit("")).alias("text"), F.element_at("a", 1)["end_s"].alias("end_s"))
-    text = F.aggregate(F.transform(F.slice("a", 2, F.greatest(F.size("a") - 1, F.lit(0))), lambda x: F.struct(x["start_s"].alias("start_s"), x["end_s"].alias("end_s"), F.coalesce(x["text"], F.lit("")).alias("text"))), first, step, lambda s: s["text"])
-    return rows.withColumn("text", text).drop("a", "island")
+    rows = islands(results, ~F.coalesce(same, F.lit(False))).withColumn("text", F.coalesce("text", F.lit("")))
+    # what a text is joined with follows from the last text before it in its run: no text is copied along
+    before = Window.partitionBy(*KEYS, "island").orderBy("start_s", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_t": F.last(F.nullif("text", F.lit("")), True).over(before), "_e": F.max("end_s").over(before)})
+    ended = F.col("_t").rlike(r"[.!?…]$") & (F.col("start_s") - F.col("_e") >= pause)
+    glue = F.when(F.col("_t").isNull() | (F.col("text") == "") | F.col("_t").endswith("\n"), "").when(ended, "\n\n").otherwise(" ")
+    rows = rows.withColumn("_piece", F.concat(glue, "text"))
+    sums = [F.sum(c).alias(c) for c in ("tokens", "inference_sec") if c in results.columns]
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_s", "seq", "_piece"))), lambda s: s["_piece"]), "")
+    return rows.groupBy(*KEYS, "island").agg(F.min("seq").alias("seq"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.min_by("speaker", "seq").alias("speaker"), F.count("*").alias("parts"), *sums, text.alias("text")).drop("island")
 
 
 def paragraphs(items: DataFrame, pause: float = 1.5, soft: int = 800, hard: int = 1600) -> DataFrame:
@@ -101,15 +100,69 @@ def paragraph_breaks(items: DataFrame, pauses: DataFrame, least: int = 25) -> Da
     marks = ends.select(*KEYS, F.col("end_s").alias("t"), "chars")
     p = pauses.select(*KEYS, F.col("at").alias("t"), F.lit(None).cast("bigint").alias("chars"))
     both = marks.withColumn("pause", F.lit(0)).unionByName(p.withColumn("pause", F.lit(1)))
-    by = Window.partitionBy(*KEYS).orderBy("t", "pause")
     v = F.when(F.col("pause") == 0, F.struct("t", "chars"))
-    both = both.withColumns({"b": F.last(v, True).over(by.rowsBetween(Window.unboundedPreceding, 0)), "a": F.first(v, True).over(by.rowsBetween(0, Window.unboundedFollowing))}).where("pause = 1")
+    seen = lambda *o: F.last(v, True).over(Window.partitionBy(*KEYS).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumns({"b": seen("t", "pause"), "a": seen(F.desc("t"), F.desc("pause"))}).where("pause = 1")
     near = F.when(F.col("a").isNull() | (F.col("t") - F.col("b.t") <= F.col("a.t") - F.col("t")), F.col("b.chars")).otherwise(F.col("a.chars"))
     got = both.select(*KEYS, near.alias("at")).where("at IS NOT NULL").groupBy(*KEYS).agg(F.array_sort(F.collect_set("at")).alias("c"))
     kept = F.aggregate("c", F.array().cast("array<bigint>"), lambda d, x: F.when(x - F.coalesce(F.try_element_at(d, F.lit(-1)), F.lit(0)) >= least, F.concat(d, F.array(x))).otherwise(d))
     return got.select(*KEYS, F.explode(kept).alias("at"))
 
 
+#: A sentence's end, how far from a pause it may be, what goes before a full stop that is
+#: put in, and the least characters of a part.
+SENTENCE_STOP = r"[.!?…][\"”’)\]]?(?=\s|$)"
+SNAP, LOOSE_END, LEAST_PART = 40, r"[,;:—– -]+$", 25
+
+
+def paragraph_text(items: DataFrame, pauses: DataFrame, window: int = SNAP, least: int = LEAST_PART) -> DataFrame:
+    """(recording_id, text): the items' texts joined, with an empty line at each pause (recording_id, at).
+
+    A pause falls to the nearest end of an item but the last, the earlier on a tie; from there to the
+    nearest end of a sentence within `window` characters, or else the part before it gets a full stop.
+    Breaks that leave a part under `least` characters, or so little behind them, are passed over.
+    """
+    w = order()
+    rows = items.withColumn("text", F.coalesce("text", F.lit("")))
+    ends = rows.withColumns({"chars": F.sum(F.length("text") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1, "_last": F.lead("seq").over(w).isNull()})
+    marks = ends.where("NOT _last").select(*KEYS, F.col("end_s").alias("t"), F.lit(0).alias("pause"), "chars")
+    both = marks.unionByName(pauses.select(*KEYS, F.col("at").alias("t"), F.lit(1).alias("pause"), F.lit(None).cast("bigint").alias("chars")))
+    v = F.when(F.col("pause") == 0, F.struct("t", "chars"))
+    per = Window.partitionBy(*KEYS)
+    seen = lambda *o: F.last(v, True).over(per.orderBy(*o).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumns({"b": seen("t", "pause"), "a": seen(F.desc("t"), F.desc("pause"))}).where("pause = 1")
+    near = F.when(F.col("a").isNull() | (F.col("t") - F.col("b.t") <= F.col("a.t") - F.col("t")), F.col("b.chars")).otherwise(F.col("a.chars"))
+    at = both.select(*KEYS, near.cast("int").alias("at")).where("at IS NOT NULL").groupBy(*KEYS).agg(F.array_sort(F.collect_set("at")).alias("at"))
+    whole = rows.groupBy(*KEYS).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_s", "seq", "text"))), lambda s: s["text"]), " ").alias("text"))
+    whole = whole.join(at, list(KEYS), "left").withColumn("at", F.coalesce("at", F.array().cast("array<int>")))
+    text, size = F.col("text"), F.length("text")
+
+    def snapped(pos):
+        """(place, unsnapped) of a pause that fell to the character pos."""
+        lo, hi = F.greatest(pos - window, F.lit(0)), F.least(pos + window, size)
+        region = F.substring(text, lo + 1, hi - lo)
+        stops = F.filter(F.sequence(F.lit(1), F.length(region)), lambda i: F.substring(region, i, F.length(region)).rlike(r"\A" + SENTENCE_STOP))
+        ends_at = F.transform(stops, lambda i: lo + i + F.length(F.regexp_extract(F.substring(region, i, F.length(region)), SENTENCE_STOP, 0)) - 1)
+        best = F.array_min(F.transform(ends_at, lambda e: F.struct(F.abs(e - pos).alias("d"), e.cast("int").alias("e"))))
+        return F.struct(F.coalesce(best["e"], pos).alias("i"), best.isNull().alias("u"))
+
+    # the first pause, in order, that falls to a place says whether it is a sentence's end
+    found = F.transform("at", snapped)
+    first = F.aggregate(found, F.array().cast("array<struct<i:int,u:boolean>>"), lambda d, x: F.when(F.exists(d, lambda y: y["i"] == x["i"]), d).otherwise(F.concat(d, F.array(x))))
+    whole = whole.withColumn("m", F.array_sort(first))
+    kept = F.aggregate("m", F.array().cast("array<struct<i:int,u:boolean>>"), lambda d, x: F.when((x["i"] - F.coalesce(F.try_element_at(d, F.lit(-1))["i"], F.lit(0)) < least) | (size - x["i"] < least), d).otherwise(F.concat(d, F.array(x))))
+    whole = whole.withColumn("m", kept)
+    edge = lambda i: F.when(i > 0, F.try_element_at("m", i)["i"]).otherwise(0)
+
+    def part(x, i):
+        chunk = F.trim(F.substring(text, edge(i) + 1, x["i"] - edge(i)))
+        bare = F.regexp_replace(chunk, LOOSE_END, "")
+        return F.when(~x["u"], chunk).otherwise(F.when((bare == "") | bare.rlike("[.!?…]$"), bare).otherwise(F.concat(bare, F.lit("."))))
+
+    parts = F.concat(F.transform("m", part), F.array(F.trim(F.substring(text, edge(F.size("m")) + 1, size))))
+    return whole.select(*KEYS, F.array_join(F.filter(parts, lambda p: p != ""), "\n\n").alias("text"))
+
+
 def weighted_confidence(df: DataFrame, keys: list[str]) -> DataFrame:
     """Mean confidence per group weighted by length (1 where there is none), 0 to 100, half to even."""
     w = F.when(F.col("end_s") - F.col("start_s") > 0, F.col("end_s") - F.col("start_s")).otherwise(1.0)

@@ -39,9 +39,14 @@ def merge_intervals(df: DataFrame, gap: float) -> DataFrame:
     return marked.groupBy(*KEYS, "island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count("*").alias("parts")).drop("island")
 
 
+#: Columns of a run's first row that the run keeps, where there are any.
+EVIDENCE = ("speaker_confidence", "speaker_margin", "speaker_match_dist", "speaker_source", "uncertain", "attribution_reason", "original_speaker", "alternatives")
+
+
 def _runs(df: DataFrame, begins: Column, text: bool) -> DataFrame:
     marked = islands(df, begins)
     aggs = [F.min("seq").alias("seq"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.min_by("speaker", "seq").alias("speaker"), F.count("*").alias("parts")]
+    aggs += [F.min_by(c, "seq").alias(c) for c in EVIDENCE if c in df.columns]
     if text and "text" in df.columns:
         aggs.append(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_s", "seq", "text"))), lambda s: s["text"]), " ").alias("text"))
     return marked.groupBy(*KEYS, "island").agg(*aggs).drop("island")
@@ -176,14 +181,20 @@ def absorb_islands(df: DataFrame, least: float = 1.0) -> DataFrame:
 # -- dominance of speakers --------------------------------------------------------------------------
 
 
-def absorb_minority(df: DataFrame, protected: tuple[str, ...] = (), th: Thresholds = DEFAULTS, withhold: bool = True) -> DataFrame:
+def absorb_minority(df: DataFrame, protected: tuple[str, ...] = (), th: Thresholds = DEFAULTS, withhold: bool = True, keep: Column | None = None) -> DataFrame:
     """Speakers without one long utterance and with little speech in all lose their name (withhold),
-    or their segments go to the nearest main speaker; where nobody is main nothing changes."""
+    or their segments go to the nearest main speaker; where nobody is main nothing changes.  Protected
+    names, and speakers of rows where `keep` holds, are main."""
     per = Window.partitionBy(*KEYS, "speaker")
     dur = F.col("end_s") - F.col("start_s")
     name = F.col("speaker")
     real = name.isNotNull() & (name != "")
-    main = real & (name.isin(*protected) | (F.max(dur).over(per) >= th.minority_utterance) | (F.sum(dur).over(per) >= th.minority_sec)) if protected else real & ((F.max(dur).over(per) >= th.minority_utterance) | (F.sum(dur).over(per) >= th.minority_sec))
+    main = (F.max(dur).over(per) >= th.minority_utterance) | (F.sum(dur).over(per) >= th.minority_sec)
+    if protected:
+        main = main | name.isin(*protected)
+    if keep is not None:
+        main = main | keep
+    main = real & main
     tagged = df.withColumn("_main", main)
     some = F.max(F.col("_main").cast("int")).over(Window.partitionBy(*KEYS)) == 1
     tagged = tagged.withColumn("_minor", real & ~F.col("_main") & some)
@@ -192,9 +203,11 @@ def absorb_minority(df: DataFrame, protected: tuple[str, ...] = (), th: Threshol
     return nearest_label(tagged, F.col("_main")).withColumn("speaker", F.when(F.col("_minor"), F.col("_nearest")).otherwise(name)).drop("_main", "_minor", "_nearest")
 
 
-def eliminate_ghosts(df: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
+def eliminate_ghosts(df: DataFrame, th: Thresholds = DEFAULTS, withhold: bool = True, collapse: bool = False, gap: float = 1.5) -> DataFrame:
     """Speakers with little speech and no large share of it: the first alternative that is no ghost
-    takes their segments; without one the name is withheld."""
+    takes their segments; without one the name is withheld, or (withhold=False) that of the nearest
+    speaker who is none, by midpoint, the earlier on a tie, and 'Speaker 1' where nobody is left.  With
+    collapse, neighbours of one speaker join at the end: sure ones only, if names are withheld."""
     dur = F.col("end_s") - F.col("start_s")
     per, whole = Window.partitionBy(*KEYS, "speaker"), Window.partitionBy(*KEYS)
     real = F.col("speaker").isNotNull() & (F.col("speaker") != "")
@@ -204,8 +217,15 @@ def eliminate_ghosts(df: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
     tagged = tagged.withColumn("_ghosts", F.collect_set(F.when(F.col("_ghost"), F.col("speaker"))).over(whole))
     other = F.try_element_at(F.filter("alternatives", lambda x: x.isNotNull() & (x != "") & ~F.array_contains(F.col("_ghosts"), x)), F.lit(1))
     tagged = tagged.withColumn("_other", F.when(F.col("_ghost"), other))
-    out = suppress(tagged, F.col("_ghost") & F.col("_other").isNull(), F.lit("ghost_speaker"))
-    return out.withColumn("speaker", F.coalesce("_other", "speaker")).drop("_ghost", "_ghosts", "_other")
+    if withhold:
+        out = suppress(tagged, F.col("_ghost") & F.col("_other").isNull(), F.lit("ghost_speaker"))
+    else:
+        out = nearest_label(tagged, ~F.col("_ghost") & real)
+        out = out.withColumn("_other", F.when(F.col("_ghost"), F.coalesce("_other", "_nearest", F.lit("Speaker 1")))).drop("_nearest")
+    out = out.withColumn("speaker", F.coalesce("_other", "speaker")).drop("_ghost", "_ghosts", "_other")
+    if not collapse:
+        return out
+    return collapse_confident(out, gap) if withhold else collapse_runs(out, gap)
 
 
 def nearest_label(df: DataFrame, known: Column) -> DataFrame:
@@ -254,6 +274,21 @@ def close_timeline(turns: DataFrame, length: Column) -> DataFrame:
     ).drop("_b", "_a", "_len")
 
 
+def cover_timeline(turns: DataFrame, length: Column, cuts: DataFrame | None = None, least: float = 1e-3) -> DataFrame:
+    """Turns without gaps: one of more than a millisecond closes at its cut (recording_id, seq of the turn
+    before it, cut), in its middle where there is none; overlaps stay.  The first turn begins at 0 and the
+    last ends with the recording."""
+    w = order()
+    rows = turns if cuts is None else turns.join(cuts.select(*KEYS, "seq", F.col("cut").alias("_cut")), [*KEYS, "seq"], "left")
+    rows = rows.withColumns({"_len": length, "_a": F.lead("start_s").over(w), "_b": F.lag("end_s").over(w)})
+    middle = (F.col("end_s") + F.col("_a")) / 2
+    rows = rows.withColumn("_cut", F.when(F.col("_a") - F.col("end_s") > least, middle if cuts is None else F.coalesce("_cut", middle)))
+    rows = rows.withColumn("_before", F.lag("_cut").over(w))
+    start = F.when(F.col("_b").isNull() & (F.col("start_s") > least), 0.0).otherwise(F.coalesce("_before", "start_s"))
+    end = F.when(F.col("_a").isNull() & (F.col("_len") - F.col("end_s") > least), F.col("_len")).otherwise(F.coalesce("_cut", "end_s"))
+    return rows.withColumns({"start_s": start, "end_s": end}).drop("_len", "_a", "_b", "_cut", "_before")
+
+
 # -- joins ------------------------------------------------------------------------------------------
 
 

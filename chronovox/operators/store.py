@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronovox.functions.text import normalise_name, source_identity
-from chronovox.functions.vectors import cosine_distance, weighted_centroid
+from chronovox.functions.vectors import cosine_distance, l2_normalize, pairwise_mean, weighted_centroid
 from chronovox.operators.clustering import settled
 from chronovox.operators.identity import near_duplicate_profiles
+from chronovox.operators.intervals import trim_to_sections
 from chronovox.thresholds import DEFAULTS, Thresholds
 
 T = "tenant_id"
@@ -143,22 +144,97 @@ def plan_source_trim(snippets: DataFrame, per_source: int = 10, least: float = 5
     return short.select(*SPEAKER, "id", "reason").unionByName(over.select(*SPEAKER, "id", "reason"))
 
 
-def collect_snippets(segments: DataFrame, profiles: DataFrame, refusal: Column, per_source: int = 10, most: float = 1200.0, chunk: float = 300.0) -> DataFrame:
-    """Spans worth keeping: no refusal, a registered name with two spans at least, surest then longest
-    first, in chunks, so many of a source, until the speaker has enough speech."""
-    rows = segments.withColumn("_why", refusal).where(F.col("_why").isNull())
-    named = profiles.where(~F.coalesce("pending", F.lit(False))).select(T, F.col("name").alias("speaker_name"))
-    rows = rows.withColumn("speaker_name", F.col("speaker")).join(named, SPEAKER)
-    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*SPEAKER))).where("_n >= 2")
+#: What collecting goes by: least seconds of a clip, most of one, most of a speaker, clips of a recording.
+CLIP_SEC, CHUNK_SEC, TOTAL_SEC, PER_SOURCE = 5.0, 300.0, 1200.0, 10
+
+
+def collect_snippets(
+    segments: DataFrame, profiles: DataFrame, refusal: Column, existing: DataFrame | None = None, sections: DataFrame | None = None,
+    per_source: int = PER_SOURCE, most: float = TOTAL_SEC, chunk: float = CHUNK_SEC, least: float = CLIP_SEC,
+) -> tuple[DataFrame, DataFrame]:
+    """(clips, diagnostics per tenant, recording and speaker) of the spans worth keeping.
+
+    Spans without a refusal, long enough, of a registered speaker with two of them in the recording, are
+    trimmed to the speech in them (sections: recording_id, s_start, s_end), cut in chunks, and taken surest
+    and longest first: so many of a recording, until the speaker has enough, counting what the store holds
+    of other recordings (existing: tenant_id, speaker_name, source, start_sec, duration_sec, id).  A clip
+    that the store has at the same start is taken only if it is longer, and replaces that one (`replaces`).
+    """
+    own = [*SPEAKER, "recording_id"]
+    rows = segments.withColumns({"speaker_name": F.col("speaker"), "_why": refusal, "_d": F.col("end_s") - F.col("start_s")})
+    speech = rows.where("speaker_name IS NOT NULL").groupBy(*own).agg(F.sum(F.greatest("_d", F.lit(0.0))).alias("speech_sec"))
+    fine = rows.where(F.col("_why").isNull() & (F.col("_d") >= least))
+    held = existing if existing is not None else fine.select(*SPEAKER, F.col("recording_id").alias("source"), F.col("start_s").alias("start_sec"), F.col("_d").alias("duration_sec"), F.col("seq").alias("id")).where("false")
+    total = held.groupBy(*SPEAKER).agg(F.sum("duration_sec").alias("_all"))
+    mine = held.groupBy(*SPEAKER, F.col("source").alias("recording_id")).agg(F.sum("duration_sec").alias("_own"))
+    named = profiles.where(~F.coalesce("pending", F.lit(False))).select(T, F.col("name").alias("speaker_name"), F.lit(True).alias("_known")).distinct()
+    spoken = fine.groupBy(*own).agg(F.count("*").alias("spans")).join(named, SPEAKER, "left").join(total, SPEAKER, "left").join(mine, own, "left")
+    spoken = spoken.withColumn("_base", F.greatest(F.coalesce("_all", F.lit(0.0)) - F.coalesce("_own", F.lit(0.0)), F.lit(0.0)))
+    skipped = F.when(F.col("_known").isNull(), "not_registered").when(F.col("spans") < 2, "too_few_spans").when(F.col("_base") >= most, "at_snippet_cap")
+    spoken = spoken.withColumn("skipped", skipped)
+    fine = fine.join(spoken.where("skipped IS NULL").select(*own, "_base"), own)
+    if sections is not None:
+        span = F.struct(T, "seq")
+        cut = trim_to_sections(fine.select("recording_id", span.alias("span_id"), F.col("start_s").alias("p_start"), F.col("end_s").alias("p_end")), sections)
+        cut = cut.select("recording_id", F.col(f"span_id.{T}").alias(T), F.col("span_id.seq").alias("seq"), F.col("start_s").alias("_lo"), F.col("end_s").alias("_hi"))
+        fine = fine.join(cut, ["recording_id", T, "seq"]).withColumns({"start_s": F.col("_lo"), "end_s": F.col("_hi")})
     n = F.greatest(F.ceil((F.col("end_s") - F.col("start_s")) / chunk), F.lit(1)).cast("int")
-    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), n - 1)))
+    clips = fine.withColumn("_k", F.explode(F.sequence(F.lit(0), n - 1)))
     lo = F.col("start_s") + F.col("_k") * chunk
-    rows = rows.withColumns({"lo": lo, "hi": F.least(lo + chunk, "end_s")})
-    best = [F.coalesce("speaker_confidence", F.lit(1.0)).desc(), (F.col("hi") - F.col("lo")).desc(), F.col("recording_id"), F.col("seq"), F.col("_k")]
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*SPEAKER, "recording_id").orderBy(*best))).where(F.col("place") <= per_source)
+    clips = clips.withColumns({"lo": lo, "hi": F.least(lo + chunk, "end_s")}).withColumn("_len", F.col("hi") - F.col("lo"))
+    short = clips.where(F.col("_len") < least)
+    old = held.select(*SPEAKER, F.col("source").alias("recording_id"), F.round("start_sec", 2).alias("_at"), F.col("duration_sec").alias("_had"), F.col("id").alias("replaces"))
+    clips = clips.where(F.col("_len") >= least).withColumn("_at", F.round("lo", 2)).join(old, [*own, "_at"], "left").where("_had IS NULL OR _had < _len")
+    best = [F.coalesce("speaker_confidence", F.lit(1.0)).desc(), F.col("_d").desc(), F.col("recording_id"), F.col("seq"), F.col("_k")]
+    ranked = clips.withColumn("place", F.row_number().over(Window.partitionBy(*own).orderBy(*best)))
+    kept = ranked.where(F.col("place") <= per_source)
     w = Window.partitionBy(*SPEAKER).orderBy(*best).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum(F.col("hi") - F.col("lo")).over(w), F.lit(0.0))).where(F.col("before") < most)
-    return rows.select(*SPEAKER, "recording_id", "seq", "lo", "hi", "place", "before")
+    kept = kept.withColumn("before", F.col("_base") + F.coalesce(F.sum("_len").over(w), F.lit(0.0))).where(F.col("before") < most)
+    kept = kept.select(*own, "seq", "lo", "hi", "place", "before", "replaces")
+    count = lambda df, name: df.groupBy(*own).agg(F.countDistinct("seq").alias(name))
+    got = kept.groupBy(*own).agg(F.count("*").alias("snippets"), F.sum(F.col("hi") - F.col("lo")).alias("added_sec"))
+    over = count(ranked.where(F.col("place") > per_source).join(kept.select(*own, "seq"), [*own, "seq"], "left_anti"), "over_per_file_cap")
+    told = spoken.select(*own, "spans", "skipped").join(speech, own)
+    for part in (got, over, count(short, "too_short_after_trim")):
+        told = told.join(part, own, "left")
+    return kept, told.fillna(0, ["snippets", "added_sec", "over_per_file_cap", "too_short_after_trim"])
+
+
+def learn_profiles(spans: DataFrame, others: DataFrame | None = None, th: Thresholds = DEFAULTS, per_source: int = PER_SOURCE, most: float = 900.0, chunk: float = 30.0, least: float = CLIP_SEC, speech: float = 10.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clips, pending profiles, skipped voices with reasons) from spans of new voices.
+
+    spans: tenant_id, speaker_name (the voice), source, span_id, start_s, end_s, embedding, and
+    speaker_confidence if known; others: what the voice has from other sources (tenant_id, speaker_name,
+    duration_sec).  A voice needs two spans, ten seconds, and vectors that are close to each other on
+    average.  Of spans of a source that begin in the same second one counts, so that a repeat changes
+    nothing; they are cut in chunks, surest and longest first, so many of a source and so much in all, the
+    last one cut short.  The profiles are fitted on the clips, and pending.
+    """
+    if "speaker_confidence" not in spans.columns:
+        spans = spans.withColumn("speaker_confidence", F.lit(None).cast("double"))
+    rows = spans.dropDuplicates([*SPEAKER, "source", "start_s", "end_s"]).withColumn("_d", F.col("end_s") - F.col("start_s"))
+    per = rows.groupBy(*SPEAKER).agg(F.count("*").alias("spans"), F.sum("_d").alias("speech_sec"))
+    per = per.join(pairwise_mean(rows, SPEAKER).drop("n"), SPEAKER, "left")
+    why = F.when(F.col("spans") < 2, "too_few_spans").when(F.col("speech_sec") < speech, "insufficient_speech").when(F.col("mean_distance") > th.cohesion, "impure_group")
+    per = per.withColumn("reason", why)
+    fine = rows.join(per.where("reason IS NULL").select(*SPEAKER, "mean_distance"), SPEAKER)
+    fit = [F.coalesce("speaker_confidence", F.lit(1.0)).desc(), F.col("_d").desc(), F.col("source"), F.col("span_id")]
+    second = Window.partitionBy(*SPEAKER, "source", F.floor("start_s")).orderBy(*fit)
+    fine = fine.where(F.col("_d") >= least).withColumn("_r", F.row_number().over(second)).where("_r = 1").drop("_r")
+    fine = fine.withColumn("_k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_d") / chunk).cast("int") - 1)))
+    lo = F.col("start_s") + F.col("_k") * chunk
+    fine = fine.withColumns({"lo": lo, "hi": F.least(lo + chunk, "end_s")}).where(F.col("hi") - F.col("lo") >= least)
+    base = others.groupBy(*SPEAKER).agg(F.sum("duration_sec").alias("_base")) if others is not None else per.select(*SPEAKER, F.lit(0.0).alias("_base")).where("false")
+    fine = fine.join(base, SPEAKER, "left").withColumn("_base", F.coalesce("_base", F.lit(0.0)))
+    fine = fine.withColumn("place", F.row_number().over(Window.partitionBy(*SPEAKER, "source").orderBy(*fit, "_k"))).where(F.col("place") <= per_source)
+    run = Window.partitionBy(*SPEAKER).orderBy(*fit, "_k").rowsBetween(Window.unboundedPreceding, -1)
+    fine = fine.withColumn("before", F.col("_base") + F.coalesce(F.sum(F.col("hi") - F.col("lo")).over(run), F.lit(0.0)))
+    fine = fine.withColumn("hi", F.least("hi", F.col("lo") + most - F.col("before"))).where(F.col("hi") - F.col("lo") >= least)
+    clips = fine.select(*SPEAKER, "source", "span_id", "lo", "hi", "place", "before", "embedding", (F.col("hi") - F.col("lo")).alias("duration_sec"))
+    purity = per.where("reason IS NULL").select(T, F.col("speaker_name").alias("name"), F.col("mean_distance").alias("intra_mean"))
+    profiles = refit_profiles(clips, th=th).drop("dropped").join(purity, [T, "name"]).withColumn("pending", F.lit(True))
+    none = per.where("reason IS NULL").join(clips.select(*SPEAKER).distinct(), SPEAKER, "left_anti").withColumn("reason", F.lit("snippets_rejected"))
+    return clips.drop("embedding"), profiles, per.where("reason IS NOT NULL").unionByName(none).select(*SPEAKER, "reason", "spans", "speech_sec")
 
 
 def learn_budget(spans: DataFrame, per_source: int = 10, most: float = 900.0, chunk: float = 30.0, least: float = 10.0) -> DataFrame:
@@ -259,15 +335,20 @@ def cleanup(store: dict[str, DataFrame], dead: DataFrame | None = None, dry_run:
 
 
 def refit_profiles(snippets: DataFrame, least: float = 1.5, th: Thresholds = DEFAULTS) -> DataFrame:
-    """(tenant_id, name, embedding, total_speech_sec, sample_count, dropped): the weighted vector of a
-    speaker's usable snippets; short ones and those without a vector are dropped and counted."""
+    """(tenant_id, name, embedding, total_speech_sec, sample_count, dropped, and pitch_hz, pitch_std,
+    energy_rms where snippets have them): a speaker's vector, weighted by length and of length 1, and its
+    statistics weighted likewise, of its usable snippets; short ones and those without a vector are dropped
+    and counted.  upsert_profiles with these keeps the stored pending and purity."""
     from chronovox.functions.vectors import norm
 
     good = (F.col("duration_sec") >= least) & F.col("embedding").isNotNull() & (norm(F.col("embedding")) > 1e-8)
     tagged = snippets.withColumn("_ok", F.coalesce(good, F.lit(False)))
     c = weighted_centroid(tagged.where("_ok"), SPEAKER, th=th).drop("n")
-    n = tagged.groupBy(*SPEAKER).agg(F.sum(F.when(F.col("_ok"), F.col("duration_sec"))).alias("total_speech_sec"), F.count_if("_ok").alias("sample_count"), F.count_if(~F.col("_ok")).alias("dropped"))
-    return c.join(n, SPEAKER).select(T, F.col("speaker_name").alias("name"), F.col("centroid").alias("embedding"), "total_speech_sec", "sample_count", "dropped")
+    stats = [x for x in ("pitch_hz", "pitch_std", "energy_rms") if x in snippets.columns]
+    w = F.when(F.col("_ok"), F.col("duration_sec"))
+    mean = lambda x: (F.sum(F.col(x) * w) / F.nullif(F.sum(F.when(F.col(x).isNotNull(), w)), F.lit(0.0))).alias(x)
+    n = tagged.groupBy(*SPEAKER).agg(F.sum(w).alias("total_speech_sec"), F.count_if("_ok").alias("sample_count"), F.count_if(~F.col("_ok")).alias("dropped"), *[mean(x) for x in stats])
+    return c.join(n, SPEAKER).select(T, F.col("speaker_name").alias("name"), l2_normalize(F.col("centroid")).alias("embedding"), "total_speech_sec", "sample_count", "dropped", *stats)
 
 
 def score_outliers(snippets: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:

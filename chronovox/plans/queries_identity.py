@@ -267,14 +267,25 @@ def g17_register(w):
     return c.select("name", F.posexplode("centroid").alias("pos", "mean")).withColumn("mean", F.round("mean", 6))
 
 
-@query("windows", "embeddings")
-def g18_diarize(w, e):
-    """From windows to turns: clusters, overlaps, numbering, segments, names, minority, timeline; diarize
-    lists what is left out."""
+def _path(f, w, e):
     from chronovox.plans.diarize import diarize
 
-    rows = w.drop("cluster", "speaker")
-    return diarize(rows, _profiles(e), 0.75).select("recording_id", "seq", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), "speaker")
+    people = _profiles(e).withColumnRenamed("t", "tenant_id")
+    return diarize(f, w.drop("cluster", "speaker"), people, threshold=0.75, frame_s=1.2)
+
+
+@query("frames", "windows", "embeddings")
+def g18_diarize(f, w, e):
+    """The whole path from frames and windows to named turns."""
+    turns, _ = _path(f, w, e)
+    return turns.select("recording_id", "seq", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), "speaker", "speaker_confidence", "uncertain", "attribution_reason")
+
+
+@query("frames", "windows", "embeddings")
+def g18_diarize_speakers(f, w, e):
+    """The speakers that the path ends with."""
+    _, people = _path(f, w, e)
+    return people.select("recording_id", "speaker", F.round("speech_sec", 6).alias("speech_sec"), "segments", F.round("pitch_hz", 6).alias("pitch_hz"))
 
 
 @query("embeddings")

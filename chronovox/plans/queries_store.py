@@ -119,7 +119,7 @@ def h1_history(c):
 @query("segments")
 def h4_collect_snippets(s):
     p = s.select("tenant_id").distinct().select("tenant_id", F.explode(F.array(F.lit("Alice"), F.lit("Bob"))).alias("name"), F.lit(False).alias("pending"))
-    got = S.collect_snippets(s, p, collect_refusal())
+    got, _ = S.collect_snippets(s, p, collect_refusal())
     return got.select("tenant_id", "speaker_name", "recording_id", "seq", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "place")
 
 
