@@ -16,6 +16,8 @@ DIM = 16
 NGRAMS = (2, 3, 4)
 #: Documents per language that the classifier is fitted on, about; chosen by a hash of doc_id and text.
 SAMPLE_PER_LANG = 1200
+#: Bytes of text of the sample at most, about.
+SAMPLE_BYTES = 48 << 20
 EPOCHS, RATE, SEED = 4, 0.6, 7
 #: Share of the correctly labelled held-back rows that rejection may cost at most.
 REJECT_SHARE = 0.002
@@ -141,11 +143,13 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
     """Fit on rows with a language whose crc32 remainder is not 2: a hash picks about per_lang of each
-    language (all, where there are fewer)."""
+    language (all, where there are fewer), and about SAMPLE_BYTES of text at most, shared evenly.  One
+    row a language comes to the driver beside them."""
     rows = docs.where(train_row() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
     space = 1 << 24
-    level = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(space, int(space * per_lang / n) + 1)))]) if counts else None
+    share = {r.lang: min(per_lang / r.n, SAMPLE_BYTES / len(counts) / max(1, r.bytes)) for r in counts}
+    level = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(min(space, int(space * v) + 1)))]) if counts else None
     if level is None:
         return Model([], np.zeros((1 << BUCKET_BITS, 0)), np.zeros(0), 1.0, 0.0)
     key = F.xxhash64(F.col("doc_id").cast("string"), "text")
