@@ -18,6 +18,8 @@ from chronovox.llm.words import WordTable, ascii_words, text_slices
 
 #: Labelled rows that lexicon and weights are fitted on, of each class at most, about (chosen by hash).
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
+#: Bytes of text of that sample at most, about.
+SAMPLE_BYTES = 48 << 20
 #: A lexicon entry: rows of class 1 that hold it, and how much likelier it is there than elsewhere.
 MIN_ROWS, MIN_SHARE, MIN_RATIO, LEXICON_SIZE = 4, 0.003, 8.0, 20_000
 #: Stems (beginnings of words) of so many characters may be entries, too.
@@ -276,11 +278,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, pull: float = 2.0) -> tuple[np.ndarr
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> Model:
-    """Fit on labelled rows whose crc32 remainder is not 2; a hash picks about so many of each class."""
-    marked = labels.where(train_row() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    n = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    """Fit on labelled rows whose crc32 remainder is not 2; a hash picks about so many of each class, and
+    about SAMPLE_BYTES of text at most.  A document with both labels is toxic."""
+    marked = labels.where(train_row() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size")).join(marked, "doc_id")
+    n = {r.toxic: r for r in sizes.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()}
     space = 1 << 24
-    part = {k: min(space, int(space * most / max(1, n.get(k, 0))) + 1) for k, most in ((0, clean), (1, toxic))}
+    share = {k: min(most / n[k].n, SAMPLE_BYTES * most / (toxic + clean) / max(1, n[k].bytes or 0)) if k in n else 1.0 for k, most in ((0, clean), (1, toxic))}
+    part = {k: min(space, int(space * x) + 1) for k, x in share.items()}
     key = F.xxhash64(F.col("doc_id").cast("string"))
     picked = marked.where(F.pmod(key, F.lit(space)) < F.when(F.col("toxic") == 1, part[1]).otherwise(part[0]))
     # at most about toxic + clean ids: small enough to send to every task
