@@ -83,4 +83,6 @@ def with_tables(sql: str, *names: str) -> str:
         every += [*_NEEDS.get(n, ()), n]
     parts = ", ".join(f"{n} AS ({TABLES[n].format(**_DUCK)})" for n in dict.fromkeys(every))
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {parts}, {body[15:]}"
     return f"WITH {parts}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {parts} {body}"

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from chronovox.functions import vectors as V
 from chronovox.operators import clustering as C
 from chronovox.operators import identity as N
+from chronovox.operators import speakers as P
 
 from chronovox.plans.register import registry
 from chronovox.streaming import live as W
+from chronovox.thresholds import DEFAULTS
 
 QUERIES, ORACLES, query = registry()
 
@@ -133,7 +136,10 @@ def c11_near_duplicates(e):
     return N.near_duplicate_profiles(_many(e), ["tenant_id"], 0.7).withColumn("distance", F.round("distance", 6))
 
 
-@query("windows", "embeddings")
+@query("windows", "embeddings", sql=f"""
+WITH {_CENTROID}, r AS (SELECT *, sum(end_s - start_s) OVER (PARTITION BY recording_id, cluster ORDER BY end_s - start_s DESC, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM windows),
+own AS (SELECT recording_id, cluster, avg(embedding[1]::DOUBLE) FILTER (coalesce(before, 0) < 30) AS first, any_value(len(embedding)) AS width FROM r GROUP BY ALL)
+SELECT recording_id, concat('P', cluster) AS speaker, cluster < 5 AS stored, round(CASE WHEN cluster < 5 THEN v[1] ELSE first END, 6) AS first, width::INT AS width FROM own LEFT JOIN c ON c.label = cluster""")
 def c15_speaker_refs(w, e):
     turns = w.select("recording_id", "seq", "start_s", "end_s", F.concat(F.lit("P"), F.col("cluster").cast("string")).alias("speaker"))
     # the profiles of the upper labels carry other names, which no speaker has
@@ -197,7 +203,11 @@ def g7_clear_winner(e):
     return N.clear_winner(N.score_pairs(_queries(e), _profiles(e), ["t"]), ["query_id"]).select("query_id", "name", "clear")
 
 
-@query("windows", "embeddings")
+@query("windows", "embeddings", sql=f"""
+WITH {_PROFILES}, wx AS (SELECT recording_id, cluster, unnest(range(1, len(embedding) + 1)) AS p, unnest(embedding)::DOUBLE AS v FROM windows), wm AS (SELECT recording_id, cluster, p, avg(v) AS m FROM wx GROUP BY ALL), wc AS (SELECT recording_id * 100 + cluster AS cluster, list(m ORDER BY p) AS w FROM wm GROUP BY recording_id, cluster),
+sc AS (SELECT cluster, name, sec, {cos('w', 'prof.v')} AS emb, pitch FROM wc, prof), d AS (SELECT *, round_even(greatest(0.9 * emb + 0.1 * least(abs(120.0e0 - pitch) / 50.0, 1.0), 0), 4) AS dist FROM sc), k AS (SELECT *, round_even(greatest(0, 1 - dist / 0.5), 4) AS conf FROM d),
+b AS (SELECT *, row_number() OVER o AS r, lead(dist) OVER o AS d2, lead(sec) OVER o AS t2 FROM k WINDOW o AS (PARTITION BY cluster ORDER BY dist, name))
+SELECT cluster, CASE WHEN (d2 IS NULL OR d2 - dist >= 0.02 OR (sec > 2 * t2 AND dist < 0.16)) AND (emb < 0.16 OR dist <= 0.35) THEN name ELSE concat('Speaker ', cluster) END AS speaker, round(dist, 3) AS distance, (SELECT least(count(*), 3)::INT FROM k WHERE k.cluster = b.cluster AND conf >= 0.3) AS alternatives FROM b WHERE r = 1""")
 def g8_g9_match_clusters(w, e):
     c = V.centroid(w, ["recording_id", "cluster"]).select(F.lit(0).alias("t"), (F.col("recording_id") * 100 + F.col("cluster")).alias("cluster"), F.col("centroid").alias("embedding"), F.lit(120.0).alias("pitch_hz"))
     got = N.match_clusters(c, _profiles(e), ["t"])
@@ -301,21 +311,56 @@ SELECT recording_id, concat('Speaker ', cluster) AS speaker, round(d, 6) AS spee
 def d10_speaker_summary(w):
     """A speaker is in the summary if it has a profile and owns a segment."""
     own = w.withColumn("speaker", F.concat(F.lit("Speaker "), F.col("cluster").cast("string")))
-    prof = own.select("speaker", "cluster").distinct().where("cluster < 8").select("speaker")
-    return own.join(prof, "speaker", "left_semi").groupBy("recording_id", "speaker").agg(F.round(F.sum(F.col("end_s") - F.col("start_s")), 6).alias("speech_sec"), F.count("*").alias("segments"))
+    prof = own.where("cluster < 8").select("recording_id", "speaker").distinct().withColumn("profiled", F.lit(True))
+    got = P.speaker_summary(own, prof).where("profiled")
+    return got.select("recording_id", "speaker", F.round("speech_sec", 6).alias("speech_sec"), "segments")
 
 
 @query("profiles", sql="""
 SELECT tenant_id, c_mktsegment AS name, round(sum(pitch_hz * total_speech_sec) / sum(total_speech_sec), 6) AS pitch_hz, round(sum(total_speech_sec), 4) AS total_speech_sec FROM profiles GROUP BY ALL""")
 def d8_merge_profile_stats(p):
-    w = F.col("total_speech_sec")
-    return p.groupBy("tenant_id", F.col("c_mktsegment").alias("name")).agg(F.round(F.sum(F.col("pitch_hz") * w) / F.sum(w), 6).alias("pitch_hz"), F.round(F.sum(w), 4).alias("total_speech_sec"))
+    """Every profile into that of its segment, which exists for none before."""
+    into = p.select("tenant_id", "name", F.col("c_mktsegment").alias("into"))
+    got = P.merge_profile_stats(p.select("tenant_id", "name", "pitch_hz", "total_speech_sec"), into, ["tenant_id"], "name")
+    return got.select("tenant_id", "name", F.round("pitch_hz", 6).alias("pitch_hz"), F.round("total_speech_sec", 4).alias("total_speech_sec"))
 
 
 @query("embeddings", sql="SELECT count(*) AS names FROM (SELECT DISTINCT label FROM embeddings WHERE vec_id % 2 = 0 INTERSECT SELECT label FROM embeddings WHERE vec_id % 3 = 0) x")
 def i3_common_profiles(e):
-    a, b = e.where("vec_id % 2 = 0").select("label").distinct(), e.where("vec_id % 3 = 0").select("label").distinct()
-    return a.join(b, "label").agg(F.count("*").alias("names"))
+    return P.common_profiles(e.where("vec_id % 2 = 0"), e.where("vec_id % 3 = 0"), ["label"]).agg(F.count("*").alias("names"))
 
 
+@query("windows", sql=f"""
+WITH s AS (SELECT *, end_s - start_s + win_id % 3 AS d FROM windows), x AS (SELECT recording_id, cluster, d, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS v FROM s WHERE d >= 1.5), t AS (SELECT recording_id, cluster, sum(d) AS sec, count(*) AS n FROM s WHERE d >= 1.5 GROUP BY ALL)
+SELECT x.recording_id, x.cluster, pos::INT AS pos, round(sum(v * d) / sum(d), 6) AS mean, round(any_value(sec), 6) AS total_speech_sec, any_value(n) AS sample_count FROM x JOIN t ON t.recording_id = x.recording_id AND t.cluster = x.cluster GROUP BY ALL""")
+def g17_register_weighted(w):
+    rows = w.withColumn("end_s", F.col("end_s") + F.col("win_id") % 3)
+    r = P.register(rows, ["recording_id", "cluster"])
+    return r.select("recording_id", "cluster", F.posexplode("embedding").alias("pos", "mean"), F.round("total_speech_sec", 6).alias("total_speech_sec"), "sample_count").withColumn("mean", F.round("mean", 6))
+
 
+@query("windows", sql="""
+WITH m AS (SELECT *, (start_s + end_s) / 2 AS mid FROM windows), w AS (SELECT DISTINCT recording_id, speaker FROM m WHERE speaker IS NOT NULL)
+SELECT a.recording_id, a.win_id AS seq, w.speaker AS candidate, round(min(abs(a.mid - b.mid)), 6) AS distance FROM m a JOIN w ON w.recording_id = a.recording_id JOIN m b ON b.recording_id = a.recording_id AND b.speaker = w.speaker GROUP BY ALL""")
+def c8_speaker_distances(w):
+    who = w.where("speaker IS NOT NULL").select("recording_id", F.col("speaker").alias("candidate")).distinct()
+    return P.speaker_distances(w, who).withColumn("distance", F.round("distance", 6))
+
+
+@query("windows", "embeddings")
+def g9_match_known(w, e):
+    """Speakers of windows with names, evidence and alternatives; every profile is of tenant 0."""
+    seg = w.select("recording_id", "seq", "start_s", "end_s", F.concat(F.lit("Speaker "), F.col("cluster").cast("string")).alias("speaker")).withColumns({"speaker_confidence": F.lit(None).cast("double"), "speaker_margin": F.lit(None).cast("double"), "uncertain": F.lit(False)})
+    means = V.centroid(w, ["recording_id", "cluster"])
+    spk = P.segment_centroids(seg, w, means).withColumns({"t": F.lit(0), "pitch_hz": F.lit(120.0)})
+    got, _ = P.match_known(seg, spk, _profiles(e), ["t"])
+    return got.select("recording_id", "seq", "speaker", F.round("speaker_confidence", 2).alias("confidence"), F.size("alternatives").alias("alternatives"))
+
+
+@query("windows", "embeddings")
+def g12_second_pass(w, e):
+    """Speakers by label once more, against the profiles blended with their own voices."""
+    seg = w.select("recording_id", "seq", "start_s", "end_s", F.concat(F.lit("Speaker "), F.col("cluster").cast("string")).alias("speaker")).withColumns({"t": F.lit(0), "speaker_confidence": F.lit(None).cast("double"), "speaker_margin": F.lit(None).cast("double"), "uncertain": F.lit(False)})
+    none = seg.select("recording_id", "speaker", F.lit(0.0).alias("pitch_hz")).distinct()
+    got, _ = P.second_pass(seg, w, _profiles(e), none, ["t"], th=replace(DEFAULTS, second_accept=0.5, second_confidence=0.0, clear_gap=0.0, unknown_merge=0.6))
+    return got.select("recording_id", "seq", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), "speaker")

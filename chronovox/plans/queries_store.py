@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from chronovox.functions.labels import collect_refusal
+from chronovox.operators import speakers as P
 from chronovox.operators import store as S
 from chronovox.plans.register import registry
+from chronovox.thresholds import DEFAULTS
 
 QUERIES, ORACLES, query = registry()
 
@@ -182,7 +186,10 @@ def s4_stale_totals(s):
     return S.stale_totals(_profiles(s), s).select("tenant_id", "speaker_name", "total_speech_sec", "total_sec")
 
 
-@query("snippets")
+@query("snippets", sql="""
+WITH d AS (SELECT *, min(id) OVER (PARTITION BY tenant_id, speaker_name, content_sha256) AS k FROM snippets), r AS (SELECT *, CASE WHEN id > k THEN 'duplicate' WHEN id % 50 = 7 THEN 'dead' WHEN duration_sec < 5 THEN 'too_short' END AS reason FROM d),
+t AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, speaker_name, source, reason IS NULL ORDER BY duration_sec DESC, start_sec ASC NULLS LAST, id) AS place FROM r)
+SELECT tenant_id, coalesce(reason, 'over_per_file_cap') AS reason, count(*) AS rows FROM t WHERE reason IS NOT NULL OR place > 10 GROUP BY ALL""")
 def s5_cleanup(s):
     rows = s.withColumn("source_audio", F.col("source"))
     plan = S.cleanup({"profiles": _profiles(s), "snippets": rows}, s.where(F.col("id") % 50 == 7))
@@ -315,3 +322,47 @@ SELECT recording_id, count(*) FILTER (reason IS NULL) AS collected, count(*) FIL
 def d12_learning_summary(s):
     r = s.withColumn("reason", collect_refusal())
     return r.groupBy("recording_id").agg(F.count_if(F.col("reason").isNull()).alias("collected"), F.count_if(F.col("reason") == "generic_label").alias("learnable"), F.count_if(F.col("reason").isNotNull() & (F.col("reason") != "generic_label")).alias("refused"))
+
+
+@query("snippets", sql="""
+WITH g AS (SELECT *, 80.0e0 + id % 90 AS pitch, (id % 7) / 10.0e0 AS rms FROM snippets WHERE duration_sec >= 1.5), m AS (SELECT *, least(duration_sec, 4 * median(duration_sec) OVER (PARTITION BY tenant_id, speaker_name)) AS w FROM g),
+x AS (SELECT tenant_id, speaker_name, w, unnest(range(1, len(embedding) + 1)) AS p, unnest(embedding)::DOUBLE AS v FROM m), c AS (SELECT tenant_id, speaker_name, p, sum(v * w) / sum(w) AS m FROM x GROUP BY ALL), n AS (SELECT tenant_id, speaker_name, sqrt(sum(m * m)) AS n, any_value(m) FILTER (p = 1) AS first FROM c GROUP BY ALL),
+s AS (SELECT tenant_id, speaker_name, sum(pitch * duration_sec) / sum(duration_sec) AS pitch, sum(rms * duration_sec) / sum(duration_sec) AS rms FROM g GROUP BY ALL)
+SELECT n.tenant_id, n.speaker_name AS name, round(first / n, 6) AS first, round(pitch, 6) AS pitch_hz, round(rms, 6) AS energy_rms, n.speaker_name = 'Person 9' AS pending FROM n JOIN s USING (tenant_id, speaker_name)""")
+def d6_refit_store(s):
+    """Vectors of length 1, pitch and energy of all profiles anew, put into the store: who was pending stays so."""
+    rows = s.withColumns({"pitch_hz": F.lit(80.0) + F.col("id") % 90, "energy_rms": (F.col("id") % 7) / 10.0})
+    fit = S.refit_profiles(rows).drop("dropped", "sample_count")
+    old = fit.select("tenant_id", "name", F.array(F.lit(0.0)).alias("embedding"), F.lit(0.0).alias("total_speech_sec"), F.lit(0.0).alias("pitch_hz"), F.lit(0.0).alias("energy_rms"), (F.col("name") == "Person 9").alias("pending"))
+    new = S.upsert_profiles(old, fit)
+    return new.select("tenant_id", "name", F.round(F.element_at("embedding", 1), 6).alias("first"), F.round("pitch_hz", 6).alias("pitch_hz"), F.round("energy_rms", 6).alias("energy_rms"), "pending")
+
+
+@query("snippets")
+def h5_learn_profiles(s):
+    """Snippets as spans of new voices: what is learned of each, and what is not."""
+    rows = s.select("tenant_id", "speaker_name", "source", F.col("id").alias("span_id"), F.coalesce("start_sec", F.lit(0.0)).alias("start_s"), (F.coalesce("start_sec", F.lit(0.0)) + F.col("duration_sec") * 3).alias("end_s"), "embedding")
+    clips, people, skipped = S.learn_profiles(rows, th=replace(DEFAULTS, cohesion=1.01))
+    done = clips.groupBy("tenant_id", "speaker_name").agg(F.count("*").alias("clips"), F.round(F.sum("duration_sec"), 4).alias("seconds"))
+    done = done.join(people.select("tenant_id", F.col("name").alias("speaker_name"), "pending"), ["tenant_id", "speaker_name"]).withColumn("reason", F.lit(None).cast("string"))
+    return done.unionByName(skipped.select("tenant_id", "speaker_name", F.lit(0).cast("long").alias("clips"), F.lit(0.0).alias("seconds"), F.lit(None).cast("boolean").alias("pending"), "reason"))
+
+
+@query("segments")
+def h4_collection_told(s):
+    """Why speakers of each recording gave clips or not."""
+    p = s.select("tenant_id").distinct().select("tenant_id", F.explode(F.array(F.lit("Alice"), F.lit("Cid"))).alias("name"), F.lit(False).alias("pending"))
+    _, told = S.collect_snippets(s, p, collect_refusal())
+    return told.select("tenant_id", "recording_id", "speaker_name", "spans", "skipped", "snippets", F.round("added_sec", 4).alias("added_sec"), "over_per_file_cap", "too_short_after_trim")
+
+
+@query("segments", sql="""
+WITH r AS (SELECT *, CASE WHEN speaker IS NULL THEN 'unknown_label' WHEN speaker = 'OVERLAP' THEN 'overlap' WHEN speaker = 'Speaker 1' THEN 'generic_label' WHEN uncertain THEN 'uncertain' WHEN speaker_confidence < 0.35 THEN 'low_confidence' WHEN speaker_margin < 0.02 THEN 'low_margin'
+  WHEN end_s - start_s > 0 AND end_s - start_s < 0.5 THEN 'too_short' END AS reason FROM segments)
+SELECT recording_id, count(*) FILTER (reason IS NULL) AS snippets_added, count(*) FILTER (reason IS NOT NULL) AS refused_total, count(*) FILTER (reason = 'uncertain') AS uncertain, least(count(*) FILTER (reason IS NOT NULL), 8)::INT AS told FROM r GROUP BY 1""")
+def d12_learning_counts(s):
+    r = s.withColumn("reason", collect_refusal())
+    bad = r.where("reason IS NOT NULL").select("recording_id", F.col("seq").cast("string").alias("cluster"), "reason")
+    got = P.learning_summary(r.where("reason IS NULL").select("recording_id"), bad, bad.where("false").withColumnRenamed("cluster", "speaker"), bad.select("recording_id", "reason"), ["recording_id"])
+    many = F.coalesce(F.element_at("refused_reasons", "uncertain"), F.lit(0))
+    return got.select("recording_id", "snippets_added", "refused_total", many.cast("long").alias("uncertain"), F.when(F.col("not_learned").isNull(), 0).otherwise(F.size("not_learned")).alias("told"))

@@ -57,7 +57,13 @@ def e4_to_turns(s):
     return I.to_turns(s, 10.0).select("recording_id", "seq", *r6("start_s", "end_s"), "speaker", "speaker_confidence", F.size("children").cast("long").alias("children"))
 
 
-@query("segments")
+@query("segments", sql=f"""
+WITH RECURSIVE b AS (SELECT *, CASE WHEN lag(speaker) OVER {_W} = speaker AND start_s - lag(end_s) OVER {_W} <= 60 THEN 0 ELSE 1 END AS b FROM segments), i AS (SELECT *, sum(b) OVER {_W} AS island FROM b),
+a AS (SELECT recording_id, island, arg_min(speaker, seq) AS speaker, list(start_s ORDER BY start_s, seq) AS s, list(end_s ORDER BY start_s, seq) AS e, list(seq ORDER BY start_s, seq) AS q FROM i GROUP BY ALL),
+p AS (SELECT recording_id, island, 1::BIGINT AS lo, len(s)::BIGINT AS hi FROM a UNION ALL
+  SELECT recording_id, island, unnest([lo, cut + 1]), unnest([cut, hi]) FROM (SELECT *, CASE WHEN list_max(g) > 0 THEN lo + list_position(g, list_max(g)) - 1 ELSE lo END AS cut FROM (
+    SELECT p.*, [a.s[i + 1] - a.e[i] FOR i IN range(lo, hi)] AS g FROM p JOIN a USING (recording_id, island) WHERE lo < hi AND a.e[hi] - a.s[lo] > 40) x) y)
+SELECT recording_id, q[lo] AS seq, round(s[lo], 6) AS start_s, round(e[hi], 6) AS end_s, speaker, (hi - lo + 1)::INT AS parts FROM p JOIN a USING (recording_id, island) WHERE lo = hi OR e[hi] - s[lo] <= 40""")
 def e5_split_long_turns(s):
     turns = I.to_turns(s, 60.0)
     return I.split_long_turns(turns, 40.0).select("recording_id", "seq", *r6("start_s", "end_s"), "speaker", "parts")
@@ -75,7 +81,14 @@ def e6_build_segments(w):
     return I.build_segments(rows).select("recording_id", "seq", *r6("start_s", "end_s"), "speaker")
 
 
-@query("segments")
+@query("segments", sql=f"""
+WITH RECURSIVE s AS (SELECT recording_id, row_number() OVER {_W} AS r, struct_pack(a := start_s, q := seq, b := end_s, n := speaker) AS x FROM segments),
+f AS (SELECT recording_id, 0::BIGINT AS r, [x for x in [any_value(x)] if false] AS done FROM s GROUP BY 1 UNION ALL
+  SELECT f.recording_id, s.r, CASE WHEN len(done) > 0 AND s.x.a < done[-1].b
+    THEN done[:-2] || [y for y in [struct_pack(a := done[-1].a, q := done[-1].q, b := (s.x.a + done[-1].b) / 2, n := done[-1].n), struct_pack(a := (s.x.a + done[-1].b) / 2, q := s.x.q, b := s.x.b, n := s.x.n)] if y.b > y.a]
+    ELSE done || [y for y in [s.x] if y.b > y.a] END FROM f JOIN s ON s.recording_id = f.recording_id AND s.r = f.r + 1),
+o AS (SELECT recording_id, unnest(done) AS x FROM f QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY r DESC) = 1)
+SELECT recording_id, x.q AS seq, round(x.a, 6) AS start_s, round(x.b, 6) AS end_s, x.n AS speaker FROM (SELECT recording_id, unnest(done) AS x FROM (SELECT recording_id, arg_max(done, r) AS done FROM f GROUP BY 1) l) o2""")
 def e7_resolve_overlaps(s):
     return I.resolve_overlaps(s).select("recording_id", "seq", *r6("start_s", "end_s"), "speaker")
 
@@ -124,6 +137,18 @@ def e13_close_timeline(t):
     return I.close_timeline(t, length).select("recording_id", "seq", *r6("start_s", "end_s"), "speaker")
 
 
+@query("turns", sql=f"""
+WITH l AS (SELECT *, max(end_s) OVER (PARTITION BY recording_id) + CASE WHEN recording_id % 2 = 0 THEN 5 ELSE 0 END AS len, lag(end_s) OVER {_W} AS pe, lag(seq) OVER {_W} AS ps, lead(start_s) OVER {_W} AS a FROM turns),
+c AS (SELECT *, CASE WHEN a - end_s > 0.001 THEN CASE WHEN seq % 2 = 0 THEN end_s + (a - end_s) / 4 ELSE (end_s + a) / 2 END END AS cut FROM l), d AS (SELECT *, lag(cut) OVER {_W} AS before FROM c)
+SELECT recording_id, seq, round(CASE WHEN pe IS NULL AND start_s > 0.001 THEN 0 ELSE coalesce(before, start_s) END, 6) AS start_s, round(CASE WHEN a IS NULL AND len - end_s > 0.001 THEN len ELSE coalesce(cut, end_s) END, 6) AS end_s, speaker FROM d""")
+def e13_cover_timeline(t):
+    """Gaps alone close, those after even turns at a given cut; overlaps stay."""
+    length = F.max("end_s").over(Window.partitionBy("recording_id")) + F.when(F.col("recording_id") % 2 == 0, 5).otherwise(0)
+    nxt = F.lead("start_s").over(I.order())
+    cuts = t.withColumn("_n", nxt).where("seq % 2 = 0 AND _n - end_s > 0.001").select("recording_id", "seq", (F.col("end_s") + (F.col("_n") - F.col("end_s")) / 4).alias("cut"))
+    return I.cover_timeline(t, length, cuts).select("recording_id", "seq", *r6("start_s", "end_s"), "speaker")
+
+
 _ASOF = """
 own AS (SELECT i.recording_id, i.seq, i.start_s, i.end_s, i.text, i.confidence AS item_confidence, (i.start_s + i.end_s) / 2 AS mid, t.seq AS turn_seq, t.start_s AS t0, t.end_s AS t1, t.speaker AS t_speaker, t.speaker_confidence AS t_conf, t.uncertain AS t_unc
   FROM items i LEFT JOIN turns t ON i.recording_id = t.recording_id AND (t.start_s <= (i.start_s + i.end_s) / 2 OR t.seq = 0) QUALIFY row_number() OVER (PARTITION BY i.recording_id, i.seq ORDER BY t.start_s DESC) = 1)"""
@@ -162,7 +187,11 @@ def e14_attribute_items(i, t):
     return A.attribute_items(i, t).select("recording_id", "seq", *r6("start_s", "end_s"), "speaker", "reason", "items", "text")
 
 
-@query("items", "turns")
+@query("items", "turns", sql=f"""
+WITH {_RUNS}, m AS (SELECT *, CASE WHEN speaker IS NOT NULL AND speaker <> 'OVERLAP' AND lag(speaker) OVER {_W} = speaker AND start_s - lag(end_s) OVER {_W} <= 1 THEN 0 ELSE 1 END AS nb FROM runs),
+j AS (SELECT *, sum(nb) OVER {_W} AS part FROM m),
+p AS (SELECT *, CASE WHEN lag(text) OVER q IS NULL THEN '' WHEN regexp_matches(lag(text) OVER q, '[.!?…]$') AND start_s - max(end_s) OVER (PARTITION BY recording_id, part ORDER BY start_s, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 2 THEN chr(10) || chr(10) ELSE ' ' END AS glue FROM j WINDOW q AS (PARTITION BY recording_id, part ORDER BY start_s, seq))
+SELECT recording_id, min(seq) AS seq, round(min(start_s), 6) AS start_s, round(max(end_s), 6) AS end_s, arg_min(speaker, seq) AS speaker, count(*) AS parts, string_agg(glue || text, '' ORDER BY start_s, seq) AS text FROM p GROUP BY recording_id, part""")
 def e15_merge_results(i, t):
     return A.merge_results(A.attribute_items(i, t)).select("recording_id", "seq", *r6("start_s", "end_s"), "speaker", "parts", "text")
 
@@ -175,7 +204,12 @@ def flagship_speaker_totals(i, t):
     return got.groupBy("recording_id", "speaker").agg(F.count("*").alias("results"), F.round(F.sum(d), 6).alias("speech_sec"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("items")
+@query("items", sql=f"""
+WITH RECURSIVE s AS (SELECT *, row_number() OVER {_W} AS r FROM items),
+f AS (SELECT recording_id, 0::BIGINT AS r, 0 AS p, 0::BIGINT AS n, 0.0::DOUBLE AS e, '' AS l FROM items GROUP BY 1 UNION ALL
+  SELECT recording_id, r, p + b::INT, CASE WHEN b THEN length(text) ELSE n + length(text) + (n > 0)::INT END, end_s, text FROM (
+    SELECT f.recording_id, s.r, f.p, f.n, s.text, s.end_s, f.n > 0 AND (s.start_s - f.e >= 0.4 OR (f.n >= 20 AND regexp_matches(f.l, '[.!?…]\\s*$')) OR f.n >= 60) AS b FROM f JOIN s ON s.recording_id = f.recording_id AND s.r = f.r + 1) x)
+SELECT f.recording_id, p AS paragraph, round(min(start_s), 6) AS start_s, round(max(end_s), 6) AS end_s, count(*) AS items, string_agg(text, ' ' ORDER BY start_s, seq) AS text FROM f JOIN s ON s.recording_id = f.recording_id AND s.r = f.r GROUP BY ALL""")
 def e16_paragraphs(i):
     return A.paragraphs(i, pause=0.4, soft=20, hard=60).select("recording_id", "paragraph", *r6("start_s", "end_s"), "items", "text")
 
@@ -227,12 +261,22 @@ def e22_split_at_dips(f):
     return I.split_at_dips(sections, f)
 
 
-@query("segments")
+@query("segments", sql="""
+WITH k AS (SELECT *, unnest(range(0, 200)) AS k FROM segments), w AS (SELECT recording_id, seq, k, start_s + k * 1.2 AS a, least(start_s + k * 1.2 + 2.0, end_s) AS b, start_s + (k - 1) * 1.2 + 2.0 AS prev, start_s, end_s FROM k)
+SELECT recording_id, seq, round(a, 6) AS w_start, round(b, 6) AS w_end FROM w WHERE k = 0 OR (end_s - start_s > 2.0 AND b - a > 0.1 AND prev < end_s)""")
 def e23_sliding_windows(s):
     return I.sliding_windows(s.select("recording_id", "seq", "start_s", "end_s")).select("recording_id", "seq", *r6("w_start", "w_end"))
 
 
-@query("segments", "frames")
+_PROBS = """
+ps AS (SELECT recording_id, frame_idx, coalesce((frame_idx - lag(frame_idx) OVER (PARTITION BY recording_id ORDER BY frame_idx) > 3)::INT, 1) AS n FROM frames WHERE speech_prob >= 0.5),
+pi AS (SELECT *, sum(n) OVER (PARTITION BY recording_id ORDER BY frame_idx) AS i FROM ps),
+sections AS (SELECT recording_id, min(frame_idx) * 1.0e0 AS s_start, (max(frame_idx) + 1) * 1.0e0 AS s_end FROM pi GROUP BY recording_id, i)"""
+
+
+@query("segments", "frames", sql=f"""
+WITH {_PROBS}, c AS (SELECT s.recording_id, s.seq, greatest(s.start_s, min(s_start)) AS lo, least(s.end_s, max(s_end)) AS hi FROM segments s JOIN sections x ON x.recording_id = s.recording_id AND s.start_s <= s_end AND s.end_s >= s_start GROUP BY s.recording_id, s.seq, s.start_s, s.end_s)
+SELECT s.recording_id, s.seq AS span_id, round(CASE WHEN hi - lo >= 1.5 THEN lo ELSE s.start_s END, 6) AS start_s, round(CASE WHEN hi - lo >= 1.5 THEN hi ELSE s.end_s END, 6) AS end_s, coalesce(hi - lo >= 1.5, false) AS trimmed FROM segments s LEFT JOIN c USING (recording_id, seq)""")
 def e24_trim_to_sections(s, f):
     spans = s.select("recording_id", F.col("seq").alias("span_id"), F.col("start_s").alias("p_start"), F.col("end_s").alias("p_end"))
     sections = I.sections_from_probs(f).select("recording_id", F.col("start_s").alias("s_start"), F.col("end_s").alias("s_end"))
@@ -254,7 +298,11 @@ def e25_trim_edges(f):
     return I.trim_edges(turns, fr).select("recording_id", "turn_id", *r6("start_s", "end_s"))
 
 
-@query("frames")
+@query("frames", sql="""
+WITH RECURSIVE a AS (SELECT recording_id, list(rms ORDER BY frame_idx) AS a, count(*) AS n FROM frames GROUP BY 1),
+f AS (SELECT recording_id, 0::BIGINT AS c, 0::BIGINT AS p FROM a UNION ALL
+  SELECT f.recording_id, c + 1, p + 25 + list_position(a[p + 26 : p + 30], list_min(a[p + 26 : p + 30])) FROM f JOIN a USING (recording_id) WHERE n - p > 30)
+SELECT f.recording_id, c::INT AS chunk, p::INT AS first, coalesce(lead(p) OVER (PARTITION BY f.recording_id ORDER BY c), n)::INT AS "end" FROM f JOIN a USING (recording_id)""")
 def e26_plan_chunks(f):
     return I.plan_chunks(f)
 
@@ -355,7 +403,16 @@ def f2_best_split(e):
     return B.best_split(_sections(e), ["gap_id"])
 
 
-@query("embeddings")
+_COS = "list_sum([{a}[i]::DOUBLE * {b}[i]::DOUBLE FOR i IN range(1, len({a}) + 1)]) / (sqrt(list_sum([v::DOUBLE * v FOR v IN {a}])) * sqrt(list_sum([v::DOUBLE * v FOR v IN {b}])))"
+_COS = f"(1.0 - {_COS})"
+
+
+@query("embeddings", sql=f"""
+WITH s AS (SELECT vec_id // 5 AS gap_id, vec_id % 5 AS pos, vec_id * 1.0e0 AS a, vec_id + 0.8e0 AS b, embedding FROM embeddings), r AS (SELECT gap_id, arg_min(embedding, pos) AS l, arg_max(embedding, pos) AS r FROM s GROUP BY 1),
+x AS (SELECT s.*, 1.0 - {_COS.format(a="s.embedding", b="r.l")} AS sa, 1.0 - {_COS.format(a="s.embedding", b="r.r")} AS sb FROM s JOIN r USING (gap_id)), o AS (SELECT gap_id, pos, a, b, (sb > sa)::INT AS o, abs(sa - sb) + 1e-3 AS w, row_number() OVER (PARTITION BY gap_id ORDER BY pos) - 1 AS k FROM x),
+c AS (SELECT p.gap_id, p.k, sum(CASE WHEN q.k < p.k AND q.o = 1 OR q.k >= p.k AND q.o = 0 THEN q.w ELSE 0 END) AS cost FROM (SELECT gap_id, k FROM o UNION ALL SELECT gap_id, count(*) FROM o GROUP BY 1) p JOIN o q USING (gap_id) GROUP BY ALL),
+g AS (SELECT gap_id, arg_min(k, struct_pack(c := round(cost, 12), k := k)) AS k FROM c GROUP BY 1)
+SELECT g.gap_id, CASE WHEN l.gap_id IS NULL OR l.b <= r2.a THEN r2.a ELSE ((l.a + l.b) / 2 + (r2.a + r2.b) / 2) / 2 END AS cut FROM g LEFT JOIN o l ON l.gap_id = g.gap_id AND l.k = g.k - 1 LEFT JOIN o r2 ON r2.gap_id = g.gap_id AND r2.k = g.k""")
 def f1_f3_ownership_cut(e):
     rows = _sections(e).drop("owner", "weight").join(e.select((F.col("vec_id") % 5).alias("pos"), F.floor(F.col("vec_id") / 5).alias("gap_id"), "embedding"), ["gap_id", "pos"])
     refs = rows.groupBy("gap_id").agg(F.min_by("embedding", "pos").alias("left_ref"), F.max_by("embedding", "pos").alias("right_ref"))
@@ -378,13 +435,25 @@ def f5_quietest_cut(s, f):
     return B.quietest_cut(_gap_table(s), f)
 
 
-@query("segments", "frames")
+@query("segments", "frames", sql=f"""
+WITH {_GAPS}, n AS (SELECT h.*, frame_idx, rms, max(rms) OVER (PARTITION BY h.recording_id, gap_id) AS peak FROM h JOIN frames f ON f.recording_id = h.recording_id AND f.frame_idx >= lo AND f.frame_idx <= hi),
+q AS (SELECT recording_id, gap_id, arg_min(frame_idx, struct_pack(r := rms, i := frame_idx)) + 0.5e0 AS quiet FROM n GROUP BY ALL HAVING max(rms) > 0),
+l AS (SELECT *, frame_idx - row_number() OVER (PARTITION BY recording_id, gap_id ORDER BY frame_idx) AS i FROM n WHERE rms < 0.35 * peak),
+r AS (SELECT recording_id, gap_id, count(*) AS n, (min(frame_idx) + max(frame_idx) + 1) / 2.0 AS c, any_value((lo + hi) / 2) AS m FROM l GROUP BY recording_id, gap_id, i HAVING count(*) >= 2),
+d AS (SELECT recording_id, gap_id, arg_max(c, struct_pack(n := n, d := -abs(c - m), c := -c)) AS dip FROM r GROUP BY ALL)
+SELECT h.recording_id, h.gap_id, round(least(greatest(coalesce(dip, quiet, (l_end + r_start) / 2), l_start + 0.001), r_end - 0.001), 4) AS cut, CASE WHEN dip IS NOT NULL THEN 'energy_dip' WHEN quiet IS NOT NULL THEN 'quietest' ELSE 'midpoint' END AS method
+FROM h LEFT JOIN d ON d.recording_id = h.recording_id AND d.gap_id = h.gap_id LEFT JOIN q ON q.recording_id = h.recording_id AND q.gap_id = h.gap_id""")
 def f4_f6_cut_boundaries(s, f):
     g = _gap_table(s)
     return B.cut_boundaries(g, None, B.energy_dip_cut(g, f, 0.35, 2.0), B.quietest_cut(g, f)).select("recording_id", "gap_id", "cut", "method")
 
 
-@query("segments", "frames")
+@query("segments", "frames", sql=f"""
+WITH {_GAPS}, q AS (SELECT h.recording_id, gap_id, arg_min(frame_idx, struct_pack(r := rms, i := frame_idx)) + 0.5e0 AS quiet FROM h JOIN frames f ON f.recording_id = h.recording_id AND f.frame_idx >= lo AND f.frame_idx <= hi GROUP BY ALL HAVING max(rms) > 0),
+c AS (SELECT h.*, round(least(greatest(coalesce(quiet, (l_end + r_start) / 2), l_start + 0.001), r_end - 0.001), 4) AS cut FROM h LEFT JOIN q ON q.recording_id = h.recording_id AND q.gap_id = h.gap_id),
+d AS (SELECT recording_id, gap_id, cut FROM c WHERE cut > l_start AND r_end > cut AND greatest(abs(cut - l_end), abs(cut - r_start)) > 0.001),
+s AS (SELECT *, lag(seq) OVER {_W} AS prev FROM segments)
+SELECT s.recording_id, s.seq, round(coalesce(b.cut, s.start_s), 6) AS start_s, round(greatest(coalesce(d.cut, s.end_s), coalesce(b.cut, s.start_s)), 6) AS end_s, s.speaker FROM s LEFT JOIN d ON d.recording_id = s.recording_id AND d.gap_id = s.seq LEFT JOIN d b ON b.recording_id = s.recording_id AND b.gap_id = s.prev""")
 def f7_refine_gaps(s, f):
     g = _gap_table(s)
     cuts = B.cut_boundaries(g, None, None, B.quietest_cut(g, f))
@@ -399,7 +468,10 @@ def d15_boundary_stats(s):
     return r.select("method", "cuts", *[F.round(c, 5).alias(c) for c in ("p50", "p90", "largest")])
 
 
-@query("segments", "frames")
+@query("segments", "frames", sql=f"""
+WITH {_GAPS}, {_PROBS}, c AS (SELECT recording_id, gap_id, round(least(greatest((l_end + r_start) / 2, l_start + 0.001), r_end - 0.001), 4) AS cut FROM h), e AS (SELECT recording_id, unnest([s_start, s_end]) AS t FROM sections),
+d AS (SELECT c.recording_id, c.gap_id, min(abs(cut - t)) AS d FROM c JOIN e ON e.recording_id = c.recording_id GROUP BY ALL)
+SELECT recording_id, count(*) AS cuts, round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.9), 6) AS p90, round(max(d), 6) AS largest FROM d GROUP BY 1""")
 def d16_boundary_error(s, f):
     r = B.boundary_error(B.cut_boundaries(_gap_table(s)), I.sections_from_probs(f))
     return r.select("recording_id", "cuts", *r6("p50", "p90", "largest"))
@@ -417,12 +489,22 @@ def w1_detect_turns(f):
     return W.detect_turns(_live(f), W.Endpointing(frame_ms=160.0, voiced_ms=160.0)).select("session_id", "channel", "first_frame", "end_frame", "reason", *r6("peak_rms", "mean_rms"))
 
 
-@query("turns")
+@query("turns", sql="""
+WITH RECURSIVE s AS (SELECT recording_id AS session_id, (seq % 2)::INT AS channel, start_s, end_s, row_number() OVER (PARTITION BY recording_id, seq % 2 ORDER BY start_s, end_s) AS r FROM turns),
+f AS (SELECT session_id, channel, r, 1 AS g, start_s, end_s, 1 AS parts FROM s WHERE r = 1 UNION ALL
+  SELECT session_id, channel, r, CASE WHEN m THEN g ELSE g + 1 END, CASE WHEN m THEN a ELSE x END, y, CASE WHEN m THEN parts + 1 ELSE 1 END FROM (
+    SELECT f.session_id, f.channel, s.r, f.g, f.start_s AS a, s.start_s AS x, s.end_s AS y, f.parts, s.start_s - f.end_s BETWEEN 0 AND 1 AND s.end_s - f.start_s <= 15 AS m FROM f JOIN s ON s.session_id = f.session_id AND s.channel = f.channel AND s.r = f.r + 1) z)
+SELECT session_id, channel, round(arg_max(start_s, r), 6) AS start_s, round(arg_max(end_s, r), 6) AS end_s, max(parts) AS parts FROM f GROUP BY session_id, channel, g""")
 def w2_coalesce_turns(t):
     return W.coalesce_turns(t.select(F.col("recording_id").alias("session_id"), (F.col("seq") % 2).cast("int").alias("channel"), "start_s", "end_s")).select("session_id", "channel", *r6("start_s", "end_s"), "parts")
 
 
-@query("turns")
+@query("turns", sql="""
+WITH RECURSIVE s AS (SELECT recording_id AS session_id, seq AS sequence, (seq % 2)::INT AS channel, start_s AS el, start_s + CASE WHEN seq % 4 = 3 THEN -3.0 WHEN seq % 6 = 5 THEN 40.0 ELSE 0 END AS a, end_s + CASE WHEN seq % 4 = 3 THEN -3.0 WHEN seq % 6 = 5 THEN 40.0 ELSE 0 END AS b, row_number() OVER (PARTITION BY recording_id ORDER BY seq) AS r FROM turns),
+f AS (SELECT session_id, 0::BIGINT AS r, NULL::BIGINT AS sequence, NULL::INT AS channel, NULL::DOUBLE AS a, NULL::DOUBLE AS b, NULL::VARCHAR AS flag, 0.0::DOUBLE AS high, NULL::DOUBLE AS e0, NULL::DOUBLE AS e1 FROM s GROUP BY 1 UNION ALL
+  SELECT session_id, r, sequence, channel, a, b, CASE WHEN back THEN 'start_sample_regression' WHEN a > reach + greatest(10.0, 0.05 * el) THEN 'start_sample_ahead_of_stream' END, greatest(high, b), CASE WHEN channel = 0 THEN greatest(a, b) ELSE e0 END, CASE WHEN channel = 1 THEN greatest(a, b) ELSE e1 END FROM (
+    SELECT z.* EXCLUDE (a), CASE WHEN back THEN last ELSE a END AS a FROM (SELECT f.session_id, s.r, s.sequence, s.channel, s.a, s.b, s.el, f.high, f.e0, f.e1, greatest(f.high, s.el) AS reach, CASE WHEN s.channel = 0 THEN f.e0 ELSE f.e1 END AS last, coalesce(s.a < CASE WHEN s.channel = 0 THEN f.e0 ELSE f.e1 END - 0.05, false) AS back FROM f JOIN s ON s.session_id = f.session_id AND s.r = f.r + 1) z) y)
+SELECT session_id, sequence, channel, round(a, 6) AS start_s, round(b, 6) AS end_s, flag FROM f WHERE r > 0""")
 def w3_guard_timeline(t):
     late = F.when(F.col("seq") % 4 == 3, -3.0).when(F.col("seq") % 6 == 5, 40.0).otherwise(0.0)
     rows = t.select(F.col("recording_id").alias("session_id"), F.col("seq").alias("sequence"), (F.col("seq") % 2).cast("int").alias("channel"), (F.col("start_s") + late).alias("start_s"), (F.col("end_s") + late).alias("end_s"), F.col("start_s").alias("elapsed_s"))
