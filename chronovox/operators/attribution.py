@@ -76,9 +76,12 @@ def merge_results(results: DataFrame, gap: float = DEFAULTS.result_gap, pause: f
 
 def paragraphs(items: DataFrame, pause: float = 1.5, soft: int = 800, hard: int = 1600) -> DataFrame:
     """Items to paragraphs: a new one after a pause, past `soft` characters at a sentence's end, or
-    past `hard`.  A fold, as the length starts anew with each paragraph."""
+    past `hard`.  A fold, as the length starts anew with each paragraph, over the items between two
+    pauses: behind a text, a pause always begins a paragraph."""
     kind = "array<struct<start_s:double,seq:bigint,end_s:double,text:string>>"
-    rows = items.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("start_s", F.col("seq").cast("bigint").alias("seq"), "end_s", F.coalesce("text", F.lit("")).alias("text")))).cast(kind).alias("a"))
+    behind = (F.col("start_s") - F.lag("end_s").over(order()) >= pause) & (F.length(F.lag("text").over(order())) > 0)
+    rows = islands(items, F.coalesce(behind, F.lag("seq").over(order()).isNull()))
+    rows = rows.groupBy(*KEYS, "island").agg(F.array_sort(F.collect_list(F.struct("start_s", F.col("seq").cast("bigint").alias("seq"), "end_s", F.coalesce("text", F.lit("")).alias("text")))).cast(kind).alias("a"))
 
     def step(s, x):
         new = (s["n"] > 0) & ((x["start_s"] - s["end_s"] >= pause) | ((s["n"] >= soft) & s["last"].rlike(SENTENCE_END)) | (s["n"] >= hard))
@@ -88,7 +91,10 @@ def paragraphs(items: DataFrame, pause: float = 1.5, soft: int = 800, hard: int
 
     init = F.struct(F.lit(0).alias("p"), F.lit(0).alias("n"), F.lit(0.0).alias("end_s"), F.lit("").alias("last"), F.array().cast("array<int>").alias("out"))
     rows = rows.withColumn("p", F.aggregate("a", init, step, lambda s: s["out"]))
-    rows = rows.select(*KEYS, F.explode(F.zip_with("a", "p", lambda x, p: F.struct(p.alias("paragraph"), x["start_s"].alias("start_s"), x["seq"].alias("seq"), x["end_s"].alias("end_s"), x["text"].alias("text")))).alias("r")).select(*KEYS, "r.*")
+    # numbers go on from island to island
+    so_far = F.sum(F.element_at("p", -1) + 1).over(Window.partitionBy(*KEYS).orderBy("island").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_from", F.coalesce(so_far, F.lit(0)).cast("int"))
+    rows = rows.select(*KEYS, F.explode(F.zip_with("a", "p", lambda x, p: F.struct((p + F.col("_from")).alias("paragraph"), x["start_s"].alias("start_s"), x["seq"].alias("seq"), x["end_s"].alias("end_s"), x["text"].alias("text")))).alias("r")).select(*KEYS, "r.*")
     return rows.groupBy(*KEYS, "paragraph").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count("*").alias("items"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_s", "seq", "text"))), lambda s: s["text"]), " ").alias("text"))
 
 

@@ -128,9 +128,10 @@ def split_long_turns(turns: DataFrame, most: float = 120.0) -> DataFrame:
 
 def resolve_overlaps(df: DataFrame) -> DataFrame:
     """Where a segment begins before the kept one before it ends, both meet in the middle of the
-    overlap; empty ones go.  A fold over the recording's segments in order."""
+    overlap; empty ones go.  A fold over each run of segments in which one begins before another's end:
+    a segment after all ends before it meets none of them."""
     item = F.struct("start_s", "seq", "end_s", "speaker")
-    rows = df.groupBy(*KEYS).agg(F.array_sort(F.collect_list(item)).alias("a"))
+    rows = islands(df, F.col("start_s") >= running_end()).groupBy(*KEYS, "island").agg(F.array_sort(F.collect_list(item)).alias("a"))
 
     def step(done, x):
         last = F.element_at(done, -1)
@@ -457,22 +458,37 @@ def build_segments(windows: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
     )
 
 
+class _Chunks:
+    """Cuts of one recording as its frames come: only the last frames that may be cut at are kept."""
+
+    def __init__(self, most: int, band: int):
+        self.most, self.band = most, band
+
+    def begin(self) -> list:
+        return [0, 0, 0, []]  # chunk, its first frame, frames so far, levels of its last frames that fit
+
+    def __call__(self, s: list, rms: float) -> list[tuple]:
+        out = []
+        if s[2] - s[1] == self.most:
+            cut = s[1] + self.most - self.band + s[3].index(min(s[3])) + 1
+            out = [(s[0], s[1], cut)]
+            s[0], s[1], s[3] = s[0] + 1, cut, []
+        if s[2] - s[1] >= self.most - self.band:
+            s[3].append(rms)
+        s[2] += 1
+        return out
+
+    def end(self, s: list) -> list[tuple]:
+        return [(s[0], s[1], s[2])]
+
+
 def plan_chunks(frames: DataFrame, most: int = 30, band: int = 5) -> DataFrame:
     """Chunks of at most `most` frames, each cut at the quietest of the last `band` frames that still
-    fit (the earliest on a tie): a fold over the recording's frame energies."""
-    kind = "array<struct<i:int,r:double>>"
-    rows = frames.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(F.col("frame_idx").cast("int").alias("i"), F.col("rms").alias("r")))).cast(kind).alias("a"))
-    n = F.size("a")
-
-    def step(cuts, _):
-        at = F.element_at(cuts, -1)
-        near = F.transform(F.slice("a", at + most - band + 1, F.lit(band)), lambda s: F.struct(s["r"].alias("r"), s["i"].alias("i")))
-        pos = F.array_position(F.transform(near, lambda s: s["i"]), F.array_min(near)["i"]).cast("int")
-        return F.when(n - at <= most, cuts).otherwise(F.concat(cuts, F.array((at + most - band + pos).cast("int"))))
-
-    cuts = F.aggregate(F.sequence(F.lit(1), F.ceil(n / (most - band)).cast("int") + 1), F.array(F.lit(0)), step)
-    rows = rows.withColumn("c", F.concat(cuts, F.array(n)))
-    return rows.select(*KEYS, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.struct(F.element_at("c", i).alias("first"), F.element_at("c", i + 1).alias("end")))).alias("chunk", "s")).select(*KEYS, "chunk", "s.*")
+    fit (the earliest on a tie): a recording's frames pass in order, and a few of them are held."""
+    from chronovox.streaming.live import each_in_order
+
+    rows = frames.select(F.col("recording_id").cast("long").alias("recording_id"), "frame_idx", F.col("rms").cast("double").alias("rms"))
+    return each_in_order(rows, list(KEYS), ["frame_idx"], "recording_id long, chunk int, first int, end int", _Chunks(most, band), ["rms"])
 
 
 def stitch_items(items: DataFrame, chunks: DataFrame) -> DataFrame:

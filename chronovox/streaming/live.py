@@ -173,15 +173,15 @@ def guard_step(s: Timeline, channel: int, start: float, end: float, elapsed: flo
 # -- finished tables --------------------------------------------------------------------------------
 
 
-def _each(df: DataFrame, keys: list[str], order: list[str], schema: str, run) -> DataFrame:
-    """run(key, rows in order) for every key, as one task's sorted stream of Arrow batches, so that a
-    long session never has to be in memory at once."""
+def each_in_order(df: DataFrame, keys: list[str], order: list[str], schema: str, run, columns: list[str] | None = None) -> DataFrame:
+    """run's steps over every key's rows in order (their `columns`, all but the keys without), as one task's
+    sorted stream of Arrow batches, so that a long session never has to be in memory at once."""
     n = len(keys)
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, key, out = None, None, []
         for f in frames:
-            for row in zip(*(f[c].astype(object).tolist() for c in f.columns), strict=True):
+            for row in zip(*(f[c].astype(object).tolist() for c in picked), strict=True):
                 if row[:n] != key:
                     if key is not None:
                         out += [key + r for r in run.end(state)]
@@ -192,7 +192,8 @@ def _each(df: DataFrame, keys: list[str], order: list[str], schema: str, run) ->
         if key is not None:
             yield pd.DataFrame([key + r for r in run.end(state)], columns=names)
 
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    names = _names(schema)
+    picked = [*keys, *(columns or [c for c in df.columns if c not in keys])]
     return df.select(*keys, *[c for c in df.columns if c not in keys]).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(walk, schema)
 
 
@@ -275,19 +276,19 @@ _GUARDED = "session_id long, sequence long, channel int, start_s double, end_s d
 
 def detect_turns(frames: DataFrame, p: Endpointing = Endpointing()) -> DataFrame:
     """Turns of every (session_id, channel) from frames (frame_idx, rms)."""
-    return _each(frames.select("session_id", "channel", "frame_idx", "rms"), ["session_id", "channel"], ["frame_idx"], _TURNS, _Detect(p))
+    return each_in_order(frames.select("session_id", "channel", "frame_idx", "rms"), ["session_id", "channel"], ["frame_idx"], _TURNS, _Detect(p))
 
 
 def coalesce_turns(turns: DataFrame) -> DataFrame:
     """Turns (start_s, end_s) of every (session_id, channel), short pauses closed; with a column recv_s,
     the second in which a turn came, a held turn is released after its time, as on a stream."""
     more = ["recv_s"] if "recv_s" in turns.columns else []
-    return _each(turns.select("session_id", "channel", "start_s", "end_s", *more), ["session_id", "channel"], [*more, "start_s", "end_s"], _JOINED, _Coalesce())
+    return each_in_order(turns.select("session_id", "channel", "start_s", "end_s", *more), ["session_id", "channel"], [*more, "start_s", "end_s"], _JOINED, _Coalesce())
 
 
 def guard_timeline(turns: DataFrame) -> DataFrame:
     """Turns of every session in arrival order (sequence), clamped and flagged."""
-    return _each(turns.select("session_id", "sequence", "channel", "start_s", "end_s", "elapsed_s"), ["session_id"], ["sequence"], _GUARDED, _Guard())
+    return each_in_order(turns.select("session_id", "sequence", "channel", "start_s", "end_s", "elapsed_s"), ["session_id"], ["sequence"], _GUARDED, _Guard())
 
 
 def timeline_faults(guarded: DataFrame, details: int = FAULT_DETAILS) -> DataFrame:
