@@ -207,7 +207,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP, block: int = QUER
     asked = _query_blocks(queries.dropDuplicates(["vec_id"]), block)
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("kind", F.lit(1))
     # a key for each part and row kind, so that a task meets a part's index before its queries
-    dealt = own.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind")
+    dealt = own.unionByName(asked).repartition(4 * parts, "part").sortWithinPartitions("part", "kind")
 
     def run(batches):
         part, here = None, []
