@@ -29,7 +29,7 @@ def write_store(df: DataFrame, path: str) -> None:
 
 def scan_inventory(spark: SparkSession, root: str, digest: bool = True) -> DataFrame:
     """Audio files under root/<tenant>/<speaker>/: path, size, mtime and (digest) the content's sha256;
-    without it the files' bytes are not read."""
+    without it the files' bytes are not read.  Empty files are not listed, as the reader skips them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     parts = r"/([^/]+)/([^/]+)/([^/]+)$"
     ok = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*AUDIO)
