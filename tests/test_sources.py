@@ -28,7 +28,9 @@ def test_store_by_tenant(spark, tmp_path):
     names = lambda d: sorted((r.tenant_id, r.name) for r in d.collect())
     assert names(T.read_store(spark, str(tmp_path / "profiles"))) == [("a", "Ann"), ("a", "Eve"), ("b", "Ann")]
     own = T.read_store(spark, str(tmp_path / "profiles"), "a", include_pending=False)
-    assert names(own) == [("a", "Ann")] and all("tenant_id=a" in f for f in own.inputFiles())
+    assert names(own) == [("a", "Ann")]
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "tenant_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_exports_are_written(spark, tmp_path):
