@@ -367,20 +367,23 @@ def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     Only texts decide what belongs together: rows that repeat a doc_id, or have none, stay as long as
     their texts are not linked.
     """
+    # columns go by place, so that no name of docs can be taken for one of these
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names, strict=True))
+    rows = docs.toDF(*names)
     # a row's own digest, by which it is found again; rows that share one are equal in all columns
-    digest_of = F.xxhash64(*[x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))])
-    marked = docs.withColumn("_row", digest_of)
-    classes = saved(document_classes(marked, words, "_row"), "classes")
+    marked = rows.withColumn("_row", F.xxhash64(*[x for c in names for x in (F.col(c).isNull(), F.col(c))]))
+    classes = saved(document_classes(marked.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"), "_row"), words, "_row"), "classes")
     roots = class_roots(docs.select("text"), words, percent)
-    rows = classes.where("class IS NOT NULL").groupBy("class", "doc_id", "_row").agg(F.count("*").alias("n"))
-    rows = rows.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class", "_row", "n")).alias("m"))
+    each = classes.where("class IS NOT NULL").groupBy("class", "doc_id", "_row").agg(F.count("*").alias("n"))
+    each = each.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class", "_row", "n")).alias("m"))
     kept = first.select("m._row", (F.col("m.n") > 1).alias("_many"))
     kept = saved(kept.unionByName(classes.where("class IS NULL").select("_row", F.lit(False).alias("_many")).distinct()), "kept")
     out = marked.join(kept.where("NOT _many"), "_row", "left_semi")
     if not kept.where("_many").isEmpty():
         out = out.unionByName(marked.join(kept.where("_many"), "_row", "left_semi").dropDuplicates(["_row"]))
-    return out.select(docs.columns)
+    return out.select(*names).toDF(*docs.columns)
 
 
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -192,7 +192,10 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of docs, in its columns, whose language is not rejected; see identify."""
+    """The rows of docs, in its columns, whose language is not rejected; see identify.
+
+    Null texts and those without a letter go; repeated rows share their fate; other columns ride along,
+    whatever their names; without rows to learn from, no row stays."""
     model = model or train(docs)
 
     def run(batches):

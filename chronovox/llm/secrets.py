@@ -397,7 +397,8 @@ def _redacted(text: bytes, spans: list[tuple[int, int]], mark: bytes) -> bytes:
 
 def redact_documents(docs: DataFrame, grammar: Grammar | None = None, mark: str = MARK) -> DataFrame:
     """docs, in its columns, with the mark in place of every secret's value; n_chars (if there is
-    such a column) counts the new text.  A null text stays null."""
+    such a column) counts the new text.  A null text stays null, one without a secret as it is; repeated
+    rows stay repeated; other columns ride along, whatever their names; no rows give no rows."""
     grammar = grammar or learn(docs)
     counted = "n_chars" in docs.columns
 
