@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from chronovox.llm.words import WordTable, text_slices
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 SLICE = 2 << 20
+#: Chunks between spaces that a task remembers at most.
+CHUNKS = 400_000
 #: Chunks of more symbols than this use the scalar agenda.
 MATRIX_SYMBOLS = 64
 _NONE = np.int32(2**31 - 1)
@@ -242,7 +245,7 @@ _LOADED: dict[str, tuple[Vocabulary, WordTable]] = {}
 def load(path: str) -> tuple[Vocabulary, WordTable]:
     if path not in _LOADED:
         voc = Vocabulary(path)
-        _LOADED[path] = (voc, WordTable(voc.encode_chunks))
+        _LOADED[path] = (voc, WordTable(voc.encode_chunks, CHUNKS))
     return _LOADED[path]
 
 
@@ -294,9 +297,9 @@ def encode_decode(docs: DataFrame, path: str | None = None, check: bool = True,
                 ids = encode_batch(texts, path)
                 if check:
                     theirs = voc.library.encode(texts, num_threads=1, add_bos=True, add_eos=True)
-                    for text, a, b in zip(texts, ids, theirs, strict=True):
-                        if len(a) != len(b) or not np.array_equal(a, b):
-                            raise LibraryMismatch(text[:200])
+                    sizes = list(map(len, theirs))
+                    if sizes != list(map(len, ids)) or not np.array_equal(np.concatenate(ids), np.fromiter(chain.from_iterable(theirs), np.int64, sum(sizes))):
+                        raise LibraryMismatch(next(t[:200] for t, a, b in zip(texts, ids, theirs, strict=True) if a.tolist() != b))
                 decoded = voc.library.decode([a.tolist() for a in ids], num_threads=1)
                 out = {
                     "doc_id": doc_ids.slice(first, len(texts)),
