@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; each is
 written as Parquet to the shared folder and read again as the next one's documents.  All but the last
 return the columns of documents.
+
+In every stage columns ride along, whatever their names, and no rows give no rows.  Null texts, and those
+without a letter, go in the first stage; a null doc_id or source is a value like others.  Rows that repeat
+each other share their fate in all stages but the second, which keeps one of them.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chronovox.llm import jaccard, langid, mixing, secrets, sentencepiece_bpe
-from chronovox.llm.common import saved, table
+from chronovox.llm.common import forget, saved, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +57,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        before, docs = docs, saved(stage(spark, docs, sf_dir), name)
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
