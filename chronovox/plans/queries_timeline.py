@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronovox.operators import attribution as A
 from chronovox.operators import boundary as B
 from chronovox.operators import intervals as I
+from chronovox.operators import speakers as P
 from chronovox.plans.register import registry
 from chronovox.streaming import live as W
 
@@ -384,6 +385,30 @@ def d7_profile_speakers(s, f):
     return x.groupBy("recording_id", "speaker").agg(F.round(F.median("pitch_hz"), 6).alias("pitch_hz"), F.round(F.stddev_pop("pitch_hz"), 6).alias("pitch_std"), F.round(F.sqrt(F.avg(F.col("rms") * F.col("rms"))), 6).alias("energy_rms"), F.count("*").alias("frames"))
 
 
+@query("segments", "frames", sql="""
+WITH s AS (SELECT * FROM segments WHERE speaker IS NOT NULL AND speaker <> 'OVERLAP'), x AS (SELECT s.recording_id, s.speaker, CASE WHEN f.pitch_hz > 100 THEN f.pitch_hz END AS p, f.rms FROM s JOIN frames f ON f.recording_id = s.recording_id AND f.frame_idx * 0.5e0 BETWEEN s.start_s AND s.end_s),
+g AS (SELECT recording_id, speaker, median(p) AS p, stddev_pop(p) AS d, sqrt(avg(rms * rms)) AS e, count(*) AS n FROM x GROUP BY ALL), t AS (SELECT recording_id, speaker, sum(end_s - start_s) AS sec FROM s GROUP BY ALL)
+SELECT recording_id, speaker, round(coalesce(p, 0), 6) AS pitch_hz, round(coalesce(d, 0), 6) AS pitch_std, round(coalesce(e, 0), 6) AS energy_rms, round(sec, 6) AS total_speech_sec, coalesce(n, 0) AS frames FROM t LEFT JOIN g USING (recording_id, speaker)""")
+def d7_speaker_profiles(s, f):
+    """The library function, with frames of half a second, some of them without pitch."""
+    voiced = f.withColumn("pitch_hz", F.when(F.col("pitch_hz") > 100, F.col("pitch_hz")).otherwise(0.0))
+    return P.profile_speakers(voiced, s, 0.5).select("recording_id", "speaker", *r6("pitch_hz", "pitch_std", "energy_rms", "total_speech_sec"), "frames")
+
+
+@query("items")
+def e18_paragraph_text(i):
+    """Texts with an empty line at each pause; tests hold it against a plain restatement."""
+    pauses = i.where(F.col("seq") % 7 == 3).select("recording_id", (F.col("end_s") + 0.1).alias("at"))
+    return A.paragraph_text(i, pauses)
+
+
+@query("turns")
+def e10_remove_ghosts(t):
+    """Ghosts to the nearest speaker, neighbours of one speaker joined."""
+    rows = t.withColumn("alternatives", F.array().cast("array<string>"))
+    return I.eliminate_ghosts(rows, withhold=False, collapse=True).select("recording_id", "seq", *r6("start_s", "end_s"), "speaker", "parts")
+
+
 # -- boundaries -------------------------------------------------------------------------------------
 
 
