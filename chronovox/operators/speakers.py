@@ -147,7 +147,7 @@ def second_pass(segments: DataFrame, windows: DataFrame, profiles: DataFrame, st
 
     A name goes to the nearest clear winner of enough confidence first, and to further speakers only if their
     voice is close to its holder's; then unknown voices that are close become one, the longer one's; then
-    neighbours of one sure speaker join.  stats: recording_id, speaker, pitch_hz.
+    neighbours of one sure speaker join.  segments hold the tenant columns; stats: recording_id, speaker, pitch_hz.
     """
     vec = speaker_vectors(segments, windows, th.second_min_sec)
     where = segments.select(*K, *[c for c in tenant if c not in K]).distinct()
