@@ -50,7 +50,7 @@ NOTHING = {"g12_claim_names", "g13_merge_unknowns"}
 LONG = {"g18_diarize", "g18_diarize_speakers", "g12_second_pass", "s7_consolidate"}
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - {"g18_diarize_speakers"}))  # the second half of g18_diarize
 def test_gives_rows(spark, name):
     """Rows of the declared columns, the same ones again from other partitions."""
     df = registry.QUERIES[name](spark, SF)
