@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronovox.scratch import forget, saved, scratch
 
-__all__ = ["batched", "forget", "held_out", "partitions", "ragged", "saved", "scratch", "table", "text_views", "train_row"]
+__all__ = ["batched", "forget", "held_out", "numbered", "partitions", "ragged", "saved", "scratch", "table", "text_views", "train_row"]
 
 #: Text bytes that one numpy step handles at a time inside a task.
 SLICE_BYTES = 1 << 20
@@ -68,6 +68,22 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def numbered(df: DataFrame, order: list[Column]) -> tuple[DataFrame, int]:
+    """df with _number, its place from 0 in the given order, and the number of rows.
+
+    A range-partitioned sort is written with each row's place in its part; one row a part gives the rows
+    before it.  df is read twice, so it should be a written step; _at, _part are taken.
+    """
+    parts = partitions(df.sparkSession)
+    step = saved(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    per = step.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("_n"))
+    per = per.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"), "_n")
+    before = saved(per, "parts")
+    size = before.agg(F.sum("_n").alias("n")).first().n or 0
+    out = step.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(before.drop("_n")), "_part")
+    return out.withColumn("_number", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_before"), size
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices starts[i] .. starts[i]+lengths[i]-1 of every i, one after another."""
     ends = np.cumsum(lengths)
