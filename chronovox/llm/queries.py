@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronovox.llm import binary_output, bitsliced, html_text, images, importance, jaccard, langid, mixing, secrets, sentencepiece_bpe, toxicity
+from chronovox.llm import binary_output, bitsliced, html_text, images, importance, jaccard, langid, merkle, mixing, secrets, sentencepiece_bpe, toxicity
 
 QUERIES: dict = {
     "op1_topk": bitsliced.op1_topk,
@@ -16,9 +16,11 @@ QUERIES: dict = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_html_text": html_text.op10_html_text,
     "op11_importance": importance.op11_importance,
+    "op13_merkle": merkle.op13_merkle,
 }
 ORACLES: dict = {
     "op1_topk": bitsliced.OP1_SQL,
     "op8_mix": mixing.OP8_SQL,
     "op11_importance": importance.OP11_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }
