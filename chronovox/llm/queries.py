@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronovox.llm import binary_output, bitsliced, html_text, images, importance, jaccard, langid, merkle, mixing, secrets, sentencepiece_bpe, toxicity
+from chronovox.llm import binary_output, bitsliced, html_text, images, importance, jaccard, langid, licenses, merkle, mixing, secrets, sentencepiece_bpe, toxicity
 
 QUERIES: dict = {
     "op1_topk": bitsliced.op1_topk,
@@ -16,6 +16,7 @@ QUERIES: dict = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_html_text": html_text.op10_html_text,
     "op11_importance": importance.op11_importance,
+    "op12_licenses": licenses.op12_licenses,
     "op13_merkle": merkle.op13_merkle,
 }
 ORACLES: dict = {
