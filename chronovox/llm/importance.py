@@ -56,7 +56,11 @@ def crossing_runs(docs: DataFrame, most: int) -> DataFrame:
     """feature of every run of 2 to most words of a text (column text) whose words lie in several lines."""
     lines = F.transform(F.split("text", "\n"), words)
     flat = docs.select(F.flatten(lines).alias("w"), F.flatten(F.transform(lines, lambda ws, i: F.transform(ws, lambda w: i))).alias("l"))
-    across = [_runs(F.col("w"), k, lambda i, k=k: F.get(F.col("l"), i) != F.get(F.col("l"), i + (k - 1))) for k in range(2, most + 1)]
+
+    def cross(k: int):
+        return lambda i: F.get(F.col("l"), i) != F.get(F.col("l"), i + (k - 1))
+
+    across = [_runs(F.col("w"), k, cross(k)) for k in range(2, most + 1)]
     return flat.select(F.explode(F.flatten(F.array(*across))).alias("feature"))
 
 
