@@ -2,8 +2,10 @@
 
 Built levels are stored as parent-linked rows: a run of up to eight sibling nodes with their digests, and
 the run and place in which their own digest stands.  A recursive query ascends from every leaf at once:
-each step meets the leaf's run, appends the siblings that it finds there, puts the digest so far at its
-place, and takes the run's digest and parent link along.
+each step meets the run above, appends the siblings that it finds there, puts a leaf's digest so far at
+its place and hashes, and takes the run's parent link along.  The leaves of one run have the same siblings
+from there upward, so they ascend in one row, with a digest for each of them: a leaf costs 60 bytes a level
+instead of 256.
 
 A run high up has all leaves of a language below it.  Leaves are dealt to blocks of BLOCK, and a run is
 stored once for each block below it (beyond four levels up that is one copy in BLOCK leaves), so that no
@@ -115,20 +117,29 @@ def _up(inner: Column, level: Column, n: Column, tree: Column, number: int) -> t
     )
 
 
-#: The climb: a leaf's digest so far takes its place among the members of the run above, the others are appended.
+#: The climb: each leaf's digest so far takes its place among the members of the run above, the others are appended.
 CLIMB = """
-WITH RECURSIVE climb (doc_id, tree, leaf, block, level, n, place, folded, siblings) AS (
-  SELECT doc_id, tree, leaf, block, up_level, up_n, up_place, changed, CAST('' AS BINARY) FROM {leaves}
+WITH RECURSIVE climb (tree, run, block, level, n, place, folded, siblings) AS (
+  SELECT tree, run, block, up_level, up_n, up_place, folded, CAST('' AS BINARY) FROM {leaves}
   UNION ALL
-  SELECT c.doc_id, c.tree, c.leaf, c.block, r.up_level, r.up_n, r.up_place,
-         unhex(sha2(CAST(lower(hex(overlay(r.members PLACING c.folded FROM c.place * 32 + 1 FOR 32))) AS BINARY), 256)),
+  SELECT c.tree, c.run, c.block, r.up_level, r.up_n, r.up_place,
+         transform(c.folded, x -> unhex(sha2(CAST(lower(hex(overlay(r.members PLACING x FROM c.place * 32 + 1 FOR 32))) AS BINARY), 256))),
          concat(c.siblings, overlay(r.members PLACING CAST('' AS BINARY) FROM c.place * 32 + 1 FOR 32))
   FROM climb c JOIN {runs} r ON c.tree = r.tree AND c.block = r.block AND c.level = r.level AND c.n = r.n
 )
-SELECT doc_id, tree, leaf, folded, sha2(CAST(lower(hex(siblings)) AS BINARY), 256) AS proof_sha256 FROM climb WHERE level IS NULL LIMIT ALL
+SELECT tree, run, folded, siblings FROM climb WHERE level IS NULL LIMIT ALL
 """
 
 
+def leaf_runs(nodes: DataFrame) -> DataFrame:
+    """tree, run, size, members, ids, folded: the leaves of each lowest run in order, their doc_ids, and the
+    run's digest for each leaf with its changed digest in place (a lone leaf's own changed one)."""
+    run = nodes.groupBy("tree", F.expr(f"n div {ARITY}").alias("run"), "size").agg(F.array_sort(F.collect_list(F.struct("n", "doc_id", "digest", "changed"))).alias("m"))
+    run = run.withColumn("members", F.aggregate("m", F.lit(b""), lambda a, x: F.concat(a, x["digest"])))
+    put = lambda x, i: F.when(F.col("size") > 1, digest(_hexed(F.overlay("members", x["changed"], (i * 32 + 1).cast("int"), F.lit(32))))).otherwise(x["changed"])
+    return run.select("tree", "run", "size", "members", F.transform("m", lambda x: x["doc_id"]).alias("ids"), F.transform("m", put).alias("folded"))
+
+
 def manifest(docs: DataFrame) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every row of docs.
 
@@ -149,13 +160,18 @@ def manifest(docs: DataFrame) -> DataFrame:
     subroots = saved(tops, "subroots")
     over, root = build(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("n"), F.lit(number).cast("long").alias("size"), "digest"), top=True)
     root = root.select("digest").first()
-    linked = _linked(runs, over, trees, number)
+    linked = _linked(runs.where("level > 1") if runs is not None else None, over, trees, number)  # the lowest runs are kept with their leaves
     empty = "tree long, block long, level int, n long, members binary, up_level int, up_n long, up_place int"
     linked = saved(linked, "runs") if linked is not None else spark.createDataFrame([], empty)
-    start = nodes.select("doc_id", "tree", F.col("digest").alias("leaf"), "changed", F.expr(f"n div {BLOCK}").alias("block"), *_up(F.col("size") > 1, F.lit(0), F.col("n"), F.col("tree"), number))
+    low = saved(leaf_runs(nodes), "leaf-runs")
+    # a tree's lowest runs are nodes like others above them; a lone leaf hangs in the tree over the languages
+    start = low.select("tree", "run", F.expr(f"run div {BLOCK // ARITY}").alias("block"), "folded", *_up(F.col("size") > ARITY, F.lit(1), F.col("run"), F.col("tree"), number))
     climbed = spark.sql(CLIMB, leaves=start, runs=linked)
+    rows = low.drop("folded").join(climbed, ["tree", "run"]).select("tree", "members", "siblings", F.posexplode(F.arrays_zip("ids", "folded")).alias("i", "x"))
+    own = lambda with_: F.overlay("members", with_, (F.col("i") * 32 + 1).cast("int"), F.lit(32))
+    rows = rows.select("tree", F.col("x.ids").alias("doc_id"), F.substring("members", F.col("i") * 32 + 1, F.lit(32)).alias("leaf"), F.sha2(_hexed(F.concat(own(F.lit(b"")), "siblings")), 256).alias("proof_sha256"), F.col("x.folded").alias("folded"))
     text = lambda c: F.lower(F.hex(c))
-    out = climbed.join(small(subroots.withColumnRenamed("digest", "subroot")), "tree").withColumn("root", F.lit(bytes(root.digest) if root else b""))
+    out = rows.join(small(subroots.withColumnRenamed("digest", "subroot")), "tree").withColumn("root", F.lit(bytes(root.digest) if root else b""))
     return out.select("doc_id", text("leaf").alias("leaf"), text("subroot").alias("subroot"), text("root").alias("root"), "proof_sha256", text("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 
