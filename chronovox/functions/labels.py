@@ -99,16 +99,18 @@ def mark_confident(df: DataFrame) -> DataFrame:
 
 def apply_identity(segments: DataFrame, mapping: DataFrame) -> DataFrame:
     """Rename speakers by (recording_id, old_name): name, confidence (3 places), margin and distance
-    (4), uncertainty cleared.  Speakers without a mapping keep all they have."""
+    (4), uncertainty cleared.  Speakers without a mapping keep all they have, and so do named ones what the
+    mapping has no value for."""
     m = mapping.select("recording_id", F.col("old_name").alias("speaker"), "new_name", "confidence", "margin", "distance")
     out = segments.join(m, ["recording_id", "speaker"], "left")
     hit = F.col("new_name").isNotNull()
+    had = F.col("speaker_match_dist") if "speaker_match_dist" in segments.columns else F.lit(None).cast("double")
     return out.withColumns(
         {
             "speaker": F.coalesce("new_name", "speaker"),
-            "speaker_confidence": F.when(hit, F.bround("confidence", 3)).otherwise(F.col("speaker_confidence")),
-            "speaker_margin": F.when(hit, F.bround("margin", 4)).otherwise(F.col("speaker_margin")),
-            "speaker_match_dist": F.bround("distance", 4),
+            "speaker_confidence": F.coalesce(F.bround("confidence", 3), "speaker_confidence"),
+            "speaker_margin": F.coalesce(F.bround("margin", 4), "speaker_margin"),
+            "speaker_match_dist": F.coalesce(F.bround("distance", 4), had),
             "uncertain": F.when(hit, False).otherwise(F.col("uncertain")),
         }
     ).drop("new_name", "confidence", "margin", "distance")

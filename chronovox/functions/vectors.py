@@ -42,7 +42,7 @@ def match_distance(emb: Column, pitch_a: Column, pitch_b: Column, named: Column,
     emb: the cosine distance, null for a missing vector."""
     pitch = F.when((pitch_a > 0) & (pitch_b > 0), F.least(F.abs(pitch_a - pitch_b) / th.pitch_unit, F.lit(1.0))).otherwise(0.0)
     raw = th.w_embedding * emb + th.w_pitch * pitch - F.when(named, th.known_bias).otherwise(0.0)
-    return F.coalesce(F.bround(F.greatest(raw, F.lit(0.0)), 4), F.lit(1.0))
+    return F.when(emb.isNull(), 1.0).otherwise(F.bround(F.greatest(raw, F.lit(0.0)), 4))  # greatest() would take 0 for a missing one
 
 
 def match_confidence(distance: Column, th: Thresholds = DEFAULTS) -> Column:

@@ -9,6 +9,7 @@ from chronovox.functions.labels import is_collectible
 from chronovox.functions.text import tokens_contain
 from chronovox.functions.vectors import cosine_distance, match_confidence, match_distance
 from chronovox.operators.intervals import KEYS
+from chronovox.operators.nearest import clear_of, margin_of, nearest
 from chronovox.thresholds import DEFAULTS, Thresholds
 
 
@@ -29,9 +30,9 @@ def score_pairs(queries: DataFrame, profiles: DataFrame, keys: list[str], th: Th
 
 def identify(queries: DataFrame, profiles: DataFrame, keys: list[str], k: int = 5, ident: str = "query_id", th: Thresholds = DEFAULTS) -> DataFrame:
     """The k nearest profiles of each query, pending ones left out, by distance, then name."""
-    rows = score_pairs(queries, profiles.where(~F.coalesce("pending", F.lit(False))), keys, th)
-    w = Window.partitionBy(*keys, ident).orderBy("distance", "name")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    found = nearest(queries, profiles.where(~F.coalesce("pending", F.lit(False))), keys, k, [ident], th)
+    rows = found.select(*queries.columns, F.posexplode("top").alias("_at", "_x"))
+    return rows.select(*queries.columns, *[F.col(f"_x.{c}").alias(c) for c in ("name", "trained_sec", "emb_dist", "distance", "confidence")], (F.col("_at") + 1).alias("rank"))
 
 
 def clear_winner(ranked: DataFrame, keys: list[str], th: Thresholds = DEFAULTS) -> DataFrame:
@@ -54,13 +55,14 @@ def match_simple(centroids: DataFrame, profiles: DataFrame, keys: list[str], ide
 def match_clusters(clusters: DataFrame, profiles: DataFrame, keys: list[str], ident: str = "cluster", th: Thresholds = DEFAULTS) -> DataFrame:
     """Each cluster with a speaker: the clear winner that is near enough, else its own label; up to
     three alternatives of some confidence."""
-    rows = score_pairs(clusters, profiles, keys, th)
     per = [*keys, ident]
-    win = clear_winner(rows, per, th)
-    near = (F.col("emb_dist") < th.embed_only) | (F.col("distance") <= th.accept)
-    win = win.select(*per, "name", "distance", "confidence", F.bround("margin", 4).alias("margin"), (near & F.col("clear")).alias("named"))
-    alt = rows.where(F.col("confidence") >= th.min_alternative).groupBy(*per).agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "name", "confidence"))), 1, 3).alias("alternatives"))
-    out = clusters.select(*per).join(win, per, "left").join(alt, per, "left")
+    found = nearest(clusters, profiles, keys, 3, [ident], th)
+    first = F.get("top", F.lit(0))
+    near = (first["emb_dist"] < th.embed_only) | (first["distance"] <= th.accept)
+    other = F.filter("top", lambda x: x["confidence"] >= th.min_alternative)
+    other = F.transform(other, lambda x: F.struct(x["distance"].alias("distance"), x["name"].alias("name"), x["confidence"].alias("confidence")))
+    win = found.select(*per, first["name"].alias("name"), first["distance"].alias("distance"), first["confidence"].alias("confidence"), F.bround(margin_of(F.col("top")), 4).alias("margin"), (near & clear_of(F.col("top"), th)).alias("named"), F.when(F.size(other) > 0, other).alias("alternatives"))
+    out = clusters.select(*per).join(win, per, "left")
     return out.withColumn("speaker", F.when(F.coalesce("named", F.lit(False)), F.col("name")).otherwise(F.concat(F.lit("Speaker "), F.col(ident).cast("string"))))
 
 
@@ -120,7 +122,12 @@ def merge_by_profile(matrix: DataFrame, keys: list[str], least: int = 3, limit:
     a = matrix.select(*keys, F.col("cluster").alias("a"), "name", F.col("distance").alias("da"))
     b = matrix.select(*keys, F.col("cluster").alias("b"), "name", F.col("distance").alias("db"))
     pairs = a.join(b, [*keys, "name"]).where("a < b").groupBy(*keys, "a", "b").agg(F.count("*").alias("n"), F.max(F.abs(F.col("da") - F.col("db"))).alias("x"))
-    rows = pairs.where((F.col("n") >= least) & (F.col("x") < limit)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("p"))
+    return first_come(pairs.where((F.col("n") >= least) & (F.col("x") < limit)), keys)
+
+
+def first_come(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, cluster, into): of pairs (keys, a, b) in order, b goes into a unless one of both is gone."""
+    rows = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("p"))
 
     def step(done, x):
         gone = F.transform(done, lambda y: y["cluster"])
@@ -146,10 +153,11 @@ def pending_candidates(pending: DataFrame, profiles: DataFrame, keys: list[str],
     """Named profiles for each pending one: rank, margin to the next (distance 1 after the last), and
     whether it is likely the same person."""
     q = pending.select(*keys, F.col("name").alias("pending_name"), "embedding", "pitch_hz")
-    rows = score_pairs(q, matchable_profiles(profiles), keys, th)
-    w = Window.partitionBy(*keys, "pending_name").orderBy("distance", "name")
-    rows = rows.withColumns({"rank": F.row_number().over(w), "margin": F.bround(F.coalesce(F.lead("distance").over(w), F.lit(1.0)) - F.col("distance"), 4)})
-    return rows.where(F.col("rank") <= k).withColumn("likely", (F.col("confidence") >= 0.6) & (F.col("margin") >= 0.1)).select(*keys, "pending_name", "rank", "name", "distance", "confidence", "margin", "likely")
+    found = nearest(q, matchable_profiles(profiles), keys, k + 1, ["pending_name"], th)
+    rows = found.select(*keys, "pending_name", "top", F.posexplode(F.slice("top", 1, k)).alias("_at", "_x"))
+    after = F.coalesce(F.get("top", F.col("_at") + 1)["distance"], F.lit(1.0))
+    rows = rows.select(*keys, "pending_name", (F.col("_at") + 1).alias("rank"), *[F.col(f"_x.{c}").alias(c) for c in ("name", "distance", "confidence")], F.bround(after - F.col("_x.distance"), 4).alias("margin"))
+    return rows.withColumn("likely", (F.col("confidence") >= 0.6) & (F.col("margin") >= 0.1))
 
 
 def near_duplicate_profiles(profiles: DataFrame, keys: list[str], limit: float = DEFAULTS.near_duplicate, blocks: int = 8) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from chronovox.functions.labels import apply_identity, has_identity, is_generic
 from chronovox.functions.vectors import centroid, cosine_distance, l2_normalize
-from chronovox.operators.identity import clear_winner, claim_names, merge_unknowns, score_pairs
+from chronovox.operators.clustering import settled
+from chronovox.operators.identity import claim_names, first_come, merge_unknowns
 from chronovox.operators.intervals import KEYS, collapse_confident, range_join, windows_in_segments
+from chronovox.operators.nearest import best_of, clear_of, margin_of, meet, nearest, packed_profiles, scored
 from chronovox.thresholds import DEFAULTS, Thresholds
 
 K = list(KEYS)
@@ -83,41 +85,53 @@ def segment_centroids(segments: DataFrame, windows: DataFrame, means: DataFrame,
     return centroid(got, [*K, "speaker"], weight=F.col("_n").cast("double"), unit=True).select(*K, "speaker", F.col("centroid").alias("embedding"))
 
 
-def ranked_names(speakers: DataFrame, profiles: DataFrame, tenant: list[str], th: Thresholds = DEFAULTS) -> tuple[DataFrame, DataFrame]:
-    """(scored, best): every speaker (recording_id, speaker, embedding, pitch_hz) against the profiles of
-    its tenant, and the best of each with clear and margin."""
-    scored = score_pairs(speakers, profiles, tenant, th)
-    return scored, clear_winner(scored, [*K, "speaker"], th)
-
-
 def match_known(segments: DataFrame, speakers: DataFrame, profiles: DataFrame, tenant: list[str], blocked: DataFrame | None = None, th: Thresholds = DEFAULTS, most: int = 3, common: int = 3, alike: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """(segments with names, mapping): speakers (recording_id, speaker, embedding, pitch_hz; and the tenant
-    columns) take the name of the profile that is near enough and a clear winner.
-
-    The evidence travels with the segments: confidence, margin, distance, and up to `most` alternatives of
-    some confidence, the winner left out.  Several speakers whose best profile is one and near are one: those
-    without a clear winner take its name and its evidence.  So do speakers whose distances to three common
-    profiles are nearly those of a named one.  Recordings in `blocked` keep their labels.
+    """(segments with names, mapping (recording_id, old_name, new_name, evidence)): speakers (recording_id,
+    speaker, embedding, pitch_hz; and the tenant columns) take the name of the profile that is near enough
+    and a clear winner.  Speakers are in the order in which they first appear.
+
+    1. A named speaker's segments carry confidence, margin and distance, and as alternatives up to `most`
+       further profiles of some confidence; of several speakers of one name, the later one's.
+    2. Several speakers whose best profile is one and near: all but the first take its name, if they
+       haven't, with the confidence of the last clear one, or none.
+    3. Of speakers whose distances to `common` or more profiles hardly differ the later one takes the
+       label of the earlier one, unless it has a name by now; one that is gone takes part no more.
+    Nobody else has alternatives.  Recordings in `blocked` keep all labels.
     """
-    scored, best = ranked_names(speakers, profiles, tenant, th)
-    near = best.where(F.col("distance") <= th.accept)
-    named = near.where("clear").select(*K, F.col("speaker").alias("old_name"), F.col("name").alias("new_name"), "confidence", "margin", "distance")
     if blocked is not None:
-        named = named.join(blocked.select(*K).distinct(), K, "left_anti")
-    first = named.groupBy(*K, "new_name").agg(F.min_by(F.struct("old_name", "confidence", "margin", "distance"), F.struct("distance", "old_name")).alias("w"))
-    stamp = lambda who: who.join(first, [*K, "new_name"]).select(*K, "old_name", "new_name", *[F.col(f"w.{c}").alias(c) for c in ("confidence", "margin", "distance")])
-    same = near.where("NOT clear").select(*K, F.col("speaker").alias("old_name"), F.col("name").alias("new_name"))
-    mapping = named.unionByName(stamp(same))
-    # distance profiles that nearly agree with a named speaker's
-    d = scored.select(*K, "speaker", "name", "distance")
-    a = d.join(named.select(*K, F.col("old_name").alias("speaker"), "new_name"), [*K, "speaker"]).select(*K, F.col("speaker").alias("a"), "new_name", "name", F.col("distance").alias("da"))
-    b = d.join(mapping.select(*K, F.col("old_name").alias("speaker")), [*K, "speaker"], "left_anti").select(*K, F.col("speaker").alias("old_name"), "name", F.col("distance").alias("db"))
-    close = a.join(b, [*K, "name"]).groupBy(*K, "a", "new_name", "old_name").agg(F.count("*").alias("n"), F.max(F.abs(F.col("da") - F.col("db"))).alias("x")).where((F.col("n") >= common) & (F.col("x") < alike))
-    mapping = mapping.unionByName(stamp(close.groupBy(*K, "old_name").agg(F.min_by("new_name", F.struct("x", "a")).alias("new_name"))))
-    other = scored.where(F.col("confidence") >= th.min_alternative).withColumn("_r", F.row_number().over(Window.partitionBy(*K, "speaker").orderBy("distance", "name"))).where((F.col("_r") > 1) & (F.col("_r") <= 1 + most))
-    other = other.groupBy(*K, "speaker").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "name"))), lambda x: x["name"]).alias("alternatives"))
-    rows = segments.drop("alternatives").join(other, [*K, "speaker"], "left").withColumn("alternatives", F.coalesce("alternatives", F.array().cast("array<string>")))
-    return apply_identity(rows, mapping), mapping
+        speakers = speakers.join(blocked.select(*K).distinct(), K, "left_anti")
+    first = segments.groupBy(*K, "speaker").agg(F.min(F.struct("start_s", "seq")).alias("_first"))
+    order = first.select(*K, "speaker", F.row_number().over(Window.partitionBy(*K).orderBy("_first", "speaker")).cast("long").alias("_o"))
+    packed = packed_profiles(profiles, tenant)
+    entries = meet(speakers, packed, tenant).select("_q", "_block", scored(F.col("_people"), F.col("_v"), F.col("_l"), F.col("pitch_hz"), th).alias("_s"))
+    # of each block: its best, and the distances in order of name, which are the same people for all speakers of a recording
+    entries = settled(entries.select(*[F.col(f"_q.{c}").alias(c) for c in (*K, "speaker")], "_block", best_of(F.col("_s"), most + 1).alias("_top"), F.transform("_s", lambda x: x["distance"]).alias("_d")).join(order, [*K, "speaker"]))
+    best = entries.groupBy(*K, "speaker", "_o").agg(best_of(F.flatten(F.collect_list("_top")), most + 1).alias("top"))
+    win = F.get("top", F.lit(0))
+    rows = best.select(*K, "speaker", "_o", win["name"].alias("name"), win["distance"].alias("distance"), win["confidence"].alias("confidence"), F.when(F.size("top") > 1, margin_of(F.col("top"))).alias("margin"), clear_of(F.col("top"), th).alias("clear"), F.slice("top", 2, most).alias("_rest"))
+    other = F.transform(F.filter("_rest", lambda x: x["confidence"] >= th.min_alternative), lambda x: x["name"])
+    rows = rows.where(F.col("distance") <= th.accept).withColumn("_other", F.when(F.col("clear") & (F.size(other) > 0), other)).drop("_rest")
+    per = Window.partitionBy(*K, "name")
+    rows = rows.withColumns({
+        "_place": F.row_number().over(per.orderBy("_o")), "_sure": F.max_by(F.when(F.col("clear"), F.col("confidence")), F.when(F.col("clear"), F.col("_o"))).over(per),
+        "_others": F.first("_other", True).over(per.orderBy(F.desc("_o"))),
+    })
+    none = F.lit(None).cast("double")
+    told = lambda c, extra: F.when(F.col("clear"), F.col(c)).otherwise(extra).alias(c)
+    named = rows.where(F.col("clear") | (F.col("_place") > 1)).select(*K, F.col("speaker").alias("old_name"), F.col("name").alias("new_name"), told("confidence", F.col("_sure")), told("margin", none), told("distance", none), F.when(F.col("clear"), F.col("_others")).alias("alternatives"))
+    named = settled(named)
+    # distance profiles that nearly agree, block by block
+    a = entries.select(*K, "_block", F.col("_o").alias("a"), F.col("_d").alias("_da"))
+    b = entries.select(*K, "_block", F.col("_o").alias("b"), F.col("_d").alias("_db"))
+    off = F.array_max(F.zip_with("_da", "_db", lambda x, y: F.abs(x - y)))
+    pairs = a.join(b, [*K, "_block"]).where("a < b").groupBy(*K, "a", "b").agg(F.sum(F.size("_da")).alias("n"), F.max(off).alias("x"))
+    into = first_come(pairs.where((F.col("n") >= common) & (F.col("x") < alike)), K)
+    label = lambda c, name: order.select(*K, F.col("_o").alias(c), F.col("speaker").alias(name))
+    folded = into.join(label("cluster", "old_name"), [*K, "cluster"]).join(label("into", "new_name"), [*K, "into"]).join(named.select(*K, "old_name"), [*K, "old_name"], "left_anti")
+    out = segments.drop("alternatives").join(named.select(*K, F.col("old_name").alias("speaker"), "alternatives"), [*K, "speaker"], "left").withColumn("alternatives", F.coalesce("alternatives", F.array().cast("array<string>")))
+    out = apply_identity(out, named.drop("alternatives")).join(folded.select(*K, F.col("old_name").alias("speaker"), F.col("new_name").alias("_into")), [*K, "speaker"], "left")
+    mapping = named.drop("alternatives").unionByName(folded.select(*K, "old_name", "new_name", *[none.alias(c) for c in ("confidence", "margin", "distance")]))
+    return out.withColumn("speaker", F.coalesce("_into", "speaker")).drop("_into"), mapping
 
 
 def speaker_vectors(segments: DataFrame, windows: DataFrame, least: float = DEFAULTS.second_min_sec, piece: float = 0.2, slack: float = 0.1, bucket: float = 60.0) -> DataFrame:
@@ -132,38 +146,47 @@ def speaker_vectors(segments: DataFrame, windows: DataFrame, least: float = DEFA
 
 
 def blended_profiles(profiles: DataFrame, vectors: DataFrame, tenant: list[str], share: float = 0.5) -> DataFrame:
-    """Each profile once for each recording (of vectors' recording_id and tenant columns), its vector blended
-    at length 1 with that of the recording's own speaker of this name, where there is one."""
-    rec = vectors.select(*K, *tenant).distinct()
-    own = vectors.select(*K, F.col("speaker").alias("name"), F.col("embedding").alias("_own"))
-    rows = rec.join(profiles, tenant).join(own, [*K, "name"], "left")
+    """The profiles that have a speaker of their name in a recording, once for each of these (of vectors'
+    recording_id and tenant columns), with their vector blended at length 1 with that speaker's."""
+    own = vectors.select(*K, *[c for c in tenant if c not in K], F.col("speaker").alias("name"), F.col("embedding").alias("_own"))
     mixed = l2_normalize(F.zip_with("embedding", "_own", lambda x, y: (1 - share) * x.cast("double") + share * y))
-    return rows.withColumn("embedding", F.when(F.col("_own").isNull(), F.transform("embedding", lambda x: x.cast("double"))).otherwise(mixed)).drop("_own")
+    return own.join(profiles, [*tenant, "name"]).withColumn("embedding", mixed).drop("_own")
 
 
 def second_pass(segments: DataFrame, windows: DataFrame, profiles: DataFrame, stats: DataFrame, tenant: list[str], blocked: DataFrame | None = None, th: Thresholds = DEFAULTS, gap: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(segments, mapping (recording_id, speaker, into)): unknown speakers once more, by vectors over all of
-    their speech against profiles blended with the recording's own voices.
+    their speech against the tenant's profiles, those of the recording's own speakers blended with their voices.
 
     A name goes to the nearest clear winner of enough confidence first, and to further speakers only if their
     voice is close to its holder's; then unknown voices that are close become one, the longer one's; then
     neighbours of one sure speaker join.  segments hold the tenant columns; stats: recording_id, speaker, pitch_hz.
     """
+    more = [c for c in tenant if c not in K]
     vec = speaker_vectors(segments, windows, th.second_min_sec)
-    where = segments.select(*K, *[c for c in tenant if c not in K]).distinct()
-    vec = vec.join(where, K) if [c for c in tenant if c not in K] else vec
+    if more:
+        vec = vec.join(segments.select(*K, *more).distinct(), K)
+    vec = settled(vec)
     unknown = vec.where(is_generic(F.col("speaker"))).join(stats.select(*K, "speaker", "pitch_hz"), [*K, "speaker"], "left").withColumn("pitch_hz", F.coalesce("pitch_hz", F.lit(0.0)))
-    refs = blended_profiles(profiles, vec, tenant)
-    _, best = ranked_names(unknown, refs, [*K, *[c for c in tenant if c not in K]], th)
     if blocked is not None:
-        best = best.join(blocked.select(*K).distinct(), K, "left_anti")
+        asked = unknown.join(blocked.select(*K).distinct(), K, "left_anti")
+    else:
+        asked = unknown
+    # stored vectors for all names but the recording's own, of which there are few: these are blended
+    blended = settled(blended_profiles(profiles, vec, tenant))
+    taken = blended.groupBy(*K, *more).agg(F.collect_set("name").alias("_taken"))
+    asked = asked.join(taken, [*K, *more], "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<string>")))
+    stored = nearest(asked, profiles, tenant, 2, [*[c for c in K if c not in tenant], "speaker"], th, skip="_taken").select(*K, *more, "speaker", "top")
+    own = nearest(asked, blended, [*K, *more], 2, ["speaker"], th).select(*K, *more, "speaker", "top")
+    both = stored.unionByName(own).groupBy(*K, *more, "speaker").agg(best_of(F.flatten(F.collect_list("top")), 2).alias("top")).where(F.size("top") > 0)
+    win = F.get("top", F.lit(0))
+    best = settled(both.select(*K, "speaker", *[win[c].alias(c) for c in ("name", "distance", "emb_dist", "confidence")], clear_of(F.col("top"), th).alias("clear"), margin_of(F.col("top")).alias("margin")))
     a, b = vec.select(*K, F.col("speaker").alias("a"), F.col("embedding").alias("_a")), vec.select(*K, F.col("speaker").alias("b"), F.col("embedding").alias("_b"))
     close = a.join(b, K).where("a < b").where(cosine_distance(F.col("_a"), F.col("_b")) < th.unknown_merge).select(*K, "a", "b")
-    claims = claim_names(best.select(*K, "speaker", "name", "distance", "emb_dist", "confidence", "clear"), K, close, th)
-    named = claims.select(*K, "speaker", "name").join(best.select(*K, "speaker", "confidence", "margin", "distance"), [*K, "speaker"])
+    claims = settled(claim_names(best, K, close, th).select(*K, "speaker", "name"))
+    named = claims.join(best.select(*K, "speaker", "confidence", "margin", "distance"), [*K, "speaker"])
     rows = apply_identity(segments, named.select(*K, F.col("speaker").alias("old_name"), F.col("name").alias("new_name"), "confidence", "margin", "distance"))
     left = unknown.join(claims.select(*K, "speaker"), [*K, "speaker"], "left_anti")
-    into = merge_unknowns(left.select(*K, "speaker", "duration_sec", "embedding"), K, th.unknown_merge)
+    into = settled(merge_unknowns(left.select(*K, "speaker", "duration_sec", "embedding"), K, th.unknown_merge))
     rows = rows.join(into, [*K, "speaker"], "left").withColumn("speaker", F.coalesce("into", "speaker")).drop("into")
     mapping = named.select(*K, "speaker", F.col("name").alias("into")).unionByName(into.select(*K, "speaker", "into"))
     return collapse_confident(rows, gap, text=False), mapping
