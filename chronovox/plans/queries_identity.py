@@ -298,11 +298,17 @@ def g18_diarize_speakers(f, w, e):
     return people.select("recording_id", "speaker", F.round("speech_sec", 6).alias("speech_sec"), "segments", F.round("pitch_hz", 6).alias("pitch_hz"))
 
 
-@query("embeddings")
+@query("embeddings", sql=f"""
+WITH {_PROFILES}, t AS (SELECT vec_id AS turn_id, (vec_id % 4)::INT AS channel, (vec_id % 40) * 1.0e0 AS d, embedding FROM embeddings), sc AS (SELECT turn_id, name, {cos('embedding', 'prof.v')} AS emb FROM t, prof WHERE NOT pending), k AS (SELECT *, round_even(greatest(0.9 * emb, 0), 4) AS dist FROM sc),
+b AS (SELECT turn_id, name, dist, round_even(greatest(0, 1 - dist / 0.5), 4) AS conf, coalesce(lead(dist) OVER w - dist, 'infinity'::DOUBLE) AS margin FROM k WINDOW w AS (PARTITION BY turn_id ORDER BY dist, name) QUALIFY row_number() OVER w = 1),
+r AS (SELECT *, CASE WHEN d < 0.5 THEN 'live_turn_too_short' WHEN d > 30 THEN 'live_turn_too_long' WHEN channel = 0 THEN NULL WHEN conf < 0.6 THEN 'live_match_weak' WHEN margin < 0.1 THEN 'live_match_ambiguous' END AS reason FROM t JOIN b USING (turn_id))
+SELECT turn_id, channel, CASE WHEN reason IS NULL THEN CASE WHEN channel = 0 THEN 'You' ELSE name END END AS speaker, CASE WHEN reason IS NOT NULL THEN 'unknown' WHEN channel = 0 THEN 'input_device' ELSE 'known_voiceprint' END AS source,
+  CASE WHEN reason LIKE '%too%' THEN 0 WHEN channel = 0 THEN 1 ELSE round(conf, 2) END::DOUBLE AS confidence, CASE WHEN reason LIKE '%too%' THEN 0 WHEN channel = 0 THEN 1 ELSE round(margin, 3) END::DOUBLE AS margin, reason IS NOT NULL AS uncertain, reason FROM r""")
 def w4_attribute_live(e):
     k = F.col("vec_id")
     t = e.select(F.lit(0).alias("t"), k.alias("turn_id"), (k % 4).cast("int").alias("channel"), ((k % 40) * 1.0).alias("duration_sec"), "embedding", F.lit(0.0).alias("pitch_hz"))
-    return W.attribute_live(t, _profiles(e), ["t"]).select("turn_id", "channel", "speaker", "reason")
+    got = W.attribute_live(t, _profiles(e), ["t"])
+    return got.select("turn_id", "channel", "speaker", F.col("speaker_source").alias("source"), F.round("speaker_confidence", 2).alias("confidence"), F.round("speaker_margin", 3).alias("margin"), "uncertain", F.col("attribution_reason").alias("reason"))
 
 
 @query("windows", sql="""

@@ -7,15 +7,16 @@ table each key's events pass through the same functions in order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import astuple, dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from chronovox.operators.identity import identify
+from chronovox.functions.vectors import norm
+from chronovox.operators.nearest import BROADCAST_BYTES, best_of, nearest, packed_bytes, packed_profiles, scored
 from chronovox.thresholds import DEFAULTS, Thresholds
 
 SAMPLE_RATE = 16_000
@@ -305,42 +306,75 @@ def timeline_faults(guarded: DataFrame, details: int = FAULT_DETAILS) -> DataFra
 # -- streams ----------------------------------------------------------------------------------------
 
 
+#: Seconds without a row after which a session is over and its state is removed.
+SESSION_SEC = 3600.0
+#: Column of a stream's output that holds a row which came too late, as JSON; null in all other rows.
+REJECTED = "rejected"
+
+
 class Steps(StatefulProcessor):
     """One of the recurrences on a stream: a key's state between micro-batches, its new rows in order of
-    `order`, and an event-time timer for what ends without a further row."""
+    `order`, and an event-time timer for what ends without a further row.
 
-    def __init__(self, run, columns: list[str], order: list[str], names: list[str], idle_s: float = 5.0):
-        self.run, self.columns, self.order, self.names, self.idle_s = run, columns, order, names, idle_s
+    Rows that are older than the watermark change nothing; with `rejects` they leave as they are, as JSON.
+    A key's state is removed once nothing has come for SESSION_SEC.
+    """
+
+    def __init__(self, run, columns: list[str], order: list[str], names: list[str], idle_s: float = 5.0, rejects: bool = False, session_s: float = SESSION_SEC):
+        self.run, self.columns, self.order, self.names, self.idle_s, self.rejects, self.session_s = run, columns, order, names, idle_s, rejects, session_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", self.run.state)
+        self.seen = handle.getValueState("seen", "at double")
 
     def _load(self):
         return self.run.unpack(self.state.get()) if self.state.exists() else self.run.begin()
 
-    def _rows(self, key, found: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(*(int(k) for k in key), *x) for x in found], columns=self.names)
+    def _rows(self, key, found: list[tuple], late: list[str] = ()) -> pd.DataFrame:
+        key = tuple(int(k) for k in key)
+        rows = [(*key, *x) for x in found]
+        if not self.rejects:
+            return pd.DataFrame(rows, columns=self.names)
+        blank = (None,) * (len(self.names) - len(key))
+        return pd.DataFrame([(*r, None) for r in rows] + [(*key, *blank, x) for x in late], columns=[*self.names, REJECTED], dtype=object)
 
-    def handleInputRows(self, key, rows, timerValues):
-        s, found = self._load(), []
-        # a key's rows of one micro-batch may come in several frames, in no order
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        for row in zip(*(batch[c].astype(object).tolist() for c in self.columns), strict=True):
-            found += self.run(s, *row)
-        seen = batch["recv_ts"].max().timestamp()
-        self.state.update(self.run.pack(s))
+    def _wake(self, s, seen: float, now_ms: int) -> None:
+        """One timer: when the held result is due, else when the session is over."""
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
         due = self.run.due(s, seen, self.idle_s)
-        if due is not None:
-            self.handle.registerTimer(max(int(1000 * due), timerValues.getCurrentWatermarkInMs() + 1))
-        yield self._rows(key, found)
+        over = seen + self.session_s
+        self.handle.registerTimer(max(int(1000 * (over if due is None else min(due, over))), now_ms + 1))
+
+    def handleInputRows(self, key, rows, timerValues):
+        # a key's rows of one micro-batch may come in several frames, in no order
+        batch = pd.concat(list(rows))
+        now = timerValues.getCurrentWatermarkInMs()
+        old = batch["seen_s"] * 1000.0 < now
+        late = [x.to_json(double_precision=15) for _, x in batch[old].drop(columns="seen_s").iterrows()] if self.rejects and old.any() else []
+        batch, found = batch[~old].sort_values(self.order, kind="stable"), []
+        if len(batch):
+            s = self._load()
+            for row in zip(*(batch[c].astype(object).tolist() for c in self.columns), strict=True):
+                found += self.run(s, *row)
+            seen = max(float(batch["seen_s"].max()), self.seen.get()[0] if self.seen.exists() else 0.0)
+            self.state.update(self.run.pack(s))
+            self.seen.update((seen,))
+            self._wake(s, seen, now)
+        yield self._rows(key, found, late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        s = self._load()
-        found = self.run.end(s)
-        self.state.update(self.run.pack(s))
+        s, found = self._load(), []
+        if self.state.exists():
+            seen = self.seen.get()[0]
+            found = self.run.end(s)
+            if expiredTimerInfo.getExpiryTimeInMs() >= 1000 * (seen + self.session_s):
+                self.state.clear()
+                self.seen.clear()
+            else:
+                self.state.update(self.run.pack(s))
+                self._wake(s, seen, timerValues.getCurrentWatermarkInMs())
         yield self._rows(key, found)
 
     def close(self) -> None:
@@ -348,30 +382,48 @@ class Steps(StatefulProcessor):
 
 
 def _stream(df: DataFrame, keys: list[str], steps: Steps, schema: str, lateness: str) -> DataFrame:
-    return df.withWatermark("recv_ts", lateness).groupBy(*keys).transformWithStateInPandas(steps, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    # the processor itself tells late rows, so the time goes in as a plain number, which Spark doesn't filter by
+    rows = df.withWatermark("recv_ts", lateness).withColumn("seen_s", F.unix_micros("recv_ts") / 1e6).drop("recv_ts")
+    out = f"{schema}, {REJECTED} string" if steps.rejects else schema
+    return rows.groupBy(*keys).transformWithStateInPandas(steps, outputStructType=out, outputMode="Append", timeMode="EventTime")
 
 
 def _names(schema: str) -> list[str]:
     return [c.strip().split(" ")[0] for c in schema.split(",")]
 
 
-def detect_turns_stream(frames: DataFrame, lateness: str = "10 seconds", p: Endpointing = Endpointing()) -> DataFrame:
-    """frames: a stream of (session_id, channel, frame_idx, rms, recv_ts); later rows than the watermark
-    are dropped, so that state stays bounded, and a frame that steps back counts no more."""
-    return _stream(frames, ["session_id", "channel"], Steps(_Detect(p), ["frame_idx", "rms"], ["frame_idx"], _names(_TURNS)), _TURNS, lateness)
+def detect_turns_stream(frames: DataFrame, lateness: str = "10 seconds", p: Endpointing = Endpointing(), rejects: bool = False) -> DataFrame:
+    """frames: a stream of (session_id, channel, frame_idx, rms, recv_ts).  A frame that steps back counts no
+    more; frames older than the watermark change nothing and, with `rejects`, come out in the column
+    `rejected` (see write_split)."""
+    return _stream(frames, ["session_id", "channel"], Steps(_Detect(p), ["frame_idx", "rms"], ["frame_idx"], _names(_TURNS), rejects=rejects), _TURNS, lateness)
 
 
-def coalesce_turns_stream(turns: DataFrame, lateness: str = "10 seconds") -> DataFrame:
+def coalesce_turns_stream(turns: DataFrame, lateness: str = "10 seconds", rejects: bool = False) -> DataFrame:
     """turns: a stream of (session_id, channel, start_s, end_s, recv_ts).  A held turn is released by the
     next one, or when the watermark passes its deadline."""
     rows = turns.withColumn("recv_s", F.unix_micros("recv_ts") / 1e6)
-    return _stream(rows, ["session_id", "channel"], Steps(_Coalesce(), ["start_s", "end_s", "recv_s"], ["recv_ts", "start_s", "end_s"], _names(_JOINED)), _JOINED, lateness)
+    return _stream(rows, ["session_id", "channel"], Steps(_Coalesce(), ["start_s", "end_s", "recv_s"], ["recv_s", "start_s", "end_s"], _names(_JOINED), rejects=rejects), _JOINED, lateness)
 
 
-def guard_timeline_stream(turns: DataFrame, lateness: str = "10 seconds") -> DataFrame:
+def guard_timeline_stream(turns: DataFrame, lateness: str = "10 seconds", rejects: bool = False) -> DataFrame:
     """turns: a stream of (session_id, sequence, channel, start_s, end_s, elapsed_s, recv_ts), keyed by
     session, as what a session has reached is that of all its channels."""
-    return _stream(turns, ["session_id"], Steps(_Guard(), ["sequence", "channel", "start_s", "end_s", "elapsed_s"], ["sequence"], _names(_GUARDED)), _GUARDED, lateness)
+    return _stream(turns, ["session_id"], Steps(_Guard(), ["sequence", "channel", "start_s", "end_s", "elapsed_s"], ["sequence"], _names(_GUARDED), rejects=rejects), _GUARDED, lateness)
+
+
+def write_split(stream: DataFrame, results: Callable[[DataFrame, int], None], rejects: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
+    """Start a stream of one of the functions above (with rejects=True): of each micro-batch its results go to
+    `results` and what came too late to `rejects`, both called with (rows, batch number).  The two writes read
+    one kept copy, so that the stateful step runs once."""
+
+    def both(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        results(batch.where(F.col(REJECTED).isNull()).drop(REJECTED), number)
+        rejects(batch.where(F.col(REJECTED).isNotNull()), number)
+        batch.unpersist()
+
+    return stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def validate_frames(packets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -397,6 +449,46 @@ def session_stats(turns: DataFrame, keys: tuple = ("session_id",)) -> DataFrame:
     )
 
 
+_COUNTED = "session_id long, turns long, non_speech long, malformed long, channel_0 long, channel_1 long, covered_sec double, reached_sec double"
+
+
+class _Count:
+    """Counters of a session, which come out once, when it is over."""
+
+    state = "counts array<long>, covered double, reached double, known boolean"
+
+    def begin(self) -> list:
+        return [[0, 0, 0, 0, 0], 0.0, 0.0, False]
+
+    def __call__(self, s, channel, start, end, kind):
+        for i, hit in enumerate((True, kind == "non_speech", kind == "malformed", channel == 0, channel == 1)):
+            s[0][i] += bool(hit)
+        known = [x is not None and x == x for x in (start, end)]
+        if all(known):
+            s[1] += end - start
+        if known[1]:
+            s[2], s[3] = max(s[2], end) if s[3] else end, True
+        return []
+
+    def end(self, s):
+        return [(*s[0], s[1], s[2] if s[3] else None)]
+
+    def due(self, s, seen: float, idle: float) -> float | None:
+        return None
+
+    def pack(self, s) -> tuple:
+        return tuple(s)
+
+    def unpack(self, v) -> list:
+        return [list(v[0]), *v[1:]]
+
+
+def session_stats_stream(turns: DataFrame, lateness: str = "10 seconds", session_s: float = SESSION_SEC, rejects: bool = False) -> DataFrame:
+    """session_stats of a stream (session_id, channel, start_s, end_s, kind, recv_ts): a row for each session
+    once nothing has come for session_s, when its state goes; a session that comes back counts anew."""
+    return _stream(turns, ["session_id"], Steps(_Count(), ["channel", "start_s", "end_s", "kind"], ["seen_s"], _names(_COUNTED), rejects=rejects, session_s=session_s), _COUNTED, lateness)
+
+
 def inactivity_sessions(events: DataFrame, gap: str = "3600 seconds", key: str = "session_id", ts: str = "ts") -> DataFrame:
     """Sessions that end when nothing comes for a while; tables and (with a watermark) streams."""
     return events.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("events")).select(key, F.col("w.start").alias("opened"), F.col("w.end").alias("expires"), "events")
@@ -420,25 +512,67 @@ def speech_gate(turns: DataFrame, frames: DataFrame, keys: list[str], mean: floa
     return turns.join(f, keys, "left").withColumn("passes", F.coalesce((F.col("mean_prob") >= mean) & (F.col("speech_ratio") >= ratio), F.lit(True)))
 
 
-def live_reason(duration: Column, confidence: Column, margin: Column, th: Thresholds = DEFAULTS) -> Column:
+#: Whom the microphone's channel belongs to, and where a name comes from.
+LOCAL_SPEAKER = "You"
+FROM_DEVICE, FROM_PROFILE, FROM_NOTHING = "input_device", "known_voiceprint", "unknown"
+#: A tenant's profiles meet a stream's turns as one array, of this many bytes at most.
+STREAM_BYTES = 64 << 20
+
+
+def live_reason(duration: Column, mic: Column, embedding: Column, best: Column, margin: Column, th: Thresholds = DEFAULTS) -> Column:
+    """Why a turn has no name, null if it has one: the length first, then (the microphone is its owner's)
+    profiles, the vector, and how sure and how far ahead the best match is."""
     return (
-        F.when(duration < th.live_min_sec, "too_short")
-        .when(duration > th.live_max_sec, "too_long")
-        .when(confidence.isNull(), "no_profiles")
-        .when(confidence < th.live_confidence, "low_confidence")
-        .when(margin < th.live_margin, "low_margin")
+        F.when(duration < th.live_min_sec, "live_turn_too_short")
+        .when(duration > th.live_max_sec, "live_turn_too_long")
+        .when(mic, F.lit(None).cast("string"))
+        .when(best.isNull(), "no_voiceprints")
+        .when(embedding.isNull() | (F.size(embedding) == 0), "live_match_failed")
+        .when(best["confidence"] < th.live_confidence, "live_match_weak")
+        .when(margin < th.live_margin, "live_match_ambiguous")
     )
 
 
 def attribute_live(turns: DataFrame, profiles: DataFrame, keys: list[str], th: Thresholds = DEFAULTS) -> DataFrame:
-    """Live turns (turn_id, channel, duration_sec, embedding, pitch_hz) with a name or the reason why
-    not: the microphone's channel 0 is the user, others need a sure match that stands apart."""
-    mic = F.col("channel") == 0
-    best = identify(turns.where(~mic), profiles, keys, 2, "turn_id", th)
-    top = best.groupBy(*keys, "turn_id").agg(F.min_by(F.struct("name", "distance", "confidence"), "rank").alias("b"), F.max(F.when(F.col("rank") == 2, F.col("distance"))).alias("d2"))
-    out = turns.join(top, [*keys, "turn_id"], "left")
-    margin = F.coalesce(F.col("d2"), F.lit(1.0)) - F.col("b.distance")
-    d = F.col("duration_sec")
-    why = F.when(mic, F.when(d < th.live_min_sec, "too_short").when(d > th.live_max_sec, "too_long")).otherwise(live_reason(d, F.col("b.confidence"), margin, th))
-    out = out.withColumns({"reason": why, "confidence": F.when(mic, 1.0).otherwise(F.coalesce("b.confidence", F.lit(0.0)))})
-    return out.select(*keys, "turn_id", "channel", F.when(F.col("reason").isNull(), F.when(mic, "You").otherwise(F.col("b.name"))).alias("speaker"), "confidence", "reason")
+    """Live turns (keys, turn_id, channel, duration_sec, embedding, pitch_hz) with speaker, speaker_source,
+    speaker_confidence, speaker_margin, speaker_match_dist, uncertain and the attribution_reason of those
+    without a name: channel 0, the microphone, is the user, others need a sure match that stands apart.
+    A lone profile is ahead of all others by infinity.  Null durations count as 0; pending profiles don't match.
+
+    Tables and streams.  On a table the two best come from blocks of profiles (nearest), however many a
+    tenant has.  On a stream each turn meets its tenant's profiles as one array, a join with a table that
+    needs no state and is broadcast if it is small; where a tenant's array would be larger than STREAM_BYTES that
+    is an error: give the table form to foreachBatch instead.
+    """
+    known = profiles.where(~F.coalesce("pending", F.lit(False)))
+    d, mic = F.coalesce(F.col("duration_sec").cast("double"), F.lit(0.0)), F.coalesce(F.col("channel") == 0, F.lit(False))
+    kept = [*keys, "turn_id", "channel"]
+    more = [c for c in turns.columns if c in ("recv_ts",)]
+    rows = turns.select(*kept, *more, d.alias("_d"), mic.alias("_mic"), "embedding", F.coalesce(F.col("pitch_hz").cast("double"), F.lit(0.0)).alias("pitch_hz"))
+    if turns.isStreaming:
+        packed = packed_profiles(known, keys, None)
+        largest = packed.agg(F.max(F.aggregate("_people", F.lit(0).cast("long"), lambda s, p: s + 64 + 8 * F.coalesce(F.size(p["_e"]), F.lit(0)))).alias("b")).first().b or 0
+        if largest > STREAM_BYTES:
+            raise ValueError(f"a tenant's profiles take {largest} bytes: call attribute_live in foreachBatch")
+        small = packed_bytes(packed) <= BROADCAST_BYTES
+        packed = packed.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_people")
+        met = rows.join(F.broadcast(packed) if small else packed, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)], "left")
+        voice = F.transform("embedding", lambda x: x.cast("double"))
+        met = met.withColumn("_v", voice).withColumn("_l", norm(F.col("_v")))
+        out = met.withColumn("top", best_of(scored(F.col("_people"), F.col("_v"), F.col("_l"), F.col("pitch_hz"), th), 2))
+    else:
+        asked = rows.where("NOT _mic").select(*keys, "turn_id", "embedding", "pitch_hz")
+        out = rows.join(nearest(asked, known, keys, 2, ["turn_id"], th).select(*keys, "turn_id", "top"), [*keys, "turn_id"], "left")
+    best, second = F.get("top", F.lit(0)), F.get("top", F.lit(1))
+    margin = F.when(second.isNotNull(), second["distance"] - best["distance"]).otherwise(float("inf"))
+    out = out.withColumns({"_b": F.when(~F.col("_mic"), best), "_m": margin})
+    out = out.withColumn("attribution_reason", live_reason(F.col("_d"), F.col("_mic"), F.col("embedding"), F.col("_b"), F.col("_m"), th))
+    why, fine = F.col("attribution_reason"), F.col("attribution_reason").isNull()
+    tried = ~F.col("_mic") & (fine | why.isin("live_match_weak", "live_match_ambiguous"))
+    value = lambda mine, c, other: F.when(fine & F.col("_mic"), mine).when(tried, c).otherwise(F.lit(other).cast("double"))
+    return out.select(
+        *kept, *more, F.when(fine, F.when(F.col("_mic"), LOCAL_SPEAKER).otherwise(F.col("_b.name"))).alias("speaker"),
+        F.when(~fine, FROM_NOTHING).when(F.col("_mic"), FROM_DEVICE).otherwise(FROM_PROFILE).alias("speaker_source"),
+        value(1.0, F.bround("_b.confidence", 3), 0.0).alias("speaker_confidence"), value(1.0, F.bround("_m", 4), 0.0).alias("speaker_margin"),
+        value(0.0, F.bround("_b.distance", 4), None).alias("speaker_match_dist"), (~fine).alias("uncertain"), "attribution_reason",
+    )
