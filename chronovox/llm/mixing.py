@@ -1,9 +1,11 @@
 """Mixing sources to target weights: tokens per source, a repetition rate each, then floor(rate)
 copies of a document plus one hash-seeded Bernoulli copy for the fraction.
 
-Under any seed a document has its further copy with the fraction as probability.  Of SEEDS seeds each
-source takes the one whose words come nearest to its target, as one long document more or less would
-else move a small source far off.
+The further copies of a source are one dependent draw: its documents are numbered by size, and number n has
+its copy if a multiple of 1 lies between n * fraction + u and (n + 1) * fraction + u, with one number u
+in [0, 1) hashed from source and seed.  Over all seeds each document has its copy with exactly the
+fraction as probability, and as neighbours in size stand for each other, a source's words come within
+about its longest document of the target under every seed.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronovox.llm.common import saved, table
+from chronovox.llm.common import forget, numbered, saved, table
 
 #: A source takes at most this many times its own size.
 MAX_REPEATS = 3
@@ -20,8 +22,6 @@ WEIGHTS = (1, 2, 3)
 #: Source tables up to this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 50_000
 SEED = "mix-1"
-#: Seeds that a source chooses from.
-SEEDS = 32
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -30,10 +30,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def coin(doc_id: Column, number: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) fixed by the document's id, the seed and its number: 52 bits of an md5."""
-    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}:"), number.cast("string")).cast("binary"))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+def _hashed(value: Column, seed: str) -> Column:
+    return F.md5(F.concat(F.coalesce(value.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+
+
+def coin(source: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) fixed by the source's name and the seed: 52 bits of an md5."""
+    return F.conv(F.substring(_hashed(source, seed), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def source_rates(sized: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -61,9 +64,13 @@ def source_rates(sized: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEA
     return per.select("source", "source_size", "target", rate.alias("rate"))
 
 
+def _text_digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size of every row, written once: texts are counted in one pass."""
-    return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")), "sized")
+    """doc_id, source, size, digest (of the text) of every row, written once: texts are read in one pass."""
+    return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), _text_digest(F.col("text")).alias("digest")), "sized")
 
 
 def _with(rows: DataFrame, per: DataFrame) -> DataFrame:
@@ -74,44 +81,55 @@ def _with(rows: DataFrame, per: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(per) if small else per, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
-def _extra(number: Column, seed: str) -> Column:
-    return (coin(F.col("doc_id"), number, seed) < F.col("rate") - F.floor("rate")).cast("long")
-
+def decisions(sizes: DataFrame, seed: str = SEED) -> DataFrame:
+    """doc_id, source, digest, source_size, target, copies of every different row of sized(); written.
 
-def source_plan(sizes: DataFrame, seed: str = SEED) -> DataFrame:
-    """source, source_size, target, rate, number: the plan of each source; number is that of its seed."""
+    Documents are numbered by a range-partitioned sort with the parts' lengths, sources beside each other;
+    what a source's first number is comes from one row a source.
+    """
     rates = saved(source_rates(sizes), "rates")
-    tried = _with(sizes, rates.select("source", "rate")).groupBy("source").agg(*[F.sum(F.col("size") * _extra(F.lit(k), seed)).alias(f"w{k}") for k in range(SEEDS)])
-    tried = tried.withColumnRenamed("source", "_s")
-    both = rates.join(tried, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    missing = (F.col("rate") - F.floor("rate")) * F.col("source_size")
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{k}") - missing).alias("off"), F.lit(k).alias("k")) for k in range(SEEDS)]))
-    return saved(both.select("source", "source_size", "target", "rate", best["k"].alias("number")), "mix-plan")
-
-
-def _copies(seed: str) -> Column:
-    return (F.floor("rate") + _extra(F.col("number"), seed)).cast("int")
+    units = saved(sizes.select("doc_id", "source", "size", "digest").distinct(), "units")
+    order = [F.col("source").asc_nulls_last(), F.col("size"), _hashed(F.col("doc_id"), seed), F.col("doc_id"), F.col("digest")]
+    ordered, _ = numbered(units, order)
+    starts = ordered.groupBy("source").agg(F.min("_number").alias("start")).withColumnRenamed("source", "_s")
+    rates = rates.join(starts, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = _with(ordered, rates)
+    fraction, n, u = F.col("rate") - F.floor("rate"), (F.col("_number") - F.col("start")).cast("double"), coin(F.col("source"), seed)
+    extra = F.floor((n + 1.0) * fraction + u) - F.floor(n * fraction + u)
+    out = saved(rows.select("doc_id", "source", "digest", "source_size", "target", (F.floor("rate") + extra).cast("long").alias("copies")), "mix-plan")
+    forget(units)
+    return out
+
+
+def _decided(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (doc_id, source, digest, ...) with the columns of their decision."""
+    plan = plan.withColumnsRenamed({c: f"_{c}" for c in ("doc_id", "source", "digest")})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("doc_id", "source")]
+    return rows.join(plan, [*same, F.col("digest") == F.col("_digest")]).drop("_doc_id", "_source", "_digest")
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mixture itself: each row of docs as often as its plan says, in docs' columns.
+    """The mixture itself: each row of docs as often as decided, in docs' columns.
 
-    Null texts have size 0; a null source is a source of its own; rows of one doc_id each get the same
-    decision within a source; other columns ride along, whatever their names; no rows give no rows.
+    Null texts have size 0; a null source is a source of its own; rows of one doc_id, source and text share
+    their decision; other columns ride along, whatever their names; no rows give no rows.  Texts go
+    through one exchange, dealt by document.
     """
-    plan = source_plan(sized(docs), seed)
+    sizes = sized(docs)
+    plan = decisions(sizes, seed)
+    forget(sizes)
     names = [f"_c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)
     at = {c: n for c, n in zip(docs.columns, names, strict=True)}
-    rows = rows.withColumns({"doc_id": F.col(at["doc_id"]).cast("long"), "source": F.col(at["source"]).cast("string")})
-    taken = _with(rows, plan.select("source", "rate", "number")).withColumn("_copies", _copies(seed)).where("_copies > 0")
-    return taken.select(*names, F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")).select(*names).toDF(*docs.columns)
+    rows = rows.withColumns({"doc_id": F.col(at["doc_id"]).cast("long"), "source": F.col(at["source"]).cast("string"), "digest": _text_digest(F.col(at["text"]))})
+    taken = _decided(rows, plan.select("doc_id", "source", "digest", "copies")).where("copies > 0")
+    return taken.select(*names, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")).select(*names).toDF(*docs.columns)
 
 
 def mix_sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of docs; see mix."""
     sizes = sized(docs)
-    rows = _with(sizes, source_plan(sizes, seed)).withColumn("taken", (F.col("size") * _copies(seed)).cast("long"))
+    rows = _decided(sizes, decisions(sizes, seed)).withColumn("taken", F.col("size") * F.col("copies"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -121,7 +139,7 @@ def op8_mix(spark, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight
@@ -138,16 +156,16 @@ WITH sized AS (
   SELECT source, source_size, least(cap, weight * chosen.level) AS target,
          CASE WHEN source_size > 0 THEN least(least(cap, weight * chosen.level) / source_size, 3.0) ELSE 0.0 END AS rate
   FROM lv, chosen
-), coins AS (
-  SELECT doc_id, size, rated.*, k,
-         CASE WHEN ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix-1:' || k), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0
-              < rate - floor(rate) THEN 1 ELSE 0 END AS extra
-  FROM sized JOIN rated ON sized.source IS NOT DISTINCT FROM rated.source, range(32) ks(k)
-), tried AS (
-  SELECT source, k, abs(sum(size * extra)::DOUBLE - any_value((rate - floor(rate)) * source_size)) AS off FROM coins GROUP BY source, k
-), best AS (
-  SELECT source, arg_min(k, struct_pack(off := off, k := k)) AS k FROM tried GROUP BY source
+), placed AS (
+  SELECT doc_id, source, digest, row_number() OVER (PARTITION BY source ORDER BY size, md5(coalesce(doc_id::VARCHAR, '') || ':mix-1'), doc_id NULLS FIRST, digest) - 1 AS n
+  FROM (SELECT DISTINCT doc_id, source, size, digest FROM sized)
+), drawn AS (
+  SELECT source, ('0x' || substr(md5(coalesce(source, '') || ':mix-1'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u, rate - floor(rate) AS f, source_size, target, floor(rate)::BIGINT AS whole FROM rated
+), decided AS (
+  SELECT p.doc_id, p.source, p.digest, d.source_size, d.target,
+         d.whole + (floor((p.n::DOUBLE + 1.0::DOUBLE) * d.f + d.u) - floor(p.n::DOUBLE * d.f + d.u))::BIGINT AS copies
+  FROM placed p JOIN drawn d ON p.source IS NOT DISTINCT FROM d.source
 )
-SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + extra))::BIGINT AS taken
-FROM coins JOIN best ON coins.source IS NOT DISTINCT FROM best.source AND coins.k = best.k
+SELECT s.doc_id, s.size, d.source_size, d.target, (s.size * d.copies)::BIGINT AS taken
+FROM sized s JOIN decided d ON s.doc_id IS NOT DISTINCT FROM d.doc_id AND s.source IS NOT DISTINCT FROM d.source AND s.digest = d.digest
 """

@@ -408,10 +408,10 @@ def test_mixing(spark, odd, docs):
             break
         full |= {s: 3.0 * size[s] for s in over}
     want = {s: full.get(s, rest * weight[s] / w) for s in names}
-    # ten documents a source, and yet near the target, if not one of them is most of its source
+    # ten documents a source, and yet within its longest one of the target
     for r in plan.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("n"), F.max("size").alias("most")).collect():
         assert abs(r.target - want[r.source]) < 1e-6 * total and r.n == size[r.source]
-        assert abs(r.taken - r.target) <= max(0.1 * r.target, r.most / 2 if 2 * r.most > r.n else 0), r
+        assert abs(r.taken - r.target) <= r.most + 1, r
     assert plan.where("taken > 3 * size OR size > 0 AND taken % size > 0").count() == 0
     got = mixing.mix(docs)
     assert got.columns == docs.columns and got.agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == plan.agg(F.sum("taken")).first()[0]
@@ -420,6 +420,25 @@ def test_mixing(spark, odd, docs):
     assert mixing.mix(odd.withColumns({"rate": F.lit("r"), "number": F.lit("n"), "_copies": F.lit(0)})).columns == [*odd.columns, "rate", "number", "_copies"]
 
 
+def test_mixing_draws_with_the_fraction_as_probability(spark):
+    """Sources alike but for their names, which the draw is hashed from: a document that is half of its
+    source, one that is all of it, and short ones are copied as often as the fraction says."""
+    sizes = [90, *range(1, 19, 2)]
+    rows = [(100 * s + i, "w " * n, "en", f"s{s:03d}", n) for s in range(400) for i, n in enumerate(sizes if s % 2 else [171])]
+    plan = mixing.mix_sizes(spark.createDataFrame(rows, DOC)).collect()
+    got = {}
+    for r in plan:
+        got.setdefault(r.doc_id // 100, {})[r.doc_id % 100] = (r.taken / r.size, r.target / r.source_size, r.size)
+    for many in (0, 1):
+        half = [d for s, d in got.items() if s % 2 == many and abs(d[0][1] % 1 - 0.5) < 0.01]
+        assert len(half) > 100
+        for i in half[0]:
+            share = sum(d[i][0] - int(d[i][1]) for d in half) / len(half)
+            assert abs(share - half[0][i][1] % 1) < 4 * (0.25 / len(half)) ** 0.5, (many, i, share)
+        for d in half:
+            assert abs(sum(x[0] * x[2] - x[1] * x[2] for x in d.values())) <= max(x[2] for x in d.values()) + 1
+
+
 @pytest.mark.parametrize("sf", ["0.001", "0.01"])
 def test_mixing_against_sql(spark, sf):
     import duckdb
