@@ -58,7 +58,7 @@ def source_rates(sized: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEA
     per = per.withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
     open_ = F.col("level") <= F.col("cap") / F.col("weight")
     # the first source that is not filled up sets the level for itself and all after it
-    per = per.withColumn("level", F.min_by(F.when(open_, F.col("level")), F.when(open_, F.col("cap") / F.col("weight"))).over(every))
+    per = per.withColumn("level", F.min_by(F.when(open_, F.col("level")), F.when(open_, F.struct(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source"))).over(every))
     per = per.withColumn("target", F.coalesce(F.least("cap", F.col("weight") * F.col("level")), F.col("cap")))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeats)))).otherwise(0.0)
     return per.select("source", "source_size", "target", rate.alias("rate"))
@@ -151,7 +151,7 @@ WITH sized AS (
          / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM per WINDOW o AS (ORDER BY 3.0::DOUBLE * source_size / weight, source ASC NULLS LAST)
 ), chosen AS (
-  SELECT arg_min(level, cap / weight) AS level FROM lv WHERE level <= cap / weight
+  SELECT arg_min(level, struct_pack(a := cap / weight, b := source IS NULL, c := source)) AS level FROM lv WHERE level <= cap / weight
 ), rated AS (
   SELECT source, source_size, least(cap, weight * chosen.level) AS target,
          CASE WHEN source_size > 0 THEN least(least(cap, weight * chosen.level) / source_size, 3.0) ELSE 0.0 END AS rate
