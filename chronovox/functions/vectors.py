@@ -80,11 +80,3 @@ def pairwise_mean(df: DataFrame, keys: list[str], vec: str = "embedding") -> Dat
     out = per.groupBy(*keys).agg(F.sum(F.col("_s") * F.col("_s")).alias("_q"), F.max("n").alias("n"))
     n = F.col("n").cast("double")
     return out.withColumn("mean_distance", F.when(F.col("n") > 1, 1.0 - (F.col("_q") - n) / (n * (n - 1)))).drop("_q")
-
-
-def farthest_pair(df: DataFrame, keys: list[str], ident: str, vec: str = "embedding") -> DataFrame:
-    """Largest pairwise cosine distance per group, over pairs within the group (meant for the spans of
-    one cluster or the snippets of one speaker)."""
-    a = df.select(*keys, F.col(ident).alias("_i"), F.col(vec).alias("_a"))
-    b = df.select(*keys, F.col(ident).alias("_j"), F.col(vec).alias("_b"))
-    return a.join(b, keys).where("_i < _j").groupBy(*keys).agg(F.max(cosine_distance(F.col("_a"), F.col("_b"))).alias("max_distance"))

@@ -10,6 +10,7 @@ from chronovox.functions.text import tokens_contain
 from chronovox.functions.vectors import cosine_distance, match_confidence, match_distance
 from chronovox.operators.intervals import KEYS
 from chronovox.operators.nearest import clear_of, margin_of, nearest
+from chronovox.operators.pruned import near_pairs
 from chronovox.thresholds import DEFAULTS, Thresholds
 
 
@@ -160,17 +161,10 @@ def pending_candidates(pending: DataFrame, profiles: DataFrame, keys: list[str],
     return rows.withColumn("likely", (F.col("confidence") >= 0.6) & (F.col("margin") >= 0.1))
 
 
-def near_duplicate_profiles(profiles: DataFrame, keys: list[str], limit: float = DEFAULTS.near_duplicate, blocks: int = 8) -> DataFrame:
-    """Pairs of a tenant's profiles within the limit, pending ones included, closest first by name; of
-    vectors without length none.  The right side is dealt to `blocks` salted parts, to each of which
-    the left side goes, so that one tenant's square is spread over tasks."""
-    from chronovox.functions.vectors import dot, l2_normalize, norm
-
-    fine = profiles.where(F.col("embedding").isNotNull() & (norm(F.col("embedding")) > 1e-8)).withColumn("embedding", l2_normalize(F.col("embedding")))
-    a = fine.select(*keys, F.col("name").alias("a"), F.col("embedding").alias("va")).withColumn("_s", F.explode(F.array(*[F.lit(i) for i in range(blocks)])))
-    b = fine.select(*keys, F.col("name").alias("b"), F.col("embedding").alias("vb"), F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int").alias("_s"))
-    d = a.join(b, [*keys, "_s"]).where("a < b").select(*keys, "a", "b", (1.0 - dot(F.col("va"), F.col("vb"))).alias("distance"))
-    return d.where(F.col("distance") <= limit)
+def near_duplicate_profiles(profiles: DataFrame, keys: list[str], limit: float = DEFAULTS.near_duplicate) -> DataFrame:
+    """(keys, a, b, distance) of a tenant's profiles within the limit, pending ones included; of vectors
+    without length none.  Pivots rule most pairs out (pruned.near_pairs)."""
+    return near_pairs(profiles, keys, "name", limit)
 
 
 def speaker_refs(turns: DataFrame, profiles: DataFrame, windows: DataFrame, budget: float = 30.0) -> DataFrame:

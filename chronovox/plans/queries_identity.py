@@ -10,7 +10,7 @@ from chronovox.functions import vectors as V
 from chronovox.operators import clustering as C
 from chronovox.operators import identity as N
 from chronovox.operators import speakers as P
-
+from chronovox.operators.pruned import farthest
 from chronovox.plans.register import registry
 from chronovox.streaming import live as W
 from chronovox.thresholds import DEFAULTS
@@ -82,7 +82,7 @@ def d4_weighted_centroid(s):
 @query("windows", sql=f"""
 SELECT a.recording_id, round(avg({cos('a.embedding', 'b.embedding')}), 6) AS mean_distance, round(max({cos('a.embedding', 'b.embedding')}), 6) AS max_distance FROM windows a JOIN windows b ON a.recording_id = b.recording_id AND a.win_id < b.win_id GROUP BY 1""")
 def d5_pairwise_stats(w):
-    return V.pairwise_mean(w, ["recording_id"]).join(V.farthest_pair(w, ["recording_id"], "win_id"), "recording_id").select("recording_id", F.round("mean_distance", 6).alias("mean_distance"), F.round("max_distance", 6).alias("max_distance"))
+    return V.pairwise_mean(w, ["recording_id"]).join(farthest(w, ["recording_id"], "win_id"), "recording_id").select("recording_id", F.round("mean_distance", 6).alias("mean_distance"), F.round("max_distance", 6).alias("max_distance"))
 
 
 @query("windows", sql="""
@@ -303,12 +303,12 @@ WITH {_PROFILES}, t AS (SELECT vec_id AS turn_id, (vec_id % 4)::INT AS channel,
 b AS (SELECT turn_id, name, dist, round_even(greatest(0, 1 - dist / 0.5), 4) AS conf, coalesce(lead(dist) OVER w - dist, 'infinity'::DOUBLE) AS margin FROM k WINDOW w AS (PARTITION BY turn_id ORDER BY dist, name) QUALIFY row_number() OVER w = 1),
 r AS (SELECT *, CASE WHEN d < 0.5 THEN 'live_turn_too_short' WHEN d > 30 THEN 'live_turn_too_long' WHEN channel = 0 THEN NULL WHEN conf < 0.6 THEN 'live_match_weak' WHEN margin < 0.1 THEN 'live_match_ambiguous' END AS reason FROM t JOIN b USING (turn_id))
 SELECT turn_id, channel, CASE WHEN reason IS NULL THEN CASE WHEN channel = 0 THEN 'You' ELSE name END END AS speaker, CASE WHEN reason IS NOT NULL THEN 'unknown' WHEN channel = 0 THEN 'input_device' ELSE 'known_voiceprint' END AS source,
-  CASE WHEN reason LIKE '%too%' THEN 0 WHEN channel = 0 THEN 1 ELSE round(conf, 2) END::DOUBLE AS confidence, CASE WHEN reason LIKE '%too%' THEN 0 WHEN channel = 0 THEN 1 ELSE round(margin, 3) END::DOUBLE AS margin, reason IS NOT NULL AS uncertain, reason FROM r""")
+  CASE WHEN reason LIKE '%too%' THEN 0 WHEN channel = 0 THEN 1 ELSE round(conf, 3) END::DOUBLE AS confidence, CASE WHEN reason LIKE '%too%' THEN 0 WHEN channel = 0 THEN 1 ELSE round(margin, 4) END::DOUBLE AS margin, reason IS NOT NULL AS uncertain, reason FROM r""")
 def w4_attribute_live(e):
     k = F.col("vec_id")
     t = e.select(F.lit(0).alias("t"), k.alias("turn_id"), (k % 4).cast("int").alias("channel"), ((k % 40) * 1.0).alias("duration_sec"), "embedding", F.lit(0.0).alias("pitch_hz"))
     got = W.attribute_live(t, _profiles(e), ["t"])
-    return got.select("turn_id", "channel", "speaker", F.col("speaker_source").alias("source"), F.round("speaker_confidence", 2).alias("confidence"), F.round("speaker_margin", 3).alias("margin"), "uncertain", F.col("attribution_reason").alias("reason"))
+    return got.select("turn_id", "channel", "speaker", F.col("speaker_source").alias("source"), F.col("speaker_confidence").alias("confidence"), F.col("speaker_margin").alias("margin"), "uncertain", F.col("attribution_reason").alias("reason"))
 
 
 @query("windows", sql="""
