@@ -1,16 +1,20 @@
 """Clustering of voice vectors, all recordings at once.
 
 A group of up to SMALL windows is clustered in one task, on its own distance matrix, which that number
-bounds.  Larger groups go in rounds of joins and aggregates, spread over tasks: every round merges all
-pairs that are each other's nearest, which gives the same tree as one merge at a time.  Average linkage
-on unit vectors needs no pair table there: a cluster is the sum of its vectors and their number, and its
-distance from another is 1 - S_A . S_B / (n_A n_B).
+bounds.  Larger groups go in rounds, spread over tasks: every round merges all pairs of clusters that are
+each other's nearest, which gives the same tree as one merge at a time.  The nearest of each cluster is kept:
+a round searches anew only for merged clusters and for those whose nearest was merged, as no other
+cluster can have come nearer.  A search compares blocks of BLOCK vectors, a task for each two blocks, and one row
+a cluster leaves it; no table of pairs is made.  Once SMALL clusters are left, one task ends the tree.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +23,8 @@ from chronovox.operators.intervals import KEYS
 from chronovox.scratch import forget, saved
 from chronovox.thresholds import DEFAULTS, Thresholds
 
-#: Blocks of a group's clusters in the search for nearest ones.
-BLOCKS = 16
+#: Vectors of a block in the search for nearest clusters.
+BLOCK = 2048
 #: Windows of a group that one task clusters on its own: its distances take 32 MB.
 SMALL = 2000
 #: Vectors below this length have no direction.
@@ -32,13 +36,14 @@ def settled(df: DataFrame) -> DataFrame:
     return saved(df, "round")
 
 
-def merge_tree(d: np.ndarray, how: str, limit: float = np.inf, leave: int = 1) -> list[tuple[int, int]]:
-    """Merges (kept, gone) of the closest pair, again and again, while its distance is below the limit and
-    more than `leave` clusters stand; ties by the smaller places.  d, whole and symmetric, is used up."""
+def merge_tree(d: np.ndarray, how: str, limit: float = np.inf, leave: int = 1, size: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """Merges (kept, gone, distance) of the closest pair, again and again, while its distance is below the
+    limit and more than `leave` clusters stand; ties by the smaller places.  d, whole and symmetric, is used
+    up; size: how many windows each row stands for."""
     n = len(d)
     d = np.round(d, 12)
     np.fill_diagonal(d, np.inf)
-    size = np.ones(n)
+    size = np.ones(n) if size is None else size.astype(float)
     near = d.argmin(axis=1)
     best = d[np.arange(n), near]
     out = []
@@ -57,7 +62,7 @@ def merge_tree(d: np.ndarray, how: str, limit: float = np.inf, leave: int = 1) -
         size[a] += size[b]
         d[a], d[:, a] = row, row
         d[b], d[:, b] = np.inf, np.inf
-        out.append((a, b))
+        out.append((a, b, float(low)))
         for j in {a, *np.flatnonzero((near == a) | (near == b)).tolist()} - {b}:
             near[j] = d[j].argmin()
             best[j] = d[j, near[j]]
@@ -75,7 +80,7 @@ def _in_tasks(rows: DataFrame, group: list[str], how: str, limit: float, leave:
         frame = frame.sort_values("c", kind="stable")
         v = np.stack(frame["s"].to_numpy())
         name = np.arange(len(v))
-        for a, b in merge_tree(1.0 - v @ v.T, how, limit, leave):
+        for a, b, _ in merge_tree(1.0 - v @ v.T, how, limit, leave):
             name[name == b] = a
         c = frame["c"].to_numpy()
         return pd.DataFrame({**{g: frame[g].to_numpy() for g in group}, "c": c, "cluster": c[name]})
@@ -98,21 +103,221 @@ def _by_size(unit: DataFrame, group: list[str], small: int) -> tuple[DataFrame,
     return unit.join(large, group, "left_anti"), unit.join(large, group, "left_semi")
 
 
+def _blocks(rows: DataFrame, group: list[str], by: list[str]) -> DataFrame:
+    """rows with _p, the number of blocks of their group, and _b, the block that `by` falls in."""
+    per = rows.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_p"))
+    return rows.join(per, group).withColumn("_b", F.pmod(F.xxhash64(*by), F.col("_p")).cast("int"))
+
+
+def _cells(left: DataFrame, right: DataFrame, group: list[str], run, schema: str) -> DataFrame:
+    """run(left rows, right rows) for every block of the left side with every block of the right one; both
+    have _p and _b.  The rows of a cell are at most about BLOCK a side."""
+    to = lambda df, other, mine, yours: df.join(other.select(*group, F.col("_p").alias("_q")).distinct(), group).withColumn(mine, F.col("_b")).withColumn(yours, F.explode(F.sequence(F.lit(0), F.col("_q") - 1))).drop("_p", "_q", "_b")
+    a, b = to(left, right, "_i", "_j"), to(right, left, "_j", "_i")
+    keys = [*group, "_i", "_j"]
+    a = a.select([F.col(c).alias(c) for c in a.columns])  # both sides may be one table
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def _vectors(t: pa.Table) -> np.ndarray:
+    col = t.column("s").combine_chunks()
+    return np.asarray(col.flatten(), dtype=float).reshape(len(col), -1)
+
+
+def _longs(t: pa.Table, c: str) -> np.ndarray:
+    return t.column(c).to_numpy().astype(np.int64)
+
+
+def _schema(rows: DataFrame, group: list[str], rest: str) -> tuple[str, list[str]]:
+    return ", ".join(f"`{g}` {rows.schema[g].dataType.simpleString()}" for g in group) + ", " + rest, group
+
+
+def _told(t: pa.Table, group: list[str], picked: np.ndarray, **cols) -> pa.Table:
+    """The group's columns, `picked` rows of t, with the columns found."""
+    own = t.select(group).take(pa.array(picked))
+    for name, values in cols.items():
+        own = own.append_column(name, pa.array(values))
+    return own
+
+
+def search_average(dirty: DataFrame, state: DataFrame, group: list[str], limit: float) -> DataFrame:
+    """(group, x, y, d): the nearest cluster of each dirty one, below the limit; both (group, c, s, n) with
+    sums of unit vectors and sizes.  Ties by the smaller number."""
+    schema, _ = _schema(state, group, "x long, y long, d double")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({**{g: pa.array([], left.schema.field(g).type) for g in group}, "x": pa.array([], pa.int64()), "y": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
+        right = right.sort_by("c")
+        x, y = _longs(left, "c"), _longs(right, "c")
+        d = np.round(1.0 - (_vectors(left) @ _vectors(right).T) / (_longs(left, "n")[:, None] * _longs(right, "n")[None, :]), 12)
+        d[x[:, None] == y[None, :]] = np.inf
+        j = d.argmin(axis=1)
+        best = d[np.arange(len(x)), j]
+        hit = np.flatnonzero(best < limit)
+        return _told(left, group, hit, x=x[hit], y=y[j[hit]], d=best[hit])
+
+    found = _cells(_blocks(dirty, group, ["c"]), _blocks(state, group, ["c"]), group, run, schema)
+    return found.groupBy(*group, "x").agg(F.min(F.struct("d", "y")).alias("e")).select(*group, "x", "e.y", "e.d")
+
+
+def search_complete(dirty: DataFrame, state: DataFrame, group: list[str], limit: float, every: bool = False) -> DataFrame:
+    """search_average by the largest distance of members; both hold windows (group, c, s) of whole clusters.
+
+    A cluster of up to BLOCK windows lies in one block, so that its distance to another such one is whole
+    there and only the nearest leaves the cell.  Of the few larger ones each cell tells its part for every
+    partner.  With `every` the distances of all pairs come out.
+    """
+    schema, _ = _schema(state, group, "x long, y long, d double, whole boolean")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({**{g: pa.array([], left.schema.field(g).type) for g in group}, "x": pa.array([], pa.int64()), "y": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "whole": pa.array([], pa.bool_())})
+        left, right = left.sort_by("c"), right.sort_by("c")
+        x, at_x = np.unique(_longs(left, "c"), return_index=True)
+        y, at_y = np.unique(_longs(right, "c"), return_index=True)
+        d = 1.0 - _vectors(left) @ _vectors(right).T
+        d = np.maximum.reduceat(np.maximum.reduceat(d, at_x, axis=0), at_y, axis=1)
+        d = np.round(d, 12)
+        d[x[:, None] == y[None, :]] = np.inf
+        part = left.column("big").to_numpy(zero_copy_only=False)[at_x][:, None] | right.column("big").to_numpy(zero_copy_only=False)[at_y][None, :]
+        i, j = np.nonzero(np.isfinite(d) & (part | every))
+        out = [_told(left, group, at_x[i], x=x[i], y=y[j], d=d[i, j], whole=np.zeros(len(i), bool))]
+        if not every:
+            d[part] = np.inf
+            k = d.argmin(axis=1)
+            best = d[np.arange(len(x)), k]
+            hit = np.flatnonzero(best < limit)
+            out.append(_told(left, group, at_x[hit], x=x[hit], y=y[k[hit]], d=best[hit], whole=np.ones(len(hit), bool)))
+        return pa.concat_tables(out)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        size = rows.groupBy(*group, "c").agg((F.count("*") > BLOCK).alias("big"))
+        rows = rows.join(size, [*group, "c"])
+        return _blocks(rows, group, ["c", F.when(F.col("big"), F.col("m")).otherwise(F.lit(-1))])
+
+    found = _cells(dealt(dirty), dealt(state), group, run, schema)
+    whole = found.groupBy(*group, "x", "y").agg(F.max("d").alias("d"))
+    if every:
+        return whole
+    return whole.where(F.col("d") < limit).groupBy(*group, "x").agg(F.min(F.struct("d", "y")).alias("e")).select(*group, "x", "e.y", "e.d")
+
+
+def search_single(dirty: DataFrame, state: DataFrame, group: list[str]) -> DataFrame:
+    """(group, x, y, d): the nearest window outside its cluster of each dirty window; both (group, m, c, s)."""
+    schema, _ = _schema(state, group, "x long, y long, d double")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({**{g: pa.array([], left.schema.field(g).type) for g in group}, "x": pa.array([], pa.int64()), "y": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
+        right = right.sort_by("m")
+        x, y = _longs(left, "m"), _longs(right, "m")
+        d = np.round(1.0 - _vectors(left) @ _vectors(right).T, 12)
+        d[_longs(left, "c")[:, None] == _longs(right, "c")[None, :]] = np.inf
+        j = d.argmin(axis=1)
+        best = d[np.arange(len(x)), j]
+        hit = np.flatnonzero(np.isfinite(best))
+        return _told(left, group, hit, x=x[hit], y=y[j[hit]], d=best[hit])
+
+    found = _cells(_blocks(dirty, group, ["m"]), _blocks(state, group, ["m"]), group, run, schema)
+    return found.groupBy(*group, "x").agg(F.min(F.struct("d", "y")).alias("e")).select(*group, "x", "e.y", "e.d")
+
+
+def _finish(state: DataFrame, group: list[str], how: str, limit: float) -> DataFrame:
+    """(group, a, b, d): the merges of groups of up to SMALL clusters (group, c, s, n; windows for complete
+    linkage), each group in one task."""
+    schema, _ = _schema(state, group, "a long, b long, d double")
+
+    def told(frame: pd.DataFrame, names: np.ndarray, merges: list) -> pd.DataFrame:
+        a, b, d = (list(v) for v in zip(*merges, strict=True)) if merges else ([], [], [])
+        rows = {g: [frame[g].iloc[0]] * len(a) for g in group}
+        return pd.DataFrame({**rows, "a": names[a] if a else [], "b": names[b] if b else [], "d": d})
+
+    def average(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("c", kind="stable")
+        v, n = np.stack(frame["s"].to_numpy()), frame["n"].to_numpy()
+        return told(frame, frame["c"].to_numpy(), merge_tree(1.0 - (v @ v.T) / (n[:, None] * n[None, :]), "average", limit, 1, n))
+
+    def complete(frame: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(frame["x"].to_numpy())
+        d = np.full((len(names), len(names)), np.inf)
+        d[np.searchsorted(names, frame["x"]), np.searchsorted(names, frame["y"])] = frame["d"]
+        return told(frame, names, merge_tree(d, "complete", limit))
+
+    if how == "average":
+        return state.groupBy(*group).applyInPandas(average, schema)
+    return search_complete(state, state, group, limit, every=True).groupBy(*group).applyInPandas(complete, schema)
+
+
+def merge_rounds(unit: DataFrame, group: list[str], how: str, limit: float = float("inf"), small: int = SMALL) -> DataFrame:
+    """(group, a, b, d): all merges below the limit of unit (group, c, s), cluster b into a, each named by its
+    smallest member.  As many rounds as the data need; what a round leaves behind is deleted with the next."""
+    if how == "single":
+        return _single_rounds(unit, group)
+    state = settled(unit.withColumn("n", F.lit(1).cast("long")) if how == "average" else unit.withColumn("m", F.col("c")))
+    search = search_average if how == "average" else search_complete
+    near = settled(search(state, state, group, limit))
+    tree = []
+    while True:
+        # whoever has nobody near enough now never will
+        if limit < float("inf"):
+            before, state = state, settled(state.join(near.select(*group, F.col("x").alias("c")), [*group, "c"], "left_semi"))
+            forget(before)
+        count = state.select(*group, "c").distinct().groupBy(*group).agg(F.count("*").alias("k"))
+        few = settled(count.where(F.col("k") <= small).select(*group))
+        ending = state.join(few, group, "left_semi")
+        tree.append(settled(_finish(ending, group, how, limit)))
+        going = near.join(few, group, "left_anti")
+        merges = settled(going.join(going.toDF(*group, "y", "x", "e"), [*group, "x", "y"]).where("x < y").select(*group, F.col("x").alias("a"), F.col("y").alias("b"), "d"))
+        if merges.isEmpty():
+            forget(state, near, few)
+            break
+        tree.append(merges)
+        m = merges.select(*group, F.col("b").alias("c"), F.col("a").alias("to"))
+        moved = state.join(few, group, "left_anti").join(m, [*group, "c"], "left").withColumn("c", F.coalesce("to", "c")).drop("to")
+        if how == "average":  # two rows at most meet in one cluster
+            moved = moved.groupBy(*group, "c").agg(F.collect_list("s").alias("v"), F.sum("n").alias("n")).select(*group, "c", F.aggregate(F.slice("v", 2, F.size("v")), F.element_at("v", 1), _add).alias("s"), "n")
+        after = settled(moved)
+        touched = settled(merges.select(*group, F.col("a").alias("t")).unionByName(merges.select(*group, F.col("b").alias("t"))))
+        rest = going.join(touched.withColumnRenamed("t", "x"), [*group, "x"], "left_anti")
+        kept = rest.join(touched.withColumnRenamed("t", "y"), [*group, "y"], "left_anti").select(*group, "x", "y", "d")
+        lost = rest.join(touched.withColumnRenamed("t", "y"), [*group, "y"], "left_semi").select(*group, F.col("x").alias("c"))
+        dirty = settled(after.join(lost.unionByName(merges.select(*group, F.col("a").alias("c"))), [*group, "c"], "left_semi"))
+        again = settled(kept.unionByName(search(dirty, after, group, limit)))
+        forget(state, near, few, touched, dirty)
+        state, near = after, again
+    return reduce(DataFrame.unionByName, tree)
+
+
 def _add(a, b):
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
-def _nearest_pairs(state: DataFrame, limit: float, group: list[str]) -> DataFrame:
-    """(group, a, b): mutually nearest clusters below the limit; ties by the smaller number."""
-    # every cluster meets each block of its group's clusters, in tasks of their own: a large group is
-    # spread, and its pairs come down to a nearest one for each cluster and block before any exchange
-    a = state.select(*group, F.col("c").alias("x"), F.col("s").alias("sa"), F.col("n").alias("na")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    b = state.select(*group, F.col("c").alias("y"), F.col("s").alias("sb"), F.col("n").alias("nb"), F.pmod(F.xxhash64("c"), F.lit(BLOCKS)).cast("int").alias("_block"))
-    both = a.join(b, [*group, "_block"]).where("x != y").select(*group, "x", "y", (1.0 - dot(F.col("sa"), F.col("sb")) / (F.col("na") * F.col("nb"))).alias("d"))
-    both = both.where(F.col("d") < limit)
-    near = both.groupBy(*group, "x").agg(F.min_by("y", F.struct(F.round("d", 12).alias("d"), F.least("x", "y").alias("l"), F.greatest("x", "y").alias("g"))).alias("y"), F.min("d").alias("d"))
-    other = near.select(*group, F.col("x").alias("y"), F.col("y").alias("x"))
-    return near.join(other, [*group, "x", "y"]).where("x < y").select(*group, F.col("x").alias("a"), F.col("y").alias("b"))
+def _single_rounds(unit: DataFrame, group: list[str]) -> DataFrame:
+    """(group, a, b, d): a least spanning tree of every group, by windows: in each round every cluster takes its
+    shortest way out (ties by the smaller windows).  A window's nearest one is kept until both are of one cluster."""
+    state = settled(unit.select(*group, F.col("c").alias("m"), "c", "s"))
+    near = settled(search_single(state, state, group))
+    tree = []
+    while True:
+        own = near.join(state.select(*group, F.col("m").alias("x"), "c"), [*group, "x"])
+        edge = F.struct("d", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        edges = settled(own.groupBy(*group, "c").agg(F.min(edge).alias("e")).select(*group, "e.*").distinct())
+        if edges.isEmpty():
+            forget(state, near, edges)
+            break
+        tree.append(edges)
+        of = lambda name: state.select(*group, F.col("m").alias(name), F.col("c").alias(f"c{name}"))
+        between = edges.join(of("a"), [*group, "a"]).join(of("b"), [*group, "b"]).select(*group, F.col("ca").alias("a"), F.col("cb").alias("b"))
+        root = _roots(between, group)
+        after = settled(state.join(root.withColumnRenamed("x", "c"), [*group, "c"], "left").withColumn("c", F.coalesce("to", "c")).drop("to"))
+        of = lambda name: after.select(*group, F.col("m").alias(name), F.col("c").alias(f"c{name}"))
+        both = settled(near.join(of("x"), [*group, "x"]).join(of("y"), [*group, "y"]))
+        dirty = settled(after.join(both.where("cx = cy").select(*group, F.col("x").alias("m")), [*group, "m"], "left_semi"))
+        again = settled(both.where("cx <> cy").select(*group, "x", "y", "d").unionByName(search_single(dirty, after, group)))
+        forget(state, near, root, both, dirty)
+        state, near = after, again
+    return reduce(DataFrame.unionByName, [t.select(*group, "a", "b", "d") for t in tree]) if tree else state.select(*group, F.col("m").alias("a"), F.col("m").alias("b"), F.lit(0.0).alias("d")).where("false")
 
 
 def agglomerate(windows: DataFrame, threshold: float = DEFAULTS.cluster, ident: str = "win_id", group: list[str] | None = None, small: int = SMALL) -> DataFrame:
@@ -125,34 +330,23 @@ def agglomerate(windows: DataFrame, threshold: float = DEFAULTS.cluster, ident:
     out = _in_tasks(few, group, "average", threshold, 1).select(*names)
     if many.isEmpty():
         return out
-    return out.unionByName(_average_rounds(many, threshold, group).select(*names))
+    many = settled(many)
+    tree = settled(merge_rounds(many, group, "average", threshold, small))
+    return out.unionByName(_labelled(many, tree, group).select(*names))
 
 
-def _average_rounds(unit: DataFrame, threshold: float, group: list[str]) -> DataFrame:
-    """(group, c, cluster) by rounds, as many as the data need: each merges one pair of a group at least."""
-    member = settled(unit.select(*group, F.col("c").alias("m"), "c"))
-    state = settled(unit.withColumn("n", F.lit(1).cast("long")))
-    while True:
-        merges = settled(_nearest_pairs(state, threshold, group))
-        if merges.isEmpty():
-            forget(merges, state)
-            return member.select(*group, F.col("m").alias("c"), F.col("c").alias("cluster"))
-        m = merges.select(*group, F.col("b").alias("c"), F.col("a").alias("to"))
-        moved = state.join(m, [*group, "c"], "left").withColumn("c", F.coalesce("to", "c")).drop("to")
-        # two rows at most meet in one cluster
-        after = settled(moved.groupBy(*group, "c").agg(F.collect_list("s").alias("v"), F.sum("n").alias("n")).select(*group, "c", F.aggregate(F.slice("v", 2, F.size("v")), F.element_at("v", 1), _add).alias("s"), "n"))
-        labels = settled(member.join(m, [*group, "c"], "left").withColumn("c", F.coalesce("to", "c")).drop("to"))
-        forget(state, member, merges)
-        state, member = after, labels
+def _labelled(unit: DataFrame, merges: DataFrame, group: list[str]) -> DataFrame:
+    """(group, c, cluster): the smallest member of each set that the merges join."""
+    root = _roots(merges, group).withColumnRenamed("x", "c")
+    return unit.select(*group, "c").join(root, [*group, "c"], "left").select(*group, "c", F.coalesce("to", "c").alias("cluster"))
 
 
 def agglomerate_k(windows: DataFrame, k: int, linkage: str = "complete", ident: str = "win_id", small: int = SMALL) -> DataFrame:
     """(recording_id, ident, cluster): exactly k clusters (fewer windows: one each) by complete, average
     or single linkage; an unknown linkage is complete.  Null vectors stay out; one of no length is 1 from all.
 
-    Recordings of more than `small` windows go in rounds over a pair table, which is quadratic in a
-    recording's windows, spread over tasks: re-aggregated with max or weighted mean for pairs that are each
-    other's nearest; with min every cluster joins its nearest, as in a least spanning tree.
+    Recordings of more than `small` windows go in rounds (merge_rounds), with disk in proportion to the
+    windows; of their merges the lowest are taken, as many as leave k clusters.
     """
     how = linkage if linkage in ("complete", "average", "single") else "complete"
     g = list(KEYS)
@@ -162,34 +356,12 @@ def agglomerate_k(windows: DataFrame, k: int, linkage: str = "complete", ident:
     out = _in_tasks(few, g, how, float("inf"), k).select(*names)
     if many.isEmpty():
         return out
-    return out.unionByName(_tree_rounds(many, k, how, g).select(*names))
-
-
-def _tree_rounds(v: DataFrame, k: int, how: str, g: list[str]) -> DataFrame:
-    a, b = v.toDF(*g, "a", "va"), v.toDF(*g, "b", "vb")
-    pairs = settled(a.join(b, g).where("a != b").select(*g, "a", "b", F.round(1.0 - dot(F.col("va"), F.col("vb")), 12).alias("d"), F.lit(1.0).alias("w")))
-    tree = None
-    while True:
-        near = pairs.groupBy(*g, "a").agg(F.min(F.struct("d", F.least("a", "b").alias("l"), F.greatest("a", "b").alias("h"))).alias("e")).select(*g, "a", "e.*")
-        merges = near.groupBy(*g, "l", "h", "d").agg(F.count("*").alias("ways"))
-        merges = settled((merges if how == "single" else merges.where("ways = 2")).select(*g, F.col("l").alias("a"), F.col("h").alias("b"), "d"))
-        if merges.isEmpty():
-            break
-        tree = merges if tree is None else tree.unionByName(merges)
-        m = _roots(merges, g) if how == "single" else merges.select(*g, F.col("b").alias("x"), F.col("a").alias("to"))
-        p = pairs.join(m.withColumnRenamed("x", "a").withColumnRenamed("to", "ta"), [*g, "a"], "left").join(m.withColumnRenamed("x", "b").withColumnRenamed("to", "tb"), [*g, "b"], "left")
-        p = p.select(*g, F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"), "d", "w").where("a != b")
-        d = {"complete": F.max("d"), "single": F.min("d"), "average": F.round(F.sum(F.col("d") * F.col("w")) / F.sum("w"), 12)}[how]
-        after = settled(p.groupBy(*g, "a", "b").agg(d.alias("d"), F.sum("w").alias("w")))
-        forget(pairs)
-        pairs = after
-    member = v.select(*g, "c")
-    if tree is None:
-        return member.withColumn("cluster", F.col("c"))
-    n = member.groupBy(*g).agg(F.count("*").alias("n"))
-    kept = tree.join(n, g).withColumn("r", F.row_number().over(Window.partitionBy(*g).orderBy("d", "a", "b"))).where(F.col("r") <= F.col("n") - k).select(*g, "a", "b")
-    root = _roots(settled(kept), g).withColumnRenamed("x", "c")
-    return member.join(root, [*g, "c"], "left").select(*g, "c", F.coalesce("to", "c").alias("cluster"))
+    many = settled(many)
+    tree = settled(merge_rounds(many, g, how, small=small))
+    n = many.groupBy(*g).agg(F.count("*").alias("n"))
+    lowest = Window.partitionBy(*g).orderBy("d", "a", "b")
+    kept = tree.join(n, g).withColumn("r", F.row_number().over(lowest)).where(F.col("r") <= F.col("n") - k).select(*g, "a", "b")
+    return out.unionByName(_labelled(many, settled(kept), g).select(*names))
 
 
 def _roots(edges: DataFrame, g: list[str]) -> DataFrame:

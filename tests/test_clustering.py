@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,11 +24,16 @@ def plain_clusters(v, how, limit=np.inf, k=1):
     d = 1 - u @ u.T
     groups = {i: [i] for i in range(len(v))}
     of = {"complete": np.max, "single": np.min, "average": np.mean}[how]
+    between = np.where(np.triu(np.ones_like(d), 1) > 0, np.round(d, 12), np.inf)  # of clusters a < b, named by their smallest member
     while len(groups) > k:
-        x, a, b = min((round(float(of(d[np.ix_(groups[a], groups[b])])), 12), a, b) for a in groups for b in groups if a < b)
-        if not x < limit:
+        a, b = divmod(int(between.argmin()), len(v))
+        if not between[a, b] < limit:
             break
         groups[a] += groups.pop(b)
+        between[b], between[:, b] = np.inf, np.inf
+        for c in groups:
+            if c != a:
+                between[min(a, c), max(a, c)] = round(float(of(d[np.ix_(groups[a], groups[c])])), 12)
     return {i: a for a, m in groups.items() for i in m}
 
 
@@ -48,13 +54,51 @@ def test_exactly_k_clusters(spark, how, small):
     assert labels(C.agglomerate_k(frame(spark, v), 4, how, small=small)) == plain_clusters(v, how, k=4)
 
 
-@pytest.mark.parametrize("how,n", [("complete", 90), ("average", 90), ("single", 200)])
-def test_long_chains(spark, how, n):
-    v = chain(n)
+@pytest.mark.parametrize("how", ["complete", "average", "single"])
+def test_long_chains(spark, how):
+    v = chain(200)
     got = labels(C.agglomerate_k(frame(spark, v), 2, how))
-    # by single linkage the widest step, the last, stays open
-    assert got == ({i: n - 1 if i == n - 1 else 0 for i in range(n)} if how == "single" else plain_clusters(v, how, k=2))
-    assert len(set(got.values())) == 2
+    assert got == plain_clusters(v, how, k=2) and len(set(got.values())) == 2
+
+
+@pytest.mark.parametrize("how", ["complete", "average", "single"])
+@pytest.mark.parametrize("n", [60, 61])
+def test_at_the_border_of_both_ways(spark, how, n):
+    """Groups just below, at and above the size that one task takes, blocks of a few vectors, several groups."""
+    v = np.random.default_rng(n).normal(size=(n, 4))
+    df = frame(spark, v).unionByName(frame(spark, v[::-1], 2))
+    got = {(r.recording_id, r.win_id): r.cluster for r in C.agglomerate_k(df, 5, how, small=60).collect()}
+    assert got == {(1, i): c for i, c in plain_clusters(v, how, k=5).items()} | {(2, i): c for i, c in plain_clusters(v[::-1], how, k=5).items()}
+
+
+@pytest.mark.parametrize("how", ["complete", "average", "single"])
+def test_rounds_in_many_blocks(spark, monkeypatch, how):
+    """Clusters larger than a block; what is kept between rounds is right: equal to one merge at a time."""
+    monkeypatch.setattr(C, "BLOCK", 24)
+    v = np.random.default_rng(7).normal(size=(64, 3))
+    assert labels(C.agglomerate_k(frame(spark, v), 3, how, small=12)) == plain_clusters(v, how, k=3)
+
+
+def test_long_recording(spark, monkeypatch):
+    """One recording of 6,000 windows of 200 voices: the voices, and less compared than all clusters with all in each round."""
+    rng = np.random.default_rng(8)
+    voices = rng.normal(size=(200, 16))
+    who = rng.integers(0, 200, 6_000)
+    v = voices[who] + rng.normal(0, 0.03, (6_000, 16))
+    df = spark.createDataFrame(pd.DataFrame({"recording_id": 1, "win_id": np.arange(6_000), "embedding": v.tolist()}), "recording_id int, win_id long, embedding array<double>")
+    work, plain = [], C.search_average
+
+    def counted(dirty, state, group, limit):
+        work.append((dirty.count(), state.count()))
+        return plain(dirty, state, group, limit)
+
+    monkeypatch.setattr(C, "search_average", counted)
+    got = labels(C.agglomerate(df, 0.1))
+    first = {}
+    for i, k in enumerate(who.tolist()):
+        first.setdefault(k, i)
+    assert all(got[i] == first[k] for i, k in enumerate(who.tolist()))
+    assert len(work) > 2 and sum(a * b for a, b in work) < 0.8 * sum(b * b for _, b in work)
 
 
 def test_chain_in_rounds(spark):
