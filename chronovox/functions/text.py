@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -91,40 +92,105 @@ def collapse_doubled(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)\b(\p{L}+)(?:\s+\1\b)+", "$1")
 
 
-_REPEAT = re.compile(r"(.{4,120}?)(?:\1){2,}", re.S)
 MARK = "[inaudible]"
+_MARKS = re.compile(r"\[inaudible\](?:\s*\[inaudible\])+")
+#: The lengths of a unit whose repetition is cut out.
+UNIT_LEAST, UNIT_MOST = 4, 120
+#: Characters in which a repeat is searched for at a time.
+_WINDOW = 8192
+
+
+def _first_in(c: np.ndarray, most: int) -> tuple[int, int] | None:
+    """(start, unit length) of the first stretch of three equal units that begins before `most`; of
+    several that begin there the shortest unit.
+
+    Three units from i on are 2u characters that equal those u further on, so that at the first multiple p
+    of u from i on all of p .. p + u do: of the multiples few pass the first comparisons.
+    """
+    best = None
+    for u in range(UNIT_LEAST, UNIT_MOST + 1):
+        if len(c) < 3 * u:
+            break
+        p = np.arange(0, min(most + u, len(c) - 2 * u + 1), u)
+        for k in (0, u, 1, 2, 3):
+            p = p[p + k + u < len(c)] if k else p
+            p = p[c[p + k] == c[p + k + u]]
+            if not len(p):
+                break
+        for at in p.tolist():
+            if best is not None and at - u >= best[0]:
+                break
+            if np.array_equal(c[at : at + u], c[at + u : at + 2 * u]):
+                same = c[max(0, at - u) : at] == c[max(0, at - u) + u : at + u]
+                start = at - (len(same) if same.all() else int(same[::-1].argmin()))
+                if len(c) - start >= 3 * u and np.array_equal(c[start : start + 2 * u], c[start + u : start + 3 * u]) and start < most:
+                    if best is None or start < best[0]:
+                        best = (start, u)
+                    break
+    return best
+
+
+def _first_repeat(t: str, since: int) -> tuple[int, int, int] | None:
+    """(start, unit length, end) of the first unit that stands three times or more, from `since` on."""
+    reach = 3 * UNIT_MOST
+    while since < len(t):
+        c = np.frombuffer(t[since : since + _WINDOW + reach].encode("utf-32-le", "surrogatepass"), np.uint32)
+        found = _first_in(c, _WINDOW)
+        if found:
+            i, u = since + found[0], found[1]
+            unit, end = t[i : i + u], i + 3 * u
+            step = unit * max(1, 1024 // u)
+            while t.startswith(step, end):
+                end += len(step)
+            while t.startswith(unit, end):
+                end += u
+            return i, u, end
+        since += _WINDOW
+    return None
+
+
+def cut_repeats(t: str | None) -> str | None:
+    """A text with one mark for each unit that is repeated three times or more, copies of it that are cut off
+    at either side, and the white space about; marks side by side are one."""
+    if t is None or len(t) < 3 * UNIT_LEAST:
+        return t
+    since, first = 0, True
+    while True:
+        found = _first_repeat(t, since)
+        if found is None:
+            return t
+        a, u, b = found
+        unit = t[a : a + u]
+        for k in range(u - 1, UNIT_LEAST - 1, -1):
+            if t.endswith(unit[-k:], 0, a):
+                a -= k
+                break
+        for k in range(u - 1, UNIT_LEAST - 1, -1):
+            if t.startswith(unit[:k], b):
+                b += k
+                break
+        head = t[:a].rstrip()
+        t = f"{head} {MARK} {t[b:].lstrip()}".strip()
+        if first:  # marks of the text's own
+            t, first = _MARKS.sub(MARK, t), False
+        else:
+            at = len(head) - len(MARK) if head.endswith(MARK) else t.find(MARK, max(0, len(head) - 1))
+            m = _MARKS.match(t, at)
+            t = t if m is None else t[:at] + MARK + t[m.end() :]
+        # nothing that begins earlier has changed within three units
+        since = max(0, min(a, len(head)) - 3 * UNIT_MOST - 2 * len(MARK))
 
 
 @F.pandas_udf(StringType())
 def _cut_repeats(texts: pd.Series) -> pd.Series:
-    def one(t):
-        if t is None or len(t) < 12:
-            return t
-        while True:
-            m = _REPEAT.search(t)
-            if m is None:
-                return t
-            unit, a, b = m[1], m.start(), m.end()
-            # copies cut off at either side go, too
-            for k in range(len(unit) - 1, 3, -1):
-                if t.endswith(unit[-k:], 0, a):
-                    a -= k
-                    break
-            for k in range(len(unit) - 1, 3, -1):
-                if t.startswith(unit[:k], b):
-                    b += k
-                    break
-            t = f"{t[:a].rstrip()} {MARK} {t[b:].lstrip()}".strip()
-            t = re.sub(r"\[inaudible\](?:\s*\[inaudible\])+", MARK, t)
-
-    return texts.map(one)
+    return texts.map(cut_repeats, na_action="ignore")
 
 
 def clean_text(text: Column) -> Column:
     """Doubled words once; a unit of 4 to 120 characters that repeats three times or more, and cut
-    copies about it, as one mark.  The loop over repeats needs Python; texts without one skip it."""
-    once = collapse_doubled(text)
-    return F.when(once.rlike(r"(?s)(.{4,120}?)\1\1"), _cut_repeats(once)).otherwise(once)
+    copies about it, as one mark, in Arrow batches.  Linear in the text, and a search of 8,192 characters
+    for each mark."""
+    return _cut_repeats(collapse_doubled(text))
 
 
 def canonical_language(lang: Column) -> Column:

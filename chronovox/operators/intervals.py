@@ -3,6 +3,8 @@ recording is a window partition, recordings are spread over the cluster."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,37 +97,55 @@ def to_turns(df: DataFrame, gap: float = DEFAULTS.turn_gap) -> DataFrame:
     )
 
 
+def cut_pieces(start: np.ndarray, end: np.ndarray, most: float) -> list[tuple[int, int]]:
+    """(first, last) child of each piece of a turn, 1-based and in order, in one pass over its children.
+
+    The gaps' tree, in which each stands above the smaller ones on either side and the first of equal ones
+    on top, is built with a stack; a piece that is too long is cut where its tree's root is.
+    """
+    n = len(start)
+    gap = np.maximum(start[1:] - end[:-1], 0.0).tolist()
+    left, right, stack = [-1] * (n - 1), [-1] * (n - 1), []
+    for i, g in enumerate(gap):
+        below = -1
+        while stack and gap[stack[-1]] < g:
+            below = stack.pop()
+        left[i] = below
+        if stack:
+            right[stack[-1]] = i
+        stack.append(i)
+    out, todo = [], [(0, n - 1, stack[0] if stack else -1)]
+    while todo:
+        lo, hi, root = todo.pop()
+        if lo == hi or end[hi] - start[lo] <= most:
+            out.append((lo + 1, hi + 1))
+        else:
+            todo += [(root + 1, hi, right[root]), (lo, root, left[root])]
+    return out
+
+
 def split_long_turns(turns: DataFrame, most: float = 120.0) -> DataFrame:
-    """Turns longer than `most` are cut at their largest inner gap, again and again, until each piece
-    fits or has one child; without a gap the cut is after the first child.  A fold over each turn's
-    own children: a stack of pieces, no Python and no shuffle."""
-    piece = "struct<lo:int,hi:int>"
-    kids = F.col("children")
-    start = F.struct(F.array(F.struct(F.lit(1).alias("lo"), F.size(kids).alias("hi"))).cast(f"array<{piece}>").alias("todo"), F.array().cast(f"array<{piece}>").alias("done"))
-
-    def step(state, _):
-        last = F.element_at(state["todo"], -1)
-        lo, hi = last["lo"], last["hi"]
-        rest = F.slice(state["todo"], 1, F.greatest(F.size(state["todo"]) - 1, F.lit(0)))
-        at = lambda i: F.element_at(kids, i.cast("int"))
-        fits = (at(hi)["end_s"] - at(lo)["start_s"] <= most) | (lo == hi)
-        cuts = F.transform(F.sequence(lo, F.greatest(hi - 1, lo)), lambda i: F.struct((at(F.least(i + 1, hi))["start_s"] - at(i)["end_s"]).alias("gap"), (-i).alias("i")))
-        best = F.array_max(cuts)
-        cut = F.when(best["gap"] > 0, -best["i"]).otherwise(lo).cast("int")
-        split = F.concat(rest, F.array(F.struct((cut + 1).alias("lo"), hi.alias("hi")), F.struct(lo.alias("lo"), cut.alias("hi"))))
-        return (
-            F.when(F.size(state["todo"]) == 0, state)
-            .when(fits, F.struct(rest.alias("todo"), F.concat(state["done"], F.array(last)).alias("done")))
-            .otherwise(F.struct(split.alias("todo"), state["done"].alias("done")))
-        )
+    """Turns longer than `most` are cut at their largest inner gap, the first of equal ones, again and
+    again, until each piece fits or has one child; without a gap the cut is after the first child.  Long
+    turns' children go through cut_pieces in Arrow batches, all else stays as it is; no shuffle."""
 
-    folded = F.aggregate(F.sequence(F.lit(1), 2 * F.size(kids)), start, step, lambda s: s["done"])
+    @F.pandas_udf("array<struct<lo: int, hi: int>>")
+    def pieces(start: pd.Series, end: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else [{"lo": lo, "hi": hi} for lo, hi in cut_pieces(np.asarray(a, float), np.asarray(b, float), most)] for a, b in zip(start, end, strict=True)], dtype=object)
+
+    kids = F.col("children")
+    long = F.col("end_s") - F.col("start_s") > most
+    sides = [F.when(long, _side(kids, c)) for c in ("start_s", "end_s")]
     short = F.array(F.struct(F.lit(1).alias("lo"), F.size(kids).alias("hi")))
-    out = turns.withColumn("_p", F.explode(F.when(F.col("end_s") - F.col("start_s") <= most, short).otherwise(folded)))
+    out = turns.withColumn("_cut", pieces(*sides)).withColumn("_p", F.explode(F.coalesce("_cut", short)))
     child = lambda i: F.element_at(kids, F.col(f"_p.{i}"))
     return out.select(*KEYS, child("lo")["seq"].alias("seq"), child("lo")["start_s"].alias("start_s"), child("hi")["end_s"].alias("end_s"), "speaker", (F.col("_p.hi") - F.col("_p.lo") + 1).alias("parts"))
 
 
+def _side(children: Column, name: str) -> Column:
+    return F.transform(children, lambda x: x[name].cast("double"))
+
+
 def resolve_overlaps(df: DataFrame) -> DataFrame:
     """Where a segment begins before the kept one before it ends, both meet in the middle of the
     overlap; empty ones go.  A fold over each run of segments in which one begins before another's end:
@@ -148,35 +168,55 @@ def resolve_overlaps(df: DataFrame) -> DataFrame:
     return rows.select(*KEYS, F.inline("a"))
 
 
+def settle_islands(rows: list[list], least: float, near: float = 1.0) -> list[list]:
+    """[seq, start, end, speaker] of a stretch, whose neighbours join in any case: the rule of absorb_islands."""
+    joined = False
+    while True:
+        taken = False
+        for i in range(1, len(rows) - 1):
+            name, side = rows[i][3], rows[i - 1][3]
+            if name != "OVERLAP" and rows[i][2] - rows[i][1] < least and side == rows[i + 1][3] and name != side:
+                rows[i][3], taken = side, True
+        if joined and not taken:
+            return rows
+        kept = rows[:1]
+        for r in rows[1:]:
+            if r[3] == kept[-1][3] and r[1] - kept[-1][2] <= near:
+                kept[-1][2] = max(kept[-1][2], r[2])
+            else:
+                kept.append(r)
+        rows, joined = kept, True
+
+
 def absorb_islands(df: DataFrame, least: float = 1.0) -> DataFrame:
     """A short segment between two of one speaker takes that speaker, left to right, OVERLAP excepted;
-    then neighbours within a second join; both again until nothing changes.  The number of rounds is the
-    data's own, which no expression can say: one recording at a time in pandas."""
-
-    def settle(frame):
-        rows = [list(r) for r in frame.sort_values(["start_s", "seq"])[["seq", "start_s", "end_s", "speaker"]].itertuples(index=False)]
-        changed = True
-        while changed:
-            changed = False
-            for i in range(1, len(rows) - 1):
-                name, side = rows[i][3], rows[i - 1][3]
-                if name != "OVERLAP" and rows[i][2] - rows[i][1] < least and side == rows[i + 1][3] and name != side:
-                    rows[i][3], changed = side, True
-            if changed:
-                kept = rows[:1]
-                for r in rows[1:]:
-                    if r[3] == kept[-1][3] and r[1] - kept[-1][2] <= 1.0:
-                        kept[-1][2] = max(kept[-1][2], r[2])
-                    else:
-                        kept.append(r)
-                rows = kept
-        out = frame.iloc[: len(rows)][["recording_id"]].copy()
-        for k, c in enumerate(("seq", "start_s", "end_s", "speaker")):
-            out[c] = [r[k] for r in rows]
-        return out
+    then neighbours within a second join; both again until nothing changes.
+
+    A segment of `least` or more, or OVERLAP, keeps its label for good, so between two such neighbours with
+    different labels nothing can ever join or be taken: a recording is cut there, and each stretch settles by
+    itself, in Arrow batches.  Whether anything changes in a recording at all, which joins neighbours in all of
+    its stretches, is seen from each segment's neighbours.
+    """
+    rows = df.select(*KEYS, F.col("seq").cast("long").alias("seq"), F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"), "speaker")
+    w = order()
+    lag, lead, inner = F.lag("speaker").over(w), F.lead("speaker").over(w), F.lag("seq").over(w).isNotNull() & F.lead("seq").over(w).isNotNull()
+    short = F.coalesce(F.col("speaker") != "OVERLAP", F.lit(True)) & (F.col("end_s") - F.col("start_s") < least)
+    rows = rows.withColumns({"_fixed": ~short, "_taken": short & inner & lag.eqNullSafe(lead) & ~F.col("speaker").eqNullSafe(lag)})
+    rows = rows.withColumn("_any", F.max("_taken").over(Window.partitionBy(*KEYS)))
+    apart = F.col("_fixed") & F.lag("_fixed").over(w) & ~F.col("speaker").eqNullSafe(F.lag("speaker").over(w))
+    rows = islands(rows, F.coalesce(apart, F.lit(False)))
+    same = rows.where("NOT _any").select(*KEYS, "seq", "start_s", "end_s", "speaker")
+    kind = "array<struct<seq: bigint, start_s: double, end_s: double, speaker: string>>"
+
+    @F.pandas_udf(kind)
+    def settle(stretches: pd.Series) -> pd.Series:
+        done = ([settle_islands([[x["seq"], x["start_s"], x["end_s"], x["speaker"]] for x in s], least)] for s in stretches)
+        return pd.Series([[{"seq": r[0], "start_s": r[1], "end_s": r[2], "speaker": r[3]} for r in one] for (one,) in done], dtype=object)
 
-    rows = df.select("recording_id", F.col("seq").cast("long").alias("seq"), F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"), "speaker")
-    return rows.groupBy(*KEYS).applyInPandas(settle, rows.schema)
+    item = F.struct("start_s", "seq", "end_s", "speaker")
+    stretch = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["seq"].alias("seq"), x["start_s"].alias("start_s"), x["end_s"].alias("end_s"), x["speaker"].alias("speaker")))
+    moved = rows.where("_any").groupBy(*KEYS, "island").agg(stretch.alias("s")).select(*KEYS, F.inline(settle("s")))
+    return same.unionByName(moved)
 
 
 # -- dominance of speakers --------------------------------------------------------------------------
