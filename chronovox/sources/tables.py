@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,58 @@ def write_store(df: DataFrame, path: str) -> None:
     df.repartition("tenant_id").write.mode("overwrite").partitionBy("tenant_id").parquet(path)
 
 
+_MANIFEST = "version long, writer string, table string, folder string"
+
+
+def _manifest(spark: SparkSession, root: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(_MANIFEST).parquet(f"{root}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def store_versions(spark: SparkSession, root: str) -> list[int]:
+    """The committed versions, oldest first: a row each."""
+    known = _manifest(spark, root)
+    return [] if known is None else [r.version for r in known.select("version").distinct().orderBy("version").collect()]
+
+
+def open_store(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
+    """All tables of the store as of one version, the last one if none is named; {} before the first."""
+    versions = store_versions(spark, root)
+    if not versions:
+        return {}
+    at = versions[-1] if version is None else version
+    if at not in versions:
+        raise ValueError(f"no version {at}: {versions}")
+    rows = _manifest(spark, root).where(F.col("version") == at).select("table", "folder").collect()  # a row a table
+    return {r.table: read_store(spark, f"{root}/{r.folder}") for r in rows}
+
+
+def commit_store(spark: SparkSession, root: str, changed: dict[str, DataFrame]) -> int:
+    """Write the changed tables as new folders, then all of them at once become the next version, whose number
+    it returns; tables that aren't named stay as they are.
+
+    Nothing that a reader of an older version reads is touched, so tables may be computed from the store
+    itself, and if a table fails the store is as before.  The version is one file that Spark's commit puts in its
+    place.  One writer at a time: a second one that took the same number is told so, and its rows don't count.
+    """
+    known, versions = _manifest(spark, root), store_versions(spark, root)
+    version, writer = (versions[-1] if versions else 0) + 1, uuid.uuid4().hex
+    before = {} if not versions else {r.table: r.folder for r in known.where(F.col("version") == versions[-1]).select("table", "folder").collect()}
+    after = dict(before)
+    for name, df in changed.items():
+        after[name] = f"data/{name}/{version}-{writer}"
+        write_store(df, f"{root}/{after[name]}")
+    if store_versions(spark, root) != versions:
+        raise RuntimeError(f"another writer took version {version}")
+    rows = [(version, writer, name, folder) for name, folder in sorted(after.items())]
+    spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    return version
+
+
 def scan_inventory(spark: SparkSession, root: str, digest: bool = True) -> DataFrame:
     """Audio files under root/<tenant>/<speaker>/: path, size, mtime and (digest) the content's sha256;
     without it the files' bytes are not read.  Empty files are not listed, as the reader skips them."""

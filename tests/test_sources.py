@@ -3,9 +3,11 @@
 import hashlib
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from chronovox.operators import attribution as A
+from chronovox.operators import store as S
 from chronovox.sources import tables as T
 
 
@@ -33,6 +35,62 @@ def test_store_by_tenant(spark, tmp_path):
     assert "PartitionFilters: [" in plan and "tenant_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def small_store(spark):
+    clip = lambda i, who, t=1, h=None, dur=10.0: (t, i, who, f"s{i % 2}", dur, 1.0 * i, h or f"h{i}", f"/store/{t}/{who}/{i}.flac", None)
+    snips = [clip(1, "Ann"), clip(2, "Ann", h="h1"), clip(3, "Ann"), clip(4, "Bob", dur=12.0), clip(5, "Bob", dur=9.0), clip(6, "Eve", t=2), clip(7, "Eve", t=2, h="h6")]
+    people = [(1, "Ann", 30.0, False), (1, "Bob", 99.0, False), (2, "Eve", 20.0, False)]
+    return {
+        "snippets": spark.createDataFrame(snips, "tenant_id int, id long, speaker_name string, source_audio string, duration_sec double, start_sec double, content_sha256 string, file_path string, review_flag boolean"),
+        "profiles": spark.createDataFrame(people, "tenant_id int, name string, total_speech_sec double, pending boolean"),
+    }
+
+
+def rows_of(df):
+    return sorted(map(str, df.select(sorted(df.columns)).collect()))
+
+
+def test_a_store_commits_all_tables_or_none(spark, tmp_path):
+    root = str(tmp_path / "store")
+    assert T.open_store(spark, root) == {} and T.store_versions(spark, root) == []
+    store = small_store(spark)
+    assert T.commit_store(spark, root, store) == 1
+    one = T.open_store(spark, root)
+    assert set(one) == {"snippets", "profiles"} and all(rows_of(one[k]) == rows_of(store[k]) for k in store)
+    # the second table fails: the first one's new folder is there, but no version has it
+    bad = one["profiles"].withColumn("name", F.expr("raise_error('no disk')").cast("string"))
+    with pytest.raises(Exception, match="no disk"):
+        T.commit_store(spark, root, {"snippets": one["snippets"].where("id = 1"), "profiles": bad})
+    assert T.store_versions(spark, root) == [1] and all(rows_of(T.open_store(spark, root)[k]) == rows_of(store[k]) for k in store)
+    # a table computed from itself replaces itself; the other one stays; the old version is still there
+    assert T.commit_store(spark, root, {"snippets": one["snippets"].where("id <> 1")}) == 2
+    two = T.open_store(spark, root)
+    assert two["snippets"].count() == 6 and rows_of(two["profiles"]) == rows_of(store["profiles"]) and T.open_store(spark, root, 1)["snippets"].count() == 7
+    with pytest.raises(ValueError):
+        T.open_store(spark, root, 9)
+
+
+def test_cleanup_and_purge_applied(spark, tmp_path):
+    """Duplicates and dead clips go and totals follow; a purged tenant is in no table; plans alone change nothing."""
+    root = str(tmp_path / "store")
+    T.commit_store(spark, root, small_store(spark))
+    store = T.open_store(spark, root)
+    dead = spark.createDataFrame([(1, 4)], "tenant_id int, id long")
+    plan = {(r.tenant_id, r.id): r.reason for r in S.cleanup(store, dead).collect()}
+    assert plan == {(1, 2): "duplicate", (1, 4): "dead", (2, 7): "duplicate"}
+    assert T.open_store(spark, root)["snippets"].count() == 7
+    T.commit_store(spark, root, S.cleanup(store, dead, dry_run=False))
+    store = T.open_store(spark, root)
+    assert sorted(r.id for r in store["snippets"].collect()) == [1, 3, 5, 6]
+    assert {r.name: r.total_speech_sec for r in store["profiles"].collect()} == {"Ann": 20.0, "Bob": 9.0, "Eve": 10.0}
+    ids = spark.createDataFrame([(2,), (7,)], "tenant_id int")
+    same, counts = S.purge_tenant(store, ids)
+    assert sorted((r.tenant_id, r.table, r.rows) for r in counts.collect()) == [(2, "profiles", 1), (2, "snippets", 1), (7, "profiles", 0), (7, "snippets", 0)]
+    assert rows_of(same["snippets"]) == rows_of(store["snippets"])
+    T.commit_store(spark, root, S.purge_tenant(store, ids, purge=True)[0])
+    after = T.open_store(spark, root)
+    assert {r.tenant_id for t in after.values() for r in t.select("tenant_id").collect()} == {1} and after["snippets"].count() == 3
+
+
 def test_exports_are_written(spark, tmp_path):
     r = spark.createDataFrame([(1, 0, 0.0, 1.0, "Ann", "Hi."), (1, 1, 61.5, 62.0, None, "Bye.")], "recording_id int, seq long, start_s double, end_s double, speaker string, text string")
     T.export(A.export_text(r).select("text"), str(tmp_path / "txt"))
