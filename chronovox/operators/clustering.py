@@ -392,19 +392,36 @@ def cap_clusters(windows: DataFrame, labels: DataFrame, most: int = DEFAULTS.max
 
 def greedy_merge(windows: DataFrame, labels: DataFrame, limit: float = DEFAULTS.merge, ident: str = "win_id") -> DataFrame:
     """The first pair of clusters (by number) whose mean vectors are close becomes one, means are taken
-    anew, and again until none is: one merge for every recording a round."""
+    anew, and again until none is: one merge for every recording a round.
+
+    Rounds work on one row a cluster, its sum and number of vectors, and on the recordings that still merge;
+    windows are read once to make the rows and once to be labelled.
+    """
     g = list(KEYS)
-    rows = settled(windows.join(labels, [*g, ident]).select(*g, ident, "cluster", "embedding"))
+    rows = windows.select(*g, ident, "embedding").join(labels.select(*g, ident, "cluster"), [*g, ident])
+    known = rows.where(F.col("embedding").isNotNull())
+    parts = known.select(*g, "cluster", F.posexplode("embedding").alias("_p", "_x")).groupBy(*g, "cluster", "_p").agg(F.sum(F.col("_x").cast("double")).alias("_x"), F.count("*").alias("n"))
+    state = settled(parts.groupBy(*g, "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_x"))), lambda x: x["_x"]).alias("s"), F.max("n").alias("n")))
+    into = []
     while True:
-        c = centroid(rows, [*g, "cluster"]).select(*g, "cluster", "centroid")
+        c = state.select(*g, "cluster", F.transform("s", lambda x: x / F.col("n")).alias("v"))
         a, b = c.toDF(*g, "a", "va"), c.toDF(*g, "b", "vb")
         close = a.join(b, g).where("a < b").where(cosine_distance(F.col("va"), F.col("vb")) < limit)
         pick = settled(close.groupBy(*g).agg(F.min(F.struct("a", "b")).alias("p")).select(*g, "p.a", F.col("p.b").alias("cluster")))
         if pick.isEmpty():
-            return rows.select(*g, ident, "cluster")
-        after = settled(rows.join(pick, [*g, "cluster"], "left").withColumn("cluster", F.coalesce("a", "cluster")).drop("a"))
-        forget(rows, pick)
-        rows = after
+            forget(state, pick)
+            break
+        into.append(pick)
+        # recordings without a close pair are done
+        moved = state.join(pick.select(*g), g, "left_semi").join(pick, [*g, "cluster"], "left").withColumn("cluster", F.coalesce("a", "cluster"))
+        after = settled(moved.groupBy(*g, "cluster").agg(F.collect_list("s").alias("v"), F.sum("n").alias("n")).select(*g, "cluster", F.aggregate(F.slice("v", 2, F.size("v")), F.element_at("v", 1), _add).alias("s"), "n"))
+        forget(state)
+        state = after
+    if not into:
+        return rows.select(*g, ident, "cluster")
+    edges = reduce(DataFrame.unionByName, [p.select(*g, F.col("a").cast("long").alias("a"), F.col("cluster").cast("long").alias("b")) for p in into])
+    root = _roots(settled(edges), g).select(*g, F.col("x").alias("cluster"), "to")
+    return rows.join(root, [*g, "cluster"], "left").select(*g, ident, F.coalesce("to", "cluster").alias("cluster"))
 
 
 def distance_matrix(vectors: DataFrame, refs: DataFrame, keys: list[str]) -> DataFrame:

@@ -146,3 +146,29 @@ def test_one_long_recording(spark):
     began = time.time()
     assert I.fill_nearest(known).where("speaker IS NULL").count() == 0
     assert max(took, time.time() - began) < 30
+
+
+def plain_greedy(v, label, limit):
+    label = list(label)
+    while True:
+        mean = {k: np.mean([x for x, m in zip(v, label, strict=True) if m == k], axis=0) for k in sorted(set(label))}
+        cos = lambda a, b: 1 - mean[a] @ mean[b] / np.linalg.norm(mean[a]) / np.linalg.norm(mean[b])  # noqa: B023, E731
+        pair = next(((a, b) for a in mean for b in mean if a < b and cos(a, b) < limit), None)
+        if pair is None:
+            return label
+        label = [pair[0] if m == pair[1] else m for m in label]
+
+
+def test_greedy_merges_against_a_plain_one(spark):
+    """The first close pair by number, means anew; recordings that stop early, one cluster, windows without a vector."""
+    rng = np.random.default_rng(9)
+    rows, labels, want = [], [], {}
+    for rec in range(12):
+        v = rng.normal(size=(30, 3)) + rng.choice([0, 1, 2])
+        own = rng.integers(0, 1 + rec % 9, 30).tolist()
+        rows += [(rec, i, [float(x) for x in r]) for i, r in enumerate(v)] + [(rec, 99, None)]
+        labels += [(rec, i, k) for i, k in enumerate(own)] + [(rec, 99, own[0])]
+        done = plain_greedy(v, own, 0.3)
+        want |= {(rec, i): k for i, k in enumerate(done)} | {(rec, 99): done[0]}
+    got = C.greedy_merge(spark.createDataFrame(rows, KIND), spark.createDataFrame(labels, "recording_id int, win_id int, cluster long"), 0.3)
+    assert {(r.recording_id, r.win_id): r.cluster for r in got.collect()} == want and len(set(want.values())) > 1
