@@ -243,11 +243,10 @@ def op1_topk(spark, sf_dir: str) -> DataFrame:
 OP1_SQL = """
 WITH v AS (
   SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0
-    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
   SELECT a.vec_id AS query_id, b.vec_id,
-         list_sum([a.q[i] * b.q[i] FOR i IN range(1, len(a.q) + 1)])::BIGINT AS score
+         coalesce(list_sum([a.q[i] * b.q[i] FOR i IN range(1, len(a.q) + 1)]), 0)::BIGINT AS score
   FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
