@@ -181,9 +181,35 @@ def cut_repeats(t: str | None) -> str | None:
         since = max(0, min(a, len(head)) - 3 * UNIT_MOST - 2 * len(MARK))
 
 
+def _may_repeat(texts: list[str]) -> np.ndarray:
+    """Which texts hold three equal units side by side: all of them at once, as _first_in looks at one.  A
+    unit that would reach over a text's end finds the mark between texts there, or costs a second look."""
+    c = np.frombuffer("\0".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends, hit = np.cumsum([len(t) + 1 for t in texts]), np.zeros(len(texts), bool)
+    for u in range(UNIT_LEAST, UNIT_MOST + 1):
+        if len(c) < 3 * u:
+            break
+        p = np.arange(0, len(c) - 2 * u + 1, u)
+        for k in (0, u, *range(1, UNIT_LEAST)):
+            p = p[p + k + u < len(c)] if k else p
+            p = p[c[p + k] == c[p + k + u]]
+        found = [at for at in p.tolist() if np.array_equal(c[at : at + u], c[at + u : at + 2 * u])]
+        hit[np.searchsorted(ends, found, "right")] = True
+    return hit
+
+
 @F.pandas_udf(StringType())
 def _cut_repeats(texts: pd.Series) -> pd.Series:
-    return texts.map(cut_repeats, na_action="ignore")
+    known = texts[texts.notna()]
+    out, begin = texts.copy(), 0
+    size = known.str.len().cumsum().to_numpy()
+    while begin < len(known):  # about a megabyte at a time
+        end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + (1 << 20), "right")))
+        part = known.iloc[begin:end]
+        again = part[_may_repeat(part.tolist())]
+        out[again.index] = again.map(cut_repeats)
+        begin = end
+    return out
 
 
 def clean_text(text: Column) -> Column:

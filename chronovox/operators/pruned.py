@@ -74,8 +74,9 @@ def with_angles(unit: DataFrame, pivot: np.ndarray) -> DataFrame:
 def candidate_pairs(unit: DataFrame, keys: list[str], limit: float, most: int = PIVOTS) -> DataFrame:
     """(keys, a, b, ua, ub), a < b: pairs that the pivots don't rule out from lying within the cosine
     distance `limit`; each pair once."""
-    pivot = pivots(unit, most)
     alpha = math.acos(max(-1.0, min(1.0, 1.0 - limit))) + EPS
+    # a wide angle reaches most cells, whatever their number: then a few do
+    pivot = pivots(unit, most if alpha < math.pi / 4 else max(1, most // 8))
     if not len(pivot):
         return unit.select(*keys, F.col("_id").alias("a"), F.col("_id").alias("b"), F.col("_u").alias("ua"), F.col("_u").alias("ub")).where("false")
     rows = with_angles(unit, pivot)

@@ -178,4 +178,8 @@ def test_a_megabyte_in_a_second(spark):
     assert X.cut_repeats("a" * (1 << 20)) == X.MARK
     rows = [(1, None), (2, ""), (3, "short"), (4, "na na na na"), (5, "I say so so. " * 6)]
     got = {r.i: r.c for r in spark.createDataFrame(rows, "i int, t string").select("i", X.clean_text(F.col("t")).alias("c")).collect()}
+    rng = random.Random(6)
+    many = [noisy(rng) for _ in range(400)] + ["", "ab", "x" * 11, "y" * 12]
+    found = {r.i: r.c for r in spark.createDataFrame(list(enumerate(many)), "i int, t string").coalesce(2).select("i", X._cut_repeats("t").alias("c")).collect()}
+    assert all(found[i] == plain_cut(t) for i, t in enumerate(many))
     assert got[1] is None and got[2] == "" and got[3] == "short" and got[4] == "na" and got[5] == X.MARK
