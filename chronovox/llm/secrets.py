@@ -2,13 +2,15 @@
 
 Labelled credentials (the values of the fixed patterns, by kind) form one prefix tree per kind over
 character classes.  States whose outgoing frequencies are statistically compatible (Hoeffding bounds,
-recursively) are merged, the red-blue way.  Every run of credential characters in every text is then
-scored by its likelihood per symbol under each automaton against a background: class bigrams of all
-other runs of whole texts, without the labelled credentials and the run itself.
+recursively) are merged, the red-blue way.  In every run of credential characters of every text, each
+stretch between two marks (or the run's ends) is then scored by its likelihood per symbol under each
+automaton against a background: class bigrams of all other runs of whole texts, without the labelled
+credentials and the run itself.  A key within a URL, before a full stop or after a `=` is such a stretch.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -37,12 +39,18 @@ MIN_CANDIDATE = min(SHORTEST.values())
 MAX_LEARNED = 4096
 #: Judged class sequences that a worker remembers; the memory is emptied when full.
 CACHE_RUNS = 200_000
+#: Runs up to this length are first judged together, by numpy, on a bound; longer ones each by themselves.
+TOGETHER = 64
+#: Runs up to this length are told apart by one number, four bits a class.
+PACKED = 15
+#: Labelled credentials that a kind's own automaton needs; with fewer it takes those of all kinds.
+ENOUGH = 8
 #: Labelled credentials per kind that an automaton is learned from (the smallest md5 values).
 SAMPLE_PER_KIND = 400
 #: Significance of the Hoeffding test of two states.
 ALPHA = 0.05
 #: A candidate counts when it scores no less than this share of the labelled credentials do.
-QUANTILE = 0.05
+QUANTILE = 0.01
 SLICE = 4 << 20
 #: What stands in a redacted text for a secret.
 MARK = "[SECRET]"
@@ -66,6 +74,8 @@ for _c in range(256):
     elif _ch in "+/_.=-":
         _CLASS[_c] = _NAMES.index(_ch)
 SYMBOLS = len(_NAMES)
+#: The first class that is a mark: a stretch begins after one, and ends before one.
+_MARKS = _NAMES.index("+")
 #: Characters that a class stands for; a class's likelihood is shared by them.
 _SPREAD = np.log2(np.array([6, 20, 6, 20, 10, 1, 1, 1, 1, 1, 1], float))
 
@@ -84,10 +94,14 @@ def base_spans(text: bytes, assign: bool = True) -> list[tuple[int, int, int, in
     return out
 
 
-def runs(mask: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of true values of some length at least."""
+def runs(mask: np.ndarray, cuts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of true values that no cut divides, of some length at least."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
     starts, ends = edge[::2], edge[1::2]
+    cuts = cuts[(cuts > 0) & (cuts < len(mask))]
+    through = np.unique(cuts[mask[cuts - 1] & mask[cuts]])
+    if len(through):
+        starts, ends = np.sort(np.concatenate([starts, through])), np.sort(np.concatenate([ends, through]))
     long = ends - starts >= least
     return starts[long], ends[long]
 
@@ -181,12 +195,12 @@ class Automaton:
                     self.move[i, s] = at[self.next[q][s]]
 
     def score(self, classes: np.ndarray) -> float:
-        """log2 likelihood per symbol, the end included."""
+        """log2 likelihood, the end included."""
         q, total = 0, 0.0
         for s in classes.tolist():
             total += self.log[q, s]
             q = self.move[q, s]
-        return (total + self.log_stop[q]) / (len(classes) + 1)
+        return total + self.log_stop[q]
 
 
 class Grammar:
@@ -197,26 +211,31 @@ class Grammar:
         self.bigrams = bigrams
         self.back = self._background(bigrams)
         self.automata, self.least, self.shortest = [], [], []
-        self.judged: dict[bytes, bool] = {}
+        self.judged: dict[bytes, list[tuple[int, int]]] = {}
         for kind in KINDS:
             found = credentials.get(kind, [])
-            if len(found) < 8:
+            if not found:
                 continue
-            # learn on two of three, set the threshold on the rest
-            auto = Automaton([w for i, w in enumerate(found) if i % 3])
+            if len(found) < ENOUGH:
+                found = [w for k in KINDS for w in credentials.get(k, [])]
+            # learn on two of three, set the threshold on the rest; a handful serves for both
+            few = len(found) < ENOUGH
+            auto = Automaton([w for i, w in enumerate(found) if few or i % 3])
             self.automata.append(auto)
-            kept = [self._one(auto, _CLASS[np.frombuffer(w, np.uint8)]) for i, w in enumerate(found) if not i % 3]
+            kept = [self._one(auto, _CLASS[np.frombuffer(w, np.uint8)]) for i, w in enumerate(found) if few or not i % 3]
             self.least.append(max(0.25, float(np.quantile(kept, QUANTILE))))
             self.shortest.append(SHORTEST[kind])
+        self.tables = [(a.log.tolist(), a.move.tolist(), a.log_stop.tolist()) for a in self.automata]
 
     @staticmethod
     def _background(bigrams: np.ndarray) -> np.ndarray:
         back = bigrams + 0.5
         return np.log2(back / back.sum(axis=1, keepdims=True)) - _SPREAD
 
-    def _one(self, auto: Automaton, classes: np.ndarray, back: np.ndarray | None = None) -> float:
+    def _one(self, auto: Automaton, classes: np.ndarray) -> float:
+        """log2 likelihood ratio per symbol, the end included."""
         prev = np.concatenate([[SYMBOLS], classes[:-1]])
-        return auto.score(classes) - float((self.back if back is None else back)[prev, classes].mean())
+        return (auto.score(classes) - float(self.back[prev, classes].sum())) / (len(classes) + 1)
 
     def _without(self, classes: np.ndarray) -> np.ndarray:
         """The background without a run that is in it, as the labelled credentials are not: a rare
@@ -225,17 +244,112 @@ class Grammar:
         np.add.at(own, (np.concatenate([[SYMBOLS], classes[:-1]]), classes), 1)
         return self._background(np.maximum(self.bigrams - own, 0))
 
-    def accepts(self, run: bytes) -> bool:
-        """Whether a run's classes are as likely as those of the labelled credentials."""
-        known = self.judged.get(run)
-        if known is None:
-            classes = np.frombuffer(run, np.int8)
-            back = self._without(classes)
-            known = any(len(run) >= n and self._one(a, classes, back) >= t for a, t, n in zip(self.automata, self.least, self.shortest, strict=True))
-            if len(self.judged) >= CACHE_RUNS:
-                self.judged.clear()
-            self.judged[run] = known
-        return known
+    def _possible(self, runs: np.ndarray) -> np.ndarray:
+        """Which of these runs of one length (a row each) may hold an accepted stretch: the background is
+        taken as if the whole run were any one of its bigrams, so that no ratio is below the true one."""
+        many, size = runs.shape
+        low = np.log2((np.maximum(self.bigrams - size, 0) + 0.5) / (self.bigrams + 0.5).sum(axis=1, keepdims=True)) - _SPREAD
+        prev = np.concatenate([np.full((many, 1), SYMBOLS), runs[:, :-1]], axis=1)
+        begins = prev >= _MARKS
+        begins[:, 0] = True
+        ends = np.concatenate([runs[:, 1:] >= _MARKS, np.ones((many, 1), bool)], axis=1)
+        start, row = np.nonzero(begins.T)  # by start
+        upto = np.searchsorted(start, np.arange(size), "right")
+        against = low[prev, runs]
+        out = np.zeros(many, bool)
+        for auto, least, shortest in zip(self.automata, self.least, self.shortest, strict=True):
+            state, excess = np.zeros(len(row), np.int32), np.zeros(len(row))
+            for i in range(size):
+                n = upto[i]
+                r, q = row[:n], state[:n]
+                s = runs[r, i]
+                excess[:n] += auto.log[q, s] - against[r, i] - least
+                state[:n] = q = auto.move[q, s]
+                m = np.searchsorted(start[:n], i + 1 - shortest, "right")  # those that are long enough
+                if m > 0:
+                    out[r[:m][ends[r[:m], i] & (excess[:m] + auto.log_stop[q[:m]] - least >= -1e-6)]] = True
+        return out
+
+    def _best(self, kind: int, classes: list[int], back: list[list[float]]) -> list[tuple[float, int, int]]:
+        """For each end of a stretch the accepted one of largest excess over the threshold: (excess, start, end).
+
+        Stretches that are in one state go on alike, so that of those which are long enough one stays for a
+        state: the work is linear in the run, whatever the number of its marks.
+        """
+        (log, move, stop), least, shortest = self.tables[kind], self.least[kind], self.shortest[kind]
+        live: dict[int, list[tuple[float, int]]] = {}
+        out, before, size = [], SYMBOLS, len(classes)
+        for i, s in enumerate(classes):
+            if i == 0 or _MARKS <= before:
+                live.setdefault(0, []).append((0.0, -i))
+            against = back[before][s] + least
+            moved: dict[int, list[tuple[float, int]]] = {}
+            for q, held in live.items():
+                gain = log[q][s] - against
+                moved.setdefault(move[q][s], []).extend([(e + gain, a) for e, a in held])
+            for q, held in moved.items():
+                if len(held) > 1:
+                    old = [x for x in held if i + 1 + x[1] >= shortest]
+                    if len(old) > 1:
+                        moved[q] = [max(old), *(x for x in held if i + 1 + x[1] < shortest)]
+            live, before = moved, s
+            if i + 1 == size or classes[i + 1] >= _MARKS:
+                ready = [(e + stop[q] - least, a) for q, held in live.items() for e, a in held if i + 1 + a >= shortest]
+                if ready and max(ready)[0] >= 0:
+                    e, a = max(ready)
+                    out.append((e, -a, i + 1))
+        return out
+
+    def _judge(self, run: bytes) -> list[tuple[int, int]]:
+        classes = np.frombuffer(run, np.int8)
+        back = self._without(classes).tolist()
+        found = [x for k in range(len(self.automata)) for x in self._best(k, classes.tolist(), back)]
+        taken: list[tuple[int, int]] = []
+        for _, a, b in sorted(found, key=lambda x: (-x[0], x[1], -x[2])):
+            at = bisect.bisect(taken, (a, b))
+            if not (at and taken[at - 1][1] > a) and not (at < len(taken) and taken[at][0] < b):
+                taken.insert(at, (a, b))
+        return taken
+
+    def stretches(self, found: list[bytes]) -> list[list[tuple[int, int]]]:
+        """For each run of classes its accepted stretches, apart from each other, the best ones first taken."""
+        out = [self.judged.get(r) for r in found]
+        new = {r for r, known in zip(found, out, strict=True) if known is None} if self.automata else set()
+        lengths = defaultdict(list)
+        for r in new:
+            lengths[len(r)].append(r)
+        told = {}
+        for size, group in lengths.items():
+            told |= dict.fromkeys(group, [])
+            if size <= TOGETHER:
+                maybe = self._possible(np.frombuffer(b"".join(group), np.int8).reshape(-1, size).astype(np.int64))
+                group = [group[i] for i in np.flatnonzero(maybe)]
+            told |= {r: self._judge(r) for r in group}
+        if len(self.judged) + len(told) > CACHE_RUNS:
+            self.judged.clear()
+        self.judged |= told
+        return [told.get(r, []) if known is None else known for r, known in zip(found, out, strict=True)]
+
+
+    def found(self, classes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """(start, end) of the accepted stretches of all these runs of a slice, by start.
+
+        Short runs are told apart by their classes as one number; only different ones are judged.
+        """
+        kinds, size = classes.tobytes(), ends - starts
+        short = np.flatnonzero(size <= PACKED)
+        code = np.zeros(len(short), np.int64)
+        for j in range(PACKED):
+            on = np.flatnonzero(size[short] > j)
+            code[on] = code[on] * 16 + classes[starts[short[on]] + j] + 1
+        _, first, which = np.unique(code, return_index=True, return_inverse=True)
+        judged = self.stretches([kinds[starts[r] : ends[r]] for r in short[first].tolist()])
+        hit = np.array([bool(x) for x in judged], bool)
+        out = [(starts[short[r]] + a, starts[short[r]] + b) for r in (np.flatnonzero(hit[which]) if len(hit) else []) for a, b in judged[which[r]]]
+        rest = np.flatnonzero(size > PACKED).tolist()
+        for r, told in zip(rest, self.stretches([kinds[starts[r] : ends[r]] for r in rest]), strict=True):
+            out += [(starts[r] + a, starts[r] + b) for a, b in told]
+        return np.array(sorted(out), np.int64).reshape(-1, 2)
 
 
 def labelled_values(docs: DataFrame) -> DataFrame:
@@ -292,14 +406,12 @@ def _scan(texts: pa.Array, grammar: Grammar | None):
     data = np.frombuffer(buf, np.uint8)[off[0] : off[-1]] if buf is not None else np.zeros(0, np.uint8)
     off = off - off[0]
     classes = _CLASS[data]
-    # a run must not span two texts: take runs over the whole slice, then cut them at text ends
-    hexes = (classes == 0) | (classes == 4)
-    ends_at = off[1:-1]
-    h_start, h_end = _cut(*runs(hexes, MIN_HEX), ends_at, MIN_HEX)
-    c_start, c_end = _cut(*runs(classes >= 0, MIN_CANDIDATE), ends_at, MIN_CANDIDATE) if grammar else (np.zeros(0, int),) * 2
+    # a run must not span two texts
+    h_start, h_end = runs((classes == 0) | (classes == 4), off, MIN_HEX)
+    more_at = grammar.found(classes, *runs(classes >= 0, off, MIN_CANDIDATE)) if grammar else np.zeros((0, 2), np.int64)
     h_at = np.searchsorted(h_start, off)
-    c_at = np.searchsorted(c_start, off)
-    view, kinds = data.tobytes(), classes.tobytes()
+    m_at = np.searchsorted(more_at[:, 0], off)
+    view = data.tobytes()
     for i in range(len(texts)):
         a, b = int(off[i]), int(off[i + 1])
         text = view[a:b]
@@ -307,29 +419,10 @@ def _scan(texts: pa.Array, grammar: Grammar | None):
         for s, e in zip(h_start[h_at[i] : h_at[i + 1]].tolist(), h_end[h_at[i] : h_at[i + 1]].tolist(), strict=True):
             spans.append((s - a, 2, e - a, s - a, e - a))
         spans.sort()
-        more = []
-        if grammar:
-            for s, e in zip(c_start[c_at[i] : c_at[i + 1]].tolist(), c_end[c_at[i] : c_at[i + 1]].tolist(), strict=True):
-                if grammar.accepts(kinds[s:e]) and not any(x[0] < e - a and s - a < x[2] for x in spans):
-                    more.append((s - a, 3, e - a))
+        more = [(s - a, 3, e - a) for s, e in more_at[m_at[i] : m_at[i + 1]].tolist() if not any(x[0] < e - a and s - a < x[2] for x in spans)]
         yield text, spans, more
 
 
-def _cut(starts: np.ndarray, ends: np.ndarray, cuts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The runs, cut where one text ends and the next begins; short parts go."""
-    if not len(starts) or not len(cuts):
-        return starts, ends
-    lo, hi = np.searchsorted(cuts, starts, "right"), np.searchsorted(cuts, ends, "left")
-    if (lo == hi).all():
-        return starts, ends
-    out = []
-    for s, e, a, b in zip(starts.tolist(), ends.tolist(), lo.tolist(), hi.tolist(), strict=True):
-        edges = [s, *cuts[a:b].tolist(), e]
-        out += [(x, y) for x, y in zip(edges, edges[1:], strict=False) if y - x >= least]
-    pairs = np.asarray(out, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
-
-
 def _points(text: bytes) -> np.ndarray | None:
     """Code points before each byte; None where bytes are code points."""
     if text.isascii():

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 import re
 import zlib
 
@@ -102,6 +103,75 @@ def test_automata_find_credentials_of_one_sort(spark, letters):
     assert got[900] == 1 and got[901] == 0
 
 
+def test_stretches_equal_trying_all(monkeypatch):
+    """Every stretch between marks, tried by itself; runs judged together and apart give the same."""
+    rng = random.Random(5)
+    of = lambda letters, n: "".join(rng.choice(letters) for _ in range(n)).encode()
+    known = {"assign": [of("abcXYZ0189+/", rng.randint(12, 20)) for _ in range(90)], "hex": [of("0123456789abcdef", 24) for _ in range(60)], "access": [b"AKIA" + of("QRST01", 16) for _ in range(3)]}
+    bigrams = np.random.default_rng(3).integers(0, 3000, (secrets.SYMBOLS + 1, secrets.SYMBOLS)).astype(float)
+    bigrams[:, 4:] /= 60
+    words = [w for v in known.values() for w in v]
+    parts = [lambda: rng.choice(words), lambda: of("abcdefghij", rng.randint(1, 9)), lambda: of("+/_.=-", rng.randint(1, 2)), lambda: of("09", 4)]
+    runs = [b"".join(rng.choice(parts)() + rng.choice([b"", b"/", b".", b"="]) for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    runs = [secrets._CLASS[np.frombuffer(r, np.uint8)].tobytes() for r in runs if len(r) >= 6]
+
+    def tried(g, run):
+        c = np.frombuffer(run, np.int8)
+        back, found = g._without(c), []
+        cuts = [i for i in range(len(c)) if i == 0 or c[i - 1] >= 5], [i for i in range(1, len(c) + 1) if i == len(c) or c[i] >= 5]
+        for auto, least, shortest in zip(g.automata, g.least, g.shortest, strict=True):
+            for b in cuts[1]:
+                best = None
+                for a in cuts[0]:
+                    if b - a >= shortest:
+                        before = [int(c[i - 1]) if i else secrets.SYMBOLS for i in range(a, b)]
+                        x = auto.score(c[a:b]) - sum(back[p, q] for p, q in zip(before, c[a:b], strict=True)) - least * (b - a + 1)
+                        best = max(best or (x, a), (x, a), key=lambda y: (round(y[0], 6), -y[1]))
+                if best and best[0] >= 0:
+                    found.append((round(best[0], 6), best[1], b))
+        kept = []
+        for _, a, b in sorted(found, key=lambda x: (-x[0], x[1], -x[2])):
+            if all(b <= x or y <= a for x, y in kept):
+                kept.append((a, b))
+        return sorted(kept)
+
+    together = secrets.Grammar(known, bigrams)
+    got = together.stretches(runs)
+    want = [tried(together, r) for r in runs]
+    assert got == want and 50 < sum(map(bool, want)) and together.stretches(runs) == want and len(together.automata) == 3
+    monkeypatch.setattr(secrets, "TOGETHER", 0)
+    assert secrets.Grammar(known, bigrams).stretches(runs) == want
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        together.stretches([secrets._CLASS[np.frombuffer(of("ab/", n), np.uint8)].tobytes()])
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 0.5
+
+
+def test_labelled_formats_beside_marks(spark):
+    """Keys of a format that labels show, bare and in every surrounding that has marks of its own."""
+    rng = random.Random(14)
+    key = lambda: "".join(rng.choice("0123456789abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(32))
+    around = ["see {} now", "it is {}.", "https://www.example.com/files/{}/index.html", "x?key={}&y=1", "a/{}", "{}-backup-index", "({}, and more)", "left={}=right"]
+    words = "river stone under light often window paper garden well-known www.example.com/a/b.html 2024-01-31 and/or end. non-zero v1.2.3 user_name".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60)) + f" token = {key()} and more") for i in range(300)]
+    planted = {}
+    for k, form in enumerate(around):
+        for i in range(50):
+            doc, secret = 1000 + 50 * k + i, key()
+            text = "some ordinary words " + form.format(secret)
+            rows.append((doc, text))
+            planted[doc] = (k, f"learned:{text.index(secret)}:{text.index(secret) + 32}")
+    rows += [(5000 + i, " ".join(rng.choice(words) for _ in range(200))) for i in range(100)]
+    got = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = np.zeros(len(around))
+    for doc, (k, span) in planted.items():
+        found[k] += span in got[doc].spans.split(",")
+    assert (found >= 45).all(), dict(zip(around, found, strict=True))
+    assert sum(got[5000 + i].n_learned for i in range(100)) == 0
+
+
 def test_background_counts_whole_texts(spark):
     rows = [(1, "word " * 1000 + "2024-01-31 x9 a/b"), (2, "password=abc123DEF456 é left"), (3, None), (4, "")]
     found = secrets.labelled_values(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'back'")
