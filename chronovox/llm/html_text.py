@@ -2,9 +2,11 @@
 
 A page becomes a sequence of text blocks, each with its root-to-leaf path of block tags.  For every
 path the text length and the punctuation per block are summed; both sequences are smoothed along the
-page, fused by multiplication, and the paths that reach a share of the best one are content.  The
-smallest element that holds the content paths gives its blocks, but for other paths that are mostly
-links; navigation, adverts, forms, notices, comments and the like never count.
+page and fused by multiplication: a path's ratio, as a share of the best one.  Text times ratio, summed,
+is the value of each container; containers of a good share of the best one's value are content, and so
+are their like if those are mostly content.  Where a page names its article, smaller containers within
+stay too.  Paths below the threshold go if they are mostly links.  Words in class and id decide where
+they name what never counts (comments, adverts, menus); other words do where ratios are low.
 """
 
 from __future__ import annotations
@@ -22,6 +24,12 @@ from chronovox.llm.common import batched, table
 
 #: Share of the largest fused ratio that a content path reaches.
 THRESHOLD = 0.2
+#: Share of the largest value of a container that makes another one content by itself.
+SURE = 0.5
+#: Share of the value of containers that are alike from which the rest of them is content, too.
+ALIKE = 0.8
+#: Marks of punctuation, at least, in a container of the article whose class has a doubtful word.
+PROSE = 3
 #: Blocks on each side that a ratio is smoothed over.
 RADIUS = 1
 
@@ -36,10 +44,12 @@ _VOID = frozenset("br hr img input meta link area base col embed source track wb
 #: A start tag of these closes an open element of the listed kinds.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "option": ("option",)}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "thead": ("table",), "tbody": ("table",)}
-#: Words in a container's class that mark what isn't the article (whole words of a name).
+#: Words in a container's class that mark what isn't the article (whole words of a name), and those
+#: that do so only where the ratios don't speak for prose.
 _MARKED = frozenset(
-    "ad ads adv advert adverts advertisement advertising advertorial banner sponsor sponsors sponsored promo promos promotion comment comments commentlist disqus replies respond discussion sidebar side menu menubar nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login share sharing social related recommended pagination pager widget search skip legal copyright".split()
+    "ad ads adv advert adverts advertisement advertising advertorial banner sponsor sponsors sponsored promo promos comment comments commentlist disqus replies respond sidebar menu menubar nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login pagination pager".split()
 )
+_DOUBTFUL = frozenset("discussion side header notice alert share sharing social related recommended widget search skip legal copyright promotion".split())
 #: Those that also count in an id within the article, where an id may be no more than an anchor.
 _MARKED_ID = frozenset("ad ads advert adverts advertisement banner sponsored comment comments commentlist disqus respond sidebar nav navbar navigation breadcrumbs footer cookie cookies consent newsletter".split())
 #: Those that count on paragraphs, items, cells and inline elements.
@@ -50,6 +60,10 @@ _PLAIN = frozenset("article content main post entry story body page wrapper".spl
 _BESIDE = frozenset("has with no without".split())
 _WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of a class that names the article's own container.
+_NAMED = frozenset("article content main post entry story".split())
+#: Elements whose flow of blocks is selected as a whole.
+_FLOWS = frozenset("html body main article section div center td th header hgroup fieldset details address".split())
 #: Elements that words mark as a whole.
 _CONTAINERS = frozenset("div section ul ol dl table center fieldset details figure header hgroup article address".split())
 #: Elements that an article may be.
@@ -78,11 +92,13 @@ class Block:
 
 
 class Page:
-    """A page's blocks in order, and for each element its tag, its parent and the outermost article about it."""
+    """A page's blocks in order, and for each element its tag, path and parent, the outermost article about
+    it, whether it is within a container named as the article, and the element of doubtful class about it."""
 
     def __init__(self):
         self.blocks: list[Block] = []
-        self.parent, self.article, self.tags = [-1], [-1], ["body"]
+        self.parent, self.article, self.tags, self.path = [-1], [-1], ["body"], [-1]
+        self.named, self.doubt = [False], [-1]
 
 
 def parse(page: str) -> Page:
@@ -199,11 +215,15 @@ def parse(page: str) -> Page:
             gone = False
         label = name
         if attrs and name in ("div", "section", "td", "li", "article"):
-            cls = next((a or b or c for k, a, b, c in _ATTR.findall(attrs) if k.lower() == "class"), "")
-            label = f"{name}.{cls.split()[0]}" if cls.split() else name
+            cls = _value(attrs, "class").split()
+            label = f"{name}.{cls[0]}" if cls else name
         path = paths.setdefault((stack[-1][3] if stack else -1, label), len(paths))
         out.parent.append(up)
         out.tags.append(name)
+        out.path.append(path)
+        out.named.append(out.named[up] or name in ("article", "main") or bool(attrs) and name in ("div", "section") and _marks(_value(attrs, "class"), _NAMED, frozenset()))
+        doubtful = bool(attrs) and out.doubt[up] < 0 and name in _CONTAINERS and name != "article" and (_marks(_value(attrs, "class"), _DOUBTFUL) or inside < 0 and _marks(_value(attrs, "id"), _DOUBTFUL))
+        out.doubt.append(node if doubtful else out.doubt[up])
         out.article.append(inside if inside >= 0 else node if name in ("article", "main") and not gone else -1)
         stack.append((name, node, gone, path))
         opened[name] += 1
@@ -214,10 +234,14 @@ def parse(page: str) -> Page:
     return out
 
 
-def _marks(value: str, words: frozenset) -> bool:
+def _value(attrs: str, key: str) -> str:
+    return next((a or b or c for k, a, b, c in _ATTR.findall(attrs) if k.lower() == key), "")
+
+
+def _marks(value: str, words: frozenset, plain: frozenset = _PLAIN) -> bool:
     """Whether one of the names in value has a marked word, and none is the article's own."""
     names = [[w.lower() for w in _WORDS.findall(n)] for n in value.split()]
-    if any(len(n) == 1 and n[0] in _PLAIN for n in names):
+    if any(len(n) == 1 and n[0] in plain for n in names):
         return False
     for n in names:
         hit = [w for w in n if w in words]
@@ -249,8 +273,8 @@ def _is_marked(name: str, attrs: str, inside: bool) -> bool:
     return "hidden" in _ATTR.sub(" ", attrs).split()
 
 
-def content_paths(found: list[Block], threshold: float = THRESHOLD, radius: int = RADIUS) -> set[int]:
-    """Paths whose fused, smoothed ratio of text and punctuation reaches a share of the best path's."""
+def path_ratios(found: list[Block], radius: int = RADIUS) -> dict[int, float]:
+    """Each path's fused, smoothed ratio of text and punctuation, as a share of the best path's."""
     length, punct, count = defaultdict(float), defaultdict(float), defaultdict(int)
     for b in found:
         length[b.path] += max(0, len(b.text) - b.linked)
@@ -266,29 +290,62 @@ def content_paths(found: list[Block], threshold: float = THRESHOLD, radius: int
     # a path alone counts for itself; its neighbours only lift it
     fused = np.maximum(text_ratio, smooth(text_ratio)) * (1 + np.maximum(punct_ratio, smooth(punct_ratio)))
     total = np.array([length[p] for p in order])
-    fused = fused * np.log1p(total)
-    return {p for p, v, t in zip(order, fused, total, strict=True) if v >= threshold * fused.max() and t > 0}
+    fused = np.where(total > 0, fused * np.log1p(total), 0)
+    return dict(zip(order, (fused / (fused.max() or 1)).tolist(), strict=True))
+
+
+def _flows(got: Page) -> list[int]:
+    """The container in whose flow each block stands; a cell with text of its own belongs to what is about the table."""
+    around = [0]
+    for n in range(1, len(got.tags)):
+        around.append(n if got.tags[n] in _FLOWS else around[got.parent[n]])
+    return [around[got.parent[b.node]] if b.node and got.tags[b.node] in ("td", "th") else around[b.node] for b in got.blocks]
 
 
 def main_text(page: str | None) -> str:
     """The article of a page: blocks in page order, joined by an empty line; '' if there is none.
 
-    The paths of content choose the element that holds nearly all of it, within the article that the
-    page names, if it does.  In that element a path below the threshold goes if most of its text is
-    links; headings and short paths with words of their own stay.
+    Containers are selected by value: text times ratio of its path, summed over the blocks of its own
+    flow.  The smallest element that holds nearly all of that value, within the article that the page
+    names, if it does, bounds the result.  In it stay the selected containers; all others of the same
+    path and parent, if the selected ones are most of these; what is within an article or a container
+    of such a name; and those that hold no more than headings.  A container of doubtful name stays only
+    with prose of high ratio.  A path below the threshold goes if most of its text is links.
     """
     if not page:
         return ""
     got = parse(page)
     if not got.blocks:
         return ""
-    pool = [b for b in got.blocks if got.article[b.node] >= 0] or got.blocks
-    good = content_paths(pool)
-    chosen = [b for b in pool if b.path in good] or pool
-    weight, held = [0] * len(got.parent), defaultdict(int)
-    for b in chosen:
-        weight[b.node] += len(b.text)
-        held[got.article[b.node]] += len(b.text)
+    both = list(zip(got.blocks, _flows(got), strict=True))
+    both = [x for x in both if got.article[x[0].node] >= 0] or both
+    pool, flows = [x[0] for x in both], [x[1] for x in both]
+    ratio = path_ratios(pool)
+    value, prose, heads, doubt = defaultdict(float), defaultdict(float), defaultdict(lambda: True), defaultdict(lambda: [0, 0, 0])
+    for b, n in zip(pool, flows, strict=True):
+        own = max(0, len(b.text) - b.linked)
+        value[n] += own * ratio[b.path]
+        heads[n] = heads[n] and b.tag in _HEADINGS
+        if got.doubt[b.node] >= 0:
+            d = doubt[got.doubt[b.node]]
+            d[0], d[1], d[2] = d[0] + own * (ratio[b.path] >= SURE), d[1] + len(b.text), d[2] + len(_PUNCT.findall(b.text))
+    foreign = {n for n, (good, size, marks) in doubt.items() if 2 * good < size or marks < PROSE}
+    gone = lambda n: got.doubt[n] in foreign
+    if all(gone(b.node) for b in pool):
+        return ""
+    best = max(v for n, v in value.items() if not gone(n))
+    chosen = {n for n, v in value.items() if v >= SURE * best and v > 0 and not gone(n)} or {n for n in value if not gone(n)}
+    alike = defaultdict(lambda: [0.0, 0.0, 0])
+    for n, v in value.items():
+        a = alike[got.parent[n], got.path[n]]
+        a[0], a[1], a[2] = a[0] + v * (n in chosen), a[1] + v, a[2] + (n in chosen)
+    kind = lambda n: alike[got.parent[n], got.path[n]]
+    chosen |= {n for n in value if kind(n)[2] > 1 and kind(n)[0] >= ALIKE * kind(n)[1] and not gone(n)}
+    weight, held = [0.0] * len(got.parent), defaultdict(float)
+    for b, n in zip(pool, flows, strict=True):
+        if n in chosen:
+            weight[b.node] += len(b.text)
+            held[got.article[b.node]] += len(b.text)
     total = sum(held.values())
     for n in range(len(weight) - 1, 0, -1):  # a parent's number is smaller
         weight[got.parent[n]] += weight[n]
@@ -299,15 +356,19 @@ def main_text(page: str | None) -> str:
     outer = max(held, key=lambda n: (held[n], -n))
     if outer >= 0 and held[outer] >= 0.9 * total:
         root = min(root, outer)
+    # a container named as the article bounds the result, not the largest part of it
+    up = root
+    while up > 0 and got.named[up]:
+        root, up = up, got.parent[up]
     inside = [n == root for n in range(len(weight))]
     for n in range(root + 1, len(weight)):
         inside[n] = inside[got.parent[n]]
-    kept = [b for b in pool if inside[b.node]]
+    kept = [b for b, n in zip(pool, flows, strict=True) if inside[b.node] and not gone(b.node) and (n in chosen or got.named[n] or heads[n])]
     linked, size = defaultdict(int), defaultdict(int)
     for b in kept:
         linked[b.path] += b.linked
         size[b.path] += len(b.text)
-    return "\n\n".join(b.text for b in kept if b.path in good or b.tag in _HEADINGS or 2 * linked[b.path] < size[b.path])
+    return "\n\n".join(b.text for b in kept if ratio[b.path] >= THRESHOLD or b.tag in _HEADINGS or 2 * linked[b.path] < size[b.path])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import html
 import random
+import re
 import time
 
 import pytest
@@ -43,7 +44,7 @@ def test_hostile_pages_take_linear_time():
         one(page)
         return time.perf_counter() - began
 
-    for make in (lambda n: "<article>" + "<object>x" * n, lambda n: "<article>" + "<div>text, here" * n, lambda n: "<p>a</div></b>" * n, lambda n: "<div class='x'>" * n + "</p>" * n, lambda n: "<ul>" + "<li><a href=q>w</a>" * n, lambda n: "<head>" * n, lambda n: "<table>" + "<tr><td>a" * n):
+    for make in (lambda n: "<article>" + "<object>x" * n, lambda n: "<article>" + "<div>text, here" * n, lambda n: "<p>a</div></b>" * n, lambda n: "<div class='x'>" * n + "</p>" * n, lambda n: "<ul>" + "<li><a href=q>w</a>" * n, lambda n: "<head>" * n, lambda n: "<ul><li>a, b" * n, lambda n: "<table>" + "<tr><td>a" * n):
         small, large = min(took(make(4000)) for _ in range(3)), min(took(make(16000)) for _ in range(2))
         assert large < 10 * small + 0.3, make(1)
 
@@ -96,6 +97,49 @@ def test_made_pages(seed):
     assert one(page) == want
 
 
+def test_doubtful_names_need_low_ratios():
+    """Prose stays whatever its container is called; a few words under such a name go, and so do comments."""
+    eight = " ".join(["We searched, and found; it is told here."] * 8)
+    page = '<article><h1>T</h1><p>{0}</p><p>{0}</p><section class="search"><p>{1}</p></section><div class="notice">Closed on Monday.</div><div class="share">Share this</div><section class="comments"><p>{1}</p></section></article>'
+    assert one(page.format(LONG, eight)) == "\n\n".join(["T", LONG, LONG, eight])
+
+
+def plain(page):
+    """The page with all containers as plain div elements, without class, id or role."""
+    page = re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*')", "", page)
+    return re.sub(r"<(/?)(nav|article|aside|footer|header|main|section|form)\b", r"<\1div", page)
+
+
+def apart(got, want):
+    got, want = got.split("\n\n"), want.split("\n\n")
+    return sum(x not in want for x in got), sum(x not in got for x in want)
+
+
+def test_plain_containers_are_told_by_ratios():
+    """Few blocks of others come in and hardly any of the article's is lost, when no name helps."""
+    pages = [made(seed) for seed in range(250)]
+    foreign, lost = map(sum, zip(*(apart(one(plain(p)), want) for p, want in pages), strict=True))
+    assert foreign <= 80 and lost <= 10, (foreign, lost)
+
+
+def test_ratios_decide(spark, monkeypatch):
+    """On given pages as plain containers: right by ratios (but where an article is no longer than a
+    footer), and wrong once each path has another one's ratio."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    want = [one(p) for p in pages]
+    got = [one(plain(p)) for p in pages]
+    assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.95 * len(pages)
+    assert sum(apart(a, b)[0] for a, b in zip(got, want, strict=True)) <= 20
+    real = html_text.path_ratios
+
+    def shuffled(found, radius=1):
+        ratio = real(found, radius)
+        return dict(zip(ratio, [*ratio.values()][1:] + [*ratio.values()][:1], strict=True))
+
+    monkeypatch.setattr(html_text, "path_ratios", shuffled)
+    assert sum(one(plain(p)) != a for p, a in zip(pages, got, strict=True)) >= 0.05 * len(pages)
+
+
 def test_all_rows(spark):
     """Nulls, empty and very long pages, repeated rows, clashing names and an empty table."""
     pages = [(1, "u", made(1)[0]), (1, "u", made(1)[0]), (None, None, None), (2, "v", ""), (3, "w", "<article>" + "<p>word, word.</p>" * 60_000 + "</article>")]
