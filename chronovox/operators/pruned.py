@@ -4,6 +4,9 @@ Angles on the sphere obey the triangle inequality, so an angle to a pivot that t
 angle between them from both sides.  Every vector belongs to the cell of its nearest pivot.  Vectors within
 an angle of each other can only meet in a cell that the one belongs to and the other reaches, at angles
 to its pivot that differ by no more; these are the pairs that are compared, exactly.
+
+At wide angles pivots rule out next to nothing.  There blocks of vectors meet, a task for each two blocks, as
+products of matrices of TILE rows; only what is found leaves the task.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,10 @@ SAMPLE = 1024
 PIVOTS = 64
 #: Rows of one side of a cell that one join key holds; larger cells are dealt to several keys.
 CELL_ROWS = 1000
+#: Vectors of a block, of which two are in a task: 8 MB at 64 dimensions.
+BLOCK = 8192
+#: Vectors of a side that are compared at a time.
+TILE = 1024
 #: Added to every bound, so that rounding loses no pair.
 EPS = 1e-6
 
@@ -104,9 +112,63 @@ def candidate_pairs(unit: DataFrame, keys: list[str], limit: float, most: int =
     return met.select(*keys, pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("ux", "uy").alias("ua"), pick("uy", "ux").alias("ub"))
 
 
+def _by_blocks(unit: DataFrame, keys: list[str]):
+    """unit grouped by every two blocks of a group's vectors of one width, each two once; _left tells the
+    side, and a block that meets itself is on the left alone."""
+    of = [*keys, "_w"]
+    rows = unit.withColumn("_w", F.size("_u"))
+    per = rows.groupBy(*of).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
+    rows = rows.join(per, of).withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    rows = rows.select(*of, F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), (F.col("_b") <= F.col("_o")).alias("_left"), "_id", "_u")
+    return rows.groupBy(*of, "_i", "_j")
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, pa.Table, np.ndarray]]:
+    """(left rows, right rows, their distances) of two blocks, TILE rows a side; each pair once, others are nan."""
+    t = pa.Table.from_batches(list(batches))
+    at = t.column("_left").to_numpy()
+    ids = t.select([*keys, "_id"])
+    u = np.asarray(t.column("_u").combine_chunks().flatten(), dtype=float).reshape(len(t), -1)
+    left, right = np.flatnonzero(at), np.flatnonzero(~at)
+    own = not len(right)
+    right = left if own else right
+    for i in range(0, len(left), TILE):
+        p = left[i : i + TILE]
+        rows = ids.take(pa.array(p))
+        for j in range(i if own else 0, len(right), TILE):
+            q = right[j : j + TILE]
+            d = 1.0 - u[p] @ u[q].T
+            if own and i == j:
+                d[np.tril_indices(len(p))] = np.nan
+            yield rows, ids.take(pa.array(q)), d
+
+
+def _kinds(df: DataFrame, cols: list[str]) -> str:
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in cols)
+
+
+def block_pairs(unit: DataFrame, keys: list[str], limit: float) -> DataFrame:
+    """(keys, a, b, distance), a < b: near_pairs by comparing all with all, in blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, right, d in _tiles(batches, keys):
+            i, j = np.nonzero(d <= limit)
+            x = left.take(pa.array(i))
+            found = x.append_column("_to", right.column("_id").take(pa.array(j))).append_column("distance", pa.array(d[i, j]))
+            yield from found.combine_chunks().to_batches()
+
+    kind = unit.schema["_id"].dataType.simpleString()
+    met = _by_blocks(unit, keys).applyInArrow(run, f"{_kinds(unit, [*keys, '_id'])}_to {kind}, distance double")
+    return met.where(F.col("_id") != F.col("_to")).select(*keys, F.least("_id", "_to").alias("a"), F.greatest("_id", "_to").alias("b"), "distance")
+
+
 def near_pairs(df: DataFrame, keys: list[str], ident: str, limit: float, vec: str = "embedding", most: int = PIVOTS) -> DataFrame:
-    """(keys, a, b, distance), a < b: all pairs of a group within the cosine distance `limit`."""
+    """(keys, a, b, distance), a < b: all pairs of a group within the cosine distance `limit`; by pivots
+    if that is narrow, else by blocks."""
     unit = saved(unit_vectors(df, keys, ident, vec), "unit")
+    if 1.0 - limit < math.cos(math.pi / 4):
+        return block_pairs(unit, keys, limit)
     d = candidate_pairs(unit, keys, limit, most).select(*keys, "a", "b", (1.0 - dot(F.col("ua"), F.col("ub"))).alias("distance"))
     return d.where(F.col("distance") <= limit)
 

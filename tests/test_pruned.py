@@ -80,3 +80,15 @@ def test_odd_vectors(spark):
     same = spark.createDataFrame([(0, f"x{i}", [0.6, 0.8]) for i in range(50)], VEC)
     assert N.near_duplicate_profiles(same, ["t"], 0.0001).count() == 1225
     assert abs(Q.farthest(same, ["t"], "name").first().max_distance) < 1e-9
+
+
+@pytest.mark.parametrize("limit", [0.7, 1.3])
+def test_wide_angles_by_blocks(spark, monkeypatch, limit):
+    """No table of candidate pairs at wide angles: blocks and tiles of a few vectors, each pair once, within its tenant."""
+    monkeypatch.setattr(Q, "BLOCK", 70)
+    monkeypatch.setattr(Q, "TILE", 16)
+    monkeypatch.setattr(Q, "candidate_pairs", None)
+    rows = clustered(5, 400, 400, 8, 0.3, 3)
+    odd = [(None, "n", [1.0] * 8), (None, "m", [1.0] * 8), (0, "x", [1.0]), (0, "y", None)]
+    got = Q.near_pairs(spark.createDataFrame(rows + odd, VEC), ["t"], "name", limit).collect()
+    assert sorted((r.t, r.a, r.b) for r in got) == brute_near(rows, limit)
