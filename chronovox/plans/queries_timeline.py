@@ -352,7 +352,7 @@ def c7_c8_fill_nearest(w):
 
 
 @query("items", sql="""
-SELECT recording_id, seq // 6 AS paragraph, round_even(100 * sum(confidence * CASE WHEN end_s - start_s > 0 THEN end_s - start_s ELSE 1 END) / sum(CASE WHEN end_s - start_s > 0 THEN end_s - start_s ELSE 1 END), 0)::INT AS confidence_pct FROM items GROUP BY ALL""")
+SELECT recording_id, seq // 6 AS paragraph, round_even(round(100 * sum(confidence * CASE WHEN end_s - start_s > 0 THEN end_s - start_s ELSE 1 END) / sum(CASE WHEN end_s - start_s > 0 THEN end_s - start_s ELSE 1 END), 6), 0)::INT AS confidence_pct FROM items GROUP BY ALL""")
 def d14_weighted_confidence(i):
     return A.weighted_confidence(i.withColumn("paragraph", F.floor(F.col("seq") / 6)), ["recording_id", "paragraph"])
 

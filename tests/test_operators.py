@@ -233,3 +233,19 @@ def test_speaker_refs_meets_all_profiles(spark):
         N.speaker_refs = real
     assert Q.N is N and seen[0].count() == seen[0].select("label").distinct().count() > 5
     assert all(r.stored == (int(r.speaker[1:]) < 5) for r in out)
+
+
+def test_halves_of_weighted_confidence(spark):
+    """Means that are exactly a half go to the even number, whatever the last bits of their sums."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    while len(want) < 40:
+        own = [(rng.randint(0, 20), rng.randint(1, 9)) for _ in range(rng.randint(2, 5))]
+        top, size = sum(5 * c * w for c, w in own), sum(w for _, w in own)
+        if 2 * top % (2 * size) == size:
+            key = len(want)
+            at = rng.uniform(0, 1000)
+            rows += [(key, at, at + w / 10, c / 20) for c, w in own]
+            want[key] = top // size + top // size % 2
+    df = spark.createDataFrame(rows, "recording_id int, start_s double, end_s double, confidence double")
+    assert {r.recording_id: r.confidence_pct for r in A.weighted_confidence(df, ["recording_id"]).collect()} == want
