@@ -430,13 +430,18 @@ def interior_pauses(frames: DataFrame, least: int = 3, edge: int = 1) -> DataFra
 
 
 def sliding_windows(sections: DataFrame, size: float = 2.0, step: float = 1.2, least: float = 0.1) -> DataFrame:
-    """Windows of a size every step; a remainder counts if it is long enough; a short section is one."""
-    n = F.when(F.col("end_s") - F.col("start_s") <= size, 0).otherwise(F.ceil((F.col("end_s") - F.col("start_s") - least) / step) - 1).cast("int")
-    rows = sections.withColumn("_k", F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(0)))))
-    lo = F.col("start_s") + F.col("_k") * step
-    rows = rows.withColumns({"w_start": lo, "w_end": F.least(lo + size, F.col("end_s"))}).where((F.col("_k") == 0) | (F.col("w_end") - F.col("w_start") > least))
+    """Windows of a size every step; a remainder counts if it is long enough; a short section is one.
+
+    Times are taken in whole microseconds, so that no window hangs on the last bit of a sum.
+    """
+    size, step, least = (round(x * 1e6) for x in (size, step, least))
+    rows = sections.withColumns({c: F.round(F.col(t) * 1e6).try_cast("long") for c, t in (("_lo", "start_s"), ("_hi", "end_s"))})
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.col("_hi") - F.col("_lo"), F.lit(0)) / step).cast("int"))))
+    at = F.col("_lo") + F.col("_k") * step
+    rows = rows.withColumns({"_a": at, "_b": F.least(at + size, F.col("_hi"))})
     # a window that begins after one that reached the end adds nothing
-    return rows.where((F.col("_k") == 0) | (F.col("start_s") + (F.col("_k") - 1) * step + size < F.col("end_s"))).drop("_k")
+    rows = rows.where((F.col("_k") == 0) | ((F.col("_b") - F.col("_a") > least) & (F.col("_a") - step + size < F.col("_hi"))))
+    return rows.withColumns({"w_start": F.col("_a") / 1e6, "w_end": F.col("_b") / 1e6}).drop("_k", "_lo", "_hi", "_a", "_b")
 
 
 def trim_to_sections(spans: DataFrame, sections: DataFrame, least: float = 1.5, bucket: float = 60.0) -> DataFrame:

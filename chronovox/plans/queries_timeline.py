@@ -263,8 +263,8 @@ def e22_split_at_dips(f):
 
 
 @query("segments", sql="""
-WITH k AS (SELECT *, unnest(range(0, 200)) AS k FROM segments), w AS (SELECT recording_id, seq, k, start_s + k * 1.2 AS a, least(start_s + k * 1.2 + 2.0, end_s) AS b, start_s + (k - 1) * 1.2 + 2.0 AS prev, start_s, end_s FROM k)
-SELECT recording_id, seq, round(a, 6) AS w_start, round(b, 6) AS w_end FROM w WHERE k = 0 OR (end_s - start_s > 2.0 AND b - a > 0.1 AND prev < end_s)""")
+WITH u AS (SELECT recording_id, seq, round(start_s * 1e6)::BIGINT AS lo, round(end_s * 1e6)::BIGINT AS hi FROM segments), k AS (SELECT *, unnest(range(0, 1 + greatest(hi - lo, 0) // 1200000)) AS k FROM u), w AS (SELECT *, lo + k * 1200000 AS a, least(lo + k * 1200000 + 2000000, hi) AS b FROM k)
+SELECT recording_id, seq, round(a / 1e6, 6) AS w_start, round(b / 1e6, 6) AS w_end FROM w WHERE k = 0 OR (b - a > 100000 AND a - 1200000 + 2000000 < hi)""")
 def e23_sliding_windows(s):
     return I.sliding_windows(s.select("recording_id", "seq", "start_s", "end_s")).select("recording_id", "seq", *r6("w_start", "w_end"))
 

@@ -249,3 +249,18 @@ def test_halves_of_weighted_confidence(spark):
             want[key] = top // size + top // size % 2
     df = spark.createDataFrame(rows, "recording_id int, start_s double, end_s double, confidence double")
     assert {r.recording_id: r.confidence_pct for r in A.weighted_confidence(df, ["recording_id"]).collect()} == want
+
+
+def test_sliding_windows_in_microseconds(spark):
+    """Remainders of exactly the least length, ends that a window just reaches, by whole numbers; any length."""
+    rng = random.Random(12)
+    rows = [(i, rng.randrange(10**9), n) for i, n in enumerate([0, 10**5, 2 * 10**6, 400 * 10**6] + [10**5 * rng.randint(1, 200) + rng.choice([-1, 0, 0, 1]) for _ in range(200)])]
+    want = []
+    for i, lo, n in rows:
+        for k in range(400):
+            a, b = k * 1200000, min(k * 1200000 + 2000000, n)
+            if k == 0 or b - a > 100000 and a + 800000 < n:
+                want.append((i, (lo + a) / 1e6, (lo + b) / 1e6))
+    df = spark.createDataFrame([(i, lo / 1e6, (lo + n) / 1e6) for i, lo, n in rows], "recording_id int, start_s double, end_s double")
+    got = sorted((r.recording_id, r.w_start, r.w_end) for r in I.sliding_windows(df).collect())
+    assert got == want
