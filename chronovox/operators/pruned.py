@@ -1,4 +1,4 @@
-"""Pairs of near vectors, and the two farthest ones, without comparing all pairs.
+"""Pairs of near vectors, and the two farthest ones, without a table of all pairs.
 
 Angles on the sphere obey the triangle inequality, so an angle to a pivot that two vectors share bounds the
 angle between them from both sides.  Every vector belongs to the cell of its nearest pivot.  Vectors within
@@ -217,18 +217,28 @@ def far_pairs(unit: DataFrame, keys: list[str], most: int = PIVOTS) -> tuple[Dat
     return met.select(*keys, F.col("x").alias("a"), F.col("y").alias("b"), F.col("ux").alias("ua"), F.col("uy").alias("ub")), low
 
 
-def farthest(df: DataFrame, keys: list[str], ident: str, vec: str = "embedding", most: int = PIVOTS) -> DataFrame:
+def farthest(df: DataFrame, keys: list[str], ident: str, vec: str = "embedding") -> DataFrame:
     """(keys, max_distance): the largest cosine distance of two rows of each group of two or more.
 
-    A null vector has a distance from none; one of no length has 1 from all others.
+    A null vector has a distance from none; one of no length has 1 from all others.  All meet all in blocks: a
+    block's product takes less than its vectors' way through the joins of far_pairs.
     """
     known = df.where(F.col(vec).isNotNull()).select(*keys, ident, vec)
     count = known.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if(~_has_length(F.col(vec))).alias("_none"))
     unit = saved(unit_vectors(known, keys, ident, vec), "unit")
-    pairs, low = far_pairs(unit, keys, most)
-    found = pairs.groupBy(*keys).agg(F.max(1.0 - dot(F.col("ua"), F.col("ub"))).alias("_d"))
-    out = count.where("_n > 1").join(low, keys, "left").join(found, keys, "left")
-    real = F.when(F.col("_n") - F.col("_none") > 1, F.greatest("_low", "_d"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for left, _, d in _tiles(batches, keys):
+            high = np.fmax.reduce(d, axis=None, initial=-1.0)
+            if high > (best[1] if best else -1.0):
+                best = left.select(keys).slice(0, 1), high
+        if best:
+            yield from best[0].append_column("_d", pa.array([best[1]])).combine_chunks().to_batches()
+
+    found = _by_blocks(unit, keys).applyInArrow(run, f"{_kinds(unit, keys)}_d double").groupBy(*keys).agg(F.max("_d").alias("_d"))
+    out = count.where("_n > 1").join(found, keys, "left")
+    real = F.when(F.col("_n") - F.col("_none") > 1, F.col("_d"))
     out = out.select(*keys, F.greatest(real, F.when(F.col("_none") > 0, F.lit(1.0))).alias("max_distance"))
     done = saved(out, "farthest")
     forget(unit)

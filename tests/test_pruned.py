@@ -92,3 +92,15 @@ def test_wide_angles_by_blocks(spark, monkeypatch, limit):
     odd = [(None, "n", [1.0] * 8), (None, "m", [1.0] * 8), (0, "x", [1.0]), (0, "y", None)]
     got = Q.near_pairs(spark.createDataFrame(rows + odd, VEC), ["t"], "name", limit).collect()
     assert sorted((r.t, r.a, r.b) for r in got) == brute_near(rows, limit)
+
+
+def test_farthest_by_blocks(spark, monkeypatch):
+    """No table of pairs: blocks and tiles of a few vectors, several widths, one vector alone."""
+    monkeypatch.setattr(Q, "BLOCK", 70)
+    monkeypatch.setattr(Q, "TILE", 16)
+    monkeypatch.setattr(Q, "far_pairs", None)
+    rows = clustered(6, 400, 400, 8, 0.3, 3)
+    odd = [(7, "x", [1.0]), (8, "x", [1.0]), (8, "y", [0.0, 1.0]), (8, "z", [1.0, 1.0])]
+    got = {r.t: r.max_distance for r in Q.farthest(spark.createDataFrame(rows + odd, VEC), ["t"], "name").collect()}
+    want = {t: d.max() for t, (_, d) in distances(rows).items()} | {8: 1 - np.sqrt(0.5)}
+    assert set(got) == set(want) and all(abs(got[t] - want[t]) < 1e-9 for t in got)
