@@ -136,7 +136,7 @@ def b19_span_fit(s):
 @query("documents")
 def b20_clean_text(d):
     """Loops over repeats have no SQL; tests hold it against a plain restatement."""
-    once = d.select("doc_id", X.clean_text(F.col("text")).alias("clean"))
+    once = X.of_whole_texts(d).select("doc_id", X.clean_text(F.col("text")).alias("clean"))
     return once.select("doc_id", F.length("clean").alias("n"), F.contains("clean", F.lit(X.MARK)).alias("marked"))
 
 

@@ -264,3 +264,17 @@ def test_sliding_windows_in_microseconds(spark):
     df = spark.createDataFrame([(i, lo / 1e6, (lo + n) / 1e6) for i, lo, n in rows], "recording_id int, start_s double, end_s double")
     got = sorted((r.recording_id, r.w_start, r.w_end) for r in I.sliding_windows(df).collect())
     assert got == want
+
+
+def test_batches_of_whole_texts(spark):
+    """Texts come to Python in batches that don't grow with a partition; smaller ones stay as they are."""
+    rows, key = [(i, "x" * 10) for i in range(1300)], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, most in (("10000", 500), ("0", 500), ("70", 70)):
+            spark.conf.set(key, given)
+            df = X.of_whole_texts(spark.createDataFrame(rows, "doc_id int, text string").coalesce(1))
+            sizes = [r.n for r in df.mapInPandas(lambda it: (f.assign(n=len(f))[["n"]].head(1) for f in it), "n int").collect()]
+            assert sum(sizes) == 1300 and max(sizes) == most
+    finally:
+        spark.conf.set(key, before)
