@@ -1,11 +1,13 @@
 """Clustering of voice vectors, all recordings at once.
 
 A group of up to SMALL windows is clustered in one task, on its own distance matrix, which that number
-bounds.  Larger groups go in rounds, spread over tasks: every round merges all pairs of clusters that are
+bounds.  Larger groups go in rounds: every round merges all pairs of clusters that are
 each other's nearest, which gives the same tree as one merge at a time.  The nearest of each cluster is kept:
 a round searches anew only for merged clusters and for those whose nearest was merged, as no other
-cluster can have come nearer.  A search compares blocks of BLOCK vectors, a task for each two blocks, and one row
-a cluster leaves it; no table of pairs is made.  Once SMALL clusters are left, one task ends the tree.
+cluster can have come nearer.  Groups of up to `small` windows (WHOLE in the plans) have their rounds in one task,
+which holds their vectors and TILE products at a time, until SMALL clusters are left.  Those of still larger groups
+are spread over tasks: a search compares blocks of BLOCK vectors, a task for each two blocks, and one row
+a cluster leaves it; no table of pairs is made.  Once few clusters are left, one task ends the tree.
 """
 
 from __future__ import annotations
@@ -24,9 +26,15 @@ from chronovox.scratch import forget, saved
 from chronovox.thresholds import DEFAULTS, Thresholds
 
 #: Vectors of a block in the search for nearest clusters.
-BLOCK = 2048
+BLOCK = 8192
+#: Products of vectors that a task holds at once: 32 MB.
+TILE = 1 << 22
 #: Windows of a group that one task clusters on its own: its distances take 32 MB.
 SMALL = 2000
+#: Windows of a group whose rounds one task can take, on their vectors: 8 MB for 64 components.
+WHOLE = 16384
+#: Windows of a cluster that are met with those of others at once.
+DEEP = 64
 #: Vectors below this length have no direction.
 NO_LENGTH = 1e-8
 
@@ -73,15 +81,183 @@ def merge_tree(d: np.ndarray, how: str, limit: float = np.inf, leave: int = 1, s
     return out
 
 
+def _first_best(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place and distance of the nearest in each row of products; distances count to 12 places, ties by place."""
+    j = p.argmax(axis=1)
+    at = np.arange(len(p))
+    early = np.flatnonzero((p >= (p[at, j] - 2e-12)[:, None]).argmax(axis=1) < j)
+    if len(early):
+        j[early] = np.round(1.0 - p[early], 12).argmin(axis=1)
+    return j, np.round(1.0 - p[at, j], 12)
+
+
+def nearest_means(x: np.ndarray, y: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place in y and distance of the nearest of each row of x, by products of means of unit vectors; own: the row's own place in y,
+    or -1.  TILE products are held at a time."""
+    near, best = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+    step = max(1, TILE // max(1, len(y)))
+    for lo in range(0, len(x), step):
+        p = x[lo : lo + step] @ y.T
+        mine = own[lo : lo + step]
+        p[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -np.inf
+        near[lo : lo + step], best[lo : lo + step] = _first_best(p)
+    return near, best
+
+
+def _stacked(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the n windows of clusters that begin at `at`: the first window of every cluster, the longest clusters first, then the
+    second ones, and so on up to DEEP, then the rest of each long one.  With it how many each step has, of the long
+    ones, and the place of each cluster."""
+    size = np.diff(at, append=n)
+    order = np.argsort(-size, kind="stable")
+    counts = np.array([np.count_nonzero(size > r) for r in range(min(DEEP, int(size.max())))])
+    rest = size[order[: np.count_nonzero(size > DEEP)]] - DEEP
+    parts = [at[order[:c]] + r for r, c in enumerate(counts)] + [at[order[i]] + DEEP + np.arange(m) for i, m in enumerate(rest)]
+    place = np.empty(len(at), np.int64)
+    place[order] = np.arange(len(at))
+    return np.concatenate(parts), counts, rest, place
+
+
+def _least(p: np.ndarray, counts: np.ndarray, rest: np.ndarray, place: np.ndarray, axis: int) -> np.ndarray:
+    """The least of each cluster's rows or columns of p, which are in _stacked's order; p is used up."""
+    part = lambda lo, n: p[lo : lo + n] if axis == 0 else p[:, lo : lo + n]
+    out, lo = part(0, counts[0]), counts[0]
+    for c in counts[1:]:
+        mine = part(0, c)
+        np.minimum(mine, part(lo, c), out=mine)
+        lo += c
+    for i, m in enumerate(rest):
+        mine = part(i, 1)
+        np.minimum(mine, part(lo, m).min(axis=axis, keepdims=True), out=mine)
+        lo += m
+    return np.take(out, place, axis=axis)
+
+
+def least_products(x: np.ndarray, at_x: np.ndarray, y: np.ndarray, at_y: np.ndarray):
+    """(clusters of x, their least products with the clusters of y), a few clusters at a time.  at_x, at_y: where the
+    windows of each cluster begin; a cluster of many windows is met in parts."""
+    step = max(1, TILE // max(1, len(y)))
+    held = None  # least products of the first cluster's windows so far
+    order, *plan = _stacked(at_y, len(y))
+    flat = y[order].T
+    for lo in range(0, len(x), step):
+        hi = min(lo + step, len(x))
+        first, last = int(np.searchsorted(at_x, lo, "right")) - 1, int(np.searchsorted(at_x, hi, "left")) - 1
+        mine, *own = _stacked(np.maximum(at_x[first : last + 1] - lo, 0), hi - lo)
+        p = _least(_least(x[lo:hi][mine] @ flat, *plan, axis=1), *own, axis=0)
+        if held is not None:
+            p[0] = np.minimum(p[0], held)
+        going_on = hi < len(x) and (last + 1 == len(at_x) or at_x[last + 1] > hi)
+        held = p[-1].copy() if going_on else None
+        if going_on:
+            p, last = p[:-1], last - 1
+        if len(p):
+            yield np.arange(first, last + 1), p
+
+
+def tree_in_rounds(s: np.ndarray, how: str, limit: float = np.inf, size: np.ndarray | None = None, small: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The merges of merge_tree (kept, gone, distance) below the limit, by rounds on the vectors, without their matrix of
+    distances until `small` clusters are left; a merge stands after those of its parts.  s: unit vectors, or with
+    size (average linkage) sums of so many."""
+    small = SMALL if small is None else small
+    name, tree = np.arange(len(s)), []
+    n = np.ones(len(s)) if size is None else size.astype(float)
+    if size is None and limit > 0:
+        # copies first, so that they don't merge one a round
+        s = s + 0.0
+        _, first, back = np.unique(np.ascontiguousarray(s).view(np.dtype((np.void, s.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
+        to = np.where((s * s).sum(axis=1) > 0.5, first[back.ravel()], name)
+        gone = np.flatnonzero(to != name)
+        order = np.lexsort((gone, to[gone]))
+        tree.append((to[gone][order], gone[order], np.zeros(len(gone))))
+        n = np.bincount(to, minlength=len(s)).astype(float)
+        name = np.flatnonzero(to == name)
+        s, n = s[name], n[name]
+    mean = how == "average"
+    v = (s if size is None else s / n[:, None]) if mean else s
+    of = np.arange(len(v))  # complete linkage: the cluster of each window, which stand in order
+
+    def begins() -> np.ndarray:
+        return np.flatnonzero(np.diff(of, prepend=-1))
+
+    def search(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if mean:
+            return nearest_means(v[which], v, which)
+        rows = np.flatnonzero(np.isin(of, which))
+        near, best = np.zeros(len(which), np.int64), np.full(len(which), np.inf)
+        for x, p in least_products(v[rows], np.flatnonzero(np.diff(of[rows], prepend=-1)), v, begins()):
+            p[np.arange(len(x)), which[x]] = -np.inf
+            near[x], best[x] = _first_best(p)
+        return near, best
+
+    near, best, stale = np.zeros(len(name), np.int64), np.full(len(name), np.inf), np.arange(len(name))
+    while len(name) > max(small, 1):
+        near[stale], best[stale] = search(stale)
+        here = np.arange(len(name))
+        mutual = (best < limit) & (near[near] == here)
+        a = np.flatnonzero(mutual & (here < near))
+        if not len(a):
+            break
+        b = near[a]
+        tree.append((name[a], name[b], best[a]))
+        lost = mutual[near] & (best < limit)
+        stands = best < limit  # whoever has nobody near enough now never will
+        stands[b] = False
+        if mean:
+            whole = n[a] + n[b]
+            v[a] = (n[a][:, None] * v[a] + n[b][:, None] * v[b]) / whole[:, None]
+            n[a] = whole
+            v = v[stands]
+        new = np.cumsum(stands) - 1
+        if not mean:
+            to = here.copy()
+            to[b] = a
+            of = to[of]
+            keep = stands[of]
+            v, of = v[keep], new[of[keep]]
+            order = np.argsort(of, kind="stable")
+            v, of = v[order], of[order]
+        name, n, best, lost = name[stands], n[stands], best[stands], lost[stands]
+        near = new[near[stands]]
+        stale = np.flatnonzero(lost)
+    else:
+        if len(name) > 1:
+            if mean:
+                d = 1.0 - v @ v.T
+            else:
+                d = np.empty((len(name), len(name)))
+                for x, p in least_products(v, begins(), v, begins()):
+                    d[x] = 1.0 - p
+            end = merge_tree(d, how, limit, 1, n)
+            if end:
+                a, b, d = zip(*end, strict=True)
+                tree.append((name[list(a)], name[list(b)], np.array(d)))
+    return tuple(np.concatenate([t[i] for t in tree]) if tree else np.zeros(0, float if i == 2 else np.int64) for i in range(3))
+
+
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest place that each of n places is merged into."""
+    name = np.arange(n)
+    name[b] = a
+    while (name[name] != name).any():
+        name = name[name]
+    return name
+
+
 def _in_tasks(rows: DataFrame, group: list[str], how: str, limit: float, leave: int) -> DataFrame:
-    """(group, c, cluster) for groups of up to SMALL rows (group, c, s): one task clusters a group."""
+    """(group, c, cluster) for groups of bounded size (group, c, s): one task clusters a group."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("c", kind="stable")
         v = np.stack(frame["s"].to_numpy())
-        name = np.arange(len(v))
-        for a, b, _ in merge_tree(1.0 - v @ v.T, how, limit, leave):
-            name[name == b] = a
+        if len(v) > SMALL and how != "single":
+            a, b, d = tree_in_rounds(v, how, limit)
+            lowest = np.argsort(d, kind="stable")[: max(0, len(v) - leave)]
+            name = _joined(len(v), a[lowest], b[lowest])
+        else:
+            name = np.arange(len(v))
+            for a, b, _ in merge_tree(1.0 - v @ v.T, how, limit, leave):
+                name[name == b] = a
         c = frame["c"].to_numpy()
         return pd.DataFrame({**{g: frame[g].to_numpy() for g in group}, "c": c, "cluster": c[name]})
 
@@ -150,10 +326,8 @@ def search_average(dirty: DataFrame, state: DataFrame, group: list[str], limit:
             return pa.table({**{g: pa.array([], left.schema.field(g).type) for g in group}, "x": pa.array([], pa.int64()), "y": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
         right = right.sort_by("c")
         x, y = _longs(left, "c"), _longs(right, "c")
-        d = np.round(1.0 - (_vectors(left) @ _vectors(right).T) / (_longs(left, "n")[:, None] * _longs(right, "n")[None, :]), 12)
-        d[x[:, None] == y[None, :]] = np.inf
-        j = d.argmin(axis=1)
-        best = d[np.arange(len(x)), j]
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        j, best = nearest_means(_vectors(left) / _longs(left, "n")[:, None], _vectors(right) / _longs(right, "n")[:, None], np.where(y[at] == x, at, -1))
         hit = np.flatnonzero(best < limit)
         return _told(left, group, hit, x=x[hit], y=y[j[hit]], d=best[hit])
 
@@ -176,19 +350,17 @@ def search_complete(dirty: DataFrame, state: DataFrame, group: list[str], limit:
         left, right = left.sort_by("c"), right.sort_by("c")
         x, at_x = np.unique(_longs(left, "c"), return_index=True)
         y, at_y = np.unique(_longs(right, "c"), return_index=True)
-        d = 1.0 - _vectors(left) @ _vectors(right).T
-        d = np.maximum.reduceat(np.maximum.reduceat(d, at_x, axis=0), at_y, axis=1)
-        d = np.round(d, 12)
-        d[x[:, None] == y[None, :]] = np.inf
-        part = left.column("big").to_numpy(zero_copy_only=False)[at_x][:, None] | right.column("big").to_numpy(zero_copy_only=False)[at_y][None, :]
-        i, j = np.nonzero(np.isfinite(d) & (part | every))
-        out = [_told(left, group, at_x[i], x=x[i], y=y[j], d=d[i, j], whole=np.zeros(len(i), bool))]
-        if not every:
-            d[part] = np.inf
-            k = d.argmin(axis=1)
-            best = d[np.arange(len(x)), k]
-            hit = np.flatnonzero(best < limit)
-            out.append(_told(left, group, at_x[hit], x=x[hit], y=y[k[hit]], d=best[hit], whole=np.ones(len(hit), bool)))
+        big_x, big_y = (t.column("big").to_numpy(zero_copy_only=False)[at] for t, at in ((left, at_x), (right, at_y)))
+        out = []
+        for i, p in least_products(_vectors(left), at_x, _vectors(right), at_y):
+            p[x[i][:, None] == y[None, :]] = -np.inf
+            some, j = np.nonzero(np.isfinite(p) & (big_x[i][:, None] | big_y[None, :] | every))
+            out.append(_told(left, group, at_x[i[some]], x=x[i[some]], y=y[j], d=np.round(1.0 - p[some, j], 12), whole=np.zeros(len(j), bool)))
+            if not every:
+                p[big_x[i]], p[:, big_y] = -np.inf, -np.inf
+                k, best = _first_best(p)
+                hit = np.flatnonzero(best < limit)
+                out.append(_told(left, group, at_x[i[hit]], x=x[i[hit]], y=y[k[hit]], d=best[hit], whole=np.ones(len(hit), bool)))
         return pa.concat_tables(out)
 
     def dealt(rows: DataFrame) -> DataFrame:
@@ -224,25 +396,26 @@ def search_single(dirty: DataFrame, state: DataFrame, group: list[str]) -> DataF
 
 
 def _finish(state: DataFrame, group: list[str], how: str, limit: float) -> DataFrame:
-    """(group, a, b, d): the merges of groups of up to SMALL clusters (group, c, s, n; windows for complete
+    """(group, a, b, d): the merges of groups of few clusters (group, c, s, n; windows for complete
     linkage), each group in one task."""
     schema, _ = _schema(state, group, "a long, b long, d double")
 
-    def told(frame: pd.DataFrame, names: np.ndarray, merges: list) -> pd.DataFrame:
-        a, b, d = (list(v) for v in zip(*merges, strict=True)) if merges else ([], [], [])
+    def told(frame: pd.DataFrame, names: np.ndarray, a, b, d) -> pd.DataFrame:
         rows = {g: [frame[g].iloc[0]] * len(a) for g in group}
-        return pd.DataFrame({**rows, "a": names[a] if a else [], "b": names[b] if b else [], "d": d})
+        return pd.DataFrame({**rows, "a": names[a], "b": names[b], "d": d})
 
     def average(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("c", kind="stable")
         v, n = np.stack(frame["s"].to_numpy()), frame["n"].to_numpy()
-        return told(frame, frame["c"].to_numpy(), merge_tree(1.0 - (v @ v.T) / (n[:, None] * n[None, :]), "average", limit, 1, n))
+        return told(frame, frame["c"].to_numpy(), *tree_in_rounds(v, "average", limit, n))
 
     def complete(frame: pd.DataFrame) -> pd.DataFrame:
         names = np.unique(frame["x"].to_numpy())
         d = np.full((len(names), len(names)), np.inf)
         d[np.searchsorted(names, frame["x"]), np.searchsorted(names, frame["y"])] = frame["d"]
-        return told(frame, names, merge_tree(d, "complete", limit))
+        merges = merge_tree(d, "complete", limit)
+        a, b, d = zip(*merges, strict=True) if merges else ((), (), ())
+        return told(frame, names, np.array(a, np.int64), np.array(b, np.int64), np.array(d, float))
 
     if how == "average":
         return state.groupBy(*group).applyInPandas(average, schema)
@@ -256,37 +429,44 @@ def merge_rounds(unit: DataFrame, group: list[str], how: str, limit: float = flo
         return _single_rounds(unit, group)
     state = settled(unit.withColumn("n", F.lit(1).cast("long")) if how == "average" else unit.withColumn("m", F.col("c")))
     search = search_average if how == "average" else search_complete
+    least = small if how == "average" else min(small, SMALL)  # the matrix of complete linkage is made of rows
     near = settled(search(state, state, group, limit))
     tree = []
     while True:
         # whoever has nobody near enough now never will
-        if limit < float("inf"):
-            before, state = state, settled(state.join(near.select(*group, F.col("x").alias("c")), [*group, "c"], "left_semi"))
-            forget(before)
-        count = state.select(*group, "c").distinct().groupBy(*group).agg(F.count("*").alias("k"))
-        few = settled(count.where(F.col("k") <= small).select(*group))
-        ending = state.join(few, group, "left_semi")
-        tree.append(settled(_finish(ending, group, how, limit)))
-        going = near.join(few, group, "left_anti")
-        merges = settled(going.join(going.toDF(*group, "y", "x", "e"), [*group, "x", "y"]).where("x < y").select(*group, F.col("x").alias("a"), F.col("y").alias("b"), "d"))
+        count = near.groupBy(*group).agg(F.count("*").alias("_k"))
+        few = count.where(F.col("_k") <= least).select(*group)
+        going = near
+        if not few.isEmpty():
+            few = settled(few)
+            ends = near.join(few, group, "left_semi").select(*group, F.col("x").alias("c"))
+            tree.append(settled(_finish(state.join(_shuffled(ends), [*group, "c"], "left_semi"), group, how, limit)))
+            going = near.join(few, group, "left_anti")
+        partner = going.select(*group, F.col("x").alias("y"), F.col("y").alias("_z"))
+        pairs = settled(going.join(_shuffled(partner), [*group, "y"], "left").select(*group, "x", "y", "d", F.coalesce(F.col("_z") == F.col("x"), F.lit(False)).alias("mutual")))
+        merges = pairs.where("mutual AND x < y").select(*group, F.col("x").alias("a"), F.col("y").alias("b"), "d")
         if merges.isEmpty():
-            forget(state, near, few)
+            forget(state, near, few, pairs)
             break
         tree.append(merges)
-        m = merges.select(*group, F.col("b").alias("c"), F.col("a").alias("to"))
-        moved = state.join(few, group, "left_anti").join(m, [*group, "c"], "left").withColumn("c", F.coalesce("to", "c")).drop("to")
+        merged = pairs.where("mutual").select(*group, F.col("x").alias("y"), F.lit(True).alias("_hit"))
+        # a merged cluster's nearest is a merged one
+        fate = pairs.join(_shuffled(merged), [*group, "y"], "left").withColumn("_dirty", F.col("_hit").isNotNull())
+        to = fate.select(*group, F.col("x").alias("c"), F.when(F.col("mutual"), F.least("x", "y")).otherwise(F.col("x")).alias("_to"), "_dirty")
+        moved = state.drop("_dirty").join(_shuffled(to), [*group, "c"]).drop("c").withColumnRenamed("_to", "c")
         if how == "average":  # two rows at most meet in one cluster
-            moved = moved.groupBy(*group, "c").agg(F.collect_list("s").alias("v"), F.sum("n").alias("n")).select(*group, "c", F.aggregate(F.slice("v", 2, F.size("v")), F.element_at("v", 1), _add).alias("s"), "n")
+            moved = moved.groupBy(*group, "c").agg(F.collect_list("s").alias("v"), F.sum("n").alias("n"), F.max("_dirty").alias("_dirty")).select(*group, "c", F.aggregate(F.slice("v", 2, F.size("v")), F.element_at("v", 1), _add).alias("s"), "n", "_dirty")
         after = settled(moved)
-        touched = settled(merges.select(*group, F.col("a").alias("t")).unionByName(merges.select(*group, F.col("b").alias("t"))))
-        rest = going.join(touched.withColumnRenamed("t", "x"), [*group, "x"], "left_anti")
-        kept = rest.join(touched.withColumnRenamed("t", "y"), [*group, "y"], "left_anti").select(*group, "x", "y", "d")
-        lost = rest.join(touched.withColumnRenamed("t", "y"), [*group, "y"], "left_semi").select(*group, F.col("x").alias("c"))
-        dirty = settled(after.join(lost.unionByName(merges.select(*group, F.col("a").alias("c"))), [*group, "c"], "left_semi"))
-        again = settled(kept.unionByName(search(dirty, after, group, limit)))
-        forget(state, near, few, touched, dirty)
+        kept = fate.where("NOT _dirty").select(*group, "x", "y", "d")
+        again = settled(kept.unionByName(search(after.where("_dirty").drop("_dirty"), after.drop("_dirty"), group, limit)))
+        forget(state, near, few)
         state, near = after, again
-    return reduce(DataFrame.unionByName, tree)
+    return reduce(DataFrame.unionByName, tree) if tree else near.select(*group, F.col("x").alias("a"), F.col("y").alias("b"), "d").where("false")
+
+
+def _shuffled(df: DataFrame) -> DataFrame:
+    """A join's side that grows with the windows: no broadcast, so that it does not pass the driver."""
+    return df.hint("shuffle_hash")
 
 
 def _add(a, b):
@@ -338,7 +518,7 @@ def agglomerate(windows: DataFrame, threshold: float = DEFAULTS.cluster, ident:
 def _labelled(unit: DataFrame, merges: DataFrame, group: list[str]) -> DataFrame:
     """(group, c, cluster): the smallest member of each set that the merges join."""
     root = _roots(merges, group).withColumnRenamed("x", "c")
-    return unit.select(*group, "c").join(root, [*group, "c"], "left").select(*group, "c", F.coalesce("to", "c").alias("cluster"))
+    return unit.select(*group, "c").join(_shuffled(root), [*group, "c"], "left").select(*group, "c", F.coalesce("to", "c").alias("cluster"))
 
 
 def agglomerate_k(windows: DataFrame, k: int, linkage: str = "complete", ident: str = "win_id", small: int = SMALL) -> DataFrame:
@@ -370,10 +550,10 @@ def _roots(edges: DataFrame, g: list[str]) -> DataFrame:
     both = settled(edges.select(*g, "a", "b").unionByName(edges.select(*g, F.col("b").alias("a"), F.col("a").alias("b"))))
     label = settled(both.groupBy(*g, "a").agg(F.least(F.col("a"), F.min("b")).alias("to")).withColumnRenamed("a", "x"))
     while True:
-        seen = both.join(label.select(*g, F.col("x").alias("b"), F.col("to").alias("t")), [*g, "b"]).groupBy(*g, F.col("a").alias("x")).agg(F.min("t").alias("t"))
-        step = label.join(seen, [*g, "x"]).select(*g, "x", F.col("to").alias("old"), F.least("to", "t").alias("to"))
+        seen = both.join(_shuffled(label.select(*g, F.col("x").alias("b"), F.col("to").alias("t"))), [*g, "b"]).groupBy(*g, F.col("a").alias("x")).agg(F.min("t").alias("t"))
+        step = label.join(_shuffled(seen), [*g, "x"]).select(*g, "x", F.col("to").alias("old"), F.least("to", "t").alias("to"))
         jump = step.select(*g, F.col("x").alias("to"), F.col("to").alias("next"))
-        after = settled(step.join(jump, [*g, "to"], "left").select(*g, "x", "old", F.least("to", F.coalesce("next", "to")).alias("to")))
+        after = settled(step.join(_shuffled(jump), [*g, "to"], "left").select(*g, "x", "old", F.least("to", F.coalesce("next", "to")).alias("to")))
         done = after.where("old != to").isEmpty()
         forget(label)
         label = after
@@ -382,11 +562,11 @@ def _roots(edges: DataFrame, g: list[str]) -> DataFrame:
             return after.select(*g, "x", "to")
 
 
-def cap_clusters(windows: DataFrame, labels: DataFrame, most: int = DEFAULTS.max_clusters, ident: str = "win_id") -> DataFrame:
+def cap_clusters(windows: DataFrame, labels: DataFrame, most: int = DEFAULTS.max_clusters, ident: str = "win_id", small: int = SMALL) -> DataFrame:
     """Recordings with too many clusters are clustered again, into so many by average linkage."""
     g = list(KEYS)
     many = labels.groupBy(*g).agg(F.countDistinct("cluster").alias("k")).where(F.col("k") > most).select(*g)
-    again = agglomerate_k(windows.join(many, g, "left_semi"), most, "average", ident)
+    again = agglomerate_k(windows.join(many, g, "left_semi"), most, "average", ident, small)
     return labels.join(many, g, "left_anti").select(*g, ident, "cluster").unionByName(again)
 
 
@@ -475,5 +655,5 @@ def split_by_cohesion(spans: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
 
 def _voices(spans: DataFrame, th: Thresholds, per: list[str]) -> DataFrame:
     keyed = spans.select(*[F.col(c).alias(f"_{c}") for c in per], "span_id", "embedding")
-    got = agglomerate(keyed, th.cohesion, "span_id", [f"_{c}" for c in per])
+    got = agglomerate(keyed, th.cohesion, "span_id", [f"_{c}" for c in per], WHOLE)
     return got.select(*[F.col(f"_{c}").alias(c) for c in per], "span_id", F.col("cluster").alias("voice"))

@@ -158,7 +158,7 @@ def g1_agglomerate(w):
 
 @query("windows")
 def g2_agglomerate_k(w):
-    return C.agglomerate_k(w, 4, "complete")
+    return C.agglomerate_k(w, 4, "complete", small=C.WHOLE)
 
 
 @query("windows")

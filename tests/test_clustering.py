@@ -101,6 +101,40 @@ def test_long_recording(spark, monkeypatch):
     assert len(work) > 2 and sum(a * b for a, b in work) < 0.8 * sum(b * b for _, b in work)
 
 
+@pytest.mark.parametrize("how", ["complete", "average"])
+@pytest.mark.parametrize(("tile", "deep"), [(1 << 22, 64), (700, 2)])
+def test_rounds_in_one_task(monkeypatch, how, tile, deep):
+    """The tree by vectors is that of one merge at a time, with copies, vectors of no length and clusters met in parts."""
+    monkeypatch.setattr(C, "TILE", tile)
+    monkeypatch.setattr(C, "DEEP", deep)
+    v = np.random.default_rng(12).normal(size=(160, 5))
+    v[40:70], v[100:103] = v[3], 0.0
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    for limit in (np.inf, 0.6):
+        want = {(a, b): d for a, b, d in C.merge_tree(1.0 - u @ u.T, how, limit)}
+        for small in (1, 9):
+            a, b, d = C.tree_in_rounds(u, how, limit, small=small)
+            got = dict(zip(zip(a.tolist(), b.tolist(), strict=True), d.tolist(), strict=True))
+            assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-9 for e in got)
+            assert len(got) == 159 or limit < 1
+
+
+@pytest.mark.parametrize("how", ["complete", "average"])
+def test_large_groups_in_one_task(spark, monkeypatch, how):
+    """Groups of more than SMALL windows, up to the size given, take no round over tasks and no matrix of theirs."""
+    v = np.random.default_rng(13).normal(size=(3_000, 8))
+    v[2_500:2_700] = v[7]
+    rows = pd.DataFrame({"recording_id": 1, "win_id": np.arange(3_000), "embedding": v.tolist()})
+    df = spark.createDataFrame(rows, "recording_id int, win_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(C, "merge_rounds", None)
+    got = labels(C.agglomerate_k(df, 12, how, small=C.WHOLE))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    name = np.arange(3_000)
+    for a, b, _ in C.merge_tree(1.0 - u @ u.T, how, np.inf, 12):
+        name[name == b] = a
+    assert got == dict(enumerate(name.tolist())) and len(set(got.values())) == 12
+
+
 def test_chain_in_rounds(spark):
     v = chain(80)
     assert labels(C.agglomerate_k(frame(spark, v), 2, "single", small=5)) == plain_clusters(v, "single", k=2)
