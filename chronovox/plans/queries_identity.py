@@ -153,7 +153,7 @@ def c15_speaker_refs(w, e):
 
 @query("windows")
 def g1_agglomerate(w):
-    return C.agglomerate(w, 0.75)
+    return C.agglomerate(w, 0.75, small=C.WHOLE)
 
 
 @query("windows")
