@@ -164,7 +164,7 @@ def g2_agglomerate_k(w):
 @query("windows")
 def g3_cap_clusters(w):
     rows = w
-    return C.cap_clusters(rows, C.agglomerate(rows, 0.3), 15)
+    return C.cap_clusters(rows, C.agglomerate(rows, 0.3, small=C.WHOLE), 15, small=C.WHOLE)
 
 
 @query("windows")
