@@ -14,6 +14,7 @@ copies costs about n comparisons, and yet no link between components is left out
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of a set's mark: bit i tells whether an odd number of its shingles fall to i.  Two sets differ
 #: in as many shingles at least as their marks differ in bits.
 _MARKS = 256
+#: Bits of the mark that is kept with a set; its parts of _MARKS bits, taken together by xor, are the shorter one.
+_WIDE = 1024
 #: Ratio of neighbouring size groups.
 _SIZE_STEP = 1.08
 
@@ -135,9 +138,9 @@ def _marks(sets: list[np.ndarray]) -> bytes:
     out, step = [], 1024
     for a in range(0, len(sets), step):
         part = sets[a : a + step]
-        place = np.repeat(np.arange(len(part)) * _MARKS, [len(s) for s in part])
-        odd = np.bincount(place + (np.concatenate(part) % np.uint64(_MARKS)).astype(np.int64), minlength=len(part) * _MARKS) & 1
-        out.append(np.packbits(odd.astype(np.uint8).reshape(len(part), _MARKS), axis=1).tobytes())
+        place = np.repeat(np.arange(len(part)) * _WIDE, [len(s) for s in part])
+        odd = np.bincount(place + (np.concatenate(part) % np.uint64(_WIDE)).astype(np.int64), minlength=len(part) * _WIDE) & 1
+        out.append(np.packbits(odd.astype(np.uint8).reshape(len(part), _WIDE), axis=1).tobytes())
     return b"".join(out)
 
 
@@ -228,10 +231,10 @@ def shared_shingles(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         """For one flush: its sets' shared shingles, prefixes and k."""
         of = lambda kind: frame[frame["kind"] == kind].sort_values("bucket")
         head = of(HEAD)["data"].iloc[0]
-        n_docs = len(head) // (12 + _MARKS // 8)
+        n_docs = len(head) // (12 + _WIDE // 8)
         keys = np.frombuffer(head, "<i8", n_docs)
         sizes = np.frombuffer(head, "<u4", n_docs, 8 * n_docs).astype(np.int64)
-        marks = np.frombuffer(head, "<i8", n_docs * _MARKS // 64, 12 * n_docs).reshape(n_docs, -1)
+        marks = np.frombuffer(head, "<i8", n_docs * _WIDE // 64, 12 * n_docs).reshape(n_docs, -1)
         token, place, freq = [], [], []
         for b, d in zip(of(LIST)["bucket"], of(LIST)["data"], strict=True):
             t, q, p = _unpack(d, FREQ_BYTES, 2)
@@ -299,7 +302,8 @@ def class_links(nodes: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, li
     size = lambda n: F.floor(F.log(n) / float(np.log(_SIZE_STEP))).cast("int")
     # a partner of size x needs an overlap of percent / (100 + percent) * (n + x), of m at most
     most = F.floor(F.col("m") * (100.0 + share) / share + 1e-9) - F.col("n")
-    marks = [F.col("marks")[i] for i in range(_MARKS // 64)]
+    longs = _MARKS // 64
+    marks = [reduce(lambda x, y: x.bitwiseXOR(y), [F.col("marks")[j] for j in range(i, _WIDE // 64, longs)]) for i in range(longs)]
     posted = nodes.select("class", "n", "m", "k", *[x.alias(f"x{i}") for i, x in enumerate(marks)], F.explode("prefix").alias("token"), most.cast("long").alias("most"))
     probe = posted.withColumn("low", F.ceil(F.col("n") * share / 100.0 - 1e-9)).withColumn("high", F.least("n", "most")).where("low <= high")
     probe = probe.withColumn("size", F.explode(F.sequence(size(F.col("low")), size(F.col("high")))))
@@ -307,26 +311,33 @@ def class_links(nodes: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, li
     index = posted.select("token", size(F.col("n")).alias("size"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("k").alias("k_b"), F.col("most").alias("most_b"), (F.col("m") / F.col("n")).alias("typical"), *[F.col(f"x{i}").alias(f"xb{i}") for i in range(len(marks))])
     fits = (F.col("n_b") >= F.col("low")) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
     # sets of n_a and n_b that differ in d shingles share (n_a + n_b - d) / 2
-    differ_by = sum((F.bit_count(F.col(f"xa{i}").bitwiseXOR(F.col(f"xb{i}"))) for i in range(len(marks))), F.lit(0))
     both = F.col("n_a") + F.col("n_b")
-    fits = fits & ((both - differ_by) * (100 + percent) >= 2 * percent * both)
+
+    def alike(xs, ys):
+        differ_by = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(xs, ys, strict=True)), F.lit(0))
+        return (both - differ_by) * (100 + percent) >= 2 * percent * both
+
+    short = alike([F.col(f"xa{i}") for i in range(longs)], [F.col(f"xb{i}") for i in range(longs)])
+    wide = alike([F.col("wa")[i] for i in range(_WIDE // 64)], [F.col("wb")[i] for i in range(_WIDE // 64)])
     once = (F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a")))
     # each group's most typical member against all others
     hub = index.groupBy("token", "size").agg(F.max_by(F.struct("b", "n_b", "most_b", *[f"xb{i}" for i in range(len(marks))]), F.struct("typical", "b")).alias("h")).select("token", "size", "h.*")
-    stars = probe.join(hub, ["token", "size"]).where(fits & (F.col("a") != F.col("b")))
+    stars = probe.join(hub, ["token", "size"]).where(fits & short & (F.col("a") != F.col("b")))
     stars = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     found = saved(_links(stars, nodes, percent), "stars")
     roots = saved(components(found), "roots")
     # then pairs of different components: one side is outside its shingle's largest component
     part = lambda df, c, out: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
-    index = part(index.drop("typical"), "b", "root_b")
-    probe = part(probe, "a", "root_a")
+    index = part(index.drop("typical", *[f"xb{i}" for i in range(longs)]), "b", "root_b")
     per = index.groupBy("token", "root_b").agg(F.countDistinct("b").alias("c"))
     per = per.groupBy("token").agg(F.max_by("root_b", F.struct("c", "root_b")).alias("major"), F.count("*").alias("roots")).where("roots > 1").select("token", "major")
-    index, probe = saved(index.join(per, "token"), "index"), saved(probe.join(per, "token"), "probe")
+    # only what is left meets its whole mark: the short one hardly tells long sets apart
+    whole = lambda df, c, out: df.join(per, "token").join(nodes.select(F.col("class").alias(c), F.col("marks").alias(out)), c)
+    index = saved(whole(index, "b", "wb"), "index")
+    probe = saved(part(whole(probe.drop(*[f"xa{i}" for i in range(longs)]), "a", "wa"), "a", "root_a"), "probe")
     differ = F.col("root_a") != F.col("root_b")
-    one = probe.where("root_a != major").join(index.drop("major"), ["token", "size"]).where(fits & once & differ)
-    two = probe.where("root_a = major").drop("major").join(index.where("root_b != major"), ["token", "size"]).where(fits & once & differ)
+    one = probe.where("root_a != major").join(index.drop("major"), ["token", "size"]).where(fits & wide & once & differ)
+    two = probe.where("root_a = major").drop("major").join(index.where("root_b != major"), ["token", "size"]).where(fits & wide & once & differ)
     cols = ["token", "a", "b", F.least("k_a", "k_b").alias("k")]
     pairs = one.select(*cols).unionByName(two.select(*cols)).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("k").alias("k")).where("shared >= k").select("a", "b")
     return found.unionByName(_links(pairs, nodes, percent)), [found, roots, index, probe]
