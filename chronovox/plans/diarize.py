@@ -63,8 +63,8 @@ def diarize(frames: DataFrame, windows: DataFrame, profiles: DataFrame, tenants:
     of = tenants if tenants is not None else windows.select(*K).distinct().withColumn("tenant_id", F.lit(0))
     people = N.matchable_profiles(profiles)
     windows = C.settled(speech_windows(frames, windows, frame_s))
-    labels = C.agglomerate(windows, threshold if threshold is not None else th.cluster)
-    labels = C.settled(C.greedy_merge(windows, C.cap_clusters(windows, C.settled(labels), th.max_clusters), th.merge))
+    labels = C.agglomerate(windows, threshold if threshold is not None else th.cluster, small=C.WHOLE)
+    labels = C.settled(C.greedy_merge(windows, C.cap_clusters(windows, C.settled(labels), th.max_clusters, small=C.WHOLE), th.merge))
     rows = windows.join(labels, [*K, "win_id"], "left")
     means = C.settled(centroid(rows.where("cluster IS NOT NULL"), [*K, "cluster"]))
     numbered = I.number_speakers(rows)
